@@ -21,3 +21,22 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None) -
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the executors' Python workers this package (as spark-submit --py-files would), once per application."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_trawl_shipped", False):
+        return spark
+    here = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp(prefix="trawl-")) / "trawl_package.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, str(Path("trawl") / p.relative_to(here)))
+    sc.addPyFile(str(to))
+    sc._trawl_shipped = True
+    return spark
