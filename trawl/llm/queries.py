@@ -47,6 +47,22 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return split_records(table(spark, d, "symbol_gold"), table(spark, d, "tickets"), table(spark, d, "split_targets"))
 
 
+def p6_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    from trawl.llm.overlap import overlapping
+
+    return overlapping(table(spark, d, "tickets"), table(spark, d, "symbol_gold"), table(spark, d, "ticket_outcomes"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_overlaps(spark, d).select("ticket_a", "ticket_b").distinct()
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    from trawl.llm.overlap import report
+
+    return report(p6_overlaps(spark, d))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     from trawl.llm.bpe import encode
 
@@ -67,6 +83,9 @@ def queries() -> dict[str, Query]:
         "p4_pieces": p4_pieces,
         "p5_found": p5_found,
         "p5_splits": p5_splits,
+        "p6_found": p6_found,
+        "p6_overlaps": p6_overlaps,
+        "p6_report": p6_report,
         "p7_ids": p7_ids,
         "p8_containers": p8_containers,
     }
