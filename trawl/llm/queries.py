@@ -75,6 +75,18 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(measured(table(spark, d, "documents", "doc_id", "text")), table(spark, d, "size_limits"))
 
 
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from trawl.llm.pii import detect
+
+    return detect(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "name_lexicon")).select("doc_id", "redacted")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from trawl.llm.pii import located
+
+    return located(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "name_lexicon")).select("doc_id", "pii_type", "start_pos")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p3_found": p3_found,
@@ -88,6 +100,8 @@ def queries() -> dict[str, Query]:
         "p6_report": p6_report,
         "p7_ids": p7_ids,
         "p8_containers": p8_containers,
+        "p9_found": p9_found,
+        "p9_redacted": p9_redacted,
     }
 
 
