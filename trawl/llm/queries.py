@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trawl.sources.tables import table
 
@@ -14,6 +15,31 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOP = 5
 
 
+def p1_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Every unparsable file with the first reason found, and what the latest earlier report said of it."""
+    from trawl.llm.syntax import unparsable
+
+    found = unparsable(table(spark, d, "source_files", "repo", "base_commit", "file_path", "content"))
+    said = table(spark, d, "parse_results", "repo", "base_commit", "file_path", "status", "error_type", "parsed_at")
+    latest = said.groupBy("repo", "base_commit", "file_path").agg(F.max(F.struct("parsed_at", F.lower(F.trim("status")).alias("status"), "error_type")).alias("x"))
+    latest = latest.select(F.col("repo").alias("r"), F.col("base_commit").alias("b"), F.col("file_path").alias("f"), F.col("x.status").alias("reported_status"), F.col("x.error_type").alias("reported_error"))
+    same = F.col("repo").eqNullSafe(F.col("r")) & F.col("base_commit").eqNullSafe(F.col("b")) & (F.col("file_path") == F.col("f"))
+    return found.join(latest, same, "left").drop("r", "b", "f")
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    from trawl.llm.syntax import rates, unparsable
+
+    files = table(spark, d, "source_files", "repo", "base_commit", "file_path", "content")
+    return rates(files, unparsable(files))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from trawl.llm.syntax import unparsable
+
+    return unparsable(table(spark, d, "source_files", "repo", "base_commit", "file_path", "content")).select("repo", "base_commit", "file_path")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_top_candidates(spark, d).select("ticket_id", "chunk_id")
 
@@ -89,6 +115,9 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_flags": p1_flags,
+        "p1_rates": p1_rates,
         "p3_found": p3_found,
         "p3_top_candidates": p3_top_candidates,
         "p4_found": p4_found,
