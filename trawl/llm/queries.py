@@ -40,6 +40,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return unparsable(table(spark, d, "source_files", "repo", "base_commit", "file_path", "content")).select("repo", "base_commit", "file_path")
 
 
+def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
+    from trawl.llm.provenance import provenance
+
+    chunks = table(spark, d, "chunks", "repo", "base_commit", "file_path", "symbol_kind", "code_text")
+    # Attribute files, if a snapshot has any, are rows of source_files.
+    attributes = table(spark, d, "source_files", "repo", "base_commit", "file_path", "content").filter("file_path RLIKE '(^|/)[.]gitattributes$'")
+    return provenance(chunks, attributes)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_reasons(spark, d).select("repo", "base_commit", "file_path")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_top_candidates(spark, d).select("ticket_id", "chunk_id")
 
@@ -118,6 +131,8 @@ def queries() -> dict[str, Query]:
         "p1_found": p1_found,
         "p1_flags": p1_flags,
         "p1_rates": p1_rates,
+        "p2_found": p2_found,
+        "p2_reasons": p2_reasons,
         "p3_found": p3_found,
         "p3_top_candidates": p3_top_candidates,
         "p4_found": p4_found,
