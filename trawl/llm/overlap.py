@@ -24,41 +24,79 @@ from trawl.storage import cut
 SHARE = 0.6
 #: Buckets in which word frequencies are counted (the bound of what every task receives).
 BUCKETS = 1 << 16
+#: Bits of a set's signature; a bit of one set that another lacks proves a word that the other lacks.
+SIGNATURE = 512
 _WORD = re.compile(r"\w+")
 
 
-def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """ticket, text -> ticket, sorted distinct 64-bit word hashes as an array."""
-    import xxhash
+def _words(text: str) -> set[str]:
+    return set(_WORD.findall(text.lower()))
+
+
+class _Codes(dict):
+    """Word -> 64-bit hash as a signed integer; a worker remembers common ones."""
+
+    def __missing__(self, w: str) -> int:
+        import xxhash
+
+        if len(self) > 300_000:
+            self.clear()
+        h = self[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63)
+        return h
+
+    def of(self, words: set[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), "i8", len(words))
 
-    seen: dict[str, int] = {}
+
+def _spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts -> how many of them have a word in each bucket, one partial count per batch."""
+    codes = _Codes()
     for f in frames:
-        out = []
-        for text in f["text"]:
-            words = set(_WORD.findall(text.lower()))
-            row = []
-            for w in words:
-                h = seen.get(w)
-                if h is None:
-                    if len(seen) > 300_000:
-                        seen.clear()
-                    h = seen[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63)
-                row.append(h)
-            row.sort()
-            out.append(row)
-        yield pd.DataFrame({"ticket": f["ticket"], "words": out})
+        own = [codes.of(_words(text)) for text in f["text"]]
+        counts = np.bincount(np.concatenate([*own, np.empty(0, "i8")]).astype("i8") & (BUCKETS - 1), minlength=BUCKETS)
+        b = np.flatnonzero(counts)
+        yield pd.DataFrame({"b": b, "n": counts[b]})
 
 
 def _prefixes(frames: Iterator[pd.DataFrame], counts: object, share: float) -> Iterator[pd.DataFrame]:
+    """ticket, text -> ticket, hash of the word set, its size, and the prefix words that some other text may have too."""
+    import xxhash
+
     freq = np.frombuffer(counts.value, "<i8")
+    codes = _Codes()
     for f in frames:
-        out = []
-        for words in f["words"]:
-            w = np.asarray(words, "i8")
+        hashes, sizes, prefixes, marks = [], [], [], []
+        for text in f["text"]:
+            w = np.sort(codes.of(_words(text)))
+            often = freq[w & (BUCKETS - 1)]
             keep = len(w) - math.ceil(share * len(w) - 1e-9) + 1
-            order = np.lexsort((w, freq[w & (BUCKETS - 1)]))[:keep]
-            out.append(w[order].tolist())
-        yield f.assign(prefix=out)
+            order = np.lexsort((w, often))[:keep]
+            hashes.append(xxhash.xxh3_64_intdigest(w.tobytes()) - (1 << 63))
+            sizes.append(len(w))
+            prefixes.append(w[order][often[order] > 1].tolist())
+            bits = np.zeros(SIGNATURE, "u1")
+            bits[(w >> 20) % SIGNATURE] = 1
+            marks.append(np.packbits(bits).view("<i8").tolist())
+        yield pd.DataFrame({"ticket": f["ticket"], "hash": hashes, "n": np.array(sizes, "i4"), "prefix": prefixes, "marks": marks})
+
+
+def _named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of a ticket's texts the one that has the wanted hash."""
+    import xxhash
+
+    codes = _Codes()
+    for f in frames:
+        own = [xxhash.xxh3_64_intdigest(np.sort(codes.of(_words(t))).tobytes()) - (1 << 63) for t in f["text"]]
+        yield f.loc[np.array(own, "i8") == f["hash"].to_numpy("i8"), ["hash", "text"]] if len(f) else f[["hash", "text"]]
+
+
+def _measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        out = []
+        for a, b in zip(f["texta"], f["textb"], strict=True):
+            x, y = _words(a), _words(b)
+            out.append(len(x & y) / len(x | y) if x or y else 1.0)
+        yield pd.DataFrame({"ha": f["ha"], "hb": f["hb"], "share": out})
 
 
 def _blocks(gold: DataFrame) -> DataFrame:
@@ -100,32 +138,35 @@ def overlapping(tickets: DataFrame, gold: DataFrame, outcomes: DataFrame, share:
     spark = tickets.sparkSession
     members = cut(_members(tickets, gold, outcomes), "members")
     text = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
-    asked = members.select("ticket").distinct()
-    texts = tickets.select(ticket_key(F.col("ticket_id")).alias("ticket"), text.alias("text")).dropna().distinct().join(asked, "ticket", "left_semi")
-    sets = texts.mapInPandas(_sets, "ticket string, words array<bigint>")
-    own = cut(sets.select("ticket", "words", F.xxhash64("words").alias("hash")).dropDuplicates(["ticket", "hash"]), "sets")
-    rows = members.select("ticket", "ticket_id", "side", "split", "repo", "block").join(own.select("ticket", "hash", F.size("words").alias("n")), "ticket")
-    rows = cut(rows, "rows")
-    classes = rows.groupBy("block", "hash", "n").agg(F.max((F.col("side") == 1).cast("int")).alias("train"), F.max((F.col("side") == 2).cast("int")).alias("eval"))
-
+    texts = tickets.select(ticket_key(F.col("ticket_id")).alias("ticket"), text.alias("text")).filter("ticket IS NOT NULL")
     counts = np.zeros(BUCKETS, "<i8")
-    spread = own.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(BUCKETS - 1).alias("b")).count()
-    for r in spread.collect():  # at most BUCKETS rows
-        counts[r["b"]] = r["count"]
+    for r in texts.select("text").mapInPandas(_spread, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
+        counts[r["b"]] = r["n"]
     sent = spark.sparkContext.broadcast(counts.tobytes())
-    alone = own.select("hash", "words").dropDuplicates(["hash"])
-    first = alone.mapInPandas(lambda it: _prefixes(it, sent, share), "hash bigint, words array<bigint>, prefix array<bigint>")
-    prefixes = cut(first, "prefixes")
-    posting = classes.join(prefixes.select("hash", "prefix"), "hash").select("block", "hash", "n", "train", "eval", F.explode("prefix").alias("w"))
-    a = posting.filter("train = 1").select("block", "w", F.col("hash").alias("ha"), F.col("n").alias("na"))
-    b = posting.filter("eval = 1").select("block", "w", F.col("hash").alias("hb"), F.col("n").alias("nb"))
+    sets = cut(texts.mapInPandas(lambda it: _prefixes(it, sent, share), "ticket string, hash bigint, n int, prefix array<bigint>, marks array<bigint>"), "sets", compression="zstd")
+    own = sets.select("ticket", "hash", "n").distinct()
+    rows = cut(members.select("ticket", "ticket_id", "side", "split", "repo", "block").join(own, "ticket"), "rows", compression="zstd")
+    classes = rows.groupBy("block", "hash", "n").agg(F.max((F.col("side") == 1).cast("int")).alias("train"), F.max((F.col("side") == 2).cast("int")).alias("eval"), F.min("ticket").alias("ticket"))
+    # The class's prefix is that of one of its texts; ticket and hash name a text.
+    posting = cut(
+        classes.join(sets.select("ticket", "hash", "prefix"), ["ticket", "hash"]).select("hash", "n", "train", "eval", F.explode("prefix").alias("w"), "block").select("hash", "n", "train", "eval", F.xxhash64("block", "w").alias("k")).distinct(),
+        "posting", compression="zstd",
+    )
+    a = posting.filter("train = 1").select("k", F.col("hash").alias("ha"), F.col("n").alias("na"))
+    b = posting.filter("eval = 1").select("k", F.col("hash").alias("hb"), F.col("n").alias("nb"))
     fit = (F.col("na") * F.lit(share) <= F.col("nb") + 1e-9) & (F.col("nb") * F.lit(share) <= F.col("na") + 1e-9)
-    met = a.join(b, ["block", "w"]).filter(fit & (F.col("ha") != F.col("hb"))).select("ha", "hb").distinct()
-    words = prefixes.select("hash", "words")
-    sized = met.join(words.select(F.col("hash").alias("ha"), F.col("words").alias("wa")), "ha").join(words.select(F.col("hash").alias("hb"), F.col("words").alias("wb")), "hb")
-    common = F.size(F.array_intersect("wa", "wb"))
-    measured = sized.withColumn("c", common).withColumn("share", F.col("c") / (F.size("wa") + F.size("wb") - F.col("c")))
-    near = measured.filter(F.col("share") >= share - 1e-12).select("ha", "hb", "share")
+    met = cut(a.join(b, "k").filter(fit & (F.col("ha") != F.col("hb"))).select("ha", "hb").distinct(), "met")
+    # Signatures bound the share from above; whole texts are compared for the pairs that are left.
+    one = cut(sets.groupBy("hash", "n").agg(F.min("ticket").alias("ticket"), F.first("marks").alias("marks")), "one", compression="zstd")
+    of = lambda x: one.select(F.col("hash").alias(f"h{x}"), F.col("ticket").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("marks").alias(f"m{x}"))
+    lacks = lambda x, y: sum(F.bit_count(F.col(f"m{x}")[i].bitwiseAND(F.bitwise_not(F.col(f"m{y}")[i]))) for i in range(SIGNATURE // 64))
+    both = F.least(F.col("na") - lacks("a", "b"), F.col("nb") - lacks("b", "a"))
+    bound = (both >= F.lit(share) * (F.col("na") + F.col("nb") - both) - 1e-9)
+    asked = cut(met.join(of("a"), "ha").join(of("b"), "hb").filter(bound).select("ha", "hb", "ta", "tb"), "asked")
+    needed = cut(asked.select(F.col("ta").alias("ticket"), F.col("ha").alias("hash")).union(asked.select("tb", "hb")).distinct(), "needed")
+    found = cut(texts.join(needed, "ticket").mapInPandas(_named, "hash bigint, text string").dropDuplicates(["hash"]), "texts", compression="zstd")
+    sized = asked.select("ha", "hb").join(found.select(F.col("hash").alias("ha"), F.col("text").alias("texta")), "ha").join(found.select(F.col("hash").alias("hb"), F.col("text").alias("textb")), "hb")
+    near = sized.mapInPandas(_measure, "ha bigint, hb bigint, share double").filter(F.col("share") >= share - 1e-12)
     same = classes.filter("train = 1 AND eval = 1").select(F.col("hash").alias("ha"), F.col("hash").alias("hb"), F.lit(1.0).alias("share")).distinct()
     linked = near.union(same)
     left = rows.filter("side = 1").select("block", F.col("hash").alias("ha"), F.col("ticket_id").alias("ta"), "repo")
