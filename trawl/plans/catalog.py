@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trawl.plans import evaluation_plans, relation_plans, retrieval_plans, text_plans
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "tfidf_top20"
+_MODULES = [text_plans, retrieval_plans, evaluation_plans, relation_plans]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
