@@ -168,7 +168,7 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 def variant_argmax(spark: SparkSession, d: str) -> DataFrame:
     """Per ticket the list with the highest mean score; ties go to more rows, then to the smaller name."""
     rows = table(spark, d, "ranked_symbols", "ticket_id", "list_name", "score").filter("score >= 0 AND score <= 1 AND ticket_id IS NOT NULL")
-    per = rows.groupBy("ticket_id", "list_name").agg(F.round(F.avg("score"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
+    per = rows.groupBy("ticket_id", "list_name").agg(F.round(F.avg("score"), 10).alias("mean"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("ticket_id").orderBy(F.desc("mean"), F.desc("n"), "list_name")
     return per.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
@@ -334,7 +334,7 @@ ORACLE = {
     "mapping_summary": f"SELECT mapping_status, mapping_method, coalesce(exclusion_reason, '') AS reason, count(*) AS n, round(avg(mapping_confidence), 6) AS confidence, count(DISTINCT {_PR}) AS repos FROM symbol_gold GROUP BY ALL",
     "index_stats": "SELECT lower(trim(language)) AS language, lower(trim(status)) AS status, count(*) AS n, CAST(sum(symbol_count) AS BIGINT) AS symbols, count(DISTINCT {'r': repo, 'b': base_commit, 'f': file_path}) AS files FROM parse_results GROUP BY ALL",
     "latency_percentiles": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, max(n) AS n, round(max(CASE WHEN r = ceil(0.5 * n) THEN value END), 6) AS p50, round(max(CASE WHEN r = ceil(0.95 * n) THEN value END), 6) AS p95, round(max(value), 6) AS most FROM r GROUP BY event_type",
-    "variant_argmax": "WITH p AS (SELECT ticket_id, list_name, round(avg(score), 6) AS mean, count(*) AS n FROM ranked_symbols WHERE NOT isnan(score) AND score BETWEEN 0 AND 1 AND ticket_id IS NOT NULL GROUP BY ALL) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY ticket_id ORDER BY mean DESC, n DESC, list_name) = 1",
+    "variant_argmax": "WITH p AS (SELECT ticket_id, list_name, round(avg(score), 10) AS mean, count(*) AS n FROM ranked_symbols WHERE NOT isnan(score) AND score BETWEEN 0 AND 1 AND ticket_id IS NOT NULL GROUP BY ALL) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY ticket_id ORDER BY mean DESC, n DESC, list_name) = 1",
     "candidates_per_ticket": "WITH p AS (SELECT ticket_id, count(DISTINCT chunk_id) AS n FROM ranked_symbols WHERE ticket_id IS NOT NULL GROUP BY 1) SELECT CASE WHEN n < 20 THEN 'short' WHEN n = 20 THEN 'exact' ELSE 'long' END AS size, count(*) AS tickets, min(n) AS least, max(n) AS most FROM p GROUP BY 1",
     "audit_strata": """WITH g AS (SELECT DISTINCT gold_id, ticket_id, file_path, mapping_status, mapping_confidence, symbol_kind FROM symbol_gold), f AS (SELECT ticket_id, count(DISTINCT file_path) AS files FROM g GROUP BY 1),
         s AS (SELECT gold_id, unnest(list_filter([CASE WHEN files > 1 THEN 'multi_file' END, CASE WHEN mapping_status = 'excluded' THEN 'excluded' END, CASE WHEN mapping_confidence < 0.6 THEN 'unsure' END, CASE WHEN symbol_kind = 'module' THEN 'module' END], lambda x: x IS NOT NULL)) AS stratum FROM g LEFT JOIN f USING (ticket_id)) SELECT stratum, count(*) AS n, count(DISTINCT gold_id) AS golds FROM s GROUP BY 1""",
