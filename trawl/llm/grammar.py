@@ -17,7 +17,7 @@ _WORDS = {
     "java": {"K": "if while for switch catch", "E": "else try finally do", "R": "return throw assert", "W": "new", "B": "break continue", "C": "class interface enum", "I": "import package", "D": "case", "L": "default", "O": "instanceof", "A": "public private protected static final abstract native synchronized transient volatile strictfp", "x": "extends implements throws"},
     "go": {"K": "if for switch select", "E": "else", "R": "return defer go goto", "B": "break continue fallthrough", "V": "var const type", "F": "func", "I": "import package", "D": "case", "L": "default", "A": "chan map struct interface range"},
     "c": {"K": "if while for switch", "E": "else do", "R": "return goto", "W": "sizeof", "B": "break continue", "D": "case", "L": "default", "A": "static const extern inline unsigned signed volatile register typedef struct union enum long short restrict"},
-    "python": {"k": "if elif while for with except", "e": "else try finally", "R": "return raise del assert global nonlocal", "W": "await yield", "B": "break continue pass", "F": "def", "C": "class", "I": "import", "M": "from", "l": "lambda", "O": "in is and or", "u": "not", "A": "async", "S": "as"},
+    "python": {"k": "if elif while for with", "p": "except", "E": "else finally", "y": "try", "R": "return raise del assert global nonlocal", "W": "await yield", "B": "break continue pass", "F": "def", "C": "class", "I": "import", "M": "from", "l": "lambda", "O": "in is and or", "u": "not", "A": "async", "S": "as"},
 }
 _WORDS["typescript"] = _WORDS["javascript"] | {"A": "async static get set type interface enum namespace declare abstract readonly public private protected keyof is asserts satisfies infer unique override module", "x": "extends implements"}
 
@@ -131,14 +131,14 @@ _GRAMMARS: dict[str, dict[str, list[str]]] = {
         "Tail": [*_EXPR["Tail"], "a n"],
     },
     "python": {
-        "File": ["^ (Line)* $", "^ $"],
-        "Line": ["Simple (; Simple)* (;)? N", "Compound : N", "Compound : Simple N", "@ Expr N", "> Line", "< Line", "Simple ; N"],
-        "Compound": ["k Expr", "A k Expr", "k Expr (, Expr)* O Expr", "A k Targets O List", "k Expr S Expr", "A k Expr (S Target)?", "k Expr S Target (, Expr S Target)*", "k Expr (, Expr)*", "k ( List )", "e", "k", "k b Expr", "F n ( (Params)? )", "F n ( (Params)? ) a Expr", "A F n ( (Params)? ) (a Expr)?", "C n", "C n ( (List)? )", "F n [ List ] ( (Params)? )", "C n [ List ]"],
+        "File": ["N (Line)* $", "N $"],
+        "Line": ["Simple (; Simple)* (;)? N", "Compound : N", "Compound : Simple N", "@ Expr N", "Simple ; N"],
+        "Compound": ["k Expr", "A k Expr", "k Expr (, Expr)* O Expr", "A k Targets O List", "k Expr S Expr", "A k Expr (S Target)?", "k Expr S Target (, Expr S Target)*", "k Expr (, Expr)*", "k ( List )", "E", "y", "p", "p Expr", "p Expr S n", "p b Expr", "p b Expr S n", "F n ( (Params)? )", "F n ( (Params)? ) a Expr", "A F n ( (Params)? ) (a Expr)?", "C n", "C n ( (List)? )", "F n [ List ] ( (Params)? )", "C n [ List ]"],
         "Targets": ["Target (, Target)* (,)?"], "Target": ["Expr", "b Expr"],
         "Params": ["Param (, Param)* (,)?"], "Param": ["n", "n = Expr", "n : Expr", "n : Expr = Expr", "b n", "o n", "o n : Expr", "b n : Expr", "b", "o"],
         "Simple": ["List", "Targets = List", "Targets = Targets = List", "Expr : Expr", "Expr : Expr = Expr", "R", "R List", "R Expr M Expr", "B", "I Mod (, Mod)*", "M Dots I Names", "M (Dots)? Path I Names", "W List", "Targets = W List", "W M Expr"],
         "Dots": [".", "e", "Dots Dots"], "Path": ["n (. n)*"], "Mod": ["Path (S n)?"], "Names": ["n (S n)? (, n (S n)?)* (,)?", "b", "( n (S n)? (, n (S n)?)* (,)? )", "o"],
-        "Expr": ["Cond", "l : Expr", "l (Largs)? : Expr", "Cond k Cond e Expr", "Cond = Expr", "W Expr", "W"], "Largs": ["n (, n)*", "n = Expr", "b n", "o n", "Largs , Largs", "n ,"],
+        "Expr": ["Cond", "l : Expr", "l (Largs)? : Expr", "Cond k Cond E Expr", "Cond = Expr", "W Expr", "W"], "Largs": ["n (, n)*", "n = Expr", "b n", "o n", "Largs , Largs", "n ,"],
         "Cond": ["Unary (Bin Unary)*"], "Bin": ["o", "b", "O", "u O", "O u", "@"], "Unary": ["(Pre)* Post"], "Pre": ["b", "u"],
         "Post": ["Atom (Tail)*"], "Atom": ["n", "0", "s (s)*", "e", "( (List)? )", "( Comp )", "[ (List)? ]", "[ Comp ]", "{ (List)? }", "{ Comp }", "{ Dict }", "( W (List)? )", "( W M Expr )"],
         "Dict": ["Pair (, Pair)* (,)?", "Pair For"], "Pair": ["Expr : Expr", "o Expr"],
@@ -243,7 +243,10 @@ BROKEN = {
     "java": [r"(?<=[;{}^])K(?![P(])", r"E(?=[;)\],=.])", r"[^{};^]\$$", r"nnn", r"(?<=[;{}^])nn[.o0s\[]", r"(?<=[;{}^])(?:A)*nnP(?![{;x])", r"I(?!A?n(?:\.n)*(?:\.b)?;)", r"\^[^IAC@;$n]", r"(?<=[;{}^])A+;", r"\bC(?!n)"],
     "go": [r"E(?![{K])", r"[^{};^]\$$", r"nnn", r"^\^(?!In;|\$)", r"(?<=[;{}^])I(?!n;|s;|ns;|\.s;|[P(])", r"(?<=[;{}^])Fn(?![P(Q\[])", r"(?<=[;{}^])nn[^;]*;$", r"(?<=[;{}^])V(?![n(P])"],
     "c": [r"(?<=[;{}^])K(?![P(])", r"E(?=[)\],=.])", r"[^{};^]\$$", r"nnn", r"(?<=[;{}^])nn[.o0s]", r"(?<=[;{}^])nnP(?=[^{;,=A])", r"(?<=[;{}^])A*b*n(?==)A"],
-    "python": [r"^.N[<>]*A?k(?!.*:)", r"^.N[<>]*A?[FC](?!n)", r"^.N[<>]*(?:A?[kFC]|e)[^:]*N$", r"^.N[<>]*e(?!:)", r"^.N[<>]*A?Fn(?![PQ(\[])", r"^[^:]N>", r"^:N(?!>)", r"l[^:]*$"],
+    # A unit of Python begins with the last class of the line before (@ for a decorator), marks of indentation, and the kind of block that it ended.
+    "python": [
+        r"^[^N]*NA?k(?!.*:)", r"^[^N]*NA?[FC](?!n)", r"^[^N]*N(?:A?[kFC]|[Eyp])[^:]*N$", r"^[^N]*N[Ey](?!:)", r"^[^N]*NA?Fn(?![PQ(\[])", r"^[^:]>", r"^:(?!>)", r"l[^:]*$", r"^@[^N]*N(?![@AFC])", r"^[^N]*yN(?![pE])", r"^[^yp]*Np", r"^[^kypEN]*NE", r"^[^N]*NR[^N]*,N$",
+    ],
 }
 
 

@@ -54,26 +54,30 @@ def _units(classes: str, language: str) -> list[str]:
 
 
 def _lines(classes: str) -> list[str]:
-    """Logical lines of Python: last class of the line before, N, > or < for a change of indentation, the line's classes, N."""
+    """Logical lines of Python: last class of the line before (@ for a decorator), > or < for a change of indentation, the opener of the block that ended, N, the line's classes, N."""
     out: list[str] = []
     depth, line, indent = 0, [], 0
-    stack = [0]
-    before = "^"
+    stack: list[tuple[int, str]] = [(0, "")]
+    before, opener = "^", ""
 
     def close() -> None:
-        nonlocal before
+        nonlocal before, opener
         if not line:
             return
         mark = ""
-        if indent > stack[-1]:
-            stack.append(indent)
+        if indent > stack[-1][0]:
+            stack.append((indent, opener))
             mark = ">"
-        elif indent < stack[-1]:
-            while stack[-1] > indent:
-                stack.pop()
-            mark = "<" if stack[-1] == indent else "<X"
-        out.append(f"{before}N{mark}{''.join(line)}N")
-        before = line[-1][-1]
+        elif indent < stack[-1][0]:
+            ended = ""
+            while stack[-1][0] > indent:
+                mark += "X" if ended == "y" else ""  # an inner try block without a handler
+                ended = stack.pop()[1]
+            mark += ("<" if stack[-1][0] == indent else "<X") + ended
+        text = "".join(line)
+        out.append(f"{before}{mark}N{text}N")
+        opener = text[0] if text[0] in "kypE" else ""
+        before = "@" if text[0] == "@" else text[-1]
 
     start = 0
     for m in _STOPS.finditer(classes):
@@ -91,10 +95,12 @@ def _lines(classes: str) -> list[str]:
     if start < len(classes):
         line.append(classes[start:])
     close()
-    out.append(f"{before}N$")
-    return [re.sub(r"\.(?!n)[A-Zekul]", ".n", u) for u in out]
+    open_try = "y" if any(o == "y" for _, o in stack) else ""
+    out.append(f"{before}{open_try}N$")
+    return [_AFTER_DOT_PYTHON.sub(".n", u) for u in out]
 
 
+_AFTER_DOT_PYTHON = re.compile(r"\.[A-MO-Zkulyp]")
 _BASE = chr(grammar.INDENT_BASE)
 _STOPS = re.compile(rf"[()\[\]{{}}]|[{_BASE}-{chr(grammar.INDENT_BASE + 2000)}]")
 
@@ -151,10 +157,9 @@ def _bad_units(units: DataFrame) -> DataFrame:
     spark = units.sparkSession
     table = [(language, p) for language in sorted(set(grammar.LANGUAGES.values())) for p in sorted(grammar.permitted(language))]
     allowed = spark.createDataFrame(table, "language string, pair string")  # a few thousand rows, whatever the data
-    each = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("unit") - 1), lambda i: F.substring("unit", i, 2))).alias("at", "pair")
-    pairs = units.filter(F.length("unit") > 1).select("language", "unit", each)
-    # The second pair of a Python unit begins with the line end before it; an end of file stands alone.
-    odd = pairs.join(F.broadcast(allowed), ["language", "pair"], "left_anti").filter("pair NOT IN ('N$', '^N', 'N<', 'N>', '<N', '$N') AND NOT (language = 'python' AND at = 0)")
+    each = F.explode(F.transform(F.sequence(F.lit(1), F.length("tail") - 1), lambda i: F.substring("tail", i, 2))).alias("pair")
+    pairs = units.select("language", "unit", F.when(F.col("language") == "python", F.substring("unit", F.instr("unit", "N"), F.length("unit"))).otherwise(F.col("unit")).alias("tail")).filter(F.length("tail") > 1).select("language", "unit", each)
+    odd = pairs.join(F.broadcast(allowed), ["language", "pair"], "left_anti")
     shape = F.col("unit")
     for _ in range(6):
         shape = F.regexp_replace(F.regexp_replace(shape, r"\([^()\[\]{}]*\)", "P"), r"\[[^()\[\]{}]*\]", "Q")
