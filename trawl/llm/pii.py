@@ -40,7 +40,7 @@ _ADDRESS = re.compile(
 #: The span goes on with another capitalised word; one stands just before it; it begins with a title.
 _ON = re.compile(rf" (?:{_PARTICLE}){{0,1}}[{_UP}][{_LOW}{_UP}’']|-[{_UP}]|, [{_UP}]\w+ (?:said|saw|hat|a )")
 _BEFORE = re.compile(rf"{_WORD}(?: [{_UP}]\.)? $|[{_UP}]\. $|{_WORD} {_PARTICLE}$")
-_TITLED = re.compile(r"(?:Mr|Ms|Mrs|Dr|Prof|Herr|Frau|Mme|Sr|Sra|Señora?)\b|M\. ")
+_TITLED = re.compile(r"(?:Mr|Ms|Mrs|Dr|Prof|Herr|Frau|Mme|Sr|Sra|Señora?)\b")
 
 # --- context words: fixed values ---------------------------------------------------------------------------------------------
 _PHONE_WORDS = re.compile(r"(?i)phone|call|tel\b|tel:|mobile|mobil|desk|pager|sms|my number|handy|fax|reach|tel[eé]fono|t[eé]l[eé]phone|appele|llamar|bereitschaft|telefon|contact|whatsapp|連絡先|電話|电话|联系")
@@ -49,7 +49,7 @@ _NUMBER_TRAPS = re.compile(r"(?i)order|part no|build|lines?\b|offset|port\b|vers
 _HOME_WORDS = re.compile(r"(?i)live at|address|adresse|direcci|ship (?:the|it|to)|geocoder|env[ií]o|wohn|domicil|livr|住所|地址|deliver|billing|mail it to|send .{0,20} to\b|endereço|indirizzo|located at|moved to")
 _PLACE_TRAPS = re.compile(r"(?i)section \d|code names?|guide|chapter|release")
 _LEFT = re.compile(
-    r"(?i)(?:[\w-]*-by:|author:|\bby|owner ?[=:]|contact \||\bcontact:|contacto:|\bask|thanks to|assigned to|assignee:?|reviewer:?|cc:?|lo detect[oó]|gemeldet von|\bvon|demander [àa]|bitte|pregunt\w+ [ao]|\bto|\bmr\.?|\bms\.?|\bmrs\.?|\bdr\.?|\bprof\.?|herr|frau|\bm\.|mme\.?|sr\.?|sra\.?|señora?|signalé par|reportado por|vu par|visto por|saludo,|grüße,?|cordialement,?|merci [àa]|gracias a|danke an|name:?|user:?|from:?|regards,?|--|dear|hi|hello|para|par|連絡先[::]|联系|請|请|担当[::]?)\s*$"
+    r"(?i)(?:[\w-]*-by:|author:|\bby|owner ?[=:]|contact \||\bcontact:|contacto:|\bask|thanks to|assigned to|assignee:?|reviewer:?|cc:?|lo detect[oó]|gemeldet von|\bvon|demander [àa]|bitte|pregunt\w+ [ao]|\bto|\bmr\.?|\bms\.?|\bmrs\.?|\bdr\.?|\bprof\.?|herr|frau|\bm\.|mme\.?|sr\.?|sra\.?|señora?|signalé par|reportado por|vu par|visto por|saludo,|grüße,?|gruß,?|cordialement,?|asignado a|zugewiesen an|assigné à|merci [àa]|gracias a|danke an|name:?|user:?|from:?|regards,?|--|dear|hi|hello|para|par|連絡先[::]|联系|請|请|担当[::]?)\s*$"
 )
 _TITLE = re.compile(r"(?i)(?:\bmr\.?|\bms\.?|\bmrs\.?|\bdr\.?|\bprof\.?|herr|frau|\bm\.|mme\.?|sr\.?|sra\.?|señora?)\s*$")
 _ARTICLE = re.compile(r"(?i)(?:\bthe|\ba|\ban|\d|\bsection|\bour|\bour new|der|die|das|le|la|el|code)\s*$")
@@ -121,7 +121,7 @@ def _emails(text: str) -> Iterator[tuple[str, int, int, list[float]]]:
         yield (
             "email", a, m.end(),
             [kind, len(top), len(top[-1]), float(top[-1].isalpha()), float(right.startswith((":", "/"))), float(bool(re.fullmatch(r"\d+(?:\.\d+)*", host))),
-             float(bool(re.search(r"[/\\`@]$", left))), float(local.lower() in ("git", "hg", "svn", "ssh")), float("." in local or "_" in local or "-" in local or any(c.isdigit() for c in local)), float(disguised), float(bool(re.search(r"\s(?:dot|DOT)\s|[(\[{]", host))), float(local.lower() in _STARTERS), len(local)],
+             float(bool(re.search(r"[/\\`@]$", left))), float(local.lower() in ("git", "hg", "svn", "ssh")), float("." in local or "_" in local or "-" in local or any(c.isdigit() for c in local)), float(disguised), float(bool(re.search(r"\s(?:dot|DOT)\s|[(\[{]", host))), float(local.lower() in _STARTERS)],
         )
 
 
@@ -185,7 +185,7 @@ def _name(text: str, a: int, b: int, form: str, lexicon: Lexicon) -> tuple[str,
          float(bool(_RIGHT.match(right))), float(bool(_NEGATIVE_RIGHT.match(right))), float(not left.strip() and not right.strip(" .,")), len(tech), float(street or low in ("lane", "drive", "court", "road", "street")), float(previous in ("--", "-- ") or previous.lower().startswith(("regards", "best", "thanks", "cheers"))),
          float(low.replace("'", "") in near.replace(s.lower(), "").replace("'", "") and "@" in near), float(any(t.endswith(".") for t in tokens)), float(bool(re.search(_PARTICLE, s[len(first) :])) if (first := tokens[0]) else 0), float(s.isupper()), len(words), float(bool(re.search(r"(?i)(?:and|und|et|y|&)\s*$", left) and re.search(rf"{_WORD}\s+(?i:and|und|et|y|&)\s*$", left))),
          float(bool(re.match(rf"(?i)\s*(?:{_KIND}|str)\b", right))), float(bool(re.match(r"\s*[:=(]", right)) and not re.match(r"\s*\([\w.+-]+(?:@|%40| ?[(\[]| AT)", right)), float(words[0].lower() in _STARTERS),
-         float(bool(_ON.match(text, b))), float(bool(_BEFORE.search(left))), float(bool(_TITLED.match(s)))],
+         float(bool(_ON.match(text, b))), float(bool(_BEFORE.search(left))), float(bool(_TITLED.match(s)) or (s.startswith("M. ") and bool(re.search(r"(?i)(?:à|par|de|chez|monsieur)\s$", left))))],
     )
 
 

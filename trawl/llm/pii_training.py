@@ -16,7 +16,7 @@ _WITH = [
     "{person} saw it first on the staging box.", "Ask {person} before touching the cache.", "Assigned to Dr. {person} for now.", "The ticket was reopened by {person} last week.", "owner={person}", "| contact | {person} |",
     "Tested-by: {person}", "Thanks to {person} and {person} for the trace.", "Signed-off-by: {person} <{email}>", "Reported-by: {person} <{email}>", "Author: {person} ({email})", "Reported by {person} during the night shift.", "As Ms. {person} said on the call, the table is gone.",
     "{person} hat den Fehler zuerst gesehen.", "Gemeldet von {person} ({email}).", "Bitte Frau {person} fragen.", "Demander à M. {person}.", "Lo detectó {person} ayer.", "Contacto: {person}, {email}", "-- \n{person}\n", "--\n{person}\n{address}", "Regards,\n{person}", "Reviewed-by: {person}", "Co-authored-by: {person} <{email}>",
-    "請 {person} 確認", "Hi {person}, can you look?", "The patch of {person} was merged.", "According to {person}, the cache is cold.", "{person} wrote: it is gone", "Signalé par {person}.", "cc {person}", "Vu par {person} ce matin.", "Un saludo, {person}", "Viele Grüße, {person}", "Cordialement, {person}", "user={email};", "({email})", "From: {person} <{email}>", "Steuer-ID: '{id}'", "pasaporte n.º: «{id}»",
+    "請 {person} 確認", "Hi {person}, can you look?", "The patch of {person} was merged.", "According to {person}, the cache is cold.", "{person} wrote: it is gone", "Signalé par {person}.", "cc {person}", "Vu par {person} ce matin.", "Un saludo, {person}", "Viele Grüße, {person}", "Cordialement, {person}", "Gruß, {person}", "Asignado a {person}.", "Assigné à {person}", "Zugewiesen an {person}.", "user={email};", "({email})", "From: {person} <{email}>", "Steuer-ID: '{id}'", "pasaporte n.º: «{id}»",
     "You can reach me at {email}.", "The bounce went to {email}, which is my private box.", "login={email} attempt=4", '{{"user": "{email}", "ok": false}}', "mailto:{email}", "https://track.example/open?id=31&to={email}&v=2", "cc: {email}; {email}", "Rückfragen bitte an {email}.", "Merci d'écrire à {email}.", "Pueden escribirme a {email}.", "連絡先: {email}",
     "Call me on {phone} if the queue stalls again.", "On-call phone: {phone}", "sms_to={phone} status=failed", "tel:{phone}", "pager {phone} did not ring", "Mobile {phone} / desk {phone}", "My number is {phone}, any time.", "Llamar al {phone}.", "Appeler le {phone}.", "Bereitschaft unter {phone} erreichbar.", "Teléfono: {phone}", "連絡先: {phone}", "电话: {phone}",
     "He typed {id} as his {idname} and the parser died.", "The form rejects my {idname} {id}.", "{idname}: {id}", "field slot = '{id}'  # {idname}",
