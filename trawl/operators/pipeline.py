@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.operators import retrieval as R
+from trawl.storage import cut
 
 #: Weights of retrieval and of reviewed scores, and rows of a review batch.
 BLEND, BATCH = (0.70, 0.30), 5
@@ -15,6 +16,7 @@ SYMBOL_WEIGHTS = {"cosine": 0.50, "keyword": 0.20, "trace": 0.15, "symbol": 0.10
 
 def localize(tickets: DataFrame, chunks: DataFrame, files: int = 5, symbols: int = 5) -> DataFrame:
     """(ticket_id, place, chunk_id, file_path, file_rank, score): the best symbols in the best files of each ticket."""
+    chunks = cut(R.corpus(chunks), "corpus", compression="zstd")
     scores = R.tfidf(tickets, chunks).withColumnRenamed("cosine", "score").join(R.order_columns(chunks), [*R.SNAPSHOT, "chunk_id"])
     best = R.file_scores(scores, files).select("ticket_id", "file_path", F.col("rank").alias("file_rank"))
     inside = scores.join(best, ["ticket_id", "file_path"])
@@ -24,7 +26,7 @@ def localize(tickets: DataFrame, chunks: DataFrame, files: int = 5, symbols: int
 
 def symbol_scores(tickets: DataFrame, chunks: DataFrame, k: int = 30) -> DataFrame:
     """(ticket_id, rank, chunk_id, b1): the structured symbol score, k per ticket: text .50, terms .20, trace .15, name .10, file .05."""
-    rows = R.weighted(tickets, chunks)
+    rows = R.weighted(tickets, cut(R.corpus(chunks), "corpus", compression="zstd"))
     files = R.file_scores(rows, 20).select("ticket_id", "file_path", "file_score")
     x = rows.join(files, ["ticket_id", "file_path"], "left").withColumn("file_score", F.coalesce("file_score", F.lit(0.0)))
     total = sum(F.lit(w) * F.col(c) for c, w in SYMBOL_WEIGHTS.items())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions import text as T
 from trawl.operators import projections as P
+from trawl.storage import cut
 
 SNAPSHOT = ["repo", "base_commit"]
 #: Weights of the signals in a chunk's score.
@@ -20,7 +21,9 @@ EVIDENCE = {"ratio": 0.80, "floor": 0.05, "chunk_bonus": 0.0125, "chunk_cap": 0.
 
 
 def corpus(chunks: DataFrame) -> DataFrame:
-    """One row per chunk with its search text and the columns that rankings order by; of repeated rows one is kept."""
+    """One row per chunk with its search text and the columns that rankings order by; of repeated rows one is kept. A corpus is returned as it is."""
+    if "search_text" in chunks.columns:
+        return chunks
     text = F.concat_ws("\n", *[F.nullif(F.col(c), F.lit("")) for c in ("file_path", "language", "symbol_kind", "function_name", "class_name", "code_text")])
     lines = F.abs(F.coalesce(F.col("end_line") - F.col("start_line"), F.lit(0)))
     kind = F.lower(F.trim(F.coalesce("symbol_kind", F.lit("chunk"))))
@@ -50,20 +53,26 @@ def document_frequencies(terms: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def tfidf(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(ticket_id, snapshot, chunk_id, cosine) of chunks that share a term with the report, cosine rounded to 6 places.
+    """(ticket_id, snapshot, chunk_id, cosine) of chunks (or of a corpus of them) that share a term with the report, cosine rounded to 6 places.
 
     Weight (1 + ln tf) idf; terms that no chunk has are left out of the report's vector.
     """
-    docs, asked = corpus(chunks), reports(tickets)
-    terms = term_counts(docs, [*SNAPSHOT, "chunk_id"], "search_text")
-    idf = document_frequencies(terms, docs)
+    # Terms are counted once and kept in the shared folder, under one number per snapshot: they are read for frequencies, vectors and norms.
+    docs = corpus(chunks).withColumn("snap", F.xxhash64(*SNAPSHOT))
+    asked = reports(tickets).withColumn("snap", F.xxhash64(*SNAPSHOT))
+    terms = cut(term_counts(docs, ["snap", "chunk_id"], "search_text"), "terms", compression="zstd")
+    query_terms = cut(term_counts(asked, ["ticket_id", "snap"], "bug_text"), "query", compression="zstd")
+    n = chunks.groupBy(F.xxhash64(*SNAPSHOT).alias("snap")).agg(F.count_distinct("chunk_id", "file_path").alias("total"))
     weight = (1 + F.log("tf")) * F.col("idf")
-    vectors = terms.join(idf, [*SNAPSHOT, "term"]).select(*SNAPSHOT, "chunk_id", "term", weight.alias("wd"))
-    norms = vectors.groupBy(*SNAPSHOT, "chunk_id").agg(F.sqrt(F.sum(F.col("wd") * F.col("wd"))).alias("nd"))
-    query = term_counts(asked, ["ticket_id", *SNAPSHOT], "bug_text").join(idf, [*SNAPSHOT, "term"]).select("ticket_id", *SNAPSHOT, "term", weight.alias("wq"))
-    qnorms = query.groupBy("ticket_id", *SNAPSHOT).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
-    dots = query.join(vectors, [*SNAPSHOT, "term"]).groupBy("ticket_id", *SNAPSHOT, "chunk_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("dot"))
-    scored = dots.join(norms, [*SNAPSHOT, "chunk_id"]).join(qnorms, ["ticket_id", *SNAPSHOT])
+    df = F.count(F.lit(1)).over(Window.partitionBy("snap", "term"))
+    weighed = terms.withColumn("df", df).join(n, "snap").withColumn("idf", F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1)
+    vectors = cut(weighed.select("snap", "chunk_id", "term", "idf", weight.alias("wd")), "vectors", compression="zstd")
+    idf = vectors.groupBy("snap", "term").agg(F.max("idf").alias("idf"))
+    norms = vectors.groupBy("snap", "chunk_id").agg(F.sqrt(F.sum(F.col("wd") * F.col("wd"))).alias("nd"))
+    query = query_terms.join(idf, ["snap", "term"]).select("ticket_id", "snap", "term", weight.alias("wq"))
+    qnorms = query.groupBy("ticket_id", "snap").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
+    dots = query.join(vectors.select("snap", "term", "chunk_id", "wd"), ["snap", "term"]).groupBy("ticket_id", "snap", "chunk_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("dot"))
+    scored = dots.join(norms, ["snap", "chunk_id"]).join(qnorms, ["ticket_id", "snap"]).join(tickets.filter("repo IS NOT NULL").select("ticket_id", *SNAPSHOT).distinct().withColumn("snap", F.xxhash64(*SNAPSHOT)), ["ticket_id", "snap"])
     return scored.select("ticket_id", *SNAPSHOT, "chunk_id", F.round(F.col("dot") / (F.col("nd") * F.col("nq")), 6).alias("cosine"))
 
 

@@ -9,10 +9,11 @@ from trawl.functions import text as T
 from trawl.operators import retrieval as R
 from trawl.plans.text_plans import _BUG, _SEARCH, _STOP, sql_terms, sql_tokens
 from trawl.sources.tables import table
+from trawl.storage import cut
 
 
 def _in(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, d, "tickets"), table(spark, d, "chunks")
+    return table(spark, d, "tickets"), cut(R.corpus(table(spark, d, "chunks")), "corpus", compression="zstd")
 
 
 def doc_freq_idf(spark: SparkSession, d: str) -> DataFrame:
