@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.functions.keys import PLACEHOLDERS
 from trawl.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,8 +165,28 @@ best AS (
 """
 
 
+_TRIM = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_TICKET = f"CASE WHEN lower({_TRIM('ticket_id')}) NOT IN ({', '.join(repr(x) for x in PLACEHOLDERS)}) THEN lower({_TRIM('ticket_id')}) END"
+_REPO = "nullif(regexp_extract(regexp_replace(regexp_replace(lower(regexp_replace(repo, '\\s+', '', 'g')), '/+$', ''), '\\.git$', ''), '([^/:@]+/[^/:@]+)$', 1), '')"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": f"""
+            WITH RECURSIVE known AS (SELECT DISTINCT {_TICKET} AS k FROM tickets),
+            ties AS (SELECT DISTINCT {_REPO} AS r, {_TICKET} AS k FROM symbol_gold),
+            edge AS (SELECT DISTINCT a.r AS a, b.r AS b FROM ties a JOIN ties b USING (k) JOIN known USING (k) WHERE a.r <> b.r),
+            reach AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b)
+            SELECT DISTINCT a AS repo_a, b AS repo_b FROM reach WHERE a < b""",
+        "p6_found": f"""
+            WITH t AS (SELECT DISTINCT {_TICKET} AS k, ticket_id, list_distinct(regexp_extract_all(lower(concat(coalesce(title, ''), chr(10), coalesce(description, ''))), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM tickets),
+            g AS (SELECT DISTINCT {_TICKET} AS k, {_REPO} AS r, lower(regexp_replace(base_commit, '\\s+', '', 'g')) AS c FROM symbol_gold),
+            f AS (SELECT DISTINCT r, c AS whole FROM g WHERE length(c) >= 40),
+            b AS (SELECT g.k, g.r, coalesce(min(whole), g.c) AS c FROM g LEFT JOIN f ON f.r = g.r AND length(g.c) < 40 AND starts_with(f.whole, g.c) WHERE g.k IS NOT NULL AND g.r IS NOT NULL AND g.c <> '' GROUP BY g.k, g.r, g.c),
+            s AS (SELECT DISTINCT {_TICKET} AS k, CASE lower({_TRIM('split_name')}) WHEN 'train' THEN 1 ELSE 2 END AS side FROM ticket_outcomes WHERE lower({_TRIM('split_name')}) IN ('train', 'validation', 'test')),
+            p AS (SELECT DISTINCT x.k AS ka, y.k AS kb FROM b x JOIN b y USING (r, c) JOIN s u ON u.k = x.k AND u.side = 1 JOIN s v ON v.k = y.k AND v.side = 2)
+            SELECT DISTINCT least(m.ticket_id, n.ticket_id) AS ticket_a, greatest(m.ticket_id, n.ticket_id) AS ticket_b FROM p JOIN t m ON m.k = ka JOIN t n ON n.k = kb
+            WHERE m.ticket_id <> n.ticket_id AND len(list_intersect(m.w, n.w)) >= 0.6 * (len(m.w) + len(n.w) - len(list_intersect(m.w, n.w)))""",
         "p3_found": _BEST + "SELECT ticket_id, chunk_id FROM placed WHERE position <= 5",
         "p3_top_candidates": _BEST + "SELECT ticket_id, chunk_id, score, rank, CAST(position AS INTEGER) AS position FROM placed WHERE position <= 5",
         "p4_found": """
