@@ -232,3 +232,40 @@ def test_gate_and_validation(spark):
     t = spark.createDataFrame([("a", None, None, None, None, None, None), ("b", "x" * 90 + " src/a.py", None, None, None, None, None)], "ticket_id string, title string, description string, component string, product string, severity string, error_message string")
     g = {r["ticket_id"]: r["status"] for r in P.gated_input(t).collect()}
     assert g == {"a": "error", "b": "ok"}
+
+
+def test_nearest_rank_with_equal_values(spark):
+    x = spark.createDataFrame([("a", 1.0)] * 60 + [("a", 2.0)] * 39 + [("a", 9.0), ("a", None), ("b", 5.0)], "g string, v double")
+    got = {r["g"]: (r["n"], r["p50"], r["p95"], r["p100"]) for r in R.nearest_rank(x, "g", "v", {"p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()}
+    assert got == {"a": (100, 1.0, 2.0, 9.0), "b": (1, 5.0, 5.0, 5.0)}
+
+
+def test_package_proximity_takes_the_largest_neighbour(spark):
+    f = spark.createDataFrame([("t", "a/b/x.py", 1), ("t", "a/b/y.py", 2), ("t", "a/c/z.py", 3), ("t", "q.py", 4)], "ticket_id string, file_path string, rank int")
+    assert {(r["file_path"], r["depth"], r["neighbour"]) for r in RT.package_proximity(f).collect()} == {("a/b/x.py", 2, "a/b/y.py"), ("a/b/y.py", 2, "a/b/x.py"), ("a/c/z.py", 1, "a/b/y.py")}
+
+
+def test_nearest_disjoint_interval(spark):
+    i = spark.createDataFrame([("f", "a", 1, 5), ("f", "b", 10, 20), ("f", "c", 12, 14), ("f", "d", 200, 210)], "key string, name string, start_line int, end_line int")
+    assert {(r["name"], r["neighbour"], r["gap"]) for r in R.nearest_disjoint(i).collect()} == {("b", "a", 5), ("c", "a", 7)}
+
+
+def test_dense_neighbours_against_brute_force(spark):
+    import numpy as np
+
+    v = np.random.default_rng(2).normal(size=(300, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(300)] + [(999, None)], "vec_id bigint, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in RT.dense_neighbours(df, 3, block=64).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in (0, 100, 200):
+        c = np.round(u @ u[q], 6)
+        want = [i for i in np.lexsort((np.arange(300), -c)) if i != q][:3]
+        assert [got[q, k] for k in (1, 2, 3)] == want
+
+
+def test_audit_sample_covers_strata(spark):
+    from trawl.operators import selection as SL
+
+    x = spark.createDataFrame([(f"i{k}", "big" if k else "small") for k in range(50)], "item string, s string")
+    got = SL.audit_sample(x, "s", "item", 1, 6, 3).collect()
+    assert len(got) == 6 and sum(r["reason"] == "stratum" for r in got) == 2

@@ -201,3 +201,27 @@ def fingerprints(files: DataFrame) -> DataFrame:
 
 def number_below(n: int, *parts: Column) -> Column:
     return hash_number(*parts) % n
+
+
+#: Buckets in which a value range is cut to find a rank.
+RANK_BUCKETS = 1024
+
+
+def nearest_rank(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, n, one column per share, most): exact nearest-rank percentiles, the smallest value with at least the share of rows at or below it.
+
+    Rows are counted by value, values by bucket of the group's range; running counts over buckets name the bucket that holds a rank, and only that bucket's
+    values are ordered. No task sorts a whole group, however many rows or equal values it has. Null values are left out.
+    """
+    kept = rows.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    span = kept.groupBy(group).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"))
+    cell = F.when(F.col("high") > F.col("low"), F.least(F.lit(RANK_BUCKETS - 1), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * RANK_BUCKETS))).otherwise(F.lit(0))
+    placed = kept.join(span, group).select(group, "v", "c", cell.cast("int").alias("b"))
+    over = Window.partitionBy(group).orderBy("b")
+    sums = placed.groupBy(group, "b").agg(F.sum("c").alias("s")).withColumn("before", F.sum("s").over(over) - F.col("s"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.ceil(F.lit(p) * F.col("n")).alias("r")) for name, p in shares.items()])).alias("x")
+    at = span.select(group, wanted).select(group, "x.name", "x.r").join(sums, group).filter((F.col("before") < F.col("r")) & (F.col("r") <= F.col("before") + F.col("s"))).select(group, "b", "name", (F.col("r") - F.col("before")).alias("k"))
+    inside = placed.join(at.select(group, "b").distinct(), [group, "b"], "left_semi").withColumn("upto", F.sum("c").over(Window.partitionBy(group, "b").orderBy("v")))
+    found = inside.join(at, [group, "b"]).filter((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("c") < F.col("k")))
+    values = found.groupBy(group).agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares])
+    return span.select(group, "n", F.col("high").alias("most")).join(values, group)

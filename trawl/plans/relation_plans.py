@@ -157,12 +157,9 @@ def index_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest-rank percentiles of event values per type: the smallest value with at least the share of rows at or below it."""
-    w = Window.partitionBy("event_type")
-    rows = table(spark, d, "events", "event_id", "event_type", "value").filter("value IS NOT NULL")
-    placed = rows.withColumn("r", F.row_number().over(w.orderBy("value", "event_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    at = lambda p: F.round(F.max(F.when(F.col("r") == F.ceil(F.lit(p) * F.col("n")), F.col("value"))), 6)
-    return placed.groupBy("event_type").agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.round(F.max("value"), 6).alias("most"))
+    """Nearest-rank percentiles of event values per type."""
+    x = R.nearest_rank(table(spark, d, "events", "event_type", "value"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
+    return x.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "most")])
 
 
 def variant_argmax(spark: SparkSession, d: str) -> DataFrame:
