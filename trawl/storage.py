@@ -37,3 +37,11 @@ def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settings(df: DataFrame, most: int) -> list:
+    """The rows of a small table of settings; more than ``most`` is an error, so nothing is ever left out."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of settings has more than {most} rows")
+    return rows
