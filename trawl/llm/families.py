@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions.keys import plain_repo, ticket_key
-from trawl.storage import cut
+from trawl.storage import cut, settings
 
 #: Groups of one size up to this number of records are cut into this many hashed buckets when weights are summed up.
 SMALL, BUCKETS = 64, 1024
@@ -102,7 +102,7 @@ def split_records(gold: DataFrame, tickets: DataFrame, targets: DataFrame) -> Da
     middle = (F.col("before") + (F.col("k") - 1) * F.col("w") + F.col("w") / 2) / F.col("total")
     at = placed.withColumn("k", inside).join(sums.drop("s"), ["w", "bucket"]).select("family", middle.alias("middle"))
     shares = targets.groupBy(F.lower(F.trim("split_name")).alias("split_name")).agg(F.max(F.greatest(F.coalesce("share", F.lit(0.0)), F.lit(0.0))).alias("share")).filter("split_name IS NOT NULL AND share > 0")
-    cum = [(r["split_name"], r["share"]) for r in shares.orderBy(F.desc("share"), "split_name").limit(64).collect()]  # settings, a few rows
+    cum = [(r["split_name"], r["share"]) for r in settings(shares.orderBy(F.desc("share"), "split_name"), 64)]
     whole, upto, chosen = sum(s for _, s in cum), 0.0, F.lit(None).cast("string")
     steps = []
     for name, share in cum:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trawl.storage import settings
+
 #: Items of a block: what one task holds at once.
 BLOCK = 8192
 #: Documents that a container may hold, and the weights of tokens, documents and attention cost in the norm.
@@ -94,7 +96,7 @@ def pack(items: DataFrame, limits: DataFrame, max_documents: int = MAX_DOCUMENTS
     repeated ids are items of their own. No limits, no rows.
     """
     rules = limits.filter("lower(trim(unit_name)) = 'tokens' AND max_size > 0").groupBy("item_kind").agg(F.min("max_size").alias("m")).orderBy("item_kind")
-    capacities = [(r["item_kind"], int(r["m"])) for r in rules.limit(64).collect()]  # a table of settings, a few rows
+    capacities = [(r["item_kind"], int(r["m"])) for r in settings(rules, 64)]
     kept = items.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("int").alias("tokens"))
     blocks = max(1, -(-kept.count() // block))
     dealt = kept.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))

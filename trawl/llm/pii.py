@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm.boost import Boosted
+from trawl.storage import settings
 
 TYPES = ("email", "phone", "identity_number", "street_address", "person_name")
 
@@ -262,9 +263,9 @@ def detect(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, items, redacted) per row of ``documents``.
 
     Positions count code points from 0. A null text gives no items and a null redacted text, an empty one no items and itself; texts are read
-    whole; repeated rows give repeated rows. ``lexicon`` (name_text, name_kind) is a small table and may be empty; other columns are not read.
+    whole; repeated rows give repeated rows. ``lexicon`` (name_text, name_kind) is a small table (more than 20,000 rows are an error) and may be empty; other columns are not read.
     """
-    rows = sorted({(r[0], (r[1] or "").strip().lower()) for r in lexicon.select("name_text", "name_kind").filter("name_text IS NOT NULL").limit(20_000).collect()})
+    rows = sorted({(r[0], (r[1] or "").strip().lower()) for r in settings(lexicon.select("name_text", "name_kind").filter("name_text IS NOT NULL"), 20_000)})
     sent = documents.sparkSession.sparkContext.broadcast((rows, models(tuple(rows))))
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
