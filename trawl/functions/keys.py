@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Values that stand for "no ticket" (fixed values).
@@ -17,6 +17,11 @@ def plain_repo(c: Column) -> Column:
     return F.when(found != "", found)
 
 
+def plain_snapshot(rows: DataFrame) -> DataFrame:
+    """Rows with repo and base_commit (as far as they have them) in the one spelling that joins and groups need."""
+    return rows.withColumns({c: f(F.col(c)) for c, f in (("repo", plain_repo), ("base_commit", commit_key)) if c in rows.columns})
+
+
 def ticket_key(c: Column) -> Column:
     """A ticket id without surrounding white space and case; NULL for blank and placeholder ids."""
     low = F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))

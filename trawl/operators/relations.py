@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions import text as T
+from trawl.functions.keys import plain_snapshot
 from trawl.operators.evaluation import hash_number
 
 SNAPSHOT = ["repo", "base_commit"]
@@ -45,7 +46,7 @@ def report_symbols(tickets: DataFrame) -> DataFrame:
     text = F.concat_ws("\n", "title", "description")
     called = F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_.]*)\("), F.lit(1))
     quoted = F.regexp_extract_all(text, F.lit(r"`([A-Za-z_][A-Za-z0-9_.]*)`"), F.lit(1))
-    found = tickets.filter("repo IS NOT NULL").select("ticket_id", *SNAPSHOT, F.explode(F.concat(called, quoted)).alias("x"))
+    found = plain_snapshot(tickets).filter("repo IS NOT NULL").select("ticket_id", *SNAPSHOT, F.explode(F.concat(called, quoted)).alias("x"))
     key = T.symbol_key(F.col("x"))
     return found.select("ticket_id", *SNAPSHOT, key.alias("symbol")).filter((F.length(F.substring_index("symbol", ".", -1)) >= 3) & ~F.col("symbol").isin(*T.STOP_WORDS, *T.NO_NAMES)).distinct()
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions import text as T
+from trawl.functions.keys import plain_snapshot
 from trawl.operators import projections as P
 from trawl.storage import cut
 
@@ -35,7 +36,7 @@ def corpus(chunks: DataFrame) -> DataFrame:
 
 def reports(tickets: DataFrame) -> DataFrame:
     """One row per ticket and snapshot with its report text; of repeated rows the longest text is kept, then the largest."""
-    rows = tickets.filter("repo IS NOT NULL AND base_commit IS NOT NULL").select("ticket_id", *SNAPSHOT, P.bug_text().alias("bug_text"), T.text_or_empty(F.col("component")).alias("component"))
+    rows = plain_snapshot(tickets).filter("repo IS NOT NULL AND base_commit IS NOT NULL").select("ticket_id", *SNAPSHOT, P.bug_text().alias("bug_text"), T.text_or_empty(F.col("component")).alias("component"))
     best = F.max(F.struct(F.char_length("bug_text"), "bug_text", "component"))
     return rows.groupBy("ticket_id", *SNAPSHOT).agg(best.alias("x")).select("ticket_id", *SNAPSHOT, "x.bug_text", "x.component")
 
@@ -72,7 +73,7 @@ def tfidf(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
     query = query_terms.join(idf, ["snap", "term"]).select("ticket_id", "snap", "term", weight.alias("wq"))
     qnorms = query.groupBy("ticket_id", "snap").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
     dots = query.join(vectors.select("snap", "term", "chunk_id", "wd"), ["snap", "term"]).groupBy("ticket_id", "snap", "chunk_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("dot"))
-    scored = dots.join(norms, ["snap", "chunk_id"]).join(qnorms, ["ticket_id", "snap"]).join(tickets.filter("repo IS NOT NULL").select("ticket_id", *SNAPSHOT).distinct().withColumn("snap", F.xxhash64(*SNAPSHOT)), ["ticket_id", "snap"])
+    scored = dots.join(norms, ["snap", "chunk_id"]).join(qnorms, ["ticket_id", "snap"]).join(asked.select("ticket_id", "snap", *SNAPSHOT), ["ticket_id", "snap"])
     return scored.select("ticket_id", *SNAPSHOT, "chunk_id", F.round(F.col("dot") / (F.col("nd") * F.col("nq")), 6).alias("cosine"))
 
 
@@ -102,7 +103,7 @@ def trace_scores(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
     .75 for a line inside the chunk, .55 within 25 lines of its edges, .35 for another line or none.
     """
     text = F.concat_ws("\n", T.text_or_empty(F.col("error_message")), T.text_or_empty(F.col("description")))
-    refs = tickets.filter("repo IS NOT NULL").select("ticket_id", *SNAPSHOT, F.explode(T.trace_refs(text)).alias("r")).select("ticket_id", *SNAPSHOT, T.norm_path(F.col("r.file")).alias("ref"), F.col("r.line").alias("line")).distinct()
+    refs = plain_snapshot(tickets).filter("repo IS NOT NULL").select("ticket_id", *SNAPSHOT, F.explode(T.trace_refs(text)).alias("r")).select("ticket_id", *SNAPSHOT, T.norm_path(F.col("r.file")).alias("ref"), F.col("r.line").alias("line")).distinct()
     refs = refs.withColumn("name", T.base_name(F.col("ref"))).filter("name <> ''")
     at = order_columns(chunks).filter("start_line IS NOT NULL AND end_line IS NOT NULL").withColumn("name", T.base_name(T.norm_path(F.col("file_path"))))
     low, high = F.least("start_line", "end_line"), F.greatest("start_line", "end_line")

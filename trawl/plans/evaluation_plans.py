@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.functions.keys import plain_snapshot
 from trawl.operators import evaluation as E
 from trawl.operators import projections as P
 from trawl.plans.text_plans import ORACLE as TEXT
@@ -24,7 +25,7 @@ def _pair(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
 
 
 def _repos(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "tickets", "ticket_id", "repo").groupBy("ticket_id").agg(F.max("repo").alias("repo"))
+    return plain_snapshot(table(spark, d, "tickets", "ticket_id", "repo")).groupBy("ticket_id").agg(F.max("repo").alias("repo"))
 
 
 def align_left(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +85,7 @@ def method_compare(spark: SparkSession, d: str) -> DataFrame:
 def reachable_recall(spark: SparkSession, d: str) -> DataFrame:
     """Recall over the gold files that the ticket's snapshot has (as chunks), and how many it lacks."""
     g, a, _ = _pair(spark, d)
-    here = table(spark, d, "tickets", "ticket_id", "repo", "base_commit").distinct().join(table(spark, d, "chunks", "repo", "base_commit", "file_path").distinct(), ["repo", "base_commit"]).select("ticket_id", F.col("file_path").alias("gold_file")).distinct()
+    here = plain_snapshot(table(spark, d, "tickets", "ticket_id", "repo", "base_commit")).distinct().join(table(spark, d, "chunks", "repo", "base_commit", "file_path").distinct(), ["repo", "base_commit"]).select("ticket_id", F.col("file_path").alias("gold_file")).distinct()
     reach = g.join(here, ["ticket_id", "gold_file"], "left_semi")
     found = reach.join(E.matched(reach, a).filter(f"rank <= {E.CANDIDATES}"), ["ticket_id", "gold_file"], "left")
     per = found.groupBy("ticket_id").agg(F.count(F.lit(1)).alias("reachable"), F.count("rank").alias("found"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawl.functions import text as T
-from trawl.functions.keys import plain_repo, ticket_key
+from trawl.functions.keys import plain_repo, plain_snapshot, ticket_key
 from trawl.operators import evaluation as E
 from trawl.operators import relations as R
 from trawl.plans.evaluation_plans import _FILES, _KEY, _N, _SYM
@@ -18,7 +18,7 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    snap = table(spark, d, "tickets", "ticket_id", "repo", "base_commit").filter("repo IS NOT NULL").distinct()
+    snap = plain_snapshot(table(spark, d, "tickets", "ticket_id", "repo", "base_commit")).filter("repo IS NOT NULL").distinct()
     return E.ranked_files(table(spark, d, "ranked_symbols"), "ranked").join(snap, "ticket_id")
 
 
@@ -101,11 +101,11 @@ def margin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def round_robin(spark: SparkSession, d: str) -> DataFrame:
-    return R.round_robin(table(spark, d, "tickets", "repo", "ticket_id").filter("repo IS NOT NULL"), "repo", "ticket_id", 100)
+    return R.round_robin(plain_snapshot(table(spark, d, "tickets", "repo", "ticket_id")).filter("repo IS NOT NULL"), "repo", "ticket_id", 100)
 
 
 def stratified_hash_split(spark: SparkSession, d: str) -> DataFrame:
-    return R.stratified(table(spark, d, "tickets", "repo", "ticket_id").filter("repo IS NOT NULL"), "repo", "ticket_id", 3, 11)
+    return R.stratified(plain_snapshot(table(spark, d, "tickets", "repo", "ticket_id")).filter("repo IS NOT NULL"), "repo", "ticket_id", 3, 11)
 
 
 def largest_remainder(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +123,7 @@ def fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 def repository_totals(spark: SparkSession, d: str) -> DataFrame:
     """Per repository tickets, commits and products, with the grand total, in one ROLLUP."""
-    t = table(spark, d, "tickets", "ticket_id", "repo", "base_commit", "product").distinct().withColumn("repo", F.coalesce("repo", F.lit("?")))
+    t = plain_snapshot(table(spark, d, "tickets", "ticket_id", "repo", "base_commit", "product")).distinct().withColumn("repo", F.coalesce("repo", F.lit("?")))
     return t.rollup("repo").agg(F.grouping("repo").alias("g"), F.count(F.lit(1)).alias("n"), F.count_distinct("ticket_id").alias("tickets"), F.count_distinct("base_commit").alias("commits")).select(F.when(F.col("g") == 1, "*").otherwise(F.col("repo")).alias("repo"), "n", "tickets", "commits")
 
 
@@ -187,7 +187,7 @@ def audit_strata(spark: SparkSession, d: str) -> DataFrame:
 
 def anti_seen(spark: SparkSession, d: str) -> DataFrame:
     """Tickets that are in no training split and whose repository has no training ticket."""
-    t = table(spark, d, "tickets", "ticket_id", "repo").distinct()
+    t = plain_snapshot(table(spark, d, "tickets", "ticket_id", "repo")).distinct()
     seen = table(spark, d, "ticket_outcomes", "ticket_id", "split_name").filter("lower(trim(split_name)) = 'train'").select("ticket_id").distinct()
     repos = t.join(seen, "ticket_id", "left_semi").select("repo").filter("repo IS NOT NULL").distinct()
     return t.join(seen, "ticket_id", "left_anti").join(repos, "repo", "left_anti").select("ticket_id", "repo")
@@ -203,7 +203,7 @@ def residual_consistency(spark: SparkSession, d: str) -> DataFrame:
 def dim_join(spark: SparkSession, d: str) -> DataFrame:
     """Tickets by the size group of their repository; a missing group is its own row."""
     groups = R.size_groups(_chunks(spark, d))
-    t = table(spark, d, "tickets", "ticket_id", "repo").distinct().join(groups, "repo", "left")
+    t = plain_snapshot(table(spark, d, "tickets", "ticket_id", "repo")).distinct().join(groups, "repo", "left")
     return t.groupBy(F.coalesce("size_group", F.lit("none")).alias("size_group")).agg(F.count(F.lit(1)).alias("tickets"), F.count_distinct("repo").alias("repos"))
 
 
@@ -242,7 +242,7 @@ def split_checks(spark: SparkSession, d: str) -> DataFrame:
 def leakage_counts(spark: SparkSession, d: str) -> DataFrame:
     """Repositories that two splits share."""
     o = table(spark, d, "ticket_outcomes", "ticket_id", "split_name").select("ticket_id", F.lower(F.trim("split_name")).alias("s")).filter("s IS NOT NULL").distinct()
-    r = o.join(table(spark, d, "tickets", "ticket_id", "repo").filter("repo IS NOT NULL").distinct(), "ticket_id").select("s", "repo").distinct()
+    r = o.join(plain_snapshot(table(spark, d, "tickets", "ticket_id", "repo")).filter("repo IS NOT NULL").distinct(), "ticket_id").select("s", "repo").distinct()
     return r.groupBy("repo").agg(F.count(F.lit(1)).alias("splits"), F.array_join(F.array_sort(F.collect_list("s")), ",").alias("names")).filter("splits > 1")
 
 
