@@ -10,21 +10,21 @@ from trawl.operators import projections as P
 from trawl.sources.tables import table
 
 
-def _titles(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "tickets", "ticket_id", "title").distinct()
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    return P.bug_reports(table(spark, d, "tickets"))
 
 
 def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
-    rows = _titles(spark, d).select("ticket_id", F.explode(T.tokens(F.col("title"))).alias("token"))
+    rows = _reports(spark, d).select("ticket_id", F.explode(T.tokens(F.col("bug_text"))).alias("token"))
     return rows.groupBy("ticket_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def important_terms(spark: SparkSession, d: str) -> DataFrame:
-    return _titles(spark, d).select("ticket_id", F.array_join(T.important_terms(F.col("title")), " ").alias("terms"))
+    return _reports(spark, d).select("ticket_id", F.array_join(T.important_terms(F.col("bug_text")), " ").alias("terms"))
 
 
 def report_identifiers(spark: SparkSession, d: str) -> DataFrame:
-    return _titles(spark, d).select("ticket_id", F.explode(T.report_identifiers(F.col("title"))).alias("identifier")).distinct()
+    return _reports(spark, d).select("ticket_id", F.explode(T.report_identifiers(F.col("bug_text"))).alias("identifier")).distinct()
 
 
 def symbol_norm(spark: SparkSession, d: str) -> DataFrame:
