@@ -44,3 +44,11 @@ def test_text_queries_read_the_whole_report(spark, tmp_path):
     assert {r["identifier"] for r in TP.report_identifiers(spark, str(tmp_path)).collect()} == {"load_cache", "foobar"}
     assert TP.important_terms(spark, str(tmp_path)).head()["terms"] == "boot load_cache load cache breaks shelf foobar foo bar"
     assert {r["token"] for r in TP.tokenize_terms(spark, str(tmp_path)).collect()} >= {"boot", "load_cache", "shelf", "foobar"}
+
+
+def test_weighted_adds_the_identifier_signal(spark):
+    tickets, chunks = _tables(spark, [("t", "evict_cache loses rows", None, None, None, None, None, "o/r", "c1")])
+    rows = {r["chunk_id"]: r for r in RT.weighted(tickets, chunks).collect()}
+    r = rows["k1"]
+    assert r["identifier"] == 0.5
+    assert r["score"] == pytest.approx(0.5 * r["cosine"] + 0.3 * r["trace"] + 0.05 * r["component"] + 0.08 * r["keyword"] + 0.07 * r["symbol"] + 0.12 * r["path"] + 0.07, abs=1e-7)

@@ -16,7 +16,7 @@ from trawl.storage import cut
 
 SNAPSHOT = ["repo", "base_commit"]
 #: Weights of the signals in a chunk's score.
-WEIGHTS = {"embedding": 0.50, "trace": 0.30, "component": 0.05, "keyword": 0.08, "symbol": 0.07, "path": 0.12, "package": 0.12}
+WEIGHTS = {"embedding": 0.50, "trace": 0.30, "component": 0.05, "keyword": 0.08, "symbol": 0.07, "path": 0.12, "identifier": 0.14, "package": 0.12}
 #: File aggregation.
 EVIDENCE = {"ratio": 0.80, "floor": 0.05, "chunk_bonus": 0.0125, "chunk_cap": 0.05, "symbol_bonus": 0.01, "symbol_cap": 0.04, "package_cap": 0.10, "max_chunks": 5, "overlap": 0.5}
 
@@ -150,15 +150,17 @@ def path_signals(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def weighted(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
     """(ticket_id, snapshot, chunk_id, file_path, kind_rank, span, signals..., score): the clamped weighted sum of all signals (each with 6 places), rounded to 8 places."""
+    from trawl.operators.selection import identifier_scores
+
     keys = ["ticket_id", *SNAPSHOT, "chunk_id"]
-    parts = [tfidf(tickets, chunks), trace_scores(tickets, chunks), lexical_signals(tickets, chunks), component_scores(tickets, chunks)]
+    parts = [tfidf(tickets, chunks), trace_scores(tickets, chunks), lexical_signals(tickets, chunks), component_scores(tickets, chunks), identifier_scores(tickets, chunks)]
     joined = parts[0]
     for p in parts[1:]:
         joined = joined.join(p, keys, "full_outer")
     rows = joined.join(order_columns(chunks), [*SNAPSHOT, "chunk_id"]).join(path_signals(tickets, chunks), ["ticket_id", *SNAPSHOT, "file_path"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    total = sum(F.lit(w) * zero(c) for c, w in (("cosine", WEIGHTS["embedding"]), ("trace", WEIGHTS["trace"]), ("component", WEIGHTS["component"]), ("keyword", WEIGHTS["keyword"]), ("symbol", WEIGHTS["symbol"]), ("path", WEIGHTS["path"])))
-    names = ("cosine", "trace", "component", "keyword", "symbol", "path")
+    total = sum(F.lit(w) * zero(c) for c, w in (("cosine", WEIGHTS["embedding"]), ("trace", WEIGHTS["trace"]), ("component", WEIGHTS["component"]), ("keyword", WEIGHTS["keyword"]), ("symbol", WEIGHTS["symbol"]), ("path", WEIGHTS["path"]), ("identifier", WEIGHTS["identifier"])))
+    names = ("cosine", "trace", "component", "keyword", "symbol", "path", "identifier")
     return rows.select(*keys, "file_path", "kind_rank", "span", "symbol_name", "start_line", "end_line", *[zero(c).alias(c) for c in names], F.round(T.clamp(total), 8).alias("score"))
 
 
