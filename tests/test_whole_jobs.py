@@ -52,3 +52,9 @@ def test_weighted_adds_the_identifier_signal(spark):
     r = rows["k1"]
     assert r["identifier"] == 0.5
     assert r["score"] == pytest.approx(0.5 * r["cosine"] + 0.3 * r["trace"] + 0.05 * r["component"] + 0.08 * r["keyword"] + 0.07 * r["symbol"] + 0.12 * r["path"] + 0.07, abs=1e-7)
+
+
+def test_names_in_plain_prose_are_looked_up(spark):
+    tickets, _ = _tables(spark, [("t", "evict_cache is slow", "run `fill` and halt (now)", None, None, None, "Socket.close broke " + " ".join(f"name_{i}" for i in range(30)), "o/r", "c1")])
+    names = [r["symbol"] for r in R.report_symbols(tickets).collect()]
+    assert {"fill", "halt", "evict_cache"} <= set(names) and len(names) == 20

@@ -26,6 +26,8 @@ IDENTIFIER_SHAPES = (
 )
 #: How many terms and identifiers of a report count.
 MAX_TERMS, MAX_IDENTIFIERS = 40, 80
+#: Fixed value: how many program names of a report are looked up.
+MAX_NAMES = 20
 _WORD, _PIECE = "[A-Za-z][A-Za-z0-9_]*", "[A-Z]?[a-z]+|[A-Z]+(?=[A-Z_]|$)|[0-9]+"
 
 
@@ -63,6 +65,17 @@ def report_identifiers(text: Column) -> Column:
     return F.slice(kept, 1, MAX_IDENTIFIERS)
 
 
+def program_names(text: Column) -> Column:
+    """Distinct lookup keys of the code-like names of a report: names in backticks, called names, then its identifiers, at most MAX_NAMES."""
+    name = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*"
+    quoted = F.regexp_extract_all(text_or_empty(text), F.lit(r"(?<!`)`([^`\n]+)`(?!`)"), F.lit(1))
+    called = F.regexp_extract_all(text_or_empty(text), F.lit(rf"(?<![A-Za-z0-9_.])({name})\s*\("), F.lit(1))
+    shaped = F.filter(F.transform(F.concat(quoted, called, report_identifiers(text)), bare), lambda x: x.rlike(rf"\A{name}\z"))
+    leaf = lambda k: F.substring_index(k, ".", -1)
+    kept = F.filter(F.array_distinct(F.transform(shaped, symbol_key)), lambda k: (F.length(leaf(k)) >= 3) & ~leaf(k).isin(*STOP_WORDS, *NO_NAMES))
+    return F.slice(kept, 1, MAX_NAMES)
+
+
 def identifier_variants(c: Column) -> Column:
     """A name, its singular, and its parts of three letters or more."""
     parts = lambda sep: F.filter(F.split(c, sep), lambda p: F.length(p) >= 3)

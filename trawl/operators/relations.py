@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions import text as T
 from trawl.functions.keys import plain_snapshot
+from trawl.operators import projections as P
 from trawl.operators.evaluation import hash_number
 
 SNAPSHOT = ["repo", "base_commit"]
@@ -42,13 +43,9 @@ def lookup_fallback(names: DataFrame, keys: DataFrame, max_files: int = 4, exact
 
 
 def report_symbols(tickets: DataFrame) -> DataFrame:
-    """(ticket_id, snapshot, symbol): code-like names of title and description."""
-    text = F.concat_ws("\n", "title", "description")
-    called = F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_.]*)\("), F.lit(1))
-    quoted = F.regexp_extract_all(text, F.lit(r"`([A-Za-z_][A-Za-z0-9_.]*)`"), F.lit(1))
-    found = plain_snapshot(tickets).filter("repo IS NOT NULL").select("ticket_id", *SNAPSHOT, F.explode(F.concat(called, quoted)).alias("x"))
-    key = T.symbol_key(F.col("x"))
-    return found.select("ticket_id", *SNAPSHOT, key.alias("symbol")).filter((F.length(F.substring_index("symbol", ".", -1)) >= 3) & ~F.col("symbol").isin(*T.STOP_WORDS, *T.NO_NAMES)).distinct()
+    """(ticket_id, snapshot, symbol): code-like names of the report, the first ones only (see ``program_names``)."""
+    found = plain_snapshot(tickets).filter("repo IS NOT NULL").select("ticket_id", *SNAPSHOT, P.bug_text().alias("text")).distinct()
+    return found.select("ticket_id", *SNAPSHOT, F.explode(T.program_names(F.col("text"))).alias("symbol")).distinct()
 
 
 # --- graphs -------------------------------------------------------------------------------------------------------------------
