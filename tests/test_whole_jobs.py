@@ -58,3 +58,14 @@ def test_names_in_plain_prose_are_looked_up(spark):
     tickets, _ = _tables(spark, [("t", "evict_cache is slow", "run `fill` and halt (now)", None, None, None, "Socket.close broke " + " ".join(f"name_{i}" for i in range(30)), "o/r", "c1")])
     names = [r["symbol"] for r in R.report_symbols(tickets).collect()]
     assert {"fill", "halt", "evict_cache"} <= set(names) and len(names) == 20
+
+
+def test_bootstrap_query_draws_two_thousand_resamples(spark, tmp_path, monkeypatch):
+    from trawl.plans import evaluation_plans as EP
+
+    rows = [("t", n, 1, "a.py", "f", "function", 0.5) for n in ("candidate", "ranked", "retrieval")]
+    spark.createDataFrame(rows, "ticket_id string, list_name string, rank int, file_path string, symbol_qualified_name string, symbol_kind string, score double").write.parquet(f"{tmp_path}/ranked_symbols.parquet")
+    drawn = []
+    monkeypatch.setattr(EP.E, "bootstrap", lambda deltas, samples, seed: drawn.append(samples))
+    EP.bootstrap_ci(spark, str(tmp_path))
+    assert drawn == [2000]

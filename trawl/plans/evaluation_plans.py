@@ -13,6 +13,8 @@ from trawl.sources.tables import table
 
 _COLS = ("ticket_id", "list_name", "rank", "file_path", "symbol_qualified_name", "symbol_kind", "score")
 SAMPLES, SEED = 200, 7
+#: Resamples of the query; SAMPLES is what its SQL draws.
+RESAMPLES = 2000
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +73,7 @@ def paired_delta(spark: SparkSession, d: str) -> DataFrame:
 
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     g, a, b = _pair(spark, d)
-    return E.bootstrap(E.paired(E.ticket_metrics(g, b), E.ticket_metrics(g, a)).select("ticket_id", "metric", "delta"), SAMPLES, SEED)
+    return E.bootstrap(E.paired(E.ticket_metrics(g, b), E.ticket_metrics(g, a)).select("ticket_id", "metric", "delta"), RESAMPLES, SEED)
 
 
 def method_compare(spark: SparkSession, d: str) -> DataFrame:
