@@ -2,6 +2,7 @@
 
 import pytest
 
+from trawl.operators import pipeline as PL
 from trawl.operators import relations as R
 from trawl.operators import retrieval as RT
 
@@ -54,6 +55,14 @@ def test_weighted_adds_the_identifier_signal(spark):
     assert r["score"] == pytest.approx(0.5 * r["cosine"] + 0.3 * r["trace"] + 0.05 * r["component"] + 0.08 * r["keyword"] + 0.07 * r["symbol"] + 0.12 * r["path"] + 0.07, abs=1e-7)
 
 
+def test_pipeline_finds_a_file_that_only_the_trace_names(spark):
+    tickets, chunks = _tables(spark, [("t", "fill_store", None, None, None, None, 'File "src/misc.py", line 3', "o/r", "c1"), ("blank", None, None, None, None, None, None, "o/r", "c1")])
+    chunks = chunks.union(spark.createDataFrame([("o/r", "c1", "k3", "zz/misc.py", "python", "function", "q", "", 1, 9, "def q(): pass"), ("o/r", "c1", "k4", "src/other.py", "python", "function", "w", "", 1, 9, "fill_store store fill src line file")], CHUNKS))
+    got = PL.localize(tickets, chunks, files=2, symbols=2).collect()
+    assert {r["ticket_id"] for r in got} == {"t"} and {r["file_path"] for r in got} >= {"zz/misc.py"}
+    assert {(r["level"], r["policy"]) for r in got} <= {("high", "allow_patch_suggestion"), ("medium", "manual_review_before_patch"), ("low", "block_patch_generation")}
+
+
 def test_names_in_plain_prose_are_looked_up(spark):
     tickets, _ = _tables(spark, [("t", "evict_cache is slow", "run `fill` and halt (now)", None, None, None, "Socket.close broke " + " ".join(f"name_{i}" for i in range(30)), "o/r", "c1")])
     names = [r["symbol"] for r in R.report_symbols(tickets).collect()]

@@ -5,32 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trawl.operators import evaluation as E
+from trawl.operators import projections as P
 from trawl.operators import retrieval as R
 from trawl.storage import cut
 
 #: Weights of retrieval and of reviewed scores, and rows of a review batch.
 BLEND, BATCH = (0.70, 0.30), 5
+#: Fixed value: files of a ticket whose scores count.
+FILES = 20
 #: Weights of the structured symbol score.
 SYMBOL_WEIGHTS = {"cosine": 0.50, "keyword": 0.20, "trace": 0.15, "symbol": 0.10, "file_score": 0.05}
 
 
 def localize(tickets: DataFrame, chunks: DataFrame, files: int = 5, symbols: int = 5) -> DataFrame:
-    """(ticket_id, place, chunk_id, file_path, file_rank, score): the best symbols in the best files of each ticket."""
-    chunks = cut(R.corpus(chunks), "corpus", compression="zstd")
-    scores = R.tfidf(tickets, chunks).withColumnRenamed("cosine", "score").join(R.order_columns(chunks), [*R.SNAPSHOT, "chunk_id"])
-    best = R.file_scores(scores, files).select("ticket_id", "file_path", F.col("rank").alias("file_rank"))
-    inside = scores.join(best, ["ticket_id", "file_path"])
-    w = Window.partitionBy("ticket_id").orderBy(F.desc("score"), "kind_rank", "span", "chunk_id")
-    return inside.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= symbols).select("ticket_id", "place", "chunk_id", "file_path", "file_rank", "score")
+    """(ticket_id, place, chunk_id, file_path, file_rank, score, level, policy): all signals give the best files of each ticket, the structured symbol score the best symbols in them.
+
+    A ticket whose input gate says error has no rows; level and policy are those of the confidence gate over the ticket's files.
+    """
+    rows = cut(R.weighted(tickets, cut(R.corpus(chunks), "corpus", compression="zstd")), "weighted", compression="zstd")
+    best = cut(R.file_scores(rows, FILES), "files")
+    gate = P.gated_input(tickets)
+    sure = E.confidence(best.withColumnRenamed("file_score", "score"), gate).select("ticket_id", "level", "policy")
+    allowed = gate.filter("status <> 'error'").select("ticket_id").join(sure, "ticket_id")
+    inside = structured(rows, best).join(best.filter(F.col("rank") <= files).select("ticket_id", "file_path", F.col("rank").alias("file_rank")), ["ticket_id", "file_path"])
+    top = R.ranked(inside.drop("score").withColumnRenamed("b1", "score"), "score", symbols).withColumnRenamed("rank", "place")
+    return top.join(allowed, "ticket_id").select("ticket_id", "place", "chunk_id", "file_path", "file_rank", "score", "level", "policy")
+
+
+def structured(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``rows`` of all signals with b1, the structured symbol score over them and the scores of files."""
+    x = rows.join(files.select("ticket_id", "file_path", "file_score"), ["ticket_id", "file_path"], "left").withColumn("file_score", F.coalesce("file_score", F.lit(0.0)))
+    return x.withColumn("b1", F.round(sum(F.lit(w) * F.col(c) for c, w in SYMBOL_WEIGHTS.items()), 8))
 
 
 def symbol_scores(tickets: DataFrame, chunks: DataFrame, k: int = 30) -> DataFrame:
     """(ticket_id, rank, chunk_id, b1): the structured symbol score, k per ticket: text .50, terms .20, trace .15, name .10, file .05."""
     rows = R.weighted(tickets, cut(R.corpus(chunks), "corpus", compression="zstd"))
-    files = R.file_scores(rows, 20).select("ticket_id", "file_path", "file_score")
-    x = rows.join(files, ["ticket_id", "file_path"], "left").withColumn("file_score", F.coalesce("file_score", F.lit(0.0)))
-    total = sum(F.lit(w) * F.col(c) for c, w in SYMBOL_WEIGHTS.items())
-    return R.ranked(x.withColumn("b1", F.round(total, 8)), "b1", k).select("ticket_id", "rank", "chunk_id", "b1")
+    return R.ranked(structured(rows, R.file_scores(rows, FILES)), "b1", k).select("ticket_id", "rank", "chunk_id", "b1")
 
 
 def blended(rows: DataFrame) -> DataFrame:
