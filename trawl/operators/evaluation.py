@@ -109,10 +109,11 @@ def bootstrap(deltas: DataFrame, samples: int, seed: int) -> DataFrame:
     pos = put.withColumn("k", inside).join(offsets, ["metric", "b"]).select("metric", "delta", (F.col("o") + F.col("k")).cast("bigint").alias("i"))
     n = pos.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean"))
     # A draw depends on n alone, so metrics of equal n share it; samples are spread over tasks before their draws are made.
+    # The hint names the small side: sizes are estimated before draws are exploded, and the draws would be broadcast.
     draws = n.select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("s")).repartition(DRAW_TASKS, "n", "s").select("n", "s", F.explode(F.expr("sequence(0, cast(n as int) - 1)")).alias("k"))
     picked = draws.select("n", "s", (hash_number(F.lit(str(seed)), F.col("s").cast("string"), F.col("k").cast("string")) % F.col("n")).alias("i"))
     at_place = pos.join(n.select("metric", "n"), "metric").groupBy("n", "i").agg(F.collect_list(F.struct("metric", "delta")).alias("x"))
-    means = picked.join(at_place, ["n", "i"]).select("s", F.explode("x").alias("x")).groupBy("x.metric", "s").agg(F.round(F.avg("x.delta"), 9).alias("m"))
+    means = picked.join(at_place.hint("shuffle_hash"), ["n", "i"]).select("s", F.explode("x").alias("x")).groupBy("x.metric", "s").agg(F.round(F.avg("x.delta"), 9).alias("m"))
     place = Window.partitionBy("metric").orderBy("m", "s")
     low, high = int(0.025 * samples), int(0.975 * samples)
     at = means.withColumn("p", F.row_number().over(place) - 1).groupBy("metric").agg(F.max(F.when(F.col("p") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("p") == high, F.col("m"))).alias("high"))
