@@ -192,9 +192,15 @@ def test_overlaps_against_brute_force(spark):
         outcomes.append((f"t{k}", r.choice(["train", " Train", "test", "validation", None])))
     side = {t: (s or "").strip().lower() for t, s in outcomes}
     want = {tuple(sorted((a, b))) for a in text for b in text if side[a] == "train" and side[b] in ("test", "validation") and len(text[a] & text[b]) >= 0.6 * len(text[a] | text[b])}
-    got = overlap.overlapping(spark.createDataFrame(tickets + tickets[:20], "ticket_id string, title string, description string"), spark.createDataFrame(gold, "ticket_id string, repo string, base_commit string"), spark.createDataFrame(outcomes, "ticket_id string, split_name string"))
-    assert {(r["ticket_a"], r["ticket_b"]) for r in got.collect()} == want and len(want) > 20
-    assert sum(r["pairs"] for r in overlap.report(got).collect()) == len(want)
+    frames = spark.createDataFrame(tickets + tickets[:20], "ticket_id string, title string, description string"), spark.createDataFrame(gold, "ticket_id string, repo string, base_commit string"), spark.createDataFrame(outcomes, "ticket_id string, split_name string")
+    canonical = {t: " ".join(re.findall(r"\w+", (s or "").lower())) for t, s, _ in tickets}
+    for block_chars in (overlap.BLOCK_CHARS, 0):  # compared in one task, and by joins
+        got = overlap.overlapping(*frames, block_chars=block_chars).collect()
+        assert {(r["ticket_a"], r["ticket_b"]) for r in got} == want and len(want) > 20
+        assert all((r["way"] == "hash") == (canonical[r["ticket_a"]] == canonical[r["ticket_b"]]) for r in got)
+    report = overlap.report(overlap.overlapping(*frames)).collect()
+    assert sum(r["pairs"] for r in report) == len(want) == sum(r["by_hash"] + r["near"] for r in report) and any(r["by_hash"] for r in report)
+    assert overlap.overlapping(*(f.filter("false") for f in frames)).count() == 0
 
 
 # --- 7
