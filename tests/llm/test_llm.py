@@ -103,6 +103,36 @@ def test_top_n_against_brute_force(spark, rows):
     assert topn.top_n(df.filter("false"), "ticket_id", "chunk_id", "score", "rank", 5).count() == 0
 
 
+def _clustered(data, path, size):
+    """A clustered file with row groups of ``size`` rows, as the operator writes it."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    t = pa.table({"g": [x[0] for x in data], "i": [x[1] for x in data], "s": [x[2] for x in data], "r": pa.array([1] * len(data), pa.int32())})
+    pq.write_table(t.sort_by([("g", "ascending"), ("s", "descending")]), path, row_group_size=size)
+    return pq.ParquetFile(path)
+
+
+def test_top_n_skips_row_groups(tmp_path):
+    r = random.Random(33)
+    hot = [("hot", f"i{k}", r.random()) for k in range(4000)]
+    small = [(f"a{k // 3:04d}", f"j{k}", r.random()) for k in range(600)]
+    for data, least in ((hot, 38), (hot + small, 38), (small, 0)):  # small groups are results as a whole, and hinder no skip
+        kept, groups, skipped = topn.scan(_clustered(data, str(tmp_path / "f.parquet"), 100), 5)
+        best = {}
+        for g, i, s in data:
+            best.setdefault(g, []).append((-s, i))
+        assert sorted(zip(kept["g"].to_pylist(), kept["i"].to_pylist(), strict=True)) == sorted((g, i) for g, x in best.items() for _, i in sorted(x)[:5])
+        assert groups == -(-len(data) // 100) and least <= skipped <= groups - 1
+
+
+def test_top_n_reports_skips(spark):
+    df = spark.createDataFrame([("g", f"i{k}", k / 100, k) for k in range(100)], "g string, i string, s double, r int")
+    seen = topn.skips(df, "g", "i", "s", "r", 5).collect()[0]
+    assert 0 < seen["row_groups"] and 0 <= seen["skipped"] < seen["row_groups"]
+    assert topn.skips(df.filter("false"), "g", "i", "s", "r", 5).collect()[0]["skipped"] == 0
+
+
 # --- 4
 @pytest.mark.parametrize("seed", range(6))
 def test_cut_covers_the_text_within_the_limit(seed):
@@ -116,6 +146,17 @@ def test_cut_covers_the_text_within_the_limit(seed):
     assert split.cut("", 10, 3) == [(0, 0, 0)]
 
 
+def test_pieces_begin_with_the_stated_overlap():
+    # Three lines of half the limit: all of it, not half the limit.
+    lines = [c * 19 + "\n" for c in "abcdefghijklmnop"]
+    text = "".join(lines)
+    for _, own, end in (parts := split.cut(text, 100, 3))[:-1]:
+        assert end % 20 == 0
+    assert all(own - begin == min(60, own) for begin, own, _ in parts[1:])
+    # A line longer than the limit cannot be repeated.
+    assert all(0 < own - begin <= 50 for begin, own, _ in split.cut("x" * 350, 100, 3)[1:])
+
+
 def test_cut_prefers_declarations():
     text = "def a():\n" + "    x = 1\n" * 12 + "\ndef b():\n" + "    y = 2\n" * 12
     assert [text[own : own + 7] for _, own, _ in split.cut(text, 150, 2)][1].startswith("def b()")
@@ -257,6 +298,17 @@ def test_place_fills_well():
         pack.place(np.array([11]), 10)
 
 
+def test_attention_cost_binds():
+    import numpy as np
+
+    sizes = np.array([950, 60, 60, 600, 400, 1000])
+    at = pack.place(sizes, 1024, cost_share=0.5)
+    cost = np.bincount(at, sizes.astype(float) ** 2)
+    several = np.bincount(at) > 1
+    assert several.any() and (cost[several] <= 0.5 * 1024**2).all() and (np.bincount(at)[at[[0, 5]]] == 1).all()
+    assert pack.place(sizes, 1024, cost_share=1.0)[1] == 0  # tokens alone would let 60 join 950
+
+
 # --- 9
 LEXICON = (("Orla", "given"), ("Tobin", "given"), ("Winter", "given"), ("Hoxley", "family"), ("Okonjo-Vale", "family"), ("Cache", "family"))
 
@@ -282,6 +334,13 @@ def test_redaction(spark):
     assert pii.located(df.filter("false"), names.filter("false")).count() == 0
 
 
+def test_long_mailboxes_are_read_whole():
+    box = "ab." * 60 + "x"
+    text = f"mail {box}@mail.example now, or a%2Bb@mail.example"
+    got = [(a, b) for t, a, b, _ in pii.candidates(text, pii.Lexicon(list(LEXICON))) if t == "email"]
+    assert got[0] == (5, 5 + len(box) + len("@mail.example")) and text[slice(*got[1])] == "a%2Bb@mail.example"
+
+
 def test_boosting_learns_an_interaction():
     import numpy as np
 

@@ -1,8 +1,7 @@
 """Problem 5: splits that keep related records together, by random-mate contraction.
 
 Each round gives every vertex a coin; a tail collapses into its smallest head neighbour; edges are renamed and made
-distinct, until none is left. Unwinding the rounds from the last to the first labels every vertex. Each step is a few
-SQL joins; vertices and edges never come to the driver.
+distinct, until none is left. Unwinding the rounds labels every vertex. Each step is a few SQL joins; vertices and edges never come to the driver.
 """
 
 from __future__ import annotations
@@ -33,17 +32,13 @@ def components(edges: DataFrame) -> DataFrame:
         now = cut(moved.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"edges{turn + 1}")
         hooks.append(hook)
         turn += 1
-    label = first.select(F.col("a").alias("v")).union(first.select(F.col("b").alias("v"))).distinct()
-    moved_in = [h.select("v") for h in hooks]
-    roots = label
-    for h in moved_in:
-        roots = roots.join(h, "v", "left_anti")
-    found = roots.select("v", F.col("v").alias("root"))
-    for k, hook in enumerate(reversed(hooks)):
-        found = found.union(hook.join(found.withColumnRenamed("v", "to"), "to").select("v", "root"))
+    # Unwinding: every vertex follows its hooks round by round, one join with one label table each.
+    label = first.select(F.col("a").alias("v")).union(first.select(F.col("b").alias("v"))).distinct().withColumn("root", F.col("v"))
+    for k, hook in enumerate(hooks):
+        label = label.join(hook.withColumnRenamed("v", "root"), "root", "left").select("v", F.coalesce("to", "root").alias("root"))
         if k % 4 == 3:
-            found = cut(found, "labels")
-    return found
+            label = cut(label, "labels")
+    return label
 
 
 def _keyed(gold: DataFrame) -> DataFrame:

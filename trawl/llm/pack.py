@@ -16,25 +16,27 @@ from pyspark.sql import functions as F
 
 from trawl.storage import settings
 
-#: Items of a block: what one task holds at once.
-BLOCK = 8192
-#: Documents that a container may hold, and the weights of tokens, documents and attention cost in the norm.
+#: Items of a block: what one task holds at once; and partitions that blocks are dealt to at most.
+BLOCK, MOST_TASKS = 8192, 20_000
+#: Documents that a container may hold; the share of the squared capacity that the squared sizes in it may sum up to (its attention cost); the weights of tokens,
+#: documents and attention cost in the norm.
 MAX_DOCUMENTS = 64
+COST_SHARE = 0.9
 WEIGHTS = (1.0, 0.05, 0.05)
 
 
-def place(sizes: np.ndarray, capacity: int, max_documents: int = MAX_DOCUMENTS, max_cost: float | None = None, weights: tuple[float, float, float] = WEIGHTS) -> np.ndarray:
+def place(sizes: np.ndarray, capacity: int, max_documents: int = MAX_DOCUMENTS, cost_share: float = COST_SHARE, weights: tuple[float, float, float] = WEIGHTS) -> np.ndarray:
     """The container number of each item (numbers from 0 by first use). Sizes must be within the capacity; an item of size 0 takes a document place only.
 
-    ``max_cost`` bounds the sum of squared sizes in a container; by default the square of the capacity, which one full item costs.
+    The sum of squared sizes in a container stays within ``cost_share`` times the squared capacity; an item that costs more alone fills a container's cost, so only items of size 0 can join it.
     """
     sizes = np.asarray(sizes, np.float64)
     if len(sizes) and sizes.max() > capacity:
         raise ValueError("an item is larger than the capacity")
-    cost_cap = float(capacity) ** 2 if max_cost is None else float(max_cost)
+    cost_cap = cost_share * float(capacity) ** 2
     full = np.array([capacity, max_documents, cost_cap], np.float64)
     w = np.array(weights, np.float64)
-    vectors = np.stack([sizes, np.ones_like(sizes), sizes**2], 1)
+    vectors = np.stack([sizes, np.ones_like(sizes), np.minimum(sizes**2, cost_cap)], 1)
     free = np.empty((0, 3))
     number = np.empty(0, np.int64)
     out = np.empty(len(sizes), np.int64)
@@ -66,7 +68,7 @@ def place(sizes: np.ndarray, capacity: int, max_documents: int = MAX_DOCUMENTS,
 _OUT = "kind string, doc_id bigint, part int, parts int, tokens int, first_token int, container string, offset int"
 
 
-def _block(frame: pd.DataFrame, capacities: list[tuple[str, int]], max_documents: int) -> pd.DataFrame:
+def _block(frame: pd.DataFrame, capacities: list[tuple[str, int]], max_documents: int, cost_share: float) -> pd.DataFrame:
     block = int(frame["block"].iloc[0])
     frame = frame.sort_values("doc_id", kind="stable")
     ids, tokens = frame["doc_id"].to_numpy(), frame["tokens"].to_numpy().astype(np.int64)
@@ -77,7 +79,7 @@ def _block(frame: pd.DataFrame, capacities: list[tuple[str, int]], max_documents
         part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
         first = part * capacity
         size = np.minimum(tokens[row] - first, capacity)
-        at = place(size, capacity, max_documents)
+        at = place(size, capacity, max_documents, cost_share)
         o = np.lexsort((part, ids[row], at))
         total = np.cumsum(size[o]) - size[o]
         fresh = np.r_[True, at[o][1:] != at[o][:-1]] if len(o) else np.empty(0, bool)
@@ -88,7 +90,7 @@ def _block(frame: pd.DataFrame, capacities: list[tuple[str, int]], max_documents
     return pd.concat(out).astype({"part": "int32", "parts": "int32", "tokens": "int32", "first_token": "int32", "offset": "int32"})
 
 
-def pack(items: DataFrame, limits: DataFrame, max_documents: int = MAX_DOCUMENTS, block: int = BLOCK) -> DataFrame:
+def pack(items: DataFrame, limits: DataFrame, max_documents: int = MAX_DOCUMENTS, block: int = BLOCK, cost_share: float = COST_SHARE) -> DataFrame:
     """One row per item and container kind: ``items`` (doc_id, tokens) into the containers of ``limits`` measured in tokens.
 
     Only an item larger than a container is divided, into full parts and a rest (part 1..parts, first_token). offset is the place of the
@@ -102,7 +104,9 @@ def pack(items: DataFrame, limits: DataFrame, max_documents: int = MAX_DOCUMENTS
     dealt = kept.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     if not capacities:
         return items.sparkSession.createDataFrame([], _OUT)
-    return dealt.groupBy("block").applyInPandas(lambda f: _block(f, capacities, max_documents), _OUT)
+    # A stated number of partitions: adaptive execution would put all blocks, whose rows are few bytes, in one task.
+    spread = dealt.repartition(min(blocks, MOST_TASKS), "block")
+    return spread.groupBy("block").applyInPandas(lambda f: _block(f, capacities, max_documents, cost_share), _OUT)
 
 
 def measured(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:

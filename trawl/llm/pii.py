@@ -27,7 +27,6 @@ _NAME = re.compile(
 _AT = r"(?:@|%40|＠|&#64;|\\u0040|\\x40|\\@|\s?[(\[{<]\s?(?:at|AT|ät)\s?[)\]}>]\s?| AT | at )"
 _DOT = r"(?:\.|\s?[(\[{<]\s?(?:dot|DOT|punkt|point|punto)\s?[)\]}>]\s?|\sdot\s|\sDOT\s)"
 _EMAIL = re.compile(rf"(?P<at>{_AT})(?P<host>[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*)")
-_BOX = re.compile(r"[\w.+-]*(?:%2B[\w.+-]*)?$")
 _DIGITS = re.compile(r"(?<![\w.,/#@%-])(?!\d{4}-\d\d-\d\d\b)(?:[A-Z]{1,2} ?(?=\d))?(?:\+ ?\(?|\(|00)?\d(?:[ ().\-/ ‐-–]{0,3}\d){5,17}(?: ?[A-Z])?(?![\w%@]|[-:/]\d|\.\d)")
 _KIND = r"Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Drive|Dr\.?|Avenue|Ave\.?|Boulevard|Blvd\.?|Court|Ct\.?|Way|Place|Pl\.?|Square|Sq\.?|Terrace|Close|Crescent|Row|Hill"
 _ADDRESS = re.compile(
@@ -104,10 +103,17 @@ _SHAPES = [
 ]
 
 
+def _box(text: str, end: int) -> int:
+    """Where the mailbox that ends before ``end`` begins, however long it is."""
+    a = end
+    while a and (text[a - 1].isalnum() or text[a - 1] in "_.+-" or text.startswith("%2B", a - 1)):
+        a -= 1
+    return a
+
+
 def _emails(text: str) -> Iterator[tuple[str, int, int, list[float]]]:
     for m in _EMAIL.finditer(text):
-        box = _BOX.search(text, max(0, m.start() - 80), m.start())
-        a = box.start()
+        a = _box(text, m.start())
         while a < m.start() and text[a] in ".-+":
             a += 1
         if a == m.start():

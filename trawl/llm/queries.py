@@ -65,6 +65,14 @@ def p3_top_candidates(spark: SparkSession, d: str) -> DataFrame:
     return top_n(rows, "ticket_id", "chunk_id", "score", "rank", TOP)
 
 
+def p3_skips(spark: SparkSession, d: str) -> DataFrame:
+    """How many row groups the top candidates were found without."""
+    from trawl.llm.topn import skips
+
+    rows = table(spark, d, "ranked_symbols", "ticket_id", "chunk_id", "score", "rank")
+    return skips(rows, "ticket_id", "chunk_id", "score", "rank", TOP)
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     from trawl.llm.split import split_oversized
 
@@ -136,6 +144,7 @@ def queries() -> dict[str, Query]:
         "p2_reasons": p2_reasons,
         "p3_found": p3_found,
         "p3_top_candidates": p3_top_candidates,
+        "p3_skips": p3_skips,
         "p4_found": p4_found,
         "p4_pieces": p4_pieces,
         "p5_found": p5_found,

@@ -53,29 +53,27 @@ def boundaries(text: str, limit: int) -> tuple[list[int], list[int], list[int]]:
     return starts, offs, strong
 
 
-def _overlap(starts: list[int], cut: int, last: int, size: int, unit: str, limit: int) -> int:
-    """Where the piece after ``cut`` begins: ``size`` lines (a cut line counts as one) or characters earlier, within the previous piece and at most half the limit back."""
+def _back(starts: list[int], cut: int, size: int, unit: str) -> int:
+    """Where the stated overlap before ``cut`` begins: ``size`` lines (a cut line counts as one) or characters earlier."""
     if size <= 0:
         return cut
-    if unit == "lines":
-        k = bisect_left(starts, cut) - size
-        back = starts[max(0, k)]
-    else:
-        back = cut - size
-    return max(back, last, cut - limit // 2, 0)
+    return starts[max(0, bisect_left(starts, cut) - size)] if unit == "lines" else max(0, cut - size)
 
 
 def cut(text: str, limit: int, overlap: int, unit: str = "lines") -> list[tuple[int, int, int]]:
     """Pieces (start with overlap, own start, end) in code points: every one within ``limit``, together the whole text.
 
     The smallest piece count that could do is tried first; equal-length targets are snapped to the strongest boundary within
-    a quarter piece (the nearest among equals, the earlier among those); when a piece is too long, one more piece is tried.
+    a quarter piece whose overlap leaves room (the nearest among equals, the earlier among those); when a piece is too long, one more piece is tried.
+    A piece begins with the stated overlap; only where that has more characters than the limit less ``step_room`` is it cut to half the limit.
     A text within the limit is one piece.
     """
     n, limit = len(text), max(1, limit)
     if n <= limit:
         return [(0, 0, n)]
     starts, offs, strong = boundaries(text, limit)
+    most = limit - step_room(limit)
+    back = [_back(starts, o, overlap, unit) for o in offs]
     k = -(-n // limit)
     while True:
         step, pieces, own, begin = n / k, [], 0, 0
@@ -87,19 +85,25 @@ def cut(text: str, limit: int, overlap: int, unit: str = "lines") -> list[tuple[
                 low, high = max(own + 1, int(target - step / 4)), min(begin + limit, int(target + step / 4), n - 1)
                 a, b = bisect_left(offs, low), bisect_right(offs, high)
                 if a < b:
-                    end = offs[min(range(a, b), key=lambda j: (-strong[j], abs(offs[j] - target), offs[j]))]
+                    end = offs[min(range(a, b), key=lambda j: (offs[j] - back[j] > most, -strong[j], abs(offs[j] - target), offs[j]))]
                 else:
                     end = min(max(target, own + 1), begin + limit)
             if end - begin > limit or end <= own:
                 break
             pieces.append((begin, own, end))
-            begin, own = _overlap(starts, end, own, overlap, unit, limit), end
+            whole = _back(starts, end, overlap, unit)
+            begin, own = whole if whole >= begin and end - whole <= most else max(whole, begin, end - limit // 2), end
         else:
             return pieces
         k += 1
 
 
-_OUT = "repo string, base_commit string, chunk_id string, file_path string, symbol_kind string, piece int, pieces int, start_line int, end_line int, overlap_chars int, piece_text string"
+def step_room(limit: int) -> int:
+    """Characters that a piece keeps free for text that the piece before lacks: an eighth of the limit."""
+    return max(1, limit // 8)
+
+
+_OUT = "repo string, base_commit string, chunk_id string, file_path string, symbol_kind string, piece int, pieces int, start_line int, end_line int, overlap_chars int, overlap_whole boolean, piece_text string"
 
 
 def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,7 +119,7 @@ def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for i, (begin, own, end) in enumerate(parts, 1):
                 a, b = bisect_right(starts, begin) - 1, bisect_left(starts, end) - 1
                 at = (None, None) if first is None else (first + a, first + max(a, b))
-                out.append((r.repo, r.base_commit, r.chunk_id, r.file_path, r.symbol_kind, i, len(parts), *at, own - begin, r.code_text[begin:end]))
+                out.append((r.repo, r.base_commit, r.chunk_id, r.file_path, r.symbol_kind, i, len(parts), *at, own - begin, begin == (0 if i == 1 else _back(starts, own, int(r.overlap_size), r.overlap_unit)), r.code_text[begin:end]))
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
         yield frame.astype({c: "Int32" for c in ("start_line", "end_line")})
 
@@ -127,7 +131,8 @@ def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     kind the smallest limit. Kinds are compared without surrounding white space and case, a null kind is ``chunk``, a kind
     without a limit is never cut. Null and empty texts are within every limit. Of repeated rows each is cut once. Lines:
     swapped numbers are put in order, a missing first line is counted back from the last, with neither both stay null.
-    The pieces overlap by the stated lines, shortened only where half the limit or the previous piece is less.
+    The pieces overlap by what is stated; overlap_whole is false for the pieces where that cannot be, because the lines before the cut alone have more characters
+    than seven eighths of the limit or go further back than the piece before.
     """
     kind = F.lower(F.trim(F.regexp_replace(F.coalesce("symbol_kind", F.lit("chunk")), r"^\s+|\s+$", "")))
     rules = (
