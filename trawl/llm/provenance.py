@@ -1,9 +1,12 @@
 """Problem 2: files that are no hand-written source of the project: generated, minified, third-party, or data.
 
-Attribute files are parsed first; their globs decide for the files they match, the deepest directory and then the last line winning. Every
-other file is judged by evidence in its chunks (tool and origin notes in comments, layout of text, numbered definitions, tables of
-values) and by path patterns: well-known equivalents of attribute lines, and patterns mined from this corpus, that is globs whose files
-nearly all carry evidence, in several repositories. Chunks that a marked third-party file has too mark unmarked copies.
+1. Attribute files are parsed; their globs decide for the files they match, the deepest directory and then the last line winning.
+2. Files that no line of their own repository decides are held against equivalent patterns: the lines that public attribute files have for well-known
+   folders and names (``PUBLIC_ATTRIBUTES``, parsed and resolved like any attribute file), and patterns mined from this corpus: names of packages that
+   stand below declared third-party folders of several repositories, and globs whose files nearly all are declared, noted or confirmed, in several repositories.
+   Evidence in the file confirms what a loose pattern says: a note of its maker, its layout, or chunks that a declared third-party file has too.
+3. What no pattern reaches but its maker's own note in a comment or the layout of its text shows (minified lines, numbered definitions, tables of values) is
+   reported by that. The tables hold no attribute files, and half of the cases have ordinary paths, so this step cannot be left out.
 """
 
 from __future__ import annotations
@@ -62,16 +65,44 @@ def _rules(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in f.itertuples(index=False):
             folder = r.file_path.rpartition("/")[0]
             for line, glob, mark, on in parse_attributes(r.content):
-                rows.append((r.repo, r.base_commit, folder, len(folder.split("/")) if folder else 0, line, glob_regex(glob), mark, on))
-        yield pd.DataFrame(rows, columns=["repo", "base_commit", "folder", "depth", "line", "pattern", "mark", "on"])
+                rows.append((r.repo, r.base_commit, folder, len(folder.split("/")) if folder else 0, line, rule_key(glob), glob_regex(glob), mark, on))
+        yield pd.DataFrame(rows, columns=["repo", "base_commit", "folder", "depth", "line", "key", "pattern", "mark", "on"])
+
+
+_GLOB = re.compile(r"[*?\[]")
+
+
+def rule_key(pattern: str) -> str:
+    """What the path of every match has: its name, its last suffix, a folder, or nothing in particular."""
+    parts = [x for x in pattern.split("/") if x]
+    last = parts[-1] if parts and not pattern.endswith("/") else ""
+    if last and not _GLOB.search(last):
+        return f"name:{last}"
+    suffix = re.search(r"\.[A-Za-z0-9]+$", last)
+    if suffix and "]" not in suffix[0]:
+        return f"suffix:{suffix[0]}"
+    folders = [x for x in (parts if pattern.endswith("/") else parts[:-1]) if not _GLOB.search(x)]
+    return f"folder:{folders[-1]}" if folders else "any"
+
+
+def _path_keys(path: Column) -> Column:
+    """All keys that a rule which matches the path can have."""
+    parts = F.split(path, "/")
+    folders = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: F.concat(F.lit("folder:"), x))
+    name = F.element_at(parts, -1)
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("name:"), name), F.concat(F.lit("suffix:"), F.regexp_extract(name, r"(\.[A-Za-z0-9]+)$", 1)), F.lit("any")), folders))
 
 
 def declared(files: DataFrame, attributes: DataFrame) -> DataFrame:
-    """(repo, base_commit, file_path, marked): files that an attribute line matches; per mark the deepest folder's last matching line holds, and a file is marked if any mark is on."""
+    """(repo, base_commit, file_path, marked): files that an attribute line matches; per mark the deepest folder's last matching line holds, and a file is marked if any mark is on.
+
+    Rules meet files over what their matches must have (name, suffix or folder), so a snapshot's files never meet all its rules.
+    """
     rules = attributes.filter("content IS NOT NULL AND file_path RLIKE '(^|/)[.]gitattributes$'").select("repo", "base_commit", "file_path", "content").distinct()
-    rules = rules.mapInPandas(_rules, "repo string, base_commit string, folder string, depth int, line int, pattern string, mark string, on boolean")
+    rules = rules.mapInPandas(_rules, "repo string, base_commit string, folder string, depth int, line int, key string, pattern string, mark string, on boolean")
     inside = F.when(F.col("folder") == "", F.col("file_path")).when(F.col("file_path").startswith(F.concat("folder", F.lit("/"))), F.expr("substring(file_path, length(folder) + 2)"))
-    hit = files.join(rules, ["repo", "base_commit"]).withColumn("rest", inside).filter(F.expr("rest RLIKE pattern"))
+    keyed = files.select("repo", "base_commit", "file_path", F.explode(_path_keys(F.col("file_path"))).alias("key"))
+    hit = keyed.join(rules, ["repo", "base_commit", "key"]).withColumn("rest", inside).filter(F.expr("rest RLIKE pattern"))
     last = hit.groupBy("repo", "base_commit", "file_path", "mark").agg(F.max(F.struct("depth", "line", "on")).alias("x"))
     return last.groupBy("repo", "base_commit", "file_path").agg(F.max("x.on").alias("marked"))
 
@@ -119,12 +150,71 @@ def _evidence(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 # --- path patterns --------------------------------------------------------------------------------------------------------------
-#: Equivalents of attribute lines that are known for many projects: fixed values.
-VENDOR_FOLDERS = ("vendor", "_vendor", "third_party", "third-party", "thirdparty", "3rdparty", "node_modules", "bower_components", "Godeps", "extern", "external", "externals", "deps", "Pods", "Carthage", "jspm_packages")
-TOOL_FOLDERS = ("generated", "generated-sources", "gen", "__generated__", "autogen")
-TOOL_NAMES = r"_pb2(?:_grpc)?\.pyi?$|\.pb(?:\.gw)?\.(?:go|cc|h|c|js|ts)$|(?:^|/)moc_[^/]*\.c|(?:^|/)(?:ui|qrc)_[^/]*\.py$|\.tab\.[ch]$|(?:^|/)lex\.[^/]*\.c$|[.-]min\.(?:js|css)$|\.bundle\.js$|[._]generated\.\w+$|\.g\.\w+$|(?:^|/)zz_generated[^/]*$|_gen\.go$"
-#: A mined pattern has files in so many repositories, and at least this share of them has evidence.
-MINED_REPOS, MINED_SHARE = 3, 0.95
+#: Lines that public attribute files have for many projects.
+PUBLIC_ATTRIBUTES = """
+vendor/ linguist-vendored
+_vendor/ linguist-vendored
+third_party/ linguist-vendored
+third-party/ linguist-vendored
+thirdparty/ linguist-vendored
+3rdparty/ linguist-vendored
+node_modules/ linguist-vendored
+bower_components/ linguist-vendored
+Godeps/ linguist-vendored
+Pods/ linguist-vendored
+Carthage/ linguist-vendored
+jspm_packages/ linguist-vendored
+generated/ linguist-generated
+generated-sources/ linguist-generated
+__generated__/ linguist-generated
+autogen/ linguist-generated
+*_pb2.py linguist-generated
+*_pb2_grpc.py linguist-generated
+*.pb.go linguist-generated
+*.pb.gw.go linguist-generated
+*.pb.cc linguist-generated
+*.pb.h linguist-generated
+*.pb.c linguist-generated
+*.pb.js linguist-generated
+*.pb.ts linguist-generated
+moc_*.c linguist-generated
+moc_*.cpp linguist-generated
+ui_*.py linguist-generated
+qrc_*.py linguist-generated
+*.tab.c linguist-generated
+*.tab.h linguist-generated
+lex.*.c linguist-generated
+*.min.js linguist-generated
+*-min.js linguist-generated
+*.min.css linguist-generated
+*.bundle.js linguist-generated
+*.g.* linguist-generated
+*.generated.* linguist-generated
+*_generated.* linguist-generated
+zz_generated* linguist-generated
+*_gen.go linguist-generated
+"""
+#: Folder names of the same kind that projects also use for code of their own; evidence in the file has to confirm them.
+LOOSE_ATTRIBUTES = """
+extern/ linguist-vendored
+external/ linguist-vendored
+externals/ linguist-vendored
+deps/ linguist-vendored
+gen/ linguist-generated
+"""
+#: A mined glob has files in so many repositories, and at least this share of them is declared, noted or confirmed; a mined package stands below third-party folders of so many repositories.
+MINED_REPOS, MINED_SHARE, PACKAGE_REPOS = 3, 0.95, 2
+
+
+def _any_of(text: str, mark: str = "") -> str:
+    """One regular expression for all lines of an attribute text, those with the mark only if one is given."""
+    return "|".join(f"(?:{glob_regex(glob)})" for _, glob, m, on in parse_attributes(text) if on and (not mark or m == mark))
+
+
+#: A package is the folder below a third-party folder (and below a scope or workspace folder there).
+_PACKAGE = r"(?:^|/)(?:" + "|".join(re.escape(g.rstrip("/")) for _, g, m, _ in parse_attributes(PUBLIC_ATTRIBUTES + LOOSE_ATTRIBUTES) if m == "vendored") + r")/(?:_workspace/|src/|@[^/]+/)*([^/]+)/"
+#: Names of packages that say nothing (fixed values).
+_NO_PACKAGES = ("src", "lib", "include", "core", "common", "util", "utils", "test", "tests", "main", "js", "css", "dist")
 
 
 def _patterns(path: Column) -> Column:
@@ -139,53 +229,70 @@ def _patterns(path: Column) -> Column:
     return F.array_distinct(F.concat(folders, F.filter(more, lambda x: x.isNotNull())))
 
 
+def _named(path: Column) -> Column:
+    """Names that a package could be known by in a path: its folders, and its file name up to each separator."""
+    parts = F.split(path, "/")
+    stem = F.regexp_replace(F.element_at(parts, -1), r"\.[A-Za-z0-9]+$", "")
+    return F.array_distinct(F.concat(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(stem, F.regexp_extract(stem, r"^([^_.-]+)[_.-]", 1))))
+
+
 def provenance(chunks: DataFrame, attributes: DataFrame | None = None) -> DataFrame:
     """(repo, base_commit, file_path, reason): files with at least one chunk that are generated, minified, third-party or mainly data.
 
     ``chunks``: repo, base_commit, file_path, symbol_kind, code_text; ``attributes``: repo, base_commit, file_path, content of attribute files. Rows with a
-    null path are no files; null code counts as empty text; repeated rows change no share that decides. reason is declared, tool, origin, minified,
-    numbered, data, path, mined or copy, the first that applies. Empty tables give no rows.
+    null path are no files; null code counts as empty text; repeated rows change no share that decides. reason is declared (an attribute line), pattern (a public
+    attribute line), mined (a package or glob of this corpus), tool or origin (a note in the file), minified, numbered, data, or copy, the first that applies; a file that an attribute
+    line declares to be hand-written is none. Empty tables give no rows.
     """
-    rows = chunks.filter("file_path IS NOT NULL").select("repo", "base_commit", "file_path", F.lower(F.trim("symbol_kind")).alias("symbol_kind"), F.coalesce("code_text", F.lit("")).alias("code_text"))
+    keys = ["repo", "base_commit", "file_path"]
+    rows = chunks.filter("file_path IS NOT NULL").select(*keys, F.lower(F.trim("symbol_kind")).alias("symbol_kind"), F.coalesce("code_text", F.lit("")).alias("code_text"))
     seen = cut(rows.mapInPandas(_evidence, _EVIDENCE), "evidence", compression="zstd")
     sums = [F.sum(c).alias(c) for c in ("chars", "blanks", "valued", "numbers", "words", "calls", "numbered", "cases", "rows", "lines", "defs")]
-    file = seen.groupBy("repo", "base_commit", "file_path").agg(*sums, F.max("tool").alias("tool"), F.max("origin").alias("origin"))
+    file = seen.groupBy(*keys).agg(*sums, F.max("tool").alias("tool"), F.max("origin").alias("origin"))
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    reason = (
-        F.when(F.col("tool") == 1, "tool")
-        .when(F.col("origin") == 1, "origin")
-        .when((F.col("chars") >= 200) & (share("blanks", "chars") < 0.06), "minified")
+    note = F.when(F.col("tool") == 1, "tool").when(F.col("origin") == 1, "origin")
+    layout = (
+        F.when((F.col("chars") >= 200) & (share("blanks", "chars") < 0.06), "minified")
         .when((F.col("numbered") >= 3) & (share("numbered", "calls") >= 0.5), "numbered")
         .when((F.col("cases") >= 8) & (share("numbers", "words") >= 0.3), "numbered")
         .when((F.col("defs") == 0) & (F.col("chars") >= 200) & (share("valued", "chars") >= 0.42), "data")
         .when((F.col("lines") >= 5) & (share("rows", "lines") >= 0.7), "data")
         .when((F.col("words") >= 60) & (share("numbers", "words") >= 0.6), "data")
     )
-    folder = lambda names: r"(?:^|/)(?:" + "|".join(re.escape(n) for n in names) + r")/"
-    path = F.when(F.col("file_path").rlike(folder(VENDOR_FOLDERS)), "vendored").when(F.col("file_path").rlike(folder(TOOL_FOLDERS)) | F.col("file_path").rlike(TOOL_NAMES), "generated")
-    judged = cut(file.select("repo", "base_commit", "file_path", reason.alias("reason"), path.alias("path")), "judged")
-
-    # Unmarked copies: most of a file's longer chunks stand in files of other repositories that are marked as third-party.
-    third = judged.filter("reason = 'origin' OR path = 'vendored'").select("repo", "base_commit", "file_path")
-    long = seen.filter("hash IS NOT NULL").select("repo", "base_commit", "file_path", "hash").distinct()
-    known = long.join(third, ["repo", "base_commit", "file_path"], "left_semi").select("hash").distinct().withColumn("known", F.lit(1))
+    path = F.col("file_path")
+    facts = file.select(*keys, note.alias("note"), layout.alias("layout"), path.rlike(_any_of(PUBLIC_ATTRIBUTES)).alias("pattern"), path.rlike(_any_of(PUBLIC_ATTRIBUTES, "vendored")).alias("third"), path.rlike(_any_of(LOOSE_ATTRIBUTES)).alias("loose"), F.nullif(F.regexp_extract(path, _PACKAGE, 1), F.lit("")).alias("package"))
+    if attributes is not None:
+        facts = facts.join(declared(file.select(*keys), attributes), keys, "left")
+    else:
+        facts = facts.withColumn("marked", F.lit(None).cast("boolean"))
+    judged = cut(facts, "judged", compression="zstd")
+    known = F.coalesce("marked", F.col("pattern"))
+
+    # Chunks of declared third-party files, by which copies elsewhere are confirmed.
+    third = judged.filter("coalesce(marked, true) AND (third OR note = 'origin')").select(*keys)
+    long = seen.filter("hash IS NOT NULL").select(*keys, "hash").distinct()
+    there = long.join(third, keys, "left_semi").select("hash").distinct().withColumn("known", F.lit(1))
     copies = (
-        long.join(judged.filter("reason IS NULL AND path IS NULL").select("repo", "base_commit", "file_path"), ["repo", "base_commit", "file_path"], "left_semi")
-        .join(known, "hash", "left").groupBy("repo", "base_commit", "file_path").agg(F.avg(F.coalesce("known", F.lit(0))).alias("s")).filter("s >= 0.5").select("repo", "base_commit", "file_path", F.lit(1).alias("copy"))
+        long.join(judged.filter("NOT third").select(*keys), keys, "left_semi").join(there, "hash", "left")
+        .groupBy(*keys).agg(F.avg(F.coalesce("known", F.lit(0))).alias("s")).filter("s >= 0.5").select(*keys, F.lit(1).alias("copy"))
     )
-    # Mined patterns: globs whose files nearly all have evidence of their own, in several repositories.
-    globs = judged.select("repo", "base_commit", "file_path", F.col("reason").isNotNull().cast("int").alias("e"), F.explode(_patterns(F.col("file_path"))).alias("glob"))
+    facts = cut(judged.join(copies, keys, "left").withColumn("confirmed", F.col("note").isNotNull() | F.col("layout").isNotNull() | F.col("copy").isNotNull()), "facts", compression="zstd")
+
+    # Mined packages: folders below third-party folders of several repositories; files named after one elsewhere are asked for confirmation.
+    packages = facts.filter(known & F.col("package").isNotNull() & ~F.col("package").isin(*_NO_PACKAGES)).groupBy(F.col("package").alias("name")).agg(F.count_distinct("repo").alias("repos")).filter(F.col("repos") >= PACKAGE_REPOS).select("name")
+    undecided = facts.filter("marked IS NULL AND NOT pattern")
+    by_package = undecided.filter("confirmed").select(*keys, F.explode(_named(path)).alias("name")).join(packages, "name", "left_semi").select(*keys)
+    # Mined globs: nearly all their files are declared, noted or confirmed, in several repositories.
+    case = known | (F.col("marked").isNull() & F.col("confirmed"))
+    globs = facts.select(*keys, case.cast("int").alias("e"), (F.col("marked").isNull() & ~F.col("pattern")).alias("open"), F.explode(_patterns(path)).alias("glob"))
     mined = (
         globs.groupBy("glob", "repo").agg(F.sum("e").alias("e"), F.count(F.lit(1)).alias("n"))
         .groupBy("glob").agg(F.sum("e").alias("e"), F.sum("n").alias("n"), F.sum((F.col("e") > 0).cast("int")).alias("repos"))
         .filter((F.col("repos") >= MINED_REPOS) & (F.col("e") >= MINED_SHARE * F.col("n"))).select("glob")
     )
-    matched = globs.filter("e = 0").join(mined, "glob", "left_semi").select("repo", "base_commit", "file_path").distinct().withColumn("mined", F.lit(1))
-    keys = ["repo", "base_commit", "file_path"]
-    all_files = judged.join(copies, keys, "left").join(matched, keys, "left")
-    found = F.coalesce("reason", F.when(F.col("path").isNotNull(), "path"), F.when(F.col("copy") == 1, "copy"), F.when(F.col("mined") == 1, "mined"))
-    if attributes is not None:
-        said = declared(judged.select(*keys), attributes)
-        all_files = all_files.join(said, keys, "left")
-        found = F.when(F.col("marked"), "declared").when(F.col("marked").isNull(), found)
-    return all_files.withColumn("reason", found).filter("reason IS NOT NULL").select(*keys, "reason")
+    matched = globs.filter("open").join(mined, "glob", "left_semi").select(*keys).union(by_package).distinct().withColumn("mined", F.lit(True))
+    found = F.when(F.col("marked"), "declared").when(
+        F.col("marked").isNull(),
+        F.when(F.col("pattern") | (F.col("loose") & F.col("confirmed")), F.lit("pattern")).when(F.col("mined"), "mined").otherwise(F.coalesce("note", "layout", F.when(F.col("copy") == 1, "copy"))),
+    )
+    return facts.join(matched, keys, "left").withColumn("reason", found).filter("reason IS NOT NULL").select(*keys, "reason")
