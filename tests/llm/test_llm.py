@@ -5,20 +5,17 @@ import random
 import re
 from pathlib import Path
 
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
 from trawl.llm import bpe, boost, families, grammar, overlap, pack, pii, pii_training, provenance, split, syntax, topn
 
+sys.path.insert(0, str(Path(__file__).parent))
 FILES = "repo string, base_commit string, file_path string, content string"
 
 
-def _parse(language, text, lexers={}, memo={}):  # noqa: B006
-    if language not in lexers:
-        lexers[language] = grammar.Lexer(language)
-    return syntax.lex(text, language, lexers[language], memo)
-
-
 # --- 1
 GOOD = {
     "a.py": "import os\n\n@dec\nclass A(B):\n    '''doc <<<<<<< HEAD'''\n    def f(self, x=1, *a, **k) -> int:\n        if x and not self.y[1:2]:\n            return {k: v for k, v in x}\n        else:\n            pass\n        y = lambda z: z\n        return f'{x!r}'\n",
@@ -57,8 +54,26 @@ def test_syntax_flags_broken_files_only(spark, rows):
     assert syntax.unparsable(spark.createDataFrame([], FILES)).count() == 0
 
 
+def test_valid_and_broken_constructs(spark):
+    from sources import BROKEN, VALID
+
+    suffix = {language: s for s, language in grammar.LANGUAGES.items()}
+    data = [("o/r", "c", f"{kind}/{k}{suffix[language]}", t) for kind, texts in (("valid", VALID), ("broken", BROKEN)) for language, ts in texts.items() for k, t in enumerate(ts)]
+    got = {r["file_path"] for r in syntax.unparsable(spark.createDataFrame(data, FILES)).collect()}
+    assert got == {p for _, _, p, _ in data if p.startswith("broken")}
+
+
+@pytest.mark.parametrize("depth", [1, 7, 60])
+def test_nesting_has_no_bound(spark, depth):
+    nest = lambda inner: "(" * depth + inner + ")" * depth
+    data = [("o/r", "c", "good.c", f"int f(void) {{ x = {nest('a')}; {'{' * depth} g(); {'}' * depth} }}\n"), ("o/r", "c", "bad.c", f"int f(void) {{ x = {nest('a b')}; }}\n"), ("o/r", "c", "bad2.c", f"int f(void) {{ {'{' * depth} g() {'}' * depth} }}\n"), ("o/r", "c", "bad3.c", f"int f(void) {{ x = {nest('a')}); }}\n")]
+    data += [("o/r", "c", "good.js", f"for (var i = {nest('1')}; i < {nest('2')}; i++) {{ f({nest('x => { return y; }')}); }}\n"), ("o/r", "c", "bad.js", f"f({nest('function () { return y z; }')});\n")]
+    got = {r["file_path"] for r in syntax.unparsable(spark.createDataFrame(data, FILES)).collect()}
+    assert got == {"bad.c", "bad2.c", "bad3.c", "bad.js"}
+
+
 def test_grammar_pairs_follow_from_productions():
-    assert "n(" in grammar.permitted("python") and "nn" not in grammar.permitted("python") and "oo" not in grammar.permitted("javascript")
+    assert "nP" in grammar.permitted("python") and "nn" not in grammar.permitted("python") and "oo" not in grammar.permitted("javascript")
 
 
 # --- 2

@@ -1,4 +1,4 @@
-"""Small grammars over token classes, one per language, and the pairs of adjacent classes that they permit.
+"""Small grammars over token classes, one per language: which classes may be adjacent, and which texts follow a production.
 
 A token class is one letter. Grammars are productions over letters and other productions; which class may stand next to which
 follows from them (the last classes of a part times the first classes of what can come next).
@@ -13,11 +13,11 @@ LANGUAGES = {".py": "python", ".js": "javascript", ".ts": "typescript", ".java":
 
 #: Class of each reserved word, by language (fixed values). n is a name, 0 a number, s a text, r a regular expression.
 _WORDS = {
-    "javascript": {"K": "if while for switch catch with", "E": "else try finally do", "R": "return throw", "W": "new typeof delete void await yield", "B": "break continue debugger", "V": "var let const", "F": "function", "C": "class", "I": "import export", "D": "case", "L": "default", "O": "in of instanceof", "A": "async static get set", "M": "from as", "x": "extends"},
+    "javascript": {"K": "if while for switch catch with", "E": "else try finally do", "R": "return throw", "W": "new typeof delete void await yield", "B": "break continue debugger", "V": "var let", "c": "const", "F": "function", "C": "class", "I": "import export", "D": "case", "L": "default", "O": "in of instanceof", "A": "async static get set", "M": "from as", "x": "extends"},
     "java": {"K": "if while for switch catch", "E": "else try finally do", "R": "return throw assert", "W": "new", "B": "break continue", "C": "class interface enum", "I": "import package", "D": "case", "L": "default", "O": "instanceof", "A": "public private protected static final abstract native synchronized transient volatile strictfp", "x": "extends implements throws"},
-    "go": {"K": "if for switch select", "E": "else", "R": "return defer go goto", "B": "break continue fallthrough", "V": "var const type", "F": "func", "I": "import package", "D": "case", "L": "default", "A": "chan map struct interface range"},
+    "go": {"K": "for switch select", "Y": "if", "E": "else", "R": "return defer go goto", "B": "break continue fallthrough", "V": "var const type", "F": "func", "I": "import package", "D": "case", "L": "default", "A": "chan map struct interface range"},
     "c": {"K": "if while for switch", "E": "else do", "R": "return goto", "W": "sizeof", "B": "break continue", "D": "case", "L": "default", "A": "static const extern inline unsigned signed volatile register typedef struct union enum long short restrict"},
-    "python": {"k": "if elif while for with", "p": "except", "E": "else finally", "y": "try", "R": "return raise del assert global nonlocal", "W": "await yield", "B": "break continue pass", "F": "def", "C": "class", "I": "import", "M": "from", "l": "lambda", "O": "in is and or", "u": "not", "A": "async", "S": "as"},
+    "python": {"k": "if elif while with", "z": "for", "0": "None True False", "p": "except", "E": "else finally", "y": "try", "R": "return raise", "g": "del global nonlocal", "j": "assert", "W": "await yield", "B": "break continue pass", "F": "def", "C": "class", "I": "import", "M": "from", "l": "lambda", "O": "in is and or", "u": "not", "A": "async", "S": "as"},
 }
 _WORDS["typescript"] = _WORDS["javascript"] | {"A": "async static get set type interface enum namespace declare abstract readonly public private protected keyof is asserts satisfies infer unique override module", "x": "extends implements"}
 
@@ -39,7 +39,7 @@ _NUMBER = r"(?:0[xXbBoO][\da-fA-F_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]
 _NAME = r"[^\W\d][\w$]*|\$[\w$]*"
 _SIGN = r">>>=|\*\*=|\.\.\.|===|!==|<<=|>>=|>>>|&&=|\|\|=|\?\?=|&\^=|\?\.(?!\d)|=>|->|<-|:=|==|!=|<=|>=|&&|\|\||\?\?|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*"
 _C_SKIP = r"[ \t\f\v ﻿]+|//[^\n\r]*|/\*[\s\S]*?\*/"
-_REGEX = r"[=(,:\[!&|?{};]\s*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[dgimsuvy]*"
+_REGEX = r"(?:[=(,:\[!&|?{};]\s*|\b(?:return|typeof|case|throw|yield|await|in|of)[ \t]*)/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[dgimsuvy]*"
 _TOKENS = {
     "javascript": (_C_SKIP, rf"{_REGEX}|{_STRING}|{_CHAR}|`(?:\\[\s\S]|[^`\\])*`|{_NUMBER}|#?(?:{_NAME})|{_SIGN}"),
     "java": (_C_SKIP, rf'"""[\s\S]*?"""|{_STRING}|\'(?:\\u+[\da-fA-F]{{4}}|\\[0-7]{{1,3}}|\\.|[^\'\\\n])\'|{_NUMBER}|{_NAME}|::|{_SIGN}'),
@@ -50,120 +50,258 @@ _TOKENS["typescript"] = _TOKENS["javascript"]
 _PREFIX = r"(?:[rRbBfFuUtT]{1,2})?"
 _PY_SKIP = r"[ \t\f﻿]+|#[^\n\r]*|\\\r?\n|(?:\r\n|\r|\n)(?=[ \t\f]*(?:[\r\n#]|\Z))"
 _PY_TOKEN = rf'{_PREFIX}"""(?:\\[\s\S]|[^\\])*?"""|{_PREFIX}\'\'\'(?:\\[\s\S]|[^\\])*?\'\'\'|{_PREFIX}{_STRING}|{_PREFIX}{_CHAR}|{_NUMBER}|[^\W\d]\w*|(?:\r\n|\r|\n)[ \t]*|\*\*=|//=|>>=|<<=|\.\.\.|:=|->|==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|<<|>>|\*\*|//'
+#: Numbers that Python no longer has.
+_ODD_NUMBER = re.compile(r"0\d*[1-9]\d*|.*[lLuUfFdDiI]|.*__.*|.*_")
 INDENT_BASE = 0x4E00  # a line end is the letter INDENT_BASE + its indentation
 
 # --- productions: (...)* repeated, (...)? optional, upper names are productions ----------------------------------------------
+# Brackets are reduced before: P stands for a closed pair of round ones, Q of square ones, G of curly ones, and what they hold is a text of its own, held
+# against the production that the bracket's place asks for (``start_of``). So no production needs brackets, and nesting has no bound.
 _EXPR = {
-    "Expr": ["Unary (Bin Unary)*", "Unary ? Expr : Expr", "Unary = Expr", "W Expr", "W"],
-    "Bin": ["o", "b", "O", "u O", "O u"],
-    "Unary": ["(Pre)* Post"],
+    "Exprs": ["Expr (, Expr)*"],
+    "Expr": ["Unary (Bin Unary)* (? Expr : Expr)?"],
+    "Bin": ["o", "b", "O", "="],
+    "Unary": ["(Pre)* Atom (Tail)* (i)?"],
     "Pre": ["b", "u", "i", "W"],
-    "Post": ["Atom (Tail)*", "Atom (Tail)* i"],
-    "Atom": ["n", "0", "s (s)*", "r", "( (List)? )", "[ (List)? ]"],
-    "Tail": [". n", "? .", "( (List)? )", "[ (Index)? ]", "s"],
-    "Index": ["Expr", ": (Expr)?", "Expr : (Expr)?", "Index , Index"],
+    "Tail": [". n", "P", "Q"],
     "List": ["Item (, Item)* (,)?"],
-    "Item": ["Expr", "e Expr", "e"],
+    "Item": ["Expr"],
 }
-_GRAMMARS: dict[str, dict[str, list[str]]] = {
-    "javascript": _EXPR | {
-        "File": ["^ (Stmt)* $", "^ $"],
-        "Stmt": ["Expr ;", "; ", "Block", "V Pattern = Expr ;", "V Pattern (, Pattern)* ;", "K ( Head ) Stmt", "K n ( Head ) Stmt", "K Block", "E Stmt", "R (Expr)? ;", "B (n)? ;", "Func", "Cls", "I Import ;", "I Stmt", "I L Expr ;", "I L Stmt", "I { (Names)? } ;", "D Expr :", "L :", "n : Stmt", "Block ;", "E Block"],
-        "Import": ["s", "n M s", "{ (Names)? } M s", "b M n M s", "b M s", "n , { (Names)? } M s", "{ (Names)? }", "( s )"],
-        "Names": ["n (M n)? (, n (M n)?)* (,)?", "L M n"],
-        "Head": ["Expr", "V Pattern = Expr ; Expr ; Expr", "; ;", "V Pattern O Expr", "Expr ; Expr ; Expr", "; Expr ; Expr"],
-        "Pattern": ["n", "n = Expr", "[ (List)? ]", "{ (Props)? }", "{ (Props)? } = Expr"],
-        "Block": ["{ (Stmt)* }"],
-        "Func": ["(A)? F (b)? (n)? ( (List)? ) Block"],
-        "Cls": ["C (n)? (x Expr)? { (Member)* }"],
-        "Member": ["(A)* (b)? Key ( (List)? ) Block", "(A)* Key = Expr ;", "(A)* Key ;", ";"],
-        "Key": ["n", "s", "0", "[ Expr ]", "A"],
-        "Props": ["Prop (, Prop)* (,)?"],
-        "Prop": ["Key : Expr", "n", "n = Expr", "e Expr", "(A)* (b)? Key ( (List)? ) Block"],
-        "Atom": [*_EXPR["Atom"], "{ (Props)? }", "Func", "Cls", "Arrow", "A", "M", "I", "A n", "V"],
-        "Arrow": ["(A)? n a Body", "(A)? ( (List)? ) a Body"],
-        "Body": ["Expr", "Block"],
-        "Tail": [*_EXPR["Tail"], "? . ( (List)? )", "? . [ Expr ]", "? . n"],
-    },
-    "java": _EXPR | {
-        "File": ["^ (Stmt)* $", "^ $"],
-        "Type": ["n (. n)* (Gen)? (Dims)*", "Type (Dims)*"], "Dims": ["[ ]"], "Gen": ["o Type (, Type)* o", "o ? o", "o o", "o ? x Type o", "o Type x Type o"],
-        "Note": ["@ n (. n)*", "@ n ( (List)? )"], "Mods": ["Note", "A"],
-        "Stmt": ["Expr ;", ";", "Block", "(Mods)* Type n (Dims)* ;", "(Mods)* Type n = Expr ;", "(Mods)* Type n = Expr , n = Expr ;", "(Mods)* Type n , n ;", "K ( Head ) Stmt", "E Stmt", "E ( Head ) Block", "A ( Expr ) Block", "R (Expr)? ;", "R Expr : Expr ;", "B (n)? ;", "I (A)? n (. n)* (. b)? ;", "D Expr :", "D Expr a Stmt", "L :", "L a Stmt", "n : Stmt", "Cls", "Method", "A Block", "(Mods)* Method"],
-        "Head": ["Expr", "Type n = Expr ; Expr ; Expr", "; ;", "; Expr ; Expr", "(Mods)* Type n : Expr", "(Mods)* Type o Type n", "(Mods)* Type n", "(Mods)* Type n = Expr", "Expr ; Expr ; Expr", "Type n = Expr ; Expr ;"],
-        "Block": ["{ (Stmt)* }"],
-        "Cls": ["(Mods)* C n (Gen)? (x Type (, Type)*)* { (Stmt)* }", "(Mods)* @ C n { (Stmt)* }", "(Mods)* C n ( (Params)? ) (x Type)* { (Stmt)* }", "C n { Enum ; (Stmt)* }", "C n { Enum }"], "Enum": ["n (, n)* (,)?", "n ( (List)? ) (, n ( (List)? ))*"],
-        "Method": ["(Gen)? (Type)? n ( (Params)? ) (x Type (, Type)*)? Block", "(Gen)? Type n ( (Params)? ) (x Type)? ;", "(Gen)? Type n ( (Params)? ) L Expr ;"],
-        "Params": ["Param (, Param)*"], "Param": ["(Mods)* Type n (Dims)*", "(Mods)* Type e n"],
-        "Atom": [*_EXPR["Atom"], "W Type ( (List)? )", "W Type ( (List)? ) { (Stmt)* }", "W n (Index2)*", "W Type { (List)? }", "{ (List)? }", "( Type ) Unary", "n a Body", "( (List)? ) a Body", "( (Params)? ) a Body", "Type . C"], "Index2": ["[ (Expr)? ]"], "Body": ["Expr", "Block"],
-        "Tail": [*_EXPR["Tail"], ". Gen n", ". W n", ". b"],
-        "Unary2": ["Expr O A Type n", "Expr O Type n"],
-        "Expr": [*_EXPR["Expr"], "Unary O Type (n)?", "K ( Expr ) { (Stmt)* }"],
-    },
-    "go": _EXPR | {
-        "File": ["^ (Stmt)* $", "^ $"],
-        "Type": ["n (. n)?", "b Type", "[ (Expr)? ] Type", "[ e ] Type", "A [ Type ] Type", "A Type", "A a Type", "a A Type", "A { (Field)* }", "A { }", "F ( (Params)? ) (Result)?", "( Type )", "n [ Type (, Type)* ]"],
-        "Field": ["n (, n)* Type (s)? ;", "b n ;", "n (. n)? (s)? ;", "n ( (Params)? ) (Result)? ;"],
-        "Result": ["Type", "( Params )"],
-        "Params": ["Param (, Param)* (,)?"], "Param": ["n Type", "n e Type", "Type", "e Type", "n"],
-        "Stmt": ["Expr ;", ";", "Block (;)?", "Expr (, Expr)* = Expr (, Expr)* ;", "V Spec ;", "V ( (Spec ;)* ) ;", "K Head Block (;)?", "K Block (;)?", "K Head { (Case)* } (;)?", "K { (Case)* } (;)?", "E Block (;)?", "E Stmt", "R (Expr (, Expr)*)? ;", "B (n)? ;", "I n ;", "I s ;", "I (n)? s ;", "I . s ;", "I ( (Imp ;)* ) ;", "Func", "n : Stmt", "Expr a Expr ;"],
-        "Imp": ["s", "n s", ". s"],
-        "Spec": ["n Type (= Expr)?", "n (, n)* = Expr (, Expr)*", "n (, n)* Type", "n = Type", "n Type", "n", "n [ Param (, Param)* ] Type"],
-        "Head": ["Expr", "Simple ; Expr", "Simple ; Simple ; Simple", "; Expr ;", "Simple", "; ;", "Simple ;", "Expr (, Expr)* = A Expr", "A Expr"], "Simple": ["Expr (, Expr)* = Expr (, Expr)*", "Expr"],
-        "Case": ["D Expr (, Expr)* : (Stmt)*", "D Simple : (Stmt)*", "D Type (, Type)* : (Stmt)*", "L : (Stmt)*"],
-        "Block": ["{ (Stmt)* }"],
-        "Func": ["F n ( (Params)? ) (Result)? Block (;)?", "F ( Params ) n ( (Params)? ) (Result)? Block (;)?", "F n [ Param (, Param)* ] ( (Params)? ) (Result)? Block (;)?"],
-        "Atom": [*_EXPR["Atom"], "F ( (Params)? ) (Result)? Block", "Type { (Elems)? }", "[ (Expr)? ] Type { (Elems)? }", "Type ( (List)? )", "{ (Elems)? }", "a Expr"],
-        "Elems": ["Elem (, Elem)* (,)?"], "Elem": ["Expr", "Expr : Expr"],
-        "Tail": [*_EXPR["Tail"], ". ( Type )", ". ( V )", "{ (Elems)? }", "e"],
-        "Item": [*_EXPR["Item"], "Expr e", "Type", "Type , Expr"],
-    },
-    "c": _EXPR | {
-        "File": ["^ (Stmt)* $", "^ $"],
-        "Spec": ["A", "n", "A n", "A (A)* (n)?", "A n { (Member)* }", "A { (Member)* }", "A { (Enum)? }", "A n { (Enum)? }"], "Member": ["(Spec)* Decl (, Decl)* ;", "(Spec)* Decl : Expr ;"], "Enum": ["n (= Expr)? (, n (= Expr)?)* (,)?"],
-        "Decl": ["(Ptr)* n (Suffix)*", "( (Ptr)* Decl ) (Suffix)*", "(Ptr)* (A)* n"], "Ptr": ["b (A)*"], "Suffix": ["[ (Expr)? ]", "( (Params)? )"],
-        "Params": ["Param (, Param)* (, e)?", "n"], "Param": ["(Spec)* Decl", "(Spec)* (Ptr)*", "(Spec)* (Ptr)* [ ]", "A n"],
-        "Init": ["Expr", "{ (List)? }", "{ (DInit) }"], "DInit": [". n = Init (, . n = Init)* (,)?", "[ Expr ] = Init"],
-        "Stmt": ["Expr (, Expr)* ;", ";", "Block", "(Spec)* Decl = Init (, Decl = Init)* ;", "(Spec)* Decl (, Decl)* ;", "(Spec)* ;", "(Spec)* Decl Block", "K ( Head ) Stmt", "E Stmt", "R (Expr)? ;", "B ;", "D Expr :", "L :", "n : Stmt", "E Block K ( Expr ) ;", "A Spec Decl ;"],
-        "Head": ["Expr", "(Spec)* Decl = Expr ; Expr ; Expr", "; ;", "Expr ; Expr ; Expr (, Expr)*", "; Expr ; Expr", "(Spec)* Decl = Expr ; Expr ;", "Expr ; Expr ;"],
-        "Block": ["{ (Stmt)* }"],
-        "Atom": [*_EXPR["Atom"], "( (Spec)* (Ptr)* ) Unary", "( (Spec)* (Ptr)* ) { (List)? }", "W ( (Spec)* (Ptr)* )", "W Unary", "{ (List)? }", "n s", "s n"],
-        "Tail": [*_EXPR["Tail"], "a n"],
-    },
-    "python": {
-        "File": ["N (Line)* $", "N $"],
-        "Line": ["Simple (; Simple)* (;)? N", "Compound : N", "Compound : Simple N", "@ Expr N", "Simple ; N"],
-        "Compound": ["k Expr", "A k Expr", "k Expr (, Expr)* O Expr", "A k Targets O List", "k Expr S Expr", "A k Expr (S Target)?", "k Expr S Target (, Expr S Target)*", "k Expr (, Expr)*", "k ( List )", "E", "y", "p", "p Expr", "p Expr S n", "p b Expr", "p b Expr S n", "F n ( (Params)? )", "F n ( (Params)? ) a Expr", "A F n ( (Params)? ) (a Expr)?", "C n", "C n ( (List)? )", "F n [ List ] ( (Params)? )", "C n [ List ]"],
-        "Targets": ["Target (, Target)* (,)?"], "Target": ["Expr", "b Expr"],
-        "Params": ["Param (, Param)* (,)?"], "Param": ["n", "n = Expr", "n : Expr", "n : Expr = Expr", "b n", "o n", "o n : Expr", "b n : Expr", "b", "o"],
-        "Simple": ["List", "Targets = List", "Targets = Targets = List", "Expr : Expr", "Expr : Expr = Expr", "R", "R List", "R Expr M Expr", "B", "I Mod (, Mod)*", "M Dots I Names", "M (Dots)? Path I Names", "W List", "Targets = W List", "W M Expr"],
-        "Dots": [".", "e", "Dots Dots"], "Path": ["n (. n)*"], "Mod": ["Path (S n)?"], "Names": ["n (S n)? (, n (S n)?)* (,)?", "b", "( n (S n)? (, n (S n)?)* (,)? )", "o"],
-        "Expr": ["Cond", "l : Expr", "l (Largs)? : Expr", "Cond k Cond E Expr", "Cond = Expr", "W Expr", "W"], "Largs": ["n (, n)*", "n = Expr", "b n", "o n", "Largs , Largs", "n ,"],
-        "Cond": ["Unary (Bin Unary)*"], "Bin": ["o", "b", "O", "u O", "O u", "@"], "Unary": ["(Pre)* Post"], "Pre": ["b", "u"],
-        "Post": ["Atom (Tail)*"], "Atom": ["n", "0", "s (s)*", "e", "( (List)? )", "( Comp )", "[ (List)? ]", "[ Comp ]", "{ (List)? }", "{ Comp }", "{ Dict }", "( W (List)? )", "( W M Expr )"],
-        "Dict": ["Pair (, Pair)* (,)?", "Pair For"], "Pair": ["Expr : Expr", "o Expr"],
-        "Comp": ["Expr For"], "For": ["(A)? k Targets O Cond (Filter)*"], "Filter": ["k Cond", "For"],
-        "Tail": [". n", "( (List)? )", "( Comp )", "[ Index ]"], "Index": ["Expr", ": (Expr)?", "Expr : (Expr)?", "Index , Index", "Index : Expr", "Index :", "b Expr"],
-        "List": ["Item (, Item)* (,)?"], "Item": ["Expr", "b Expr", "o Expr", "n = Expr", "Expr For"],
-    },
+_JS = _EXPR | {
+    "Top": ["Unit"],
+    "Unit": ["(Stmt)* (Open)?"],
+    "Stmt": ["Open ;", ";", "G", "Func", "Cls", "K P Stmt", "K W P Stmt", "K P Open", "K G", "E Stmt", "D Exprs :", "D Exprs : G", "L :", "L : G", "n : Stmt", "Export Func", "Export Cls", "I L Func", "I L Cls"],
+    "Open": ["Exprs", "V Bind (, Bind)*", "c Bound (, Bound)*", "R (Exprs)?", "B (n)?", "E Open", "I Import", "Export Open", "I L Expr", "I G (M s)?", "I b (M n)? M s", "I G (O G)?"],
+    "Export": ["I"],
+    "Import": ["s", "n M s", "G M s", "b M n M s", "n , G M s", "n , b M n M s", "P (Tail)*"],
+    "Bind": ["Pattern (= Expr)?"],
+    "Bound": ["Pattern = Expr"],
+    "Pattern": ["Name", "Q", "G"],
+    "Name": ["n", "A", "M"],
+    "Head": ["Exprs", "(Init)? ; (Exprs)? ; (Exprs)?", "(Decl)? Pattern O Exprs", "Expr O Exprs"],
+    "Decl": ["V", "c"],
+    "Init": ["Exprs", "V Bind (, Bind)*", "c Bound (, Bound)*"],
+    "Func": ["(A)? F (b)? (Name)? P G"],
+    "Cls": ["C (Name)? (x Unary)? G"],
+    "Body": ["(Member)*", "(Member)* (A)* Key = Expr", "(Member)* (A)* Key"],
+    "Member": ["(A)* (b)? Key P G (;)?", "(A)* Key (= Expr)? ;", "A G", ";"],
+    "Key": ["n", "s", "0", "Q", "A", "M", "K", "E", "R", "W", "B", "V", "c", "F", "C", "I", "D", "L", "O", "x"],
+    "Paren": ["(List)?"],
+    "Square": ["(, )* (Item (, )* )* (Item)?", "(Cell)* (Item)?"],
+    "Cell": ["Item ,", ","],
+    "Elems": ["(Prop (, Prop)* (,)?)?", "NameAs (, NameAs)* (,)?"],
+    "NameAs": ["n (M n)?", "L M n", "n M L"],
+    "Prop": ["Key : Expr", "Name (= Expr)?", "e Expr", "(A)* (b)? Key P G"],
+    "Item": ["Expr", "e Expr"],
+    "Atom": ["Name", "0", "s (s)*", "r", "P", "Q", "G", "Func", "Cls", "Arrow", "I P", "I . n", "W"],
+    "Arrow": ["(A)? Name a Expr", "(A)? P a Expr", "A P a Expr"],
+    "Tail": [". n", "P", "Q", "s", "? . n", "? . P", "? . Q"],
 }
 _TS = {
-    "Type": ["n (. n)* (TArgs)?", "Type [ (Type)? ]", "{ (Field)* }", "( Type )", "( (TParams)? ) a Type", "Type b Type", "Type o Type", "s", "0", "A Type", "W n", "n A Type", "[ (Type (, Type)*)? ]", "W Type", "Type x Type ? Type : Type", "b 0", "W ( (TParams)? ) a Type"],
-    "TArgs": ["o Type (, Type)* o", "o n x Type o", "o n = Type o"], "Field": ["(A)* Key (?)? : Type (Sep)?", "[ n : Type ] : Type (Sep)?", "Key ( (TParams)? ) : Type (Sep)?", "[ n O Type ] : Type (Sep)?"], "Sep": [";", ","],
-    "TParams": ["TParam (, TParam)* (,)?"], "TParam": ["(A)* n (?)? : Type", "(A)* n : Type = Expr", "n", "e n : Type", "n = Expr", "Pattern : Type"],
+    "Top": ["Unit"],
+    "Stmt": [*_JS["Stmt"], "Type1 ;", "A n G", "A s G", "(A)* A n (TArgs)? (x Type (, Type)*)? G", "A V A n G", "A Stmt", "c A n G", "I A Stmt", "(Mark)* (A)* Cls", "(Mark)* I (L)? (A)* Cls", "(I)? (L)? (A)* F (b)? (Name)? (TArgs)? P (: Type)? ;", "Mark ;"],
+    "Open": [*_JS["Open"], "Type1", "A Open", "I A G (M s)?", "I A n M s", "I A Open", "I n = n P", "I = Expr"],
+    "Type1": ["(A)* n (TArgs)? = Type", "A (A)* n (TArgs)? = Type"],
+    "Bind": ["Pattern (u)? (: Type)? (= Expr)?"],
+    "Bound": ["Pattern (: Type)? = Expr", "Pattern : Type"],
+    "Func": ["(A)? F (b)? (Name)? (TArgs)? P (: Type)? G"],
+    "Cls": ["C (Name)? (TArgs)? (x Type (, Type)*)* G"],
+    "Mark": ["@ n (. n)* (P)?"],
+    "Member": ["(Mark)* (A)* (b)? Key (?)? (TArgs)? P (: Type)? G (;)?", "(Mark)* (A)* (b)? Key (?)? (TArgs)? P (: Type)? Sep", "(Mark)* (A)* Key (?)? (u)? (: Type)? (= Expr)? Sep", "(A)* Q (?)? : Type Sep", "(TArgs)? P (: Type)? Sep", "W P : Type Sep", "A G", ";"],
+    "Sep": [";", ","],
+    "Body": ["(Member)* (Rest)?", "Enum (, Enum)* (,)?"],
+    "Rest": ["(A)* Key (?)? (TArgs)? P (: Type)?", "(A)* Key (?)? (u)? (: Type)? (= Expr)?", "(A)* Q (?)? : Type", "W P : Type", "(TArgs)? P : Type"],
+    "Enum": ["Key (= Expr)?"],
+    "TPart": ["n (. n)* (TArgs)?", "s", "0", "b 0", "G", "Q", "P", "A", "W", "r"],
+    "Type": ["(o)? Type2 ((o) Type2)*"],
+    "Type2": ["Type3 (b Type3)*", "(TArgs)? P a Type", "W (TArgs)? P a Type", "n A Type", "A n A Type", "Type3 x Type ? Type : Type"],
+    "Type3": ["(TPre)* TPart (Q)*"],
+    "TPre": ["A", "W"],
+    "TArgs": ["o TArg (, TArg)* (,)? (o)?"],
+    "TArg": ["Type (x Type)? (= Type)?", "n O Type"],
+    "Param": ["(Mark)* (A)* Pattern (?)? (: Type)? (= Expr)?", "e Pattern (: Type)?"],
+    "Paren": ["(List)?", "Param (, Param)* (,)?", "Type", "Type (, Type)*"],
+    "Square": [*_JS["Square"], "Type (?)? (, Type (?)?)* (,)?", "n : Type", "n O Type", "TMember (, TMember)*"],
+    "TMember": ["(e)? n (?)? : Type", "e Type"],
+    "Elems": [*_JS["Elems"], "(Member)* (Rest)?", "(A)? NameAs (, (A)? NameAs)* (,)?"],
+    "Expr": ["Unary (Bin Unary)* (As)* (Bin Unary (As)*)* (? Expr : Expr)?"],
+    "As": ["M Type", "A Type", "M c"],
+    "Unary": ["(Pre)* Atom (Tail)* (i)?", "o Type o Unary"],
+    "Arrow": ["(A)? Name a Expr", "(A)? (TArgs)? P (: Type)? a Expr"],
+    "Tail": [*_JS["Tail"], "u", "TArgs P"],
 }
-_JS = _GRAMMARS["javascript"]
-_GRAMMARS["typescript"] = _JS | _TS | {
-    "Stmt": [*_JS["Stmt"], "(A)* A n (TArgs)? = Type ;", "(A)* A n (TArgs)? (x Type (, Type)*)? { (Field)* }", "(A)* A n { (Enum)? }", "A V A n { (Enum)? }", "(A)* V n : Type = Expr ;", "(A)* V n : Type ;", "A Stmt", "I A Stmt", "A s { (Stmt)* }", "V A n { (Enum)? }", "I A { (Names)? } M s ;", "V Pattern : Type = Expr ;", "@ Expr Cls", "@ Expr Stmt"],
-    "Enum": ["n (= Expr)? (, n (= Expr)?)* (,)?"],
-    "Func": ["(A)? F (b)? (n)? (TArgs)? ( (TParams)? ) (: Type)? Block", "(A)? F n (TArgs)? ( (TParams)? ) : Type ;"],
-    "Cls": ["(A)* C (n)? (TArgs)? (x Type (, Type)*)* { (Member)* }"],
-    "Member": [*_JS["Member"], "(A)* (b)? Key (TArgs)? ( (TParams)? ) (: Type)? Block", "(A)* Key (?)? : Type = Expr ;", "(A)* Key (?)? : Type ;", "(A)* Key u : Type ;", "(A)* Key ( (TParams)? ) : Type ;", "@ Expr Member"],
-    "Arrow": ["(A)? n a Body", "(A)? (TArgs)? ( (TParams)? ) (: Type)? a Body"],
-    "Expr": [*_EXPR["Expr"], "Expr M Type", "Expr A Type"],
-    "Tail": [*_JS["Tail"], "u", "TArgs ( (List)? )"],
-    "Item": [*_EXPR["Item"]],
+_JAVA = _EXPR | {
+    "Top": ["(TopStmt)*"],
+    "TopStmt": [";", "I (A)? n (. n)* (. b)? ;", "(Mod)* I n (. n)* ;", "Cls"],
+    "Unit": ["(Stmt)*"],
+    "Body": ["(Member)*", "Enum (, Enum)* (,)? (; (Member)*)?", "; (Member)*"],
+    "Enum": ["(Mod)* n (P)? (G)?"],
+    "Type": ["n (Gen)? (. n (Gen)?)* (Q)*"],
+    "Gen": ["o (GArg (, GArg)*)? (o)?"],
+    "GArg": ["Type", "?", "? x Type", "? W Type", "n x Type (b Type)*", "? n Type"],
+    "Mod": ["A", "@ n (. n)* (P)?"],
+    "Vars": ["Var (, Var)*"],
+    "Var": ["n (Q)* (= Expr)?"],
+    "Stmt": ["Expr ;", ";", "G", "(Mod)* Type Vars ;", "K P Stmt", "E Stmt", "E P G", "A P G", "R (Expr)? ;", "R Expr : Expr ;", "B (n)? ;", "Label :", "Label a Stmt", "n : Stmt", "Cls", "Member", "n Expr ;"],
+    "Label": ["D Cases", "L"],
+    "Cases": ["Case (, Case)* (n Expr)?"],
+    "Case": ["Expr", "Type n", "L", "Type P"],
+    "Cls": ["(Mod)* (n)? C n (Gen)? (P)? (x Type (, Type)*)* (n Type (, Type)*)? G", "(Mod)* @ C n G", "(Mod)* n n (Gen)? P (x Type (, Type)*)? G", "(Mod)* n b n C n (Gen)? (x Type (, Type)*)* G"],
+    "Member": ["(Mod)* (Gen)? (Mod)* Type n P (Q)* (Throws)? G", "(Mod)* (Gen)? n P (Throws)? G", "(Mod)* (Gen)? Type n P (Q)* (Throws)? ;", "(Mod)* (Gen)? Type n P L Expr ;", "(Mod)* Type Vars ;", "A G", "G", "Cls", "(Mod)* n G", ";"],
+    "Throws": ["x Type (, Type)*"],
+    "Param": ["(Mod)* Type (e)? n (Q)*", "(Mod)* Type n . n"],
+    "Paren": ["(List)?", "Param (, Param)*", "Type", "n (, n)*", "Res (; Res)* (;)?", "Type (b Type)*"],
+    "Call": ["(List)?", "Type (b Type)*"],
+    "Res": ["(Mod)* Type n = Expr", "Expr"],
+    "Head": ["Expr", "(Init)? ; (Expr)? ; (List)?", "(Mod)* Type n : Expr", "(Mod)* Type (o Type)* n"],
+    "Init": ["List", "(Mod)* Type Vars"],
+    "Square": ["(Expr)?"],
+    "Elems": ["(List)?"],
+    "Atom": ["n", "0", "s (s)*", "P", "G", "W Type P (G)?", "W n (. n)* (Gen)? (Q)* (G)?", "n a Expr", "P a Expr", "Type . C", "K P G", "C", "A"],
+    "Unary": ["(Pre)* Atom (Tail)* (i)?", "P Unary"],
+    "Expr": ["Unary (Bin Unary)* (? Expr : Expr)?", "Unary O (A)? Type (n)? (Bin Unary (O Type (n)?)?)* (? Expr : Expr)?", "Unary (Bin Unary)* Bin Unary O (A)? Type (n)? (Bin Unary (O Type (n)?)?)* (? Expr : Expr)?"],
+    "Tail": [". n", "P", "Q", ". Gen n", ". W n P", ". C", ". b"],
 }
+_GO = _EXPR | {
+    "First": ["(;)* I n ;", "(;)*"],
+    "Top": ["(TopStmt)*"],
+    "TopStmt": [";", "I n ;", "I s ;", "I n s ;", "I . s ;", "I P ;", "V Spec ;", "V P ;", "F n (Q)? P (Result)? (G)? ;", "F P n P (Result)? (G)? ;"],
+    "Unit": ["(Stmt ;)* (Stmt)?"],
+    "Stmt": ["Exprs", "Exprs = Exprs", "Expr a Expr", "V Spec", "V P", "K (Head)? G", "Y If G (E Y If G)* (E G)?", "R (Exprs)?", "B (n)?", "G", "n : Stmt", "Case Stmt", "Case", ""],
+    "Case": ["D Simple :", "D Types :", "L :"],
+    "Simple": ["Exprs", "Exprs = Exprs", "Expr a Expr", "Exprs = a Expr"],
+    "If": ["Simple", "(Simple)? ; Simple"],
+    "Head": ["Simple", "(Simple)? ; (Simple)?", "(Simple)? ; (Simple)? ; (Simple)?", "Exprs = A Expr", "A Expr"],
+    "Types": ["Type (, Type)*"],
+    "Type": ["(TPre)* TPart"],
+    "TPre": ["b", "Q", "A Q", "A a", "a A", "A", "u"],
+    "TPart": ["n (. n)? (Q)?", "A G", "F P (Result)?", "P"],
+    "Result": ["Type"],
+    "Spec": ["n (, n)* Type (= Exprs)?", "n (, n)* = Exprs", "n (Q)? (=)? Type", "n"],
+    "Fields": ["(Field ;)* (Field)?"],
+    "Field": ["n (, n)* Type (s)?", "(b)? n (. n)? (Q)? (s)?", "n P (Result)?", "Type (o Type)*", ""],
+    "Params": ["Param (, Param)* (,)?"],
+    "Param": ["n Type", "n e Type", "Type", "e Type"],
+    "Paren": ["(List)?", "Params", "V", "(Group ;)* (Group)?", "Type (, Expr)* (,)?"],
+    "Call": ["(List)?"],
+    "Group": ["Spec", "s", "n s", ". s", ""],
+    "Square": ["(Expr)?", "(Expr)? : (Expr)? (: Expr)?", "e", "Types", "n (, n)* Type (o Type)* (, n (, n)* Type (o Type)*)*", "Type (o Type)*"],
+    "Elems": ["(Elem (, Elem)* (,)?)?"],
+    "Elem": ["(Expr :)? Expr"],
+    "Atom": ["n", "0", "s", "P", "G", "F P (Result)? G", "Type G", "Type P", "b Type"],
+    "Pre": ["b", "u", "a"],
+    "Tail": [". n", ". P", "P", "Q", "e"],
+    "Expr": ["Unary (Bin Unary)*"],
+    "Bin": ["o", "b"],
+    "Unary": ["(Pre)* Atom (Tail)* (i)?"],
+    "Item": ["Expr (e)?", "Type"],
+}
+_C = _EXPR | {
+    "Top": ["(TopStmt)*"],
+    "TopStmt": [";", "G", "Specs ;", "Specs Inits ;", "(Specs)? Called G", "Specs Called Specs Decl (, Decl)* ;", "n P ;", "n P", "A s G"],
+    "Unit": ["(Stmt)*"],
+    "Body": ["(Stmt)*", "Enum (, Enum)* (,)?"],
+    "Enum": ["n (= Expr)?"],
+    "Specs": ["(A)* n (A)*", "A (A)*", "(A)* A (n)? G (A)*", "(A)* A (A)* n (A)*"],
+    "Decl": ["(Ptr)* n (Suffix)*", "(Ptr)* P (Suffix)*"],
+    "Called": ["(Ptr)* n P", "(Ptr)* P P"],
+    "Ptr": ["b (A)*"],
+    "Suffix": ["Q", "P"],
+    "Inits": ["Init (, Init)*"],
+    "Init": ["Decl (= Expr)?", "Decl : Expr", ": Expr"],
+    "Stmt": ["Exprs ;", ";", "G", "Specs ;", "Specs Inits ;", "K P Stmt", "K P", "E Stmt", "R (Exprs)? ;", "B ;", "D Expr (e Expr)? :", "L :", "n :"],
+    "Head": ["Exprs", "(Start)? ; (Exprs)? ; (Exprs)?"],
+    "Start": ["Exprs", "Specs Inits"],
+    "Param": ["Specs (Decl)?", "Specs (Ptr)* (Q)?", "Specs (Ptr)* (P P)?", "e"],
+    "Paren": ["(List)?", "Param (, Param)*", "(Ptr)* n (Suffix)*", "(Ptr)* (A)* n (Suffix)*", "Ptr (Ptr)* (Q)?"],
+    "Call": ["(List)?", "(Ptr)* (A)* n (Suffix)*", "Ptr (Ptr)* (Q)?", "Specs (Ptr)* P P"],
+    "Square": ["(Expr)?", "A (Expr)?", "Expr e Expr"],
+    "Elems": ["(Elem (, Elem)* (,)?)?"],
+    "Elem": ["(Place =)? Expr"],
+    "Place": ["(Step)* Step"],
+    "Step": [". n", "Q"],
+    "Item": ["Expr", "Specs (Ptr)* (Q)?"],
+    "Expr": ["Unary (Bin Unary)* (? Expr : Expr)?"],
+    "Atom": ["n (s)*", "0", "s (s)* (n (s)*)*", "P", "G", "W P", "W"],
+    "Unary": ["(Pre)* Atom (Tail)* (i)?", "P Unary", "P G (Tail)*"],
+    "Pre": ["b", "u", "i", "W", "o"],
+    "Tail": [". n", "a n", "P", "Q"],
+}
+# Python: only texts that are surely valid; all others are asked of the exact parser. A unit begins with the last class of the line before (@ for a decorator), marks of
+# indentation, and the kind of block that ended (see ``syntax._lines``).
+_PYTHON = {
+    "Unit": ["Before N Simples N", "Before N Head N", "Begin N Head N", "@ N @ Expr N", "@ N Def N", "Before N @ Expr N", "Begin N @ Expr N", "Begin N Simples N", "Ended N Late N", "Before N $", "Begin N $", "Ended N $"],
+    "Begin": ["^", ": >"],
+    "Last": ["n", "0", "s", "e", "P", "Q", "G", "R", "B", "b", "W", ";"],
+    "Before": ["Last", "Last Out"],
+    "Out": ["<", "< k", "< z", "< p", "< E"],
+    "Ended": ["Last < k", "Last < z", "Last < p", "Last < y", "Last < E"],
+    "Late": ["E : (Simples)?", "p (Expr)? (S n)? : (Simples)?", "p Expr , Expr : (Simples)?"],
+    "Head": ["(A)? k Withs : (Simples)?", "(A)? z Targets O Exprs : (Simples)?", "y : (Simples)?", "Def"],
+    "Def": ["(A)? F n P (a Expr)? : (Simples)?", "C n (P)? : (Simples)?"],
+    "Withs": ["With (, With)*"],
+    "With": ["Expr (S Target)?"],
+    "Simples": ["Simple (; Simple)* (;)?"],
+    "Simple": ["Exprs", "(Targets =)* Targets = Exprs", "(Targets =)* Targets = W Exprs", "Place h Exprs", "Place : Expr (= Expr)?", "g Place (, Place)*", "j Expr (, Expr)?", "R", "R Exprs", "R Expr M Expr", "B", "I Path (S n)? (, Path (S n)?)*", "M (Dots)? (Path)? I Names", "W (Exprs)?", "W M Expr"],
+    "Dots": [".", "e", "Dots1 Dots"], "Dots1": [".", "e"], "Path": ["n (. n)*"], "Names": ["n (S n)? (, n (S n)?)*", "b", "P"],
+    "Targets": ["Target (, Target)* (,)?"],
+    "Target": ["(b)? Place"],
+    "Place": ["n", "n (Step)* Sub", "s (Step)* Sub", "P (Step)* Sub"],
+    "Sub": [". n", "Q"],
+    "Step": [". n", "P", "Q"],
+    "Exprs": ["Star (, Star)* (,)?"],
+    "Star": ["(b)? Expr"],
+    "Expr": ["Or (k Or E Expr)?", "l (Largs)? : Expr", "n w Expr"],
+    "Or": ["(Pre)* Atom (Tail)* (Bin (Pre)* Atom (Tail)*)*"],
+    "Bin": ["o", "b", "O", "u O", "O u", "@"],
+    "Pre": ["b", "u", "W"],
+    "Atom": ["n", "0", "s (s)*", "e", "P", "Q", "G"],
+    "Tail": [". n", "P", "Q"],
+    "Largs": ["Param (, Param)* (,)?"],
+    "Param": ["n", "n = Expr", "b n", "o n"],
+    "Paren": ["", "Star , (Star (, Star)*)? (,)?", "Comp", "W (Exprs)?", "W M Expr", "n = Expr", "Names2", "Args (,)?", "Pars (,)?"],
+    "Names2": ["n (S n)? (, n (S n)?)* (,)?"],
+    "Args": ["Plain (, Plain)* (, Named)*", "Named (, Named)*"], "Plain": ["Expr", "b Expr"], "Named": ["n = Expr", "o Expr"],
+    "Pars": ["Par (, Par)* (, o)? (, Par)* (, Def1)* (, b (n Hint)? (, Key1)*)? (, o n Hint)?", "Def1 (, Def1)* (, b (n Hint)? (, Key1)*)? (, o n Hint)?", "b n Hint (, Key1)* (, o n Hint)?", "b , Key1 (, Key1)* (, o n Hint)?", "o n Hint"],
+    "Par": ["n Hint"], "Def1": ["n Hint = Expr"], "Key1": ["n Hint (= Expr)?"], "Hint": ["(: Expr)?"],
+    "Comp": ["Expr For"], "For": ["(A)? z Targets O Or (Filter)*"], "Filter": ["k Or", "For"],
+    "Square": ["", "Exprs", "Comp", "Slice (, Slice)* (,)?"],
+    "Slice": ["(Expr)? : (Expr)?", "(Expr)? : (Expr)? : (Expr)?", "Expr"],
+    "Elems": ["", "Exprs", "Comp", "Pair (, Pair)* (,)?", "Pair For"],
+    "Pair": ["Expr : Expr", "o Expr"],
+}
+_GRAMMARS = {"javascript": _JS, "typescript": _JS | _TS, "java": _JAVA, "go": _GO, "c": _C, "python": _PYTHON}
+#: Tags of a unit, by its place: t at the outer level, u in a block, e in an expression's curly brackets, c in a class or type body, b where a block or an expression's brackets can stand.
+TAGS = {"f": ("First",), "t": ("Top",), "u": ("Unit",), "e": ("Elems",), "c": ("Body", "Unit"), "b": ("Unit", "Elems", "Body")}
+#: What stands before a name whose round brackets may hold declarations (^ is the begin of a declaration).
+_DECLARES = {"c": "nAb^", "java": "nAo]^)", "go": "F)^]"}
+#: Other classes before round brackets that may hold declarations.
+_OPENS = {"c": ")]A", "java": "EA", "go": "F)IV.]"}
+#: Statements that no unit begins with: a function statement without a name.
+_NEVER = {"javascript": re.compile("A?Fb?P"), "typescript": re.compile("A?Fb?P")}
+
+
+def start_of(language: str, opener: str, before: str, after: str) -> tuple[str, ...]:
+    """The productions that what a bracket holds may follow; ``before`` are the two classes before the bracket, ``after`` is the one behind it."""
+    if opener == "(":
+        last = before[-1:]
+        if language in ("javascript", "typescript"):
+            return ("Head",) if last == "K" else ("Head", "Paren") if last == "W" else ("Paren",)
+        if language in _DECLARES:
+            if last == "K" and language != "go":
+                return ("Head",)
+            declares = before[0] in _DECLARES[language] if last == "n" else last in _OPENS[language] or (language == "java" and after == "a")
+            return ("Paren",) if declares else ("Call",)
+        return ("Paren",)
+    if opener == "[":
+        return ("Square",)
+    if opener == "{":
+        return ("Elems",)
+    if language == "go" and opener == "c":
+        return ("Fields", "Unit", "Elems")
+    if language == "javascript" and opener == "c":
+        return ("Body",)
+    return tuple(x for x in TAGS[opener] if x in _GRAMMARS[language]) or ("Unit",)
 
 
 def _tree(text: str) -> list[tuple[object, str]]:
@@ -192,62 +330,110 @@ def _tree(text: str) -> list[tuple[object, str]]:
     return out
 
 
-@lru_cache(maxsize=8)
-def permitted(language: str) -> frozenset[str]:
-    """All two-letter strings of classes that can be adjacent in some text of the grammar."""
-    grammar = {name: [_tree(alt) for alt in alts] for name, alts in _GRAMMARS[language].items()}
-    first: dict[str, set[str]] = {n: set() for n in grammar}
-    last: dict[str, set[str]] = {n: set() for n in grammar}
-    empty: dict[str, bool] = {n: False for n in grammar}
-    pairs: set[str] = set()
+class Grammar:
+    """Productions of one language: what can be first and last in each, which classes can be adjacent, and whether a text follows a production."""
+
+    def __init__(self, language: str):
+        self.never = _NEVER.get(language)
+        self.rules = {name: [_tree(alt) for alt in alts] for name, alts in _GRAMMARS[language].items()}
+        self.first: dict[str, set[str]] = {n: set() for n in self.rules}
+        self.last: dict[str, set[str]] = {n: set() for n in self.rules}
+        self.empty: dict[str, bool] = {n: False for n in self.rules}
+        self.pairs: set[str] = set()
+        size = lambda: len(self.pairs) + sum(map(len, self.first.values())) + sum(map(len, self.last.values())) + sum(self.empty.values())
+        before = -1
+        while before != size():
+            before = size()
+            for name, alts in self.rules.items():
+                for alt in alts:
+                    f, la, e = self._run(alt)
+                    self.first[name] |= f
+                    self.last[name] |= la
+                    self.empty[name] = self.empty[name] or e
+        self.leads = {name: [self._run(alt)[::2] for alt in alts] for name, alts in self.rules.items()}
 
-    def look(part: object, mark: str) -> tuple[set[str], set[str], bool]:
+    def _look(self, part: object, mark: str) -> tuple[set[str], set[str], bool]:
         if isinstance(part, list):
-            f, la, e = run(part)
+            f, la, e = self._run(part)
             if mark == "*":
-                pairs.update(a + b for a in la for b in f)
+                self.pairs.update(a + b for a in la for b in f)
             return f, la, e or mark in ("*", "?")
-        if part in grammar:
-            return first[part], last[part], empty[part]
+        if part in self.rules:
+            return self.first[part], self.last[part], self.empty[part]
         return {part}, {part}, False
 
-    def run(parts: list[tuple[object, str]]) -> tuple[set[str], set[str], bool]:
+    def _run(self, parts: list[tuple[object, str]]) -> tuple[set[str], set[str], bool]:
         f: set[str] = set()
         open_last: set[str] = set()
         all_empty = True
         for part, mark in parts:
-            pf, pl, pe = look(part, mark)
-            pairs.update(a + b for a in open_last for b in pf)
+            pf, pl, pe = self._look(part, mark)
+            self.pairs.update(a + b for a in open_last for b in pf)
             if all_empty:
                 f = f | pf
             open_last = (open_last | pl) if pe else set(pl)
             all_empty = all_empty and pe
         return f, open_last, all_empty
 
-    before = -1
-    while before != len(pairs) + sum(map(len, first.values())) + sum(map(len, last.values())) + sum(empty.values()):
-        before = len(pairs) + sum(map(len, first.values())) + sum(map(len, last.values())) + sum(empty.values())
-        for name, alts in grammar.items():
-            for alt in alts:
-                f, la, e = run(alt)
-                first[name] |= f
-                last[name] |= la
-                empty[name] = empty[name] or e
-    return frozenset(pairs)
-
-
-#: Statement productions, as patterns over a unit's reduced classes (P and Q stand for a closed pair of brackets) that no permitted unit matches.
-BROKEN = {
-    "javascript": [r"(?<=[;{}^])K(?![P(]|n[P(])", r"V(?![n{\[QA])", r"E(?=[;)\],=.])", r"C(?!n?x?[n.P]*\{|n$)(?!n?[{x])", r"(?<=[;{}^])F(?!b?n?[P(])", r"^.I(?![Mn{bsPFCVAL(@.])", r"^.In;$", r"^.I[nbM,]*\$$", r"(?<=[;{}^])FnP(?!\{)", r"[^{};^]\$$", r"(?<=[;{}^])nnP?\{"],
-    "typescript": [r"(?<=[;{}^])K(?![P(]|n[P(])", r"E(?=[;)\],=.])", r"(?<=[;{}^])F(?!b?n?[oP(])", r"[^{};^]\$$", r"(?<=[;{}^])nn"],
-    "java": [r"(?<=[;{}^])K(?![P(])", r"E(?=[;)\],=.])", r"[^{};^]\$$", r"nnn", r"(?<=[;{}^])nn[.o0s\[]", r"(?<=[;{}^])(?:A)*nnP(?![{;x])", r"I(?!A?n(?:\.n)*(?:\.b)?;)", r"\^[^IAC@;$n]", r"(?<=[;{}^])A+;", r"\bC(?!n)"],
-    "go": [r"E(?![{K])", r"[^{};^]\$$", r"nnn", r"^\^(?!In;|\$)", r"(?<=[;{}^])I(?!n;|s;|ns;|\.s;|[P(])", r"(?<=[;{}^])Fn(?![P(Q\[])", r"(?<=[;{}^])nn[^;]*;$", r"(?<=[;{}^])V(?![n(P])"],
-    "c": [r"(?<=[;{}^])K(?![P(])", r"E(?=[)\],=.])", r"[^{};^]\$$", r"nnn", r"(?<=[;{}^])nn[.o0s]", r"(?<=[;{}^])nnP(?=[^{;,=A])", r"(?<=[;{}^])A*b*n(?==)A"],
-    # A unit of Python begins with the last class of the line before (@ for a decorator), marks of indentation, and the kind of block that it ended.
-    "python": [
-        r"^[^N]*NA?k(?!.*:)", r"^[^N]*NA?[FC](?!n)", r"^[^N]*N(?:A?[kFC]|[Eyp])[^:]*N$", r"^[^N]*N[Ey](?!:)", r"^[^N]*NA?Fn(?![PQ(\[])", r"^[^:]>", r"^:(?!>)", r"l[^:]*$", r"^@[^N]*N(?![@AFC])", r"^[^N]*yN(?![pE])", r"^[^yp]*Np", r"^[^kypEN]*NE", r"^[^N]*NR[^N]*,N$",
-    ],
-}
+    def follows(self, text: str, starts: tuple[str, ...]) -> bool:
+        """Whether the whole text is one of the productions; every way to read it is tried at once, so there is no backtracking."""
+        n = len(text)
+        memo: dict[tuple[str, int], frozenset[int]] = {}
+
+        def of(name: str, i: int) -> frozenset[int]:
+            found = memo.get((name, i))
+            if found is None:
+                memo[name, i] = frozenset()
+                c = text[i] if i < n else ""
+                out: set[int] = set()
+                for alt, (lead, empty) in zip(self.rules[name], self.leads[name], strict=True):
+                    if c in lead:
+                        out |= run(alt, i)
+                    elif empty:
+                        out.add(i)
+                found = memo[name, i] = frozenset(out)
+            return found
+
+        def run(parts: list[tuple[object, str]], i: int) -> set[int]:
+            now = {i}
+            for part, mark in parts:
+                after: set[int] = set()
+                for k in now:
+                    if not isinstance(part, list):
+                        if part in self.rules:
+                            after |= of(part, k)
+                        elif k < n and text[k] == part:
+                            after.add(k + 1)
+                    elif mark == "*":
+                        seen, todo = {k}, [k]
+                        while todo:
+                            for e in run(part, todo.pop()):
+                                if e not in seen:
+                                    seen.add(e)
+                                    todo.append(e)
+                        after |= seen
+                    else:
+                        after |= run(part, k)
+                        if mark == "?":
+                            after.add(k)
+                now = after
+                if not now:
+                    break
+            return now
+
+        if starts[0] in ("Top", "Unit") and self.never is not None and self.never.match(text):
+            return False
+        return any(n in of(start, 0) for start in starts if start in self.rules)
+
+
+@lru_cache(maxsize=8)
+def grammar(language: str) -> Grammar:
+    return Grammar(language)
+
+
+def permitted(language: str) -> frozenset[str]:
+    """All two-letter strings of classes that can be adjacent in some text of the grammar."""
+    return frozenset(grammar(language).pairs)
 
 
 class Lexer:
@@ -277,6 +463,9 @@ class _Classes(dict):
             for c in "?$!~{}":
                 self[c] = {"{": "{", "}": "}", "~": "u"}.get(c, "X")
             self["++"] = self["--"] = "X"
+            self.update({x: "h" for x, c in signs.items() if c == "=" and x != "="} | {":=": "w"})
+        elif language in ("c", "go", "java"):
+            self["**"] = "bb"
 
     def __missing__(self, t: str) -> str:
         c = t[0]
@@ -289,13 +478,15 @@ class _Classes(dict):
             if c in "\r\n":
                 return "\n"
             if self.language == "c" and t.lstrip().startswith("#"):
-                return ";" if len(t.lstrip()) > 1 else "X"
+                return "" if len(t.lstrip()) > 1 else "X"
             if len(t) > 1 and t[-1] in "\"'`" and c not in "=(,:[!&|?{};":
                 return "s"
             if len(t) > 2 and c in "=(,:[!&|?{};" and "/" in t:
                 return ({"!": "u", "&": "b", "|": "o"}.get(c, c)) + "r"
+            if "/" in t and c.isalpha() and self.language in ("javascript", "typescript"):
+                return self.get(re.match(r"\w+", t)[0], "n") + "r"
         if c.isdigit() or (c == "." and len(t) > 1 and t[1].isdigit()):
-            v = "0"
+            v = "X" if self.language == "python" and _ODD_NUMBER.fullmatch(t) else "0"
         elif c.isalpha() or c in "_$" or (c == "#" and len(t) > 1):
             v = "n"
         elif c in " \t\f\v":
