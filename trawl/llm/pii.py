@@ -42,23 +42,26 @@ _ON = re.compile(rf" (?:{_PARTICLE}){{0,1}}[{_UP}][{_LOW}{_UP}’']|-[{_UP}]|, [
 _BEFORE = re.compile(rf"{_WORD}(?: [{_UP}]\.)? $|[{_UP}]\. $|{_WORD} {_PARTICLE}$")
 _TITLED = re.compile(r"(?:Mr|Ms|Mrs|Dr|Prof|Herr|Frau|Mme|Sr|Sra|Señora?)\b")
 
-# --- context words: fixed values ---------------------------------------------------------------------------------------------
-_PHONE_WORDS = re.compile(r"(?i)phone|call|tel\b|tel:|mobile|mobil|desk|pager|sms|my number|handy|fax|reach|tel[eé]fono|t[eé]l[eé]phone|appele|llamar|bereitschaft|telefon|contact|whatsapp|連絡先|電話|电话|联系")
-_ID_WORDS = re.compile(r"(?i)\bssn\b|social security|national insurance|passport|tax id|id card|identity n|identity card|national id|driver'?s licen|personal id|insurance n|steuer|ausweis|personnummer|\bdni\b|\bnif\b|\bnino\b|sozialversicherung|sécurité sociale|pasaporte|passeport|身份证|护照|パスポート|マイナンバー")
-_NUMBER_TRAPS = re.compile(r"(?i)order|part no|build|lines?\b|offset|port\b|version|request id|serial|ticket|commit|invoice|sku|isbn|row|error code|took|listed twice")
-_HOME_WORDS = re.compile(r"(?i)live at|address|adresse|direcci|ship (?:the|it|to)|geocoder|env[ií]o|wohn|domicil|livr|住所|地址|deliver|billing|mail it to|send .{0,20} to\b|endereço|indirizzo|located at|moved to")
-_PLACE_TRAPS = re.compile(r"(?i)section \d|code names?|guide|chapter|release")
-_LEFT = re.compile(
-    r"(?i)(?:[\w-]*-by:|author:|\bby|owner ?[=:]|contact \||\bcontact:|contacto:|\bask|thanks to|assigned to|assignee:?|reviewer:?|cc:?|lo detect[oó]|gemeldet von|\bvon|demander [àa]|bitte|pregunt\w+ [ao]|\bto|\bmr\.?|\bms\.?|\bmrs\.?|\bdr\.?|\bprof\.?|herr|frau|\bm\.|mme\.?|sr\.?|sra\.?|señora?|signalé par|reportado por|vu par|visto por|saludo,|grüße,?|gruß,?|cordialement,?|asignado a|zugewiesen an|assigné à|merci [àa]|gracias a|danke an|name:?|user:?|from:?|regards,?|--|dear|hi|hello|para|par|連絡先[::]|联系|請|请|担当[::]?)\s*$"
-)
-_TITLE = re.compile(r"(?i)(?:\bmr\.?|\bms\.?|\bmrs\.?|\bdr\.?|\bprof\.?|herr|frau|\bm\.|mme\.?|sr\.?|sra\.?|señora?)\s*$")
-_ARTICLE = re.compile(r"(?i)(?:\bthe|\ba|\ban|\d|\bsection|\bour|\bour new|der|die|das|le|la|el|code)\s*$")
-_RIGHT = re.compile(r"(?i)^\.?\s*(?:<|\(?[\w.+-]+(?:@|%40| ?[(\[]at)|said\b|saw it|hat den|for now|before touching|last week|during the|for the trace|\|\s*$|fragen|ayer|a signalé|a vu|wrote|reported|reviewed|yesterday|and [A-ZÀ-Þ]|a été|lo vio|さん|氏|様|先生|女士)")
-_NEGATIVE_RIGHT = re.compile(r"^(?: and [A-Z][\w-]+ (?:Court|Drive|Road|Lane|Street))|^\s*(?:keeps|restarts|share|are |of the|listens|config|is |runs|drops|stores|holds|guide|release)")
+# --- context words: general vocabulary of labels, titles, prepositions and verbs, no phrases of any corpus ----------------------------
+_PHONE_WORDS = re.compile(r"(?i)phone|call|\btel\b|t[eé]l\.|mobile?\b|cell|\bdesk\b|pager|\bsms\b|\btext\b|\bring\b|\bdial|hotline|\bline:|number|handy|\bfax|reach|tel[eé]fono|t[eé]l[eé]phone|appele|llam|m[oó]vil|notruf|bereitschaft|telefon|rufen|contact|whatsapp|連絡先|電話|电话|联系")
+_ID_WORDS = re.compile(r"(?i)\bssn\b|social security|national insurance|passport|tax id|id card|identity|national id|licen[cs]e|personal id|insurance n|steuer|ausweis|reisepass|personnummer|\bdni\b|\bnif\b|\bnino\b|sozialversicherung|sécurité sociale|pasaporte|passeport|身份证|护照|パスポート|マイナンバー")
+_NUMBER_TRAPS = re.compile(r"(?i)\border|\bpart\b|\bitem|batch|\bjob\b|build|revision|\brev\b|lines?\b|offset|\bport\b|version|\bid\b|serial|ticket|commit|invoice|\bsku|isbn|rows?\b|code|model|track|slot|position|range|hash|uuid|seek|epoch|took|host|bind")
+_HOME_WORDS = re.compile(r"(?i)\blive|address|adresse|direcci|deliver|ship|parcel|post|mail|label|wohn|anschrift|zugestellt|domicil|habite|\bvivo|livr|env[ií]o|entrega|住所|地址|billing|invoice|send|sent|endereço|indirizzo|located|moved|home|office|street|visit|find|map")
+_PLACE_TRAPS = re.compile(r"(?i)section|chapter|appendix|part|release|milestone|\bname")
+#: What stands just before a name: a label of a role, a word of agency or address, a greeting or sign-off, a title.
+_ROLE = re.compile(r"(?i)(?:[\w-]*-by:|\b(?:author|owner|contact|reporter|reviewer|maintainer|assignee|approver|name|user|from|to|cc|lead|editor|writer|autor|contacto|kontakt|responsa?ble|ansprechpartner|encargado|zuständig)\b[\"']? ?[:=|：]?[ \"']*|連絡先[::：]|担当[::：]?|作者[::：]?|負責人[::：]?|[(<\[])\s*$")
+_AGENT = re.compile(r"(?i)\b(?:by|to|ask|ping|with|from|via|von|an|bei|durch|mit|laut|frag\w*|bitte|par|selon|avec|voir|demander à|à|a|por|según|con|pregunt\w+ a|para|para|de|was|由|请|請|联系)\s*$")
+_GREETING = re.compile(r"(?i)(?:\b(?:dear|hi|hello|hey|hallo|hola|bonjour|thanks|cheers|regards|best|gruß|grüße|grüßen|saludos?|cordialement|vous|sincerely|merci|danke|gracias)\b,?|^--)\s*$")
+_TITLE = re.compile(r"(?i)(?:\bmr\.?|\bms\.?|\bmrs\.?|\bdr\.?|\bprof\.?|herrn?|frau|\bm\.|mme\.?|sr\.?|sra\.?|señora?)\s*$")
+_ARTICLE = re.compile(r"(?i)(?:\bthe|\ba|\ban|\d|\bsection|\bour|\bnew|\bthis|\beach|der|die|das|le|la|el)\s*$")
+_RIGHT = re.compile(r"(?i)^\.?,?\s*(?:<|\(?[\w.+-]+(?:@|%40| ?[(\[]at)|(?:said|says|saw|wrote|writes|asked|told|thinks|noticed|found|reported|reviewed|confirmed|agrees|agreed|mentioned|will|hat|ist|meldet|sagt|a|ha|lo|dit|confirme|dijo|on|for|before|after|during|when|last|yesterday|today|tomorrow|gestern|heute|hier|ce|ayer|hoy|esta|fragen|instead)\b|\|\s*$|and [A-ZÀ-Þ]|さん|氏|様|先生|女士|提交|が)")
+_NEGATIVE_RIGHT = re.compile(r"^(?:'s)? (?:keeps|runs|holds|reads|writes|stores|drops|has|is|are|was|were|of the|fails|starts|restarts|stops|uses|listens|loads|crashe[sd]|config\w*|guide|release|cluster|module|service)\b|^ and [A-Z][\w-]+ (?:Court|Drive|Road|Lane|Street)")
+#: Nouns of software and of roads, which end no name unless the list of names has them.
 _TECH = set(
-    "gateway cache queue thread threads pool agent lane drive court road street server service worker scheduler manager handler module node cluster index table buffer stream broker router proxy session token window layer engine library framework api client store build test suite job pipeline request response lock merge page user error code release guide notes version update description summary environment problem steps expected actual behavior behaviour node studio cloud actions hub desktop python java script".split()
+    "gateway cache queue thread threads pool agent lane drive court road street server service worker scheduler manager handler module node cluster index table buffer stream broker router proxy session token window layer engine library framework api client store build test suite job pipeline request response lock merge page user error code release guide notes version update description summary environment problem steps expected actual behavior behaviour studio cloud actions hub desktop python java script reader writer parser plugin exception interface system data base file files server map plan list view event task model loader driver adapter factory provider listener controller template".split()
 )
-_STARTERS = set("the a an could when after before setting calling expected review reverting memory nothing ranking please our with we there documentation see part order build pinned use clone section error traceback file no as is it if for from in on at to and or not none true false der die das bitte seit nach im ohne le la il el les los un une al depuis habría merci adresse dirección contacto teléfono rückfragen pueden appeler llamar ask thanks reported assigned tested signed author owner mobile call ship i he she they you my same release steps cannot duplicates hello hi dear best kind regards cheers demander gemeldet".split())
+#: Words that begin sentences and headings.
+_STARTERS = set("the a an could when after before please our with we there see use section error no as is it if for from in on at to and or not none true false der die das bitte seit nach im ohne wir le la il el les los un une al depuis merci can call ask thanks by my i he she they you this that these those what who how why where hello hi dear best kind regards cheers new known internal null read access time step steps main long open dead old last next first windows internet visual apache table getting pull stack hot cold".split())
 
 
 class Lexicon:
@@ -188,7 +191,7 @@ def _name(text: str, a: int, b: int, form: str, lexicon: Lexicon) -> tuple[str,
     previous = text[:a].rstrip(" \t").rsplit("\n", 2)[-2].strip() if "\n" in text[:a] else ""
     return (
         "person_name", a, b,
-        [("full", "comma", "initial").index(form), float(given.lower() in lexicon.given), float(low in lexicon.family), float(given.lower() in lexicon.family or low in lexicon.given), float(bool(_LEFT.search(left))), float(bool(_TITLE.search(left))), float(bool(_ARTICLE.search(left))),
+        [("full", "comma", "initial").index(form), float(given.lower() in lexicon.given), float(low in lexicon.family), float(given.lower() in lexicon.family or low in lexicon.given), float(bool(_ROLE.search(left))), float(bool(_AGENT.search(left))), float(bool(_GREETING.search(left))), float(bool(_TITLE.search(left))), float(bool(_ARTICLE.search(left))),
          float(bool(_RIGHT.match(right))), float(bool(_NEGATIVE_RIGHT.match(right))), float(not left.strip() and not right.strip(" .,")), len(tech), float(street or low in ("lane", "drive", "court", "road", "street")), float(previous in ("--", "-- ") or previous.lower().startswith(("regards", "best", "thanks", "cheers"))),
          float(low.replace("'", "") in near.replace(s.lower(), "").replace("'", "") and "@" in near), float(any(t.endswith(".") for t in tokens)), float(bool(re.search(_PARTICLE, s[len(first) :])) if (first := tokens[0]) else 0), float(s.isupper()), len(words), float(bool(re.search(r"(?i)(?:and|und|et|y|&)\s*$", left) and re.search(rf"{_WORD}\s+(?i:and|und|et|y|&)\s*$", left))),
          float(bool(re.match(rf"(?i)\s*(?:{_KIND}|str)\b", right))), float(bool(re.match(r"\s*[:=(]", right)) and not re.match(r"\s*\([\w.+-]+(?:@|%40| ?[(\[]| AT)", right)), float(words[0].lower() in _STARTERS),

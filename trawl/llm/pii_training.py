@@ -11,31 +11,42 @@ if TYPE_CHECKING:
 #: Sentences made (a documented bound of the training sample).
 SENTENCES = 9_000
 
-# Frames with {person}, {email}, {phone}, {id}, {address}, and frames that hold no personal item.
+# Frames with {person}, {email}, {phone}, {id}, {address}, and frames that hold no personal item. They, the streets, towns and hosts were written for this purpose and stand in none of the
+# documents that the project has (a test looks); what the documents say was not used.
 _WITH = [
-    "{person} saw it first on the staging box.", "Ask {person} before touching the cache.", "Assigned to Dr. {person} for now.", "The ticket was reopened by {person} last week.", "owner={person}", "| contact | {person} |",
-    "Tested-by: {person}", "Thanks to {person} and {person} for the trace.", "Signed-off-by: {person} <{email}>", "Reported-by: {person} <{email}>", "Author: {person} ({email})", "Reported by {person} during the night shift.", "As Ms. {person} said on the call, the table is gone.",
-    "{person} hat den Fehler zuerst gesehen.", "Gemeldet von {person} ({email}).", "Bitte Frau {person} fragen.", "Demander à M. {person}.", "Lo detectó {person} ayer.", "Contacto: {person}, {email}", "-- \n{person}\n", "--\n{person}\n{address}", "Regards,\n{person}", "Reviewed-by: {person}", "Co-authored-by: {person} <{email}>",
-    "請 {person} 確認", "Hi {person}, can you look?", "The patch of {person} was merged.", "According to {person}, the cache is cold.", "{person} wrote: it is gone", "Signalé par {person}.", "cc {person}", "Vu par {person} ce matin.", "Un saludo, {person}", "Viele Grüße, {person}", "Cordialement, {person}", "Gruß, {person}", "Asignado a {person}.", "Assigné à {person}", "Zugewiesen an {person}.", "user={email};", "({email})", "From: {person} <{email}>", "Steuer-ID: '{id}'", "pasaporte n.º: «{id}»",
-    "You can reach me at {email}.", "The bounce went to {email}, which is my private box.", "login={email} attempt=4", '{{"user": "{email}", "ok": false}}', "mailto:{email}", "https://track.example/open?id=31&to={email}&v=2", "cc: {email}; {email}", "Rückfragen bitte an {email}.", "Merci d'écrire à {email}.", "Pueden escribirme a {email}.", "連絡先: {email}",
-    "Call me on {phone} if the queue stalls again.", "On-call phone: {phone}", "sms_to={phone} status=failed", "tel:{phone}", "pager {phone} did not ring", "Mobile {phone} / desk {phone}", "My number is {phone}, any time.", "Llamar al {phone}.", "Appeler le {phone}.", "Bereitschaft unter {phone} erreichbar.", "Teléfono: {phone}", "連絡先: {phone}", "电话: {phone}",
-    "He typed {id} as his {idname} and the parser died.", "The form rejects my {idname} {id}.", "{idname}: {id}", "field slot = '{id}'  # {idname}",
-    "I live at {address}, and the map shows a lake.", "Ship the dongle to {address}.", "The geocoder fails for {address}.", "billing_address: {address}", "Adresse: {address}", "Dirección: {address}", "El envío a {address} falla.", "{address}",
+    "{person} noticed this while exporting.", "Please talk to {person} about the import.", "Handed over to {person} on Monday.", "I spoke with {person} and we agree.", "Review requested from {person}", "maintainer: {person}", "contact={person}", "Written by {person}", "Acked-by: {person}",
+    "Suggested-by: {person} <{email}>", "Fixed-by: {person} ({email})", "Ping {person}.", "{person} is on leave, write to {person} instead.", "as Mr. {person} told us, nothing changed", "Prof. {person} and Dr. {person} both reproduced it.", "Mrs. {person} phoned support.", "Ms. {person} agrees.",
+    "Best,\n{person}", "Kind regards\n{person}\n", "Sincerely,\n{person}", "Cheers,\n{person}", "-- \n{person}", "--\n{person}\n{address}", "{person} wrote:", "From: {person}", "To: {person}, {person}", "| Reporter | {person} |", "name: \"{person}\"", "'assignee': '{person}'", "# TODO({person}): remove this",
+    "This was closed by {person} two days ago.", "Many thanks to {person} and {person}!", "Hello {person}, any news?", "The change by {person} is live.", "{person} will look into it tomorrow.", "{person} asked for a rollback.", "It was {person} who found the culprit.", "cc: {person}", "Spotted by {person} in production.",
+    "Frau {person} meldet dasselbe.", "Herr {person} schaut sich das morgen an.", "Wir haben {person} informiert.", "Ansprechpartner: {person}", "laut {person} fehlt die Datei", "Danke an {person}!", "Mit freundlichen Grüßen\n{person}", "Erfasst von {person}.", "{person} hat es bestätigt.", "Zuständig ist {person}",
+    "Gestern rief Frau {person} an.", "Wie Herr {person} schrieb, geht es nicht.", "Please tell Mr. {person} again.", "Hier encore Mme {person} écrivait.", "Un abrazo, {person}", "Salutations, {person}", "Herzlich, {person}", "Best regards, {person}", "Mme {person} confirme.", "Selon {person}, tout est normal.", "Corrigé par {person}", "Responsable : {person}", "Merci beaucoup {person} !", "Bien à vous,\n{person}", "J'ai parlé avec M. {person}", "{person} a confirmé.", "Voir avec M. {person}.", "Confié à {person}",
+    "La señora {person} lo confirma.", "Según {person}, no hay datos.", "Revisado por {person}.", "Responsable: {person}", "Saludos,\n{person}", "Hablé con {person} esta mañana", "Sr. {person}", "{person} lo confirmó.", "Encargado: {person}, {email}", "Agradezco a {person}",
+    "{person} さんが確認しました", "負責人：{person}", "作者: {person}", "{person} 提交了补丁", "由 {person} 报告", "{person} 様",
+    "Send logs to {email} please.", "<{email}>", "reply-to: {email}", "user {email} is locked out", "E-Mail: {email}", "\"email\": \"{email}\"", "account {email} expired", "notify {email} and {email}", "https://go.blankhost.test/?recipient={email}&lang=en", "Schreiben Sie an {email}.", "Correo: {email}", "Courriel : {email}",
+    "メール: {email}", "邮箱：{email}", "mailto:{email}", "commit of {person} <{email}>", "rcpt={email};", "({email})", "My address is {email} since June.", "Mails for {email} come back.", "[{email}]", "owner: {email}, backup: {email}", "Contact {email}, or use the form.",
+    "Phone {phone}", "Tel. {phone}", "phone={phone}", "my cell is {phone}", "You may ring {phone} until six.", "fax {phone}", "Text me at {phone}.", "emergency line: {phone}", "Rufen Sie {phone} an.", "Telefon: {phone}", "Tél. : {phone}", "Mi móvil es {phone}.", "{{\"phone\": \"{phone}\"}}", "電話番号 {phone}", "联系电话：{phone}",
+    "the hotline ({phone}) is dead", "WhatsApp {phone}", "caller {phone} hung up", "dial {phone} first", "message for {phone} was dropped", "home {phone}, office {phone}", "mobile: {phone}", "tel:{phone}", "Please ring me: {phone}", "{phone}", "to={phone} code=7", "Notruf unter {phone}", "Appelez le {phone}", "Llame al {phone}", "pager={phone}",
+    "{idname} {id} was printed in plain text.", "my {idname} is {id}", "{idname}={id}", "{idname} ({id})", "The scan shows {idname}: {id}.", "Please delete {id}, it is my {idname}.", "v = '{id}'  # {idname}", "Ausweisnummer {id}", "DNI {id}", "numéro d'identité {id}", "身份证号 {id}", "パスポート番号 {id}",
+    "Sozialversicherungsnummer: {id}", "Pasaporte {id}", "parse(\"{id}\")  # {idname}", "With {id} as {idname} the check passes.", "Entering {idname} {id} twice fails.", "{idname} no. {id}", "Steuernummer «{id}»",
+    "My home is at {address}.", "Deliver the parcel to {address}", "We moved to {address} in May.", "office: {address}", "address={address}", "Lieferadresse: {address}", "Zugestellt wird in {address}.", "J'habite {address}", "Vivo en {address}.", "Domicilio: {address}", "住所: {address}", "地址：{address}",
+    "Versand an {address} klappt nicht.", "Un colis pour {address} est perdu.", "Return label: {address}", "Find us at {address}, please.", "The invoice goes to {address}.", "No map knows {address}.", "{person}\n{address}\n", "{address}", "\"street\": \"{address}\"", "shipping to {address} takes days", "Anschrift: {address}", "Adresse postale : {address}", "Entrega en {address}", "visit {address} for the demo",
 ]
 _WITHOUT = [
-    "{given} Gateway restarts the {noun} every {n} minutes.", "The {given} Cache keeps {n} entries per {noun}.", "{n} Worker Threads share one {noun} Pool.", "Section {n} Merge Lane of the {noun} guide is out of date.", "{family} Drive and {family} Court are only the code names of the {noun} releases.",
-    "Part no. 9{d2}-0{d1}-{d5} is listed twice in the {noun} export.", "order {d4} {d5} {d5} {d5} was queued", "Build {d5}-555-{d2} passed, build {d5}-556-{d2} did not.", "Error code 0x{d5}ab{d5} at offset {d5}-{d5}-{d5}.", "See lines {d5}-{d4} and {d5}-{d5}.", "Pinned {noun}@3.{d1}.{d1} and {noun}@7.2.12 in the lock file.",
-    "The node at 192.0.2.{d2} answered on port {d5}.", "The {noun} listens on [::1]:{d5} and 10.{d2}.{d2}.20.", "User Agent and Merge Queue are both null here.", "Clone git@forge.example:{noun}/store_layout.git and run the core suite.", "Use `@{noun}.send` as a decorator, not `@save`.",
-    "2025-0{d1}-1{d1} 21:02:36,{d2} [ui] WARN auger.{noun} - stamp={d5} compute took {d2}.97s", "request id 3f2b{d5}fc{d4}-{d2}-{d2}", "CI turned red on 2024-0{d1}-1{d1}; before that the suite ran in {d2}.77s.", "Der Aufruf von `run()` endet mit RuntimeError, sobald der {noun} leer ist.",
-    "Nach dem Update auf 9.{d1}.2 wird der {noun} nicht mehr geladen.", "Could we bind the {noun} lazily?", "Calling `run()` with an empty {noun} raises KeyError.", "Expected: the {noun} is written once. Actual: it is written {n} times.", "The new {given} Scheduler drops the {noun}.", "Steps To Reproduce", "Release Notes", "Expected Behavior", "## Version Info",
-    "Traceback (most recent call last):", "The log shows {n} retries at position {d2}.", "Serial {d3}-{d2}-{d4} of the {noun} board was replaced.", "invoice {d2} {d3} {d3} {d3} was archived", "tracking {d3}-{d3}-{d4} belongs to the {noun} shipment", "rev {d6}-{d4} of the {noun} branch", "The {family} Server holds {n} rows.", "Merge Page and Cache Index are stale.",
-    "{given} Node answers on port {d5}.", "{family} Road is the name of the {noun} release.", "npm i {noun}@{d1}.{d1}.{d1}", "Chapter {n} Hill Road of the {noun} guide moved.", "Our {given} Pipeline stores {n} rows.", "Java Script", "Visual Studio", "Queue {given} Page",
-    "KeyError: cannot emit buffer {d5}\n\tat org.bus.{noun}.{given}Writer.patch_tree(ShaleSlot.java:{d5})", "Our io wrapper pins the {noun} at {d1}.7.{d1}, so the new {noun} is never loaded.", "the {noun} at org.kiln.{noun} is stale", "The candidate is at position {d2}.", "open the {noun} at example.org or at {noun}.json first",
-    "docker pull registry@sha256:{d5}", "see {noun}@{noun}.service on the host", "@types/{noun} and {noun}@next", "ssh deploy@{noun}.internal:/srv", "We met at {noun}.example on Monday.",
+    "The {given} {family} runs out of memory.", "A {given} {family} holds {n} rows.", "the {family} {family} is slow", "Our {given} {family} was rebuilt.", "0x{d6}a at address {d5}", "code_{d3} at startup", "v{d2} at {noun}", "run {d3} at {noun}.{noun}", "name_{d2} at {noun}.core", "error e{d4} at line {d3}",
+    "clone git@{noun}.test:{noun}/a.git", "fetch hg@blankhost.test:{noun}", "origin git@blankhost.test:{noun}.git (push)", "svn@{noun}.example:/trunk",
+    "{given} Service crashed after {n} requests.", "The {family} Index is rebuilt at night.", "{n} Data Nodes form one Ring.", "Appendix {n} Long Street explains the {noun}.", "{family} Lane is our staging environment.", "We call the {noun} cluster {family} Court.", "{family} Road shipped in March.", "{given} Drive and {family} Street are milestones.",
+    "SKU 9{d2}-0{d1}-{d4} is sold out", "batch {d3} {d3} {d3} {d3} failed", "revision {d5}-{d3}-{d2} of the {noun}", "hash 0x{d6}{d2} differs", "rows {d4}-{d5} are skipped", "upgrade {noun}@2.{d1}.{d1} first", "host 198.51.100.{d2} port {d5}", "bind [::1]:{d5} and 172.16.{d2}.7", "Time Out and Read Only are shown.",
+    "git clone git@code.blankhost.test:team/{noun}.git", "remote: git@blankhost.test:{noun}/core.git", "use the @{noun}.cached decorator", "2023-1{d1}-0{d1}T11:42:07,{d3} INFO {noun} took={d2}ms", "uuid {d6}ab-{d4}-4{d3}-{d4}-{d6}", "part no. 9{d2}-0{d1}-{d4} was replaced", "article {d3}-{d2}-{d4} in the {noun} list", "shift {d4} {d4} {d4} ended",
+    "Null Pointer Exception", "Access Denied", "Internal Server Error", "Pull Request", "Known Issues", "Getting Started", "# Release Plan", "Steps Taken", "Table Of Contents", "Visual Basic", "Internet Explorer", "Apache Kafka uses {n} brokers.", "Hello World", "Merge Conflict and Dead Lock occur.", "Ubuntu Server {n}", "Android Studio", "Amazon Linux", "Windows Update broke the {noun}.",
+    "The new {given} Engine keeps {n} entries.", "Our {given} Worker reads the {noun}.", "A {family} Router has {n} ports.", "The {given} Module, the {family} Plugin and the {given} Library load.", "{given} Client: timeout", "{family} Handler is null", "import {given}{family}", "class {given} Parser", "{given}.{family}()", "see {given}{family}.java:{d2}", "at com.{noun}.{given}Reader.read({given}Reader.java:{d3})",
+    "{noun}@{noun}.timer is masked", "scp build@{noun}.local:/tmp", "docker run {noun}@sha256:{d6}", "@types/{noun}", "{noun}@latest", "We meet at {noun}.net today.", "look at {noun}.json", "values at org.{noun}.core are stale", "pin {noun}@{d1}.{d1}.{d2}", "the cursor at {noun}.rows is closed", "ISBN 97{d1}-{d1}-{d4}-{d4}-{d1}", "invoice {d3}-{d2}-{d4} is paid", "lines {d3}-{d4}, {d5}-{d5}",
+    "build {d5}-{d3}-{d2} is green", "seek to {d6}-{d6}", "slot {d2} {d3} {d3} {d3} is empty", "since 19{d2}-0{d1}-1{d1} {d2}:{d2}", "place {d5}, then {d6}", "{n} of {n} done", "stamped 16{d6}{d2}", "model no. {d3}-{d4}-{d3}", "tracking code {d6}-{d4} is unknown", "ratio {d1}.{d5} {d1}.{d5}", "order no. {d3}-{d3}-{d4}", "ticket {d6}-{d4} is open", "({d3}) {d3}-{d2} items", "range {d4}..{d4}", "seed={d6} step={d5}",
+    "Section {n} River Road was removed.", "part {n} Old Court of the handbook", "{n} Open Place holders", "{n} Dead Lane markers", "{family} Lane Street Map", "open the door at once", "meet at noon", "Step One and Step Two", "Der Dienst startet nicht.", "Die Tabelle ist leer.", "Le service ne répond pas.", "El servicio no arranca.", "The service does not start.", "Unit Tests pass", "New York", "Monday Morning", "Last Friday", "Best Effort", "Dear Reviewer", "Hi Team", "Thanks Everyone",
 ]
 _NOUNS = "anchor batch buffer cache channel cipher cursor digest driver epoch feed frame graph header index kernel layer ledger locale marker matrix node offset operand packet parser pool probe queue relay ring router rule scope sensor session shard sink slot socket stream table target task token topic trace tree vector volume widget worker writer zone".split()
-_STREETS = "Tallow Vesper Heron Quarrymoor Candlewick Hawkers Cinder Thimble Brackenfold Foxearth Ropewalk Saltern Mill Osier Linden Glebe Orchardleigh Elm Harbour Station".split()
-_CITIES = "Elmsfjord Pallingham Varnau Orsholt Calderona Torvale Bremwick Montfaron Westerlode Qasr-Miran".split()
+_STREETS = "Bramblehurst Copperfield Danehill Everglow Fernleigh Gatwold Hollowby Ivystone Juniperton Kestrelby Larkmead Millbrae Nettlecombe Oakhanger Plumstone Ravelow Silverden Thornwick Umberley Wrenfield".split()
+_CITIES = "Aldermoss Brunnthal Castelrosa Dornbach Eastmere Fontblanche Grauburg Hjelmvik Isolabella Kranzfeld".split()
+_ENDINGS = ["test", "example", "invalid", "org", "net", "com", "de", "fr", "io", "edu", "co.uk", "dev.example"]
 _IDS = ["SSN", "social security number", "national insurance no.", "passport no.", "tax id", "ID card number", "personal identity number"]
 _SYLLABLES = "ar bel cor dan el far gil han is jor kel lor mar nor os pel quin ros sef tam ul ver wil yan zel".split()
 
@@ -44,8 +55,8 @@ def _invented(r: random.Random) -> str:
     return "".join(r.choices(_SYLLABLES, k=r.choice((2, 2, 3)))).capitalize()
 
 
-def labelled(seed: int, lexicon: Lexicon) -> list[tuple[str, list[tuple[str, int]]]]:
-    """(text, [(type, start)]): sentences with and without items, some of them on lines of a longer text."""
+def labelled(seed: int, lexicon: Lexicon, frames: tuple[list[str], list[str]] = (_WITH, _WITHOUT)) -> list[tuple[str, list[tuple[str, int]]]]:
+    """(text, [(type, start)]): sentences with and without items from ``frames``, some of them on lines of a longer text."""
     r = random.Random(seed)
     given, family = [x.capitalize() for x in sorted(lexicon.given)] or ["Orla"], ["-".join(p.capitalize() for p in x.split("-")) for x in sorted(lexicon.family)] or ["Hoxley"]
     digits = lambda n: "".join(r.choices("0123456789", k=n))
@@ -64,17 +75,21 @@ def labelled(seed: int, lexicon: Lexicon) -> list[tuple[str, list[tuple[str, int
         box = r.choice([f"{g}.{f}", f"{g[0]}{f}", f"{f}_{g}", f"{g}-{f}", f"{g}{digits(2)}", f"{g[0]}.{f}{digits(2)}", f"{g}.{f}+{r.choice(_NOUNS)}"])
         at = r.choice(["@"] * 8 + ["%40", " (at) ", " [at] ", "(at)", " AT "])
         dot = r.choice([" [dot] ", " (dot) ", " dot "]) if at.strip() not in ("@", "%40") and r.random() < 0.7 else "."
-        host = dot.join(r.choice(["example.org", "mail.example", "halden.test", "team.sluice.test", "kiln.invalid", "dev.quern.example", "corvid-labs.example"]).split("."))
+        name = _invented(r).lower() + r.choice(["", "", "", "-" + r.choice(_NOUNS), f".{r.choice(_NOUNS)}"])
+        host = dot.join(f"{r.choice(['', '', 'mx.'])}{name}.{r.choice(_ENDINGS)}".split("."))
         s = box + at + host
         return s.upper() if r.random() < 0.08 and dot == "." else s
 
     def phone() -> str:
         d = digits
-        return r.choice([f"+61 491 570 {d(3)}", f"+1{d(10)}", f"+34 555 01 {d(2)} {d(2)}", f"+44 20 7946 0{d(3)}", f"+33 1 99 00 {d(2)} {d(2)}", f"+49 (0)30 23125 {d(3)}", f"0049-40-66969-{d(3)}", f"020 7946 0{d(3)}", f"({d(3)}) 555 01{d(2)}", f"+1 ({d(3)}) 555-01{d(2)}", f"{d(3)}-555-01{d(2)}", f"{d(3)}.555.01{d(2)}", f"{d(3)}‑555‑01{d(2)}"])
+        land, area = r.choice(["1", "7", "27", "33", "34", "39", "41", "44", "48", "49", "61", "81", "86", "351", "353", "420"]), d(r.choice([1, 2, 3]))
+        tail = r.choice([f"{d(3)} {d(4)}", f"{d(2)} {d(2)} {d(2)} {d(2)}", f"{d(4)} {d(4)}", f"{d(6)}", f"{d(3)} {d(3)}", f"{d(3)}-{d(4)}"])
+        return r.choice([f"+{land} {area} {tail}", f"+{land}{d(10)}", f"+{land} (0){area} {tail}", f"00{land}-{area}-{d(5)}-{d(3)}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"+{land} ({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)}‑{d(3)}‑{d(4)}"])
 
     def number() -> str:
         d = digits
-        return r.choice([f"9{d(2)}-0{d(1)}-{d(4)}", f"9{d(2)} 0{d(1)} {d(4)}", f"0{d(1)} {d(3)} {d(3)} {d(3)}", f"QQ{d(6)}{r.choice('ABCD')}", f"QQ {d(2)} {d(2)} {d(2)} {r.choice('ABCD')}", f"X{r.choice('LMNP')}{d(7)}", f"{d(6)}-{d(4)}"])
+        letters = lambda k: "".join(r.choices("ABCEGHJKLMNPRSTX", k=k))
+        return r.choice([f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{letters(2)}{d(6)}{r.choice('ABCD')}", f"{letters(2)} {d(2)} {d(2)} {d(2)} {r.choice('ABCD')}", f"{letters(r.choice([1, 2]))}{d(7)}", f"{d(6)}-{d(4)}"])
 
     def address() -> str:
         w, n, c = r.choice(_STREETS), r.randint(1, 399), r.choice(_CITIES)
@@ -102,8 +117,8 @@ def labelled(seed: int, lexicon: Lexicon) -> list[tuple[str, list[tuple[str, int
         gold: list[tuple[str, int]] = []
         text = ""
         if r.random() < 0.4:
-            text += r.choice(["The cursor is compared by identity.\n", "Review note: keep the guard.\n\n", "Memory grows by 5607 KiB. ", "suite ran in 3.2s.\r\n", "```\n", "- "])
-        frame = r.choice(_WITH) if r.random() < 0.62 else r.choice(_WITHOUT)
+            text += r.choice(["The heap is full again.\n", "A remark on style follows.\n\n", "Usage went up to 93 percent. ", "It was done in 8.1s.\r\n", "```\n", "- ", "> "])
+        frame = r.choice(frames[0]) if r.random() < 0.62 else r.choice(frames[1])
         frame = frame.replace("{{", "\x01").replace("}}", "\x02")
         at = 0
         while at < len(frame):
@@ -126,6 +141,6 @@ def labelled(seed: int, lexicon: Lexicon) -> list[tuple[str, list[tuple[str, int
                 text += {"noun": lambda: r.choice(_NOUNS), "given": lambda: r.choice(given), "family": lambda: r.choice(family), "idname": lambda: r.choice(_IDS)}[slot]()
         text = text.replace("\x01", "{").replace("\x02", "}")
         if r.random() < 0.4:
-            text += r.choice(["\nAfter upgrading to 2.3.1 it broke.", " The log shows 14 retries.", "\n\nCould we bind it?", "\n"])
+            text += r.choice(["\nIt stopped with version 4.0.9.", " Nothing else was logged.", "\n\nWhat should be done?", "\n"])
         out.append((text, gold))
     return out

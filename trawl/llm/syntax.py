@@ -286,7 +286,7 @@ def _bad_units(units: DataFrame) -> DataFrame:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = distinct.repartition(tasks).mapInPandas(_judged, "language string, start string, before string, after string, text string").withColumn("reason", F.lit("production"))
     bad = odd.union(held).groupBy(*key).agg(F.max("reason").alias("reason"))
-    found = texts.join(bad, key).select("uid", "reason").union(wrong.withColumn("reason", F.lit("nesting")))
+    found = texts.join(bad.hint("merge"), key).select("uid", "reason").union(wrong.withColumn("reason", F.lit("nesting")))
     return found.groupBy("uid").agg(F.max("reason").alias("reason"))
 
 
