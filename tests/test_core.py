@@ -247,7 +247,34 @@ def test_package_proximity_takes_the_largest_neighbour(spark):
 
 def test_nearest_disjoint_interval(spark):
     i = spark.createDataFrame([("f", "a", 1, 5), ("f", "b", 10, 20), ("f", "c", 12, 14), ("f", "d", 200, 210)], "key string, name string, start_line int, end_line int")
-    assert {(r["name"], r["neighbour"], r["gap"]) for r in R.nearest_disjoint(i).collect()} == {("b", "a", 5), ("c", "a", 7)}
+    assert {(r["name"], r["neighbour"], r["gap"]) for r in R.nearest_disjoint(i).collect()} == {("a", "b", 5), ("b", "a", 5), ("c", "a", 7)}
+
+
+def test_nearest_disjoint_against_brute_force(spark):
+    import random
+
+    r = random.Random(1)
+    data = [(f"f{k % 5}", f"n{k}", a := r.randint(1, 400), a + r.choice([0, 3, 30])) for k in range(150)]
+    want = {}
+    for key, name, a, b in data:
+        near = [(max(c - b, a - e), other) for k2, other, c, e in data if k2 == key and other != name and 1 <= max(c - b, a - e) <= 100]
+        if near:
+            want[name] = min(near)
+    got = {x["name"]: (x["gap"], x["neighbour"]) for x in R.nearest_disjoint(spark.createDataFrame(data, "key string, name string, start_line int, end_line int")).collect()}
+    assert got == want
+
+
+def test_bootstrap_interval_against_resampling(spark):
+    import numpy as np
+
+    values = np.random.default_rng(3).choice([-1.0, 0.0, 0.0, 1.0, 0.5], 400)
+    df = spark.createDataFrame([(f"t{k}", m, float(v)) for k, v in enumerate(values) for m in ("hit", "recall")] + [("x", "hit", None)], "ticket_id string, metric string, delta double")
+    got = {r["metric"]: r for r in E.bootstrap(df, 2000, 5).collect()}
+    means = np.sort(np.random.default_rng(4).choice(values, (20000, 400)).mean(1))
+    for r in got.values():
+        assert r["n"] == 400 and abs(r["mean"] - values.mean()) < 1e-6
+        assert abs(r["low"] - means[500]) < 0.02 and abs(r["high"] - means[19500]) < 0.02
+    assert E.bootstrap(df.filter("false"), 2000, 5).count() == 0
 
 
 def test_dense_neighbours_against_brute_force(spark):

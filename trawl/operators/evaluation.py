@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions import text as T
+from trawl.storage import settings
 
 KS = (1, 3, 5)
-#: Hashed buckets in which positions are given.
-BUCKETS = 1024
 #: Tasks over which the samples of a bootstrap are spread.
 DRAW_TASKS = 48
 CANDIDATES = 20
@@ -95,28 +96,33 @@ def hash_number(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("bigint")
 
 
+#: Bounds of a 32-bit number from which on a Poisson number of mean 1 is at least 1, 2, 3, ...
+POISSON = tuple(int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(12))
+
+
 def bootstrap(deltas: DataFrame, samples: int, seed: int) -> DataFrame:
-    """(metric, n, mean, low, high): percentile interval of the mean delta over hash-drawn resamples.
+    """(metric, n, mean, low, high): percentile interval of the mean delta over ``samples`` resamples (a multiple of 4).
 
-    Positions are dense per metric, each (sample, draw) picks one by hash, and sums are pre-aggregated per sample; nothing is collected.
+    In a resample each ticket counts as often as a Poisson number of mean 1 says, drawn by hash of seed, ticket and sample; so tickets never have to
+    meet, and sums are made per sample where the tickets are. All metrics of a ticket share its draws, as a paired comparison needs. Tickets whose
+    deltas are null are left out; no tickets, no rows.
     """
-    # Dense positions in two levels, so that no task holds all tickets of a metric: offsets of hashed buckets, then places inside them.
-    bucket = hash_number(F.col("ticket_id")) % BUCKETS
-    put = deltas.select("metric", "ticket_id", "delta", bucket.alias("b"))
-    sizes = put.groupBy("metric", "b").agg(F.count(F.lit(1)).alias("c"))
-    offsets = sizes.select("metric", "b", (F.sum("c").over(Window.partitionBy("metric").orderBy("b")) - F.col("c")).alias("o"))
-    inside = F.row_number().over(Window.partitionBy("metric", "b").orderBy("ticket_id")) - 1
-    pos = put.withColumn("k", inside).join(offsets, ["metric", "b"]).select("metric", "delta", (F.col("o") + F.col("k")).cast("bigint").alias("i"))
-    n = pos.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean"))
-    # A draw depends on n alone, so metrics of equal n share it; samples are spread over tasks before their draws are made.
-    # The hint names the small side: sizes are estimated before draws are exploded, and the draws would be broadcast.
-    draws = n.select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("s")).repartition(DRAW_TASKS, "n", "s").select("n", "s", F.explode(F.expr("sequence(0, cast(n as int) - 1)")).alias("k"))
-    picked = draws.select("n", "s", (hash_number(F.lit(str(seed)), F.col("s").cast("string"), F.col("k").cast("string")) % F.col("n")).alias("i"))
-    at_place = pos.join(n.select("metric", "n"), "metric").groupBy("n", "i").agg(F.collect_list(F.struct("metric", "delta")).alias("x"))
-    means = picked.join(at_place.hint("shuffle_hash"), ["n", "i"]).select("s", F.explode("x").alias("x")).groupBy("x.metric", "s").agg(F.round(F.avg("x.delta"), 9).alias("m"))
-    place = Window.partitionBy("metric").orderBy("m", "s")
+    metrics = [r["metric"] for r in settings(deltas.select("metric").distinct().orderBy("metric"), 64)]
+    if not metrics:
+        return deltas.select("metric", F.lit(0).cast("bigint").alias("n"), *[F.lit(0.0).alias(c) for c in ("mean", "low", "high")]).limit(0)
+    wide = deltas.groupBy("ticket_id").agg(*[F.max(F.when(F.col("metric") == m, F.col("delta"))).alias(f"d{k}") for k, m in enumerate(metrics)])
+    blocks = wide.repartition(DRAW_TASKS, "ticket_id").select("*", F.explode(F.sequence(F.lit(0), F.lit(samples // 4 - 1))).alias("b"))
+    drawn = blocks.select("*", F.md5(F.concat_ws(":", F.lit(str(seed)), "ticket_id", F.col("b").cast("string"))).alias("x")).select("*", F.posexplode(F.array(*[F.substring("x", q * 8 + 1, 8) for q in range(4)])).alias("q", "u"))
+    u = F.conv("u", 16, 10).cast("bigint")
+    weight = sum((u >= t).cast("int") for t in POISSON)
+    parts = drawn.select((F.col("b") * 4 + F.col("q")).alias("s"), weight.alias("w"), *[f"d{k}" for k in range(len(metrics))]).filter("w > 0")
+    sums = [x for k in range(len(metrics)) for x in (F.sum(F.col("w") * F.col(f"d{k}")).alias(f"t{k}"), F.sum(F.when(F.col(f"d{k}").isNotNull(), F.col("w"))).alias(f"w{k}"))]
+    per = parts.groupBy("s").agg(*sums)
+    means = per.select("s", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(F.col(f"t{k}") / F.col(f"w{k}"), 9).alias("m")) for k, m in enumerate(metrics)])).alias("x")).select("s", "x.*")
+    place = Window.partitionBy("metric").orderBy("m", "s")  # one row per sample, whatever the number of tickets
     low, high = int(0.025 * samples), int(0.975 * samples)
     at = means.withColumn("p", F.row_number().over(place) - 1).groupBy("metric").agg(F.max(F.when(F.col("p") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("p") == high, F.col("m"))).alias("high"))
+    n = deltas.groupBy("metric").agg(F.count("delta").alias("n"), F.avg("delta").alias("mean"))
     return n.join(at, "metric").select("metric", "n", F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 

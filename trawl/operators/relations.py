@@ -108,16 +108,23 @@ def innermost(points: DataFrame, intervals: DataFrame) -> DataFrame:
 
 
 def nearest_disjoint(intervals: DataFrame, reach: int = 100) -> DataFrame:
-    """(key, name, start_line, neighbour, gap): the nearest other interval of the same key that is disjoint and at most ``reach`` lines away.
+    """(key, name, start_line, neighbour, gap): the nearest other interval of the same key that is disjoint, before or after, at most ``reach`` lines away; of equal gaps the smaller name.
 
-    The nearest earlier end and the nearest later start are found with running windows, not with a self-join.
+    gap is the later start less the earlier end. Ends before a start and starts behind an end are found with two running windows, not with a self-join.
     """
-    w = Window.partitionBy("key").orderBy("at", "side", "name")
-    ends = intervals.select("key", F.col("end_line").alias("at"), F.lit(0).alias("side"), F.col("name").alias("name"), F.struct("end_line", "name").alias("e"), F.lit(None).cast("int").alias("s"))
-    starts = intervals.select("key", (F.col("start_line") - 1).alias("at"), F.lit(1).alias("side"), "name", F.lit(None).cast("struct<end_line:int,name:string>").alias("e"), F.col("start_line").alias("s"))
-    before = ends.union(starts).withColumn("b", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter("side = 1 AND b IS NOT NULL")
-    found = before.select("key", "name", F.col("s").alias("start_line"), F.col("b.name").alias("neighbour"), (F.col("s") - F.col("b.end_line")).alias("gap"))
-    return found.filter(F.col("gap").between(1, reach)).distinct()
+    own = intervals.select("key", "name", "start_line", "end_line").distinct()
+    w = Window.partitionBy("key").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def side(at: str, edge: str, sign: int) -> DataFrame:
+        # Walking up (sign 1): the largest end before each start. Walking down (sign -1): the smallest start behind each end. Of equal edges the smallest name.
+        edges = own.groupBy("key", F.col(edge).alias("line")).agg(F.min("name").alias("found")).select("key", (sign * F.col("line")).alias("at"), F.lit(0).alias("side"), F.struct((sign * F.col("line")).alias("at"), "found").alias("e"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("line"))
+        asks = own.select("key", (sign * F.col(at) - 1).alias("at"), F.lit(1).alias("side"), F.lit(None).cast("struct<at:int,found:string>").alias("e"), "name", "start_line", F.col(at).alias("line"))
+        seen = edges.unionByName(asks).withColumn("b", F.last("e", ignorenulls=True).over(w)).filter("side = 1 AND b IS NOT NULL")
+        return seen.select("key", "name", "start_line", F.col("b.found").alias("neighbour"), (sign * F.col("line") - F.col("b.at")).alias("gap"))
+
+    both = side("start_line", "end_line", 1).union(side("end_line", "start_line", -1)).filter(F.col("gap").between(1, reach))
+    best = both.groupBy("key", "name", "start_line").agg(F.min(F.struct("gap", "neighbour")).alias("x"))
+    return best.select("key", "name", "start_line", "x.neighbour", "x.gap")
 
 
 def gaps(chunks: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from trawl.storage import cut
 SNAPSHOT = ["repo", "base_commit"]
 #: Weights of the signals in a chunk's score.
 WEIGHTS = {"embedding": 0.50, "trace": 0.30, "component": 0.05, "keyword": 0.08, "symbol": 0.07, "path": 0.12, "identifier": 0.14, "package": 0.12}
+#: Added before rounding, so that a value that lies just between two does so on every engine in the same way.
+HALF = 1e-10
 #: File aggregation.
 EVIDENCE = {"ratio": 0.80, "floor": 0.05, "chunk_bonus": 0.0125, "chunk_cap": 0.05, "symbol_bonus": 0.01, "symbol_cap": 0.04, "package_cap": 0.10, "max_chunks": 5, "overlap": 0.5}
 
@@ -65,10 +67,10 @@ def tfidf(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
     query_terms = cut(term_counts(asked, ["ticket_id", "snap"], "bug_text"), "query", compression="zstd")
     n = chunks.groupBy(F.xxhash64(*SNAPSHOT).alias("snap")).agg(F.count_distinct("chunk_id", "file_path").alias("total"))
     weight = (1 + F.log("tf")) * F.col("idf")
-    df = F.count(F.lit(1)).over(Window.partitionBy("snap", "term"))
-    weighed = terms.withColumn("df", df).join(n, "snap").withColumn("idf", F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1)
-    vectors = cut(weighed.select("snap", "chunk_id", "term", "idf", weight.alias("wd")), "vectors", compression="zstd")
-    idf = vectors.groupBy("snap", "term").agg(F.max("idf").alias("idf"))
+    # Counted with partial sums and joined back: a common term of a hot snapshot is split by the join like any skewed key, and nothing is sorted by term.
+    counts = terms.groupBy("snap", "term").agg(F.count(F.lit(1)).alias("df"))
+    idf = cut(counts.join(n, "snap").select("snap", "term", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf")), "idf", compression="zstd")
+    vectors = cut(terms.join(idf, ["snap", "term"]).select("snap", "chunk_id", "term", weight.alias("wd")), "vectors", compression="zstd")
     norms = vectors.groupBy("snap", "chunk_id").agg(F.sqrt(F.sum(F.col("wd") * F.col("wd"))).alias("nd"))
     query = query_terms.join(idf, ["snap", "term"]).select("ticket_id", "snap", "term", weight.alias("wq"))
     qnorms = query.groupBy("ticket_id", "snap").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
@@ -176,7 +178,7 @@ def file_scores(scores: DataFrame, k: int) -> DataFrame:
         F.count_distinct(F.when(F.col("near") & (F.col("symbol_name") != ""), F.col("symbol_name"))).alias("symbols"),
     ).select("ticket_id", "file_path", "x.*", "evidence", "symbols")
     bonus = F.least(F.lit(EVIDENCE["chunk_cap"]), EVIDENCE["chunk_bonus"] * F.greatest(F.lit(0), F.col("evidence") - 1)) + F.least(F.lit(EVIDENCE["symbol_cap"]), EVIDENCE["symbol_bonus"] * F.greatest(F.lit(0), F.col("symbols") - 1))
-    scored = files.withColumn("file_score", F.round(T.clamp(F.col("score") + bonus), 6))
+    scored = files.withColumn("file_score", F.round(T.clamp(F.col("score") + bonus) + HALF, 6))
     return ranked(scored, "file_score", k).select("ticket_id", "rank", "file_path", "chunk_id", "evidence", "symbols", "file_score")
 
 
@@ -224,21 +226,35 @@ def dense_neighbours(vectors: DataFrame, k: int, every: int = 100, block: int =
     n = max(1, -(-queries.count() // block))
     asked = queries.select((F.pmod(F.xxhash64("vec_id"), F.lit(n))).alias("q"), F.struct("vec_id", "v").alias("x")).groupBy("q").agg(F.array_sort(F.collect_list("x")).alias("queries"))
 
+    def best(qi, q, ri, r):  # noqa: ANN001, ANN202
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        c = np.round(unit(q) @ unit(r).T, 6)
+        for i, query in enumerate(qi):
+            keep = np.lexsort((ri, -c[i]))
+            keep = keep[ri[keep] != query][:k]
+            yield pd.DataFrame({"query_id": query, "vec_id": ri[keep], "cosine": c[i][keep]})
+
     def nearest(frames):  # noqa: ANN001, ANN202
         for f in frames:
             for qs, part in zip(f["queries"], f["rows"], strict=True):
-                qi, q = np.array([x["vec_id"] for x in qs]), np.array([x["v"] for x in qs])
-                ri, r = np.array([x["vec_id"] for x in part]), np.array([x["v"] for x in part])
-                unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                c = np.round(unit(q) @ unit(r).T, 6)
-                for i, query in enumerate(qi):
-                    keep = np.lexsort((ri, -c[i]))
-                    keep = keep[ri[keep] != query][:k]
-                    yield pd.DataFrame({"query_id": query, "vec_id": ri[keep], "cosine": c[i][keep]})
+                yield from best(np.array([x["vec_id"] for x in qs]), np.array([x["v"] for x in qs]), np.array([x["vec_id"] for x in part]), np.array([x["v"] for x in part]))
 
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+    if n == 1:  # one block of queries is small whatever the table: every task gets it, and rows are read once where they are
+        few = queries.collect()
+        if not few:
+            return vectors.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, cosine double, rank int")
+        sent = vectors.sparkSession.sparkContext.broadcast((np.array([x["vec_id"] for x in few]), np.array([x["v"] for x in few])))
+
+        def scan(frames):  # noqa: ANN001, ANN202
+            for f in frames:
+                if len(f):
+                    yield from best(*sent.value, f["vec_id"].to_numpy(), np.array(f["v"].tolist()))
+
+        near = rows.mapInPandas(scan, "query_id bigint, vec_id bigint, cosine double")
+        return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     blocks = max(1, -(-rows.count() // block))
     parts = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("b"), F.struct("vec_id", "v").alias("x")).groupBy("b").agg(F.collect_list("x").alias("rows"))
     cells = parts.select("b", "rows", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("q")).join(asked, "q")
     local = cells.select("queries", "rows").mapInPandas(nearest, "query_id bigint, vec_id bigint, cosine double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -9,12 +9,12 @@ from trawl.functions.keys import plain_snapshot
 from trawl.operators import evaluation as E
 from trawl.operators import projections as P
 from trawl.plans.text_plans import ORACLE as TEXT
+from trawl.plans.text_plans import SQL_TICKETS
 from trawl.sources.tables import table
 
 _COLS = ("ticket_id", "list_name", "rank", "file_path", "symbol_qualified_name", "symbol_kind", "score")
-SAMPLES, SEED = 200, 7
-#: Resamples of the query; SAMPLES is what its SQL draws.
-RESAMPLES = 2000
+#: Fixed value: resamples of the full evaluation; and the seed of their hashes.
+SAMPLES, SEED = 10_000, 7
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +73,7 @@ def paired_delta(spark: SparkSession, d: str) -> DataFrame:
 
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     g, a, b = _pair(spark, d)
-    return E.bootstrap(E.paired(E.ticket_metrics(g, b), E.ticket_metrics(g, a)).select("ticket_id", "metric", "delta"), RESAMPLES, SEED)
+    return E.bootstrap(E.paired(E.ticket_metrics(g, b), E.ticket_metrics(g, a)).select("ticket_id", "metric", "delta"), SAMPLES, SEED)
 
 
 def method_compare(spark: SparkSession, d: str) -> DataFrame:
@@ -151,16 +151,15 @@ ORACLE = {
     "suffix_join": f"WITH {_GOLD}, {_FILES('ranked', 'a')}, {_MATCH('a', 'ma')} SELECT * FROM ma",
     "ticket_metrics": _A + " SELECT ticket_id, gold, first_rank, rr, hit, recall, top1, top3, top5, outcome FROM ta",
     "hit_recall_at_k": _A + f" SELECT {_AGG} FROM ta",
-    "metrics_rollup": _A + f", r AS (SELECT ticket_id, max(repo) AS repo FROM tickets GROUP BY 1), x AS (SELECT ta.*, coalesce(r.repo, '?') AS repo FROM ta LEFT JOIN r USING (ticket_id)) SELECT repo, {_AGG} FROM x GROUP BY repo UNION ALL SELECT '*', {_AGG} FROM x",
+    "metrics_rollup": _A + f", r AS (SELECT ticket_id, max(repo) AS repo FROM {SQL_TICKETS} GROUP BY 1), x AS (SELECT ta.*, coalesce(r.repo, '?') AS repo FROM ta LEFT JOIN r USING (ticket_id)) SELECT repo, {_AGG} FROM x GROUP BY repo UNION ALL SELECT '*', {_AGG} FROM x",
     "outcomes": _A + " SELECT outcome, count(*) AS tickets, array_to_string(list_slice(list_sort(list(ticket_id)), 1, 20), ',') AS first_ids FROM ta GROUP BY outcome",
     "paired_delta": _AB + _PAIRS + " SELECT metric, bucket, count(*) AS tickets, round(sum(delta), 6) AS delta FROM d GROUP BY metric, bucket",
-    "bootstrap_ci": _AB + _PAIRS + f""", pos AS (SELECT metric, delta, row_number() OVER (PARTITION BY metric ORDER BY ('0x' || substr(md5(ticket_id), 1, 8))::BIGINT % 1024, ticket_id) - 1 AS i FROM d), n AS (SELECT metric, count(*) AS n, avg(delta) AS mean FROM pos GROUP BY metric),
-        dr AS (SELECT metric, n, s, unnest(range(0, n)) AS k FROM (SELECT metric, n, unnest(range(0, {SAMPLES})) AS s FROM n)),
-        pk AS (SELECT metric, s, ('0x' || substr(md5('{SEED}:' || s || ':' || k), 1, 8))::BIGINT % n AS i FROM dr), ms AS (SELECT metric, s, round(avg(delta), 9) AS m FROM pk JOIN pos USING (metric, i) GROUP BY ALL),
-        pl AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY m, s) - 1 AS p FROM ms)
+    "bootstrap_ci": _AB + _PAIRS + f""", n AS (SELECT metric, count(*) AS n, avg(delta) AS mean FROM d GROUP BY metric), h AS (SELECT ticket_id, b, md5('{SEED}:' || ticket_id || ':' || b) AS x FROM (SELECT DISTINCT ticket_id FROM d), (SELECT unnest(range(0, {SAMPLES // 4})) AS b)),
+        u AS (SELECT ticket_id, b * 4 + q AS s, ('0x' || substr(x, q * 8 + 1, 8))::BIGINT AS u FROM h, (SELECT unnest(range(0, 4)) AS q)), w AS (SELECT ticket_id, s, {' + '.join(f'(u >= {t})::INT' for t in E.POISSON)} AS w FROM u),
+        ms AS (SELECT metric, s, round(sum(w * delta) / sum(w), 9) AS m FROM w JOIN d USING (ticket_id) WHERE w > 0 GROUP BY ALL), pl AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY m, s) - 1 AS p FROM ms)
         SELECT metric, any_value(n) AS n, round(any_value(mean), 6) AS mean, round(max(CASE WHEN p = {int(0.025 * SAMPLES)} THEN m END), 6) AS low, round(max(CASE WHEN p = {int(0.975 * SAMPLES)} THEN m END), 6) AS high FROM pl JOIN n USING (metric) GROUP BY metric""",
     "method_compare": _AB + " SELECT metric, baseline, method, round(method - baseline, 6) AS delta FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, (SELECT round(avg({m}), 6) FROM tb) AS baseline, (SELECT round(avg({m}), 6) FROM ta) AS method" for m in ("hit", "recall", "rr", "top1", "top3", "top5")) + ")",
-    "reachable_recall": f"""WITH {_GOLD}, {_FILES('ranked', 'a')}, here AS (SELECT DISTINCT t.ticket_id, c.file_path AS gold_file FROM tickets t JOIN chunks c USING (repo, base_commit)), h AS (SELECT g.* FROM g SEMI JOIN here USING (ticket_id, gold_file)), {_MATCH('a', 'm', 'h')},
+    "reachable_recall": f"""WITH {_GOLD}, {_FILES('ranked', 'a')}, here AS (SELECT DISTINCT t.ticket_id, c.file_path AS gold_file FROM {SQL_TICKETS} t JOIN chunks c USING (repo, base_commit)), h AS (SELECT g.* FROM g SEMI JOIN here USING (ticket_id, gold_file)), {_MATCH('a', 'm', 'h')},
         per AS (SELECT ticket_id, count(*) AS reachable, count(CASE WHEN rank <= 20 THEN 1 END) AS found FROM h LEFT JOIN m USING (ticket_id, gold_file) GROUP BY 1)
         SELECT count(*) AS tickets, CAST(sum(gold - coalesce(reachable, 0)) AS BIGINT) AS unreachable, round(avg(found / reachable), 6) AS reachable_recall FROM (SELECT ticket_id, count(*) AS gold FROM g GROUP BY 1) LEFT JOIN per USING (ticket_id)""",
     "symbol_match": _SYM + " SELECT * FROM sm",

@@ -10,6 +10,7 @@ from trawl.functions.keys import plain_repo, plain_snapshot, ticket_key
 from trawl.operators import evaluation as E
 from trawl.operators import relations as R
 from trawl.plans.evaluation_plans import _FILES, _KEY, _N, _SYM
+from trawl.plans.text_plans import SQL_IDS, SQL_TICKETS, _BUG, _bare, sql_distinct
 from trawl.sources.tables import table
 
 
@@ -279,7 +280,7 @@ _DEFS = """defs AS (SELECT repo, base_commit, file_path, name, kind, min(a) AS s
 _EDGES = """calls AS (SELECT DISTINCT repo, base_commit, file_path AS caller_file, unnest(regexp_extract_all(coalesce(code_text, ''), '([A-Za-z_][A-Za-z0-9_]*)\\(', 1)) AS call_name FROM chunks),
 own AS (SELECT repo, base_commit, function_name AS call_name, min(file_path) AS target_file FROM chunks WHERE function_name <> '' GROUP BY ALL HAVING count(DISTINCT file_path) = 1),
 edges AS (SELECT DISTINCT repo, base_commit, caller_file, target_file, call_name FROM calls JOIN own USING (repo, base_commit, call_name) WHERE caller_file <> target_file)"""
-_HOP = lambda top, hub: f"""WITH {_FILES('ranked', 'a')}, snap AS (SELECT DISTINCT ticket_id, repo, base_commit FROM tickets WHERE repo IS NOT NULL), {_EDGES}, pr AS (SELECT DISTINCT repo, base_commit, caller_file, target_file FROM edges),
+_HOP = lambda top, hub: f"""WITH {_FILES('ranked', 'a')}, snap AS (SELECT DISTINCT ticket_id, repo, base_commit FROM {SQL_TICKETS} WHERE repo IS NOT NULL), {_EDGES}, pr AS (SELECT DISTINCT repo, base_commit, caller_file, target_file FROM edges),
   sm AS (SELECT repo, base_commit, caller_file FROM pr GROUP BY ALL HAVING count(*) <= {hub}), h AS (SELECT ticket_id, target_file, max(0.9::DOUBLE * greatest(0.0, 1 - 0.08::DOUBLE * (rank - 1))) AS signal FROM a JOIN snap USING (ticket_id) JOIN pr ON pr.repo = snap.repo AND pr.base_commit = snap.base_commit AND pr.caller_file = a.file_path
   SEMI JOIN sm ON sm.repo = pr.repo AND sm.base_commit = pr.base_commit AND sm.caller_file = pr.caller_file WHERE rank <= {top} GROUP BY ALL) SELECT ticket_id, target_file, round(signal, 6) AS signal, round(0.08::DOUBLE * signal, 6) AS bonus FROM h"""
 _MODULE = f"replace(regexp_replace({_N}, '\\.[A-Za-z0-9]+$', ''), '/', '.')"
@@ -287,12 +288,18 @@ _KEYED = "concat_ws(':', repo, base_commit, file_path)"
 _SPLITS = "o AS (SELECT DISTINCT ticket_id, lower(trim(split_name)) AS s FROM ticket_outcomes WHERE split_name IS NOT NULL)"
 _GROUPS = "pg AS (SELECT repo, base_commit, count(DISTINCT file_path) AS n FROM chunks GROUP BY ALL), rg AS (SELECT repo, median(n)::DOUBLE AS files FROM pg GROUP BY repo), sg AS (SELECT repo, files, ['small', 'medium', 'large'][ntile(3) OVER (ORDER BY files, repo)] AS size_group FROM rg)"
 
+_NAME = "[A-Za-z_][A-Za-z0-9_]*(\\.[A-Za-z_][A-Za-z0-9_]*)*"
+_LEAF = "split_part(k, '.', -1)"
+#: The first 20 lookup keys of a report; look-arounds are replaced by steps that give the same names.
+_NAMES = f"""raw AS (SELECT DISTINCT ticket_id, repo, base_commit, {_BUG} AS s FROM {SQL_TICKETS} WHERE repo IS NOT NULL),
+        ex AS (SELECT ticket_id, repo, base_commit, list_concat(regexp_extract_all(regexp_replace(s, '``+', chr(10), 'g'), '`([^`\\n]+)`', 1), list_filter(regexp_extract_all(s, '([A-Za-z0-9_.]+)\\s*\\(', 1), lambda x: regexp_full_match(x, '{_NAME}')), list_slice({SQL_IDS('s')}, 1, {T.MAX_IDENTIFIERS})) AS xs FROM raw),
+        ky AS (SELECT ticket_id, repo, base_commit, list_filter(list_transform(list_filter(list_transform(xs, lambda x: {_bare('x')}), lambda x: regexp_full_match(x, '{_NAME}')), lambda x: {_KEY.replace('symbol_qualified_name', 'x')}), lambda k: length({_LEAF}) >= 3 AND {_LEAF} NOT IN ({', '.join(repr(w) for w in [*T.STOP_WORDS, *T.NO_NAMES])})) AS ks FROM ex),
+        names AS (SELECT DISTINCT ticket_id, repo, base_commit, unnest(list_slice({sql_distinct('ks')}, 1, {T.MAX_NAMES})) AS symbol FROM ky)"""
+
 ORACLE = {
     "symbol_definitions": f"WITH {_DEFS} SELECT * FROM defs",
     "lookup_fallback": f"""WITH {_DEFS}, keys AS (SELECT DISTINCT repo, base_commit, unnest([name, split_part(name, '.', -1)]) AS lookup_key, file_path FROM defs),
-        raw AS (SELECT ticket_id, repo, base_commit, concat_ws(chr(10), title, description) AS s FROM tickets WHERE repo IS NOT NULL),
-        ex AS (SELECT ticket_id, repo, base_commit, unnest(list_concat(regexp_extract_all(s, '([A-Za-z_][A-Za-z0-9_.]*)\\(', 1), regexp_extract_all(s, '`([A-Za-z_][A-Za-z0-9_.]*)`', 1))) AS symbol_qualified_name FROM raw),
-        names AS (SELECT DISTINCT * FROM (SELECT ticket_id, repo, base_commit, {_KEY} AS symbol FROM ex) WHERE length(split_part(symbol, '.', -1)) >= 3 AND symbol NOT IN ({', '.join(repr(w) for w in [*T.STOP_WORDS, *T.NO_NAMES])})),
+        {_NAMES},
         first AS (SELECT DISTINCT ticket_id, repo, base_commit, symbol, file_path, 0.06::DOUBLE AS bonus FROM names n JOIN keys k USING (repo, base_commit) WHERE k.lookup_key = n.symbol),
         second AS (SELECT DISTINCT ticket_id, repo, base_commit, symbol, file_path, 0.04::DOUBLE AS bonus FROM (SELECT * FROM names ANTI JOIN first USING (ticket_id, repo, base_commit, symbol)) n JOIN keys k USING (repo, base_commit) WHERE contains(symbol, '.') AND k.lookup_key = split_part(n.symbol, '.', -1)),
         b AS (SELECT * FROM first UNION ALL SELECT * FROM second), s AS (SELECT ticket_id, repo, base_commit, symbol FROM b GROUP BY ALL HAVING count(DISTINCT file_path) <= 4)
@@ -308,7 +315,8 @@ ORACLE = {
     "interval_innermost": f"""WITH r AS (SELECT DISTINCT {_KEYED} AS key, chunk_id AS name, least(start_line, end_line) AS s, greatest(start_line, end_line) AS e FROM chunks WHERE start_line IS NOT NULL AND end_line IS NOT NULL), p AS (SELECT DISTINCT key, s AS line FROM r),
         h AS (SELECT p.key, line, name, rank() OVER (PARTITION BY p.key, line ORDER BY e - s) AS r FROM p JOIN r ON r.key = p.key AND line BETWEEN s AND e) SELECT key, line, min(name) AS name, count(*) AS ties FROM h WHERE r = 1 GROUP BY ALL""",
     "nearest_band": f"""WITH {_DEFS}, r AS (SELECT {_KEYED} AS key, concat_ws('/', name, kind) AS name, start_line AS s, end_line AS e FROM defs WHERE start_line IS NOT NULL AND end_line IS NOT NULL),
-        b AS (SELECT a.key, a.name, a.s AS start_line, max({{'e': b.e, 'name': b.name}}) AS x FROM r a JOIN r b ON a.key = b.key AND b.e <= a.s - 1 GROUP BY ALL) SELECT DISTINCT key, name, start_line, x.name AS neighbour, start_line - x.e AS gap FROM b WHERE start_line - x.e BETWEEN 1 AND 100""",
+        p AS (SELECT a.key, a.name, a.s, b.name AS neighbour, greatest(b.s - a.e, a.s - b.e) AS gap FROM r a JOIN r b ON a.key = b.key WHERE greatest(b.s - a.e, a.s - b.e) BETWEEN 1 AND 100)
+        SELECT key, name, start_line, x.gap AS gap, x.neighbour AS neighbour FROM (SELECT key, name, s AS start_line, min({{'gap': gap, 'neighbour': neighbour}}) AS x FROM p GROUP BY ALL)""",
     "gaps": """WITH s AS (SELECT DISTINCT repo, base_commit, file_path, least(start_line, end_line) AS s, greatest(start_line, end_line) AS e FROM chunks WHERE start_line IS NOT NULL AND end_line IS NOT NULL AND (function_name <> '' OR class_name <> '')),
         t AS (SELECT *, coalesce(max(e) OVER (PARTITION BY repo, base_commit, file_path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM s) SELECT repo, base_commit, file_path, top + 1 AS gap_start, s - 1 AS gap_end FROM t WHERE s > top + 1""",
     "line_windows": """WITH f AS (SELECT repo, base_commit, file_path, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM source_files WHERE content IS NOT NULL), w AS (SELECT *, unnest(range(0, greatest(0, CAST(ceil((len(l) - 80) / 60) AS INTEGER)) + 1)) AS i FROM f)
@@ -319,12 +327,12 @@ ORACLE = {
     "quota_backfill": _SYM + ", q AS (SELECT *, (row_number() OVER (PARTITION BY ticket_id, file_path ORDER BY rank) > 2)::INT AS late FROM ps) SELECT ticket_id, CAST(row_number() OVER (PARTITION BY ticket_id ORDER BY late, rank) AS INTEGER) AS place, file_path, name, kind FROM q QUALIFY place <= 10",
     "within_group_rank": _SYM + " SELECT ticket_id, CAST(rank AS INTEGER) AS rank, file_path, name, count(*) OVER (PARTITION BY ticket_id, file_path ORDER BY rank ROWS UNBOUNDED PRECEDING) AS place FROM ps",
     "margin": f"WITH {_FILES('ranked', 'a')}, l AS (SELECT ticket_id, rank, score - lead(score) OVER (PARTITION BY ticket_id ORDER BY rank) AS m FROM a) SELECT ticket_id, rank, round(greatest(0.0, m), 6) AS margin, round(greatest(0.0, 1 - 0.08::DOUBLE * (rank - 1)), 6) AS decay FROM l WHERE rank <= 5",
-    "round_robin": "WITH t AS (SELECT DISTINCT repo, ticket_id FROM tickets WHERE repo IS NOT NULL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY ticket_id) AS INTEGER) AS turn FROM t) SELECT repo, ticket_id, turn FROM r ORDER BY turn, repo LIMIT 100",
-    "stratified_hash_split": "SELECT repo, ticket_id, CAST(row_number() OVER (PARTITION BY repo ORDER BY sha256('11:' || ticket_id)) AS INTEGER) AS place FROM (SELECT DISTINCT repo, ticket_id FROM tickets WHERE repo IS NOT NULL) QUALIFY place <= 3",
+    "round_robin": f"WITH t AS (SELECT DISTINCT repo, ticket_id FROM {SQL_TICKETS} WHERE repo IS NOT NULL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY ticket_id) AS INTEGER) AS turn FROM t) SELECT repo, ticket_id, turn FROM r ORDER BY turn, repo LIMIT 100",
+    "stratified_hash_split": f"SELECT repo, ticket_id, CAST(row_number() OVER (PARTITION BY repo ORDER BY sha256('11:' || ticket_id)) AS INTEGER) AS place FROM (SELECT DISTINCT repo, ticket_id FROM {SQL_TICKETS} WHERE repo IS NOT NULL) QUALIFY place <= 3",
     "largest_remainder": "WITH c AS (SELECT doc_type, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT *, n * 101 / (SELECT sum(n) FROM c) AS raw FROM c), b AS (SELECT *, floor(raw) AS base FROM r), p AS (SELECT *, 101 - sum(base) OVER () AS rest, row_number() OVER (ORDER BY round(raw - base, 9) DESC, n DESC, doc_type DESC) AS place FROM b) SELECT doc_type, n, CAST(base + (place <= rest)::INT AS BIGINT) AS seats FROM p",
     "size_groups_ntile": f"WITH {_GROUPS} SELECT * FROM sg",
     "fingerprint": "WITH e AS (SELECT repo, base_commit, file_path, max(sha256(content)) AS h FROM source_files WHERE content IS NOT NULL GROUP BY ALL) SELECT repo, base_commit, count(*) AS files, sha256(array_to_string(list_sort(list(concat_ws(':', file_path, h))), chr(10))) AS fingerprint FROM e GROUP BY ALL",
-    "repository_totals": "WITH t AS (SELECT DISTINCT ticket_id, coalesce(repo, '?') AS repo, base_commit, product FROM tickets) SELECT repo, count(*) AS n, count(DISTINCT ticket_id) AS tickets, count(DISTINCT base_commit) AS commits FROM t GROUP BY repo UNION ALL SELECT '*', count(*), count(DISTINCT ticket_id), count(DISTINCT base_commit) FROM t",
+    "repository_totals": f"WITH t AS (SELECT DISTINCT ticket_id, coalesce(repo, '?') AS repo, base_commit, product FROM {SQL_TICKETS}) SELECT repo, count(*) AS n, count(DISTINCT ticket_id) AS tickets, count(DISTINCT base_commit) AS commits FROM t GROUP BY repo UNION ALL SELECT '*', count(*), count(DISTINCT ticket_id), count(DISTINCT base_commit) FROM t",
     "runtime_grouping_sets": "SELECT coalesce(l_returnflag, '*') AS method, coalesce(l_linestatus, '*') AS grp, count(*) AS n, round(sum(l_quantity), 2) AS total, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "micro_macro": "WITH p AS (SELECT list_name, ticket_id, sum(score) AS s, count(*) AS n FROM ranked_symbols WHERE NOT isnan(score) AND score BETWEEN 0 AND 1 AND ticket_id IS NOT NULL GROUP BY ALL) SELECT list_name, round(sum(s) / sum(n), 6) AS micro, round(avg(s / n), 6) AS macro, min(n) AS least, max(n) AS most, median(n)::DOUBLE AS median FROM p GROUP BY list_name",
     "crosstab": "SELECT mapping_method, " + ", ".join(f"count(CASE WHEN symbol_kind = '{k}' THEN 1 END) AS \"{k}\"" for k in ("module", "class", "function", "method")) + " FROM symbol_gold GROUP BY mapping_method",
@@ -335,14 +343,14 @@ ORACLE = {
     "candidates_per_ticket": "WITH p AS (SELECT ticket_id, count(DISTINCT chunk_id) AS n FROM ranked_symbols WHERE ticket_id IS NOT NULL GROUP BY 1) SELECT CASE WHEN n < 20 THEN 'short' WHEN n = 20 THEN 'exact' ELSE 'long' END AS size, count(*) AS tickets, min(n) AS least, max(n) AS most FROM p GROUP BY 1",
     "audit_strata": """WITH g AS (SELECT DISTINCT gold_id, ticket_id, file_path, mapping_status, mapping_confidence, symbol_kind FROM symbol_gold), f AS (SELECT ticket_id, count(DISTINCT file_path) AS files FROM g GROUP BY 1),
         s AS (SELECT gold_id, unnest(list_filter([CASE WHEN files > 1 THEN 'multi_file' END, CASE WHEN mapping_status = 'excluded' THEN 'excluded' END, CASE WHEN mapping_confidence < 0.6 THEN 'unsure' END, CASE WHEN symbol_kind = 'module' THEN 'module' END], lambda x: x IS NOT NULL)) AS stratum FROM g LEFT JOIN f USING (ticket_id)) SELECT stratum, count(*) AS n, count(DISTINCT gold_id) AS golds FROM s GROUP BY 1""",
-    "anti_seen": "WITH t AS (SELECT DISTINCT ticket_id, repo FROM tickets), s AS (SELECT DISTINCT ticket_id FROM ticket_outcomes WHERE lower(trim(split_name)) = 'train'), r AS (SELECT DISTINCT repo FROM t SEMI JOIN s USING (ticket_id) WHERE repo IS NOT NULL) SELECT ticket_id, repo FROM t ANTI JOIN s USING (ticket_id) ANTI JOIN r USING (repo)",
+    "anti_seen": f"WITH t AS (SELECT DISTINCT ticket_id, repo FROM {SQL_TICKETS}), s AS (SELECT DISTINCT ticket_id FROM ticket_outcomes WHERE lower(trim(split_name)) = 'train'), r AS (SELECT DISTINCT repo FROM t SEMI JOIN s USING (ticket_id) WHERE repo IS NOT NULL) SELECT ticket_id, repo FROM t ANTI JOIN s USING (ticket_id) ANTI JOIN r USING (repo)",
     "residual_consistency": f"WITH t AS (SELECT DISTINCT {_TK} AS k, {_PR} AS tr, lower(base_commit) AS tc FROM tickets), g AS (SELECT DISTINCT gold_id, {_TK} AS k, {_PR} AS gr, lower(base_commit) AS gc FROM symbol_gold) SELECT DISTINCT gold_id, k, gr <> tr AS other_repo, NOT starts_with(tc, gc) AS other_commit FROM g JOIN t USING (k) WHERE gr <> tr OR NOT starts_with(tc, gc)",
-    "dim_join": f"WITH {_GROUPS} SELECT coalesce(size_group, 'none') AS size_group, count(*) AS tickets, count(DISTINCT t.repo) AS repos FROM (SELECT DISTINCT ticket_id, repo FROM tickets) t LEFT JOIN sg USING (repo) GROUP BY 1",
+    "dim_join": f"WITH {_GROUPS} SELECT coalesce(size_group, 'none') AS size_group, count(*) AS tickets, count(DISTINCT t.repo) AS repos FROM (SELECT DISTINCT ticket_id, repo FROM {SQL_TICKETS}) t LEFT JOIN sg USING (repo) GROUP BY 1",
     "full_outer_compare": f"WITH {_FILES('retrieval', 'a')}, {_FILES('ranked', 'b')}, x AS (SELECT ticket_id, file_path, 1 AS a FROM a WHERE rank <= 10), y AS (SELECT ticket_id, file_path, 1 AS b FROM b WHERE rank <= 10) SELECT CASE WHEN x.a IS NOT NULL AND y.b IS NOT NULL THEN 'retained' WHEN y.b IS NOT NULL THEN 'recovered' ELSE 'lost' END AS state, count(*) AS n FROM x FULL JOIN y USING (ticket_id, file_path) GROUP BY 1",
     "backfill_code": "SELECT chunk_id, coalesce(md5(code), '') AS digest FROM (SELECT DISTINCT chunk_id FROM ranked_symbols) LEFT JOIN (SELECT chunk_id, max(code_text) AS code FROM chunks GROUP BY 1) USING (chunk_id)",
     "union_seen": "SELECT k, count(*) AS tables FROM (" + " UNION ALL ".join(f"SELECT DISTINCT {_TK} AS k FROM {t}" for t in ("tickets", "ticket_outcomes", "symbol_gold")) + ") WHERE k IS NOT NULL GROUP BY k",
     "split_checks": f"WITH {_SPLITS} SELECT a.s || '&' || b.s AS \"check\", count(*) AS n FROM o a JOIN o b USING (ticket_id) WHERE a.s < b.s GROUP BY 1 UNION ALL SELECT 'unsplit', count(*) FROM (SELECT DISTINCT ticket_id FROM tickets) ANTI JOIN o USING (ticket_id) UNION ALL SELECT s, count(*) FROM o GROUP BY s",
-    "leakage_counts": f"WITH {_SPLITS}, r AS (SELECT DISTINCT s, repo FROM o JOIN (SELECT DISTINCT ticket_id, repo FROM tickets WHERE repo IS NOT NULL) USING (ticket_id)) SELECT repo, count(*) AS splits, array_to_string(list_sort(list(s)), ',') AS names FROM r GROUP BY repo HAVING count(*) > 1",
+    "leakage_counts": f"WITH {_SPLITS}, r AS (SELECT DISTINCT s, repo FROM o JOIN (SELECT DISTINCT ticket_id, repo FROM {SQL_TICKETS} WHERE repo IS NOT NULL) USING (ticket_id)) SELECT repo, count(*) AS splits, array_to_string(list_sort(list(s)), ',') AS names FROM r GROUP BY repo HAVING count(*) > 1",
     "priority_matrix": f"WITH g AS (SELECT k, count(DISTINCT top) AS tops FROM (SELECT {_TK} AS k, split_part(file_path, '/', 1) AS top FROM symbol_gold) WHERE k IS NOT NULL GROUP BY 1), t AS (SELECT DISTINCT {_TK} AS k, coalesce(upper(trim(priority)), '?') AS priority FROM tickets) SELECT priority, tops > (SELECT floor(median(tops)) FROM g) AS wide, count(*) AS tickets FROM t JOIN g USING (k) GROUP BY ALL",
     "first_row_per_key": "SELECT repo, base_commit, file_path, lower(trim(status)) AS status FROM parse_results QUALIFY row_number() OVER (PARTITION BY repo, base_commit, file_path ORDER BY parsed_at DESC NULLS LAST, status DESC NULLS LAST, language DESC NULLS LAST) = 1",
 }

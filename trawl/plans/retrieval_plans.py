@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions import text as T
 from trawl.operators import retrieval as R
-from trawl.plans.text_plans import _BUG, _SEARCH, _STOP, sql_terms, sql_tokens
+from trawl.plans.text_plans import _BUG, _SEARCH, _STOP, SQL_IDS, SQL_TICKETS, sql_terms, sql_tokens
 from trawl.sources.tables import table
 from trawl.storage import cut
 
@@ -89,7 +89,7 @@ _CORPUS = f"""docs AS (SELECT repo, base_commit, chunk_id, file_path, x.* FROM (
   FROM chunks GROUP BY repo, base_commit, chunk_id, file_path))"""
 _ASKED = f"""asked AS (SELECT ticket_id, repo, base_commit, x.bug_text AS bug_text, x.component AS component FROM (
   SELECT ticket_id, repo, base_commit, max({{'n': length({_BUG}), 'bug_text': {_BUG}, 'component': coalesce(component, '')}}) AS x
-  FROM tickets WHERE repo IS NOT NULL AND base_commit IS NOT NULL GROUP BY ticket_id, repo, base_commit))"""
+  FROM {SQL_TICKETS} WHERE repo IS NOT NULL AND base_commit IS NOT NULL GROUP BY ticket_id, repo, base_commit))"""
 _IDF = f"""terms AS (SELECT repo, base_commit, chunk_id, term, count(*) AS tf FROM (SELECT repo, base_commit, chunk_id, unnest({sql_tokens('search_text')}) AS term FROM docs) GROUP BY ALL),
 total AS (SELECT repo, base_commit, count(*) AS total FROM docs GROUP BY ALL),
 idf AS (SELECT repo, base_commit, term, count(*) AS df, ln((any_value(total) + 1) / (count(*) + 1)) + 1 AS idf FROM terms JOIN total USING (repo, base_commit) GROUP BY repo, base_commit, term)"""
@@ -111,7 +111,7 @@ ct AS (SELECT a.ticket_id, a.repo, a.base_commit, a.term FROM (
   JOIN fc USING (repo, base_commit) LEFT JOIN have USING (repo, base_commit, term) WHERE coalesce(n, 0) / files < 0.35)"""
 _TRACE = """refs AS (SELECT DISTINCT ticket_id, repo, base_commit, regexp_replace(replace(replace(file, chr(92), '/'), chr(92), '/'), '^[./]+', '') AS ref, line FROM ("""
 _TRACE += " UNION ALL ".join(
-    f"SELECT ticket_id, repo, base_commit, unnest(regexp_extract_all(s, '{p}', 1)) AS file, CAST(nullif(unnest(regexp_extract_all(s, '{p}', 2)), '') AS BIGINT) AS line FROM (SELECT ticket_id, repo, base_commit, concat(coalesce(error_message, ''), chr(10), coalesce(description, '')) AS s FROM tickets WHERE repo IS NOT NULL)"
+    f"SELECT ticket_id, repo, base_commit, unnest(regexp_extract_all(s, '{p}', 1)) AS file, CAST(nullif(unnest(regexp_extract_all(s, '{p}', 2)), '') AS BIGINT) AS line FROM (SELECT ticket_id, repo, base_commit, concat(coalesce(error_message, ''), chr(10), coalesce(description, '')) AS s FROM {SQL_TICKETS} WHERE repo IS NOT NULL)"
     for p in T.TRACE_SHAPES
 )
 _TRACE += """)), tr AS (SELECT ticket_id, repo, base_commit, chunk_id, max(CASE WHEN line IS NULL THEN 0.35 WHEN line BETWEEN least(start_line, end_line) AND greatest(start_line, end_line) THEN 0.75
@@ -136,9 +136,24 @@ path AS (SELECT ticket_id, repo, base_commit, file_path, round(CASE WHEN l > 0 T
 _FILES = """per AS (SELECT *, row_number() OVER (PARTITION BY ticket_id, file_path ORDER BY cosine DESC, kind_rank, span, chunk_id) AS n, cosine >= greatest(0.05, 0.8 * max(cosine) OVER (PARTITION BY ticket_id, file_path)) - 1e-12 AS near FROM scored),
 f AS (SELECT ticket_id, file_path, max(CASE WHEN n = 1 THEN cosine END) AS score, max(CASE WHEN n = 1 THEN kind_rank END) AS kind_rank, max(CASE WHEN n = 1 THEN span END) AS span, max(CASE WHEN n = 1 THEN chunk_id END) AS chunk_id,
   CAST(sum(near::INT) AS BIGINT) AS evidence, count(DISTINCT CASE WHEN near AND symbol_name <> '' THEN symbol_name END) AS symbols FROM per GROUP BY ALL),
-fs AS (SELECT *, round(least(1.0, score + least(0.05, 0.0125 * greatest(0, evidence - 1)) + least(0.04, 0.01 * greatest(0, symbols - 1))), 6)::DOUBLE AS file_score FROM f),
+fs AS (SELECT *, round(least(1.0, score + least(0.05, 0.0125 * greatest(0, evidence - 1)) + least(0.04, 0.01 * greatest(0, symbols - 1))) + 1e-10, 6)::DOUBLE AS file_score FROM f),
 fr AS (SELECT *, CAST(row_number() OVER (PARTITION BY ticket_id ORDER BY file_score DESC, kind_rank, span, chunk_id) AS INTEGER) AS rank FROM fs)"""
 
+_VARIANTS = "list_concat([i], CASE WHEN ends_with(i, 's') AND length(i) > 4 THEN [regexp_replace(i, 's$', '')] ELSE [] END, CASE WHEN contains(i, '_') THEN list_filter(string_split(i, '_'), lambda p: length(p) >= 3) ELSE [] END, CASE WHEN contains(i, '.') THEN list_filter(string_split(i, '.'), lambda p: length(p) >= 3) ELSE [] END)"
+_IDENT = f"""il AS (SELECT ticket_id, repo, base_commit, unnest(list_slice({SQL_IDS('bug_text')}, 1, {T.MAX_IDENTIFIERS})) AS i FROM asked),
+iv AS (SELECT DISTINCT ticket_id, repo, base_commit, i, unnest({_VARIANTS}) AS term FROM il),
+it AS (SELECT DISTINCT repo, base_commit, chunk_id, unnest(list_concat({sql_tokens('search_text')}, regexp_extract_all(lower(search_text), '[a-z0-9_]+(?:\\.[a-z0-9_]+)?'))) AS term FROM docs),
+ih AS (SELECT ticket_id, repo, base_commit, chunk_id, count(DISTINCT i) AS n, max(regexp_matches(i, '^[a-z][0-9]{{2,4}}$')::INT) AS code FROM iv JOIN it USING (repo, base_commit, term) GROUP BY ALL),
+ident AS (SELECT ticket_id, repo, base_commit, chunk_id, CASE WHEN code = 1 THEN 1.0 ELSE round(least(1.0, 0.5 + 0.1 * (n - 1)), 6) END::DOUBLE AS identifier FROM ih)"""
+
+_KEYS = "ticket_id, repo, base_commit, chunk_id"
+_WEIGHTED = f"""{_TFIDF}, {_TRACE}, {_LEX}, {_COMPONENT}, {_COMP}, {_PATH}, {_IDENT},
+k AS (SELECT {_KEYS} FROM cos UNION SELECT {_KEYS} FROM tr UNION SELECT {_KEYS} FROM lex UNION SELECT {_KEYS} FROM comp UNION SELECT {_KEYS} FROM ident),
+sig AS (SELECT ticket_id, repo, base_commit, chunk_id, d.file_path, d.kind_rank, d.span, d.symbol_name, coalesce(cosine, 0) AS cosine, coalesce(trace, 0) AS trace, coalesce(component, 0) AS component, coalesce(keyword, 0) AS keyword, coalesce(symbol, 0) AS symbol, coalesce(path, 0) AS path, coalesce(identifier, 0) AS identifier
+  FROM k LEFT JOIN cos USING ({_KEYS}) LEFT JOIN tr USING ({_KEYS}) LEFT JOIN lex USING ({_KEYS}) LEFT JOIN comp USING ({_KEYS}) LEFT JOIN ident USING ({_KEYS})
+  JOIN docs d USING (repo, base_commit, chunk_id) LEFT JOIN path USING (ticket_id, repo, base_commit, file_path)),
+w AS (SELECT *, round(least(1.0, greatest(0.0, 0.5::DOUBLE * cosine + 0.3::DOUBLE * trace + 0.05::DOUBLE * component + 0.08::DOUBLE * keyword + 0.07::DOUBLE * symbol + 0.12::DOUBLE * path + 0.14::DOUBLE * identifier)), 8) AS score FROM sig)"""
+
 ORACLE = {
     "doc_freq_idf": f"WITH {_CORPUS}, {_IDF} SELECT repo, base_commit, term, df, round(idf, 6) AS idf FROM idf",
     "tfidf_cosine": f"WITH {_TFIDF} SELECT ticket_id, chunk_id, cosine FROM cos",
@@ -147,13 +162,7 @@ ORACLE = {
     "trace_signal": f"WITH {_CORPUS}, {_TRACE} SELECT ticket_id, chunk_id, trace FROM tr",
     "keyword_signal": f"WITH {_CORPUS}, {_ASKED}, {_LEX} SELECT ticket_id, chunk_id, keyword, symbol FROM lex",
     "path_signal": f"WITH {_ASKED}, {_PATH} SELECT ticket_id, file_path, path FROM path",
-    "weighted_signals": f"""WITH {_TFIDF}, {_TRACE}, {_LEX}, {_COMPONENT}, {_COMP}, {_PATH},
-        k AS (SELECT ticket_id, repo, base_commit, chunk_id FROM cos UNION SELECT ticket_id, repo, base_commit, chunk_id FROM tr UNION SELECT ticket_id, repo, base_commit, chunk_id FROM lex UNION SELECT ticket_id, repo, base_commit, chunk_id FROM comp),
-        s AS (SELECT ticket_id, chunk_id, d.kind_rank, d.span, coalesce(cosine, 0) AS cosine, coalesce(trace, 0) AS trace, coalesce(component, 0) AS component, coalesce(keyword, 0) AS keyword, coalesce(symbol, 0) AS symbol, coalesce(path, 0) AS path
-          FROM k LEFT JOIN cos USING (ticket_id, repo, base_commit, chunk_id) LEFT JOIN tr USING (ticket_id, repo, base_commit, chunk_id) LEFT JOIN lex USING (ticket_id, repo, base_commit, chunk_id) LEFT JOIN comp USING (ticket_id, repo, base_commit, chunk_id)
-          JOIN docs d USING (repo, base_commit, chunk_id) LEFT JOIN path USING (ticket_id, repo, base_commit, file_path)),
-        w AS (SELECT *, round(least(1.0, greatest(0.0, 0.5::DOUBLE * cosine + 0.3::DOUBLE * trace + 0.05::DOUBLE * component + 0.08::DOUBLE * keyword + 0.07::DOUBLE * symbol + 0.12::DOUBLE * path)), 8) AS score FROM s)
-        SELECT ticket_id, CAST(row_number() OVER (PARTITION BY ticket_id ORDER BY score DESC, kind_rank, span, chunk_id) AS INTEGER) AS rank, chunk_id, cosine, trace, component, keyword, symbol, path, score FROM w QUALIFY rank <= 20""",
+    "weighted_signals": f"WITH {_WEIGHTED} SELECT ticket_id, CAST(row_number() OVER (PARTITION BY ticket_id ORDER BY score DESC, kind_rank, span, chunk_id) AS INTEGER) AS rank, chunk_id, cosine, trace, component, keyword, symbol, path, identifier, score FROM w QUALIFY rank <= 20",
     "best_chunk_per_file": _COS + " SELECT ticket_id, file_path, chunk_id, cosine FROM scored QUALIFY row_number() OVER (PARTITION BY ticket_id, file_path ORDER BY cosine DESC, kind_rank, span, chunk_id) = 1",
     "file_aggregation": _COS + f", {_FILES} SELECT ticket_id, rank, file_path, chunk_id, evidence, symbols, file_score FROM fr WHERE rank <= 20",
     "package_proximity": _COS + f""", {_FILES}, top AS (SELECT ticket_id, file_path, rank, list_filter(string_split(regexp_replace(file_path, '^[./]+', ''), '/'), lambda x: x <> '') AS parts FROM fr WHERE rank <= 50),

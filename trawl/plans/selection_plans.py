@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.functions import text as T
 from trawl.operators import evaluation as E
 from trawl.operators import selection as S
 from trawl.plans.evaluation_plans import _FILES, _GOLD
-from trawl.plans.retrieval_plans import _ASKED, _CORPUS
-from trawl.plans.text_plans import _STOP, _bare, sql_distinct, sql_tokens
+from trawl.plans.retrieval_plans import _ASKED, _CORPUS, _IDENT
+from trawl.plans.text_plans import sql_distinct
 from trawl.sources.tables import table
 
 
@@ -45,15 +44,8 @@ def audit_sample(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (identifier_signal, symbol_pool, gold_lists, eligible_tickets, status_histogram, audit_sample)}
 
-_IDS = f"list_filter(list_transform(flatten([{', '.join("regexp_extract_all(bug_text, '" + p.replace('(?:', '(') + "')" for p in T.IDENTIFIER_SHAPES)}]), lambda x: lower(replace({_bare('x')}, '-', '_'))), lambda t: length(t) >= 3 AND t NOT IN ({_STOP}))"
-_VARIANTS = "list_concat([i], CASE WHEN ends_with(i, 's') AND length(i) > 4 THEN [regexp_replace(i, 's$', '')] ELSE [] END, CASE WHEN contains(i, '_') THEN list_filter(string_split(i, '_'), lambda p: length(p) >= 3) ELSE [] END, CASE WHEN contains(i, '.') THEN list_filter(string_split(i, '.'), lambda p: length(p) >= 3) ELSE [] END)"
-
 ORACLE = {
-    "identifier_signal": f"""WITH {_CORPUS}, {_ASKED}, l AS (SELECT ticket_id, repo, base_commit, {_IDS} AS ids FROM asked), i AS (SELECT ticket_id, repo, base_commit, unnest(list_slice({sql_distinct('ids')}, 1, {T.MAX_IDENTIFIERS})) AS i FROM l),
-        v AS (SELECT DISTINCT ticket_id, repo, base_commit, i, unnest({_VARIANTS}) AS term FROM i),
-        t AS (SELECT DISTINCT repo, base_commit, chunk_id, unnest(list_concat({sql_tokens('search_text')}, regexp_extract_all(lower(search_text), '[a-z0-9_]+(?:\\.[a-z0-9_]+)?'))) AS term FROM docs),
-        h AS (SELECT ticket_id, repo, base_commit, chunk_id, count(DISTINCT i) AS n, max(regexp_matches(i, '^[a-z][0-9]{{2,4}}$')::INT) AS code FROM v JOIN t USING (repo, base_commit, term) GROUP BY ALL)
-        SELECT ticket_id, chunk_id, CASE WHEN code = 1 THEN 1.0 ELSE round(least(1.0, 0.5 + 0.1 * (n - 1)), 6) END::DOUBLE AS identifier FROM h""",
+    "identifier_signal": f"WITH {_CORPUS}, {_ASKED}, {_IDENT} SELECT ticket_id, chunk_id, identifier FROM ident",
     "symbol_pool": """WITH r AS (SELECT DISTINCT repo, base_commit, file_path, chunk_id, lower(trim(coalesce(symbol_kind, 'chunk'))) AS kind, coalesce(nullif(function_name, ''), nullif(class_name, ''), '') AS name, coalesce(start_line, 2147483647) AS s, coalesce(code_text, '') AS code FROM chunks),
         m AS (SELECT DISTINCT repo, base_commit, file_path FROM r WHERE kind = 'module'), f AS (SELECT *, row_number() OVER (PARTITION BY repo, base_commit, file_path ORDER BY s, chunk_id, code) AS n FROM r ANTI JOIN m USING (repo, base_commit, file_path))
         SELECT repo, base_commit, file_path, kind, CASE WHEN kind = 'module' THEN '<module>' ELSE name END AS name, 1 AS parts, md5(code) AS digest FROM r WHERE kind IN ('module', 'function', 'async_function', 'method', 'async_method', 'class')

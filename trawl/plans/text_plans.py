@@ -137,12 +137,17 @@ _SEARCH = "concat_ws(chr(10), nullif(file_path, ''), nullif(language, ''), nulli
 _NAME = "coalesce(nullif(function_name, ''), nullif(class_name, ''))"
 _BUG = "concat_ws(chr(10), nullif(trim(title), ''), CASE WHEN lower(trim(description)) = lower(trim(coalesce(title, ''))) THEN NULL ELSE nullif(trim(description), '') END, nullif(trim(component), ''), nullif(trim(product), ''), nullif(trim(severity), ''), nullif(trim(error_message), ''))"
 
+#: Repository and commit in the one spelling that joins need, and tickets with both in it.
+SQL_REPO = "nullif(regexp_extract(regexp_replace(regexp_replace(lower(regexp_replace(repo, '\\s+', '', 'g')), '/+$', ''), '\\.git$', ''), '([^/:@]+/[^/:@]+)$', 1), '')"
+SQL_COMMIT = "nullif(lower(regexp_replace(base_commit, '\\s+', '', 'g')), '')"
+SQL_TICKETS = f"(SELECT * REPLACE ({SQL_REPO} AS repo, {SQL_COMMIT} AS base_commit) FROM tickets)"
+#: The first 80 code-like names of a report, shape by shape.
+SQL_IDS = lambda text: sql_distinct(f"list_filter(list_transform(flatten([{', '.join(f"regexp_extract_all({text}, '" + p.replace('(?:', '(') + "')" for p in T.IDENTIFIER_SHAPES)}]), lambda x: lower(replace({_bare('x')}, '-', '_'))), lambda t: length(t) >= 3 AND t NOT IN ({_STOP}))")
+
 ORACLE = {
-    "tokenize_terms": f"SELECT ticket_id, token, count(*) AS n FROM (SELECT ticket_id, unnest({sql_tokens('title')}) AS token FROM (SELECT DISTINCT ticket_id, title FROM tickets)) GROUP BY ticket_id, token",
-    "important_terms": f"SELECT ticket_id, array_to_string({sql_terms('toks')}, ' ') AS terms FROM (SELECT ticket_id, {sql_tokens('title')} AS toks FROM (SELECT DISTINCT ticket_id, title FROM tickets))",
-    "report_identifiers": "SELECT DISTINCT ticket_id, identifier FROM (SELECT ticket_id, unnest(list_filter(list_transform(flatten(["
-    + ", ".join("regexp_extract_all(coalesce(title, ''), '" + p.replace("(?:", "(") + "')" for p in T.IDENTIFIER_SHAPES)
-    + f"]), lambda x: lower(replace({_bare('x')}, '-', '_'))), lambda t: length(t) >= 3 AND t NOT IN ({_STOP}))) AS identifier FROM tickets)",
+    "tokenize_terms": f"SELECT ticket_id, token, count(*) AS n FROM (SELECT ticket_id, unnest({sql_tokens('s')}) AS token FROM (SELECT DISTINCT ticket_id, {_BUG} AS s FROM tickets)) GROUP BY ticket_id, token",
+    "important_terms": f"SELECT ticket_id, array_to_string({sql_terms('toks')}, ' ') AS terms FROM (SELECT ticket_id, {sql_tokens('s')} AS toks FROM (SELECT DISTINCT ticket_id, {_BUG} AS s FROM tickets))",
+    "report_identifiers": f"SELECT DISTINCT ticket_id, unnest(list_slice({SQL_IDS('s')}, 1, {T.MAX_IDENTIFIERS})) AS identifier FROM (SELECT DISTINCT ticket_id, {_BUG} AS s FROM tickets)",
     "symbol_norm": f"""SELECT symbol_qualified_name, k AS lookup_key, split_part(k, '.', -1) AS leaf FROM (
         SELECT symbol_qualified_name, lower(regexp_replace(regexp_replace(replace(replace({_bare('symbol_qualified_name')}, '::', '.'), '/', '.'), '\\.+', '.', 'g'), '^\\.|\\.$', '', 'g')) AS k
         FROM (SELECT DISTINCT symbol_qualified_name FROM ranked_symbols))""",
