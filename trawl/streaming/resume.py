@@ -12,7 +12,7 @@ def append_once(stream: DataFrame, key: str, target: str, checkpoint: str) -> St
 
     def write(batch: DataFrame, number: int) -> None:
         fresh = batch.filter(F.col(key).isNotNull()).dropDuplicates([key])
-        done = _existing(batch.sparkSession, target)
+        done = existing(batch.sparkSession, target)
         if done is not None:
             fresh = fresh.join(done.select(key), key, "left_anti")
         fresh.write.mode("append").parquet(target)
@@ -20,7 +20,7 @@ def append_once(stream: DataFrame, key: str, target: str, checkpoint: str) -> St
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
     return spark.read.parquet(path) if there else None
