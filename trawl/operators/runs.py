@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawl.operators.relations import SNAPSHOT
+from trawl.storage import cut
 from trawl.streaming.resume import existing
 
 #: What a mode sets.
@@ -54,6 +55,8 @@ def run_batch(tickets: DataFrame, rank: Callable[[DataFrame], DataFrame], target
         if not x.filter(F.col("method_id") != method).isEmpty():
             raise ValueError("the target holds rows of another method")
         ids = ids.join(x.select("ticket_id").distinct(), "ticket_id", "left_anti")
+    # Written before the target changes: Spark takes two scans of one path for the same, whatever was appended between them.
+    ids = cut(ids, "todo")
     asked = tickets.join(ids, "ticket_id", "left_semi")
     found = rank(asked).join(ids, "ticket_id", "left_semi").withColumn("method_id", F.lit(method))
     found.write.mode("append").parquet(f"{target}/predictions")
@@ -97,7 +100,7 @@ def source_token(files: DataFrame) -> DataFrame:
     """(repo, base_commit, token): a digest of a snapshot's number of files, bytes and last change; a cached result with another token is stale."""
     one = files.groupBy(*SNAPSHOT, "file_path").agg(F.max(F.coalesce(F.octet_length("content"), F.lit(0))).alias("b"), F.max("loaded_at").alias("t"))
     per = one.groupBy(*SNAPSHOT).agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("bytes"), F.max("t").alias("last"))
-    return per.select(*SNAPSHOT, F.md5(F.concat_ws(":", F.col("n").cast("string"), F.col("bytes").cast("string"), F.coalesce(F.unix_micros(F.col("last").cast("timestamp")).cast("string"), F.lit("")))).alias("token"))
+    return per.select(*SNAPSHOT, F.md5(F.concat_ws(":", F.col("n").cast("string"), F.col("bytes").cast("string"), F.coalesce(F.date_format("last", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("")))).alias("token"))
 
 
 def memo_rankings(asked: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
@@ -186,8 +189,8 @@ def file_chunks(files: DataFrame, symbols: DataFrame, size: int = 80, step: int
     bare = whole.join(spans.select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit("chunk").alias("kind"), F.lit("").alias("name"), F.lit(1).alias("a"), F.col("n").alias("b"))
     pieces = spans.drop("outer").union(filled).union(bare)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.col("b") - F.col("a") + 1 - size) / step)).cast("int"))
-    cut = pieces.select("*", F.explode(starts).alias("i")).select(*keys, "kind", "name", (F.col("a") + F.col("i") * step).alias("start_line"), F.least("b", F.col("a") + F.col("i") * step + size - 1).alias("end_line"))
-    return cut.distinct().join(whole.select(*keys, "lines"), keys).select(*keys, "kind", "name", "start_line", "end_line", F.md5(F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")).alias("digest"))
+    windows = pieces.select("*", F.explode(starts).alias("i")).select(*keys, "kind", "name", (F.col("a") + F.col("i") * step).alias("start_line"), F.least("b", F.col("a") + F.col("i") * step + size - 1).alias("end_line"))
+    return windows.distinct().join(whole.select(*keys, "lines"), keys).select(*keys, "kind", "name", "start_line", "end_line", F.md5(F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")).alias("digest"))
 
 
 def plain_name(c: Column) -> Column:
