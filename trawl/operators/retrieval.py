@@ -166,33 +166,46 @@ def weighted(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.select(*keys, "file_path", "kind_rank", "span", "symbol_name", "start_line", "end_line", *[zero(c).alias(c) for c in names], F.round(T.clamp(total), 8).alias("score"))
 
 
-def file_scores(scores: DataFrame, k: int) -> DataFrame:
-    """(ticket_id, rank, file_path, chunk_id, evidence, symbols, file_score): the best chunk of each file, raised by further chunks and distinct symbols near its score."""
-    per = Window.partitionBy("ticket_id", "file_path")
-    order = per.orderBy(F.desc("score"), "kind_rank", "span", "chunk_id")
-    floor = F.greatest(F.lit(EVIDENCE["floor"]), F.max("score").over(per) * EVIDENCE["ratio"])
-    rows = scores.withColumn("n", F.row_number().over(order)).withColumn("near", F.col("score") >= floor - 1e-12)
-    files = rows.groupBy("ticket_id", "file_path").agg(
-        F.min(F.when(F.col("n") == 1, F.struct("score", "kind_rank", "span", "chunk_id"))).alias("x"),
-        F.sum(F.col("near").cast("int")).alias("evidence"),
-        F.count_distinct(F.when(F.col("near") & (F.col("symbol_name") != ""), F.col("symbol_name"))).alias("symbols"),
-    ).select("ticket_id", "file_path", "x.*", "evidence", "symbols")
-    bonus = F.least(F.lit(EVIDENCE["chunk_cap"]), EVIDENCE["chunk_bonus"] * F.greatest(F.lit(0), F.col("evidence") - 1)) + F.least(F.lit(EVIDENCE["symbol_cap"]), EVIDENCE["symbol_bonus"] * F.greatest(F.lit(0), F.col("symbols") - 1))
+#: What each mode of file aggregation adds to a file's best chunk.
+AGGREGATIONS = {"basic": (0, 0), "supporting-chunks": (1, 0), "supporting-symbols": (1, 1)}
+
+
+def _picked(scores: DataFrame) -> DataFrame:
+    """(ticket_id, file_path, xs, picks): a file's chunks in rank order, and of them up to five that overlap no earlier pick by half of the shorter one.
+
+    The choice depends on earlier choices, so it folds over each file's sorted chunks inside the JVM; a file's chunks are the bound of an array. Chunks without lines overlap nothing.
+    """
+    item = F.struct((-F.col("score")).alias("a"), "kind_rank", "span", "chunk_id", F.least("start_line", "end_line").alias("s"), F.greatest("start_line", "end_line").alias("e"), "symbol_name")
+    rows = scores.groupBy("ticket_id", "file_path").agg(F.array_sort(F.collect_list(item)).alias("xs"))
+    empty = F.filter("xs", lambda x: F.lit(False))
+    whole = lambda x: F.greatest(F.lit(1), x["e"] - x["s"] + 1)
+    shares = lambda x, y: F.greatest(F.lit(0), F.least(x["e"], y["e"]) - F.greatest(x["s"], y["s"]) + 1) / F.least(whole(x), whole(y))
+    apart = lambda x, y: x["s"].isNull() | x["e"].isNull() | y["s"].isNull() | y["e"].isNull() | (shares(x, y) < EVIDENCE["overlap"])
+    take = lambda acc, x: F.when((F.size(acc) < EVIDENCE["max_chunks"]) & F.forall(acc, lambda y: apart(x, y)), F.concat(acc, F.array(x))).otherwise(acc)
+    return rows.withColumn("picks", F.aggregate("xs", empty, take))
+
+
+def file_scores(scores: DataFrame, k: int, mode: str = "supporting-symbols") -> DataFrame:
+    """(ticket_id, rank, file_path, chunk_id, evidence, symbols, file_score): the best chunk of each file, raised by independent further chunks and distinct symbols near its score.
+
+    basic adds nothing, supporting-chunks adds for chunks, supporting-symbols for both. An unknown mode is an error.
+    """
+    if mode not in AGGREGATIONS:
+        raise ValueError(f"unknown mode {mode!r}; known: {', '.join(AGGREGATIONS)}")
+    chunks, names = AGGREGATIONS[mode]
+    best = F.col("xs")[0]
+    score = -best["a"]
+    near = F.filter("picks", lambda x: -x["a"] >= F.greatest(F.lit(EVIDENCE["floor"]), score * EVIDENCE["ratio"]) - 1e-12)
+    symbols = F.size(F.array_distinct(F.filter(F.transform("near", lambda x: x["symbol_name"]), lambda n: n != "")))
+    files = _picked(scores).withColumn("near", near).select("ticket_id", "file_path", score.alias("score"), best["kind_rank"].alias("kind_rank"), best["span"].alias("span"), best["chunk_id"].alias("chunk_id"), F.size("near").alias("evidence"), symbols.alias("symbols"))
+    bonus = chunks * F.least(F.lit(EVIDENCE["chunk_cap"]), EVIDENCE["chunk_bonus"] * F.greatest(F.lit(0), F.col("evidence") - 1)) + names * F.least(F.lit(EVIDENCE["symbol_cap"]), EVIDENCE["symbol_bonus"] * F.greatest(F.lit(0), F.col("symbols") - 1))
     scored = files.withColumn("file_score", F.round(T.clamp(F.col("score") + bonus) + HALF, 6))
     return ranked(scored, "file_score", k).select("ticket_id", "rank", "file_path", "chunk_id", "evidence", "symbols", "file_score")
 
 
 def independent_evidence(scores: DataFrame) -> DataFrame:
-    """(ticket_id, file_path, chunk_id, pick): up to five chunks of a file in rank order, none overlapping an earlier pick by half of the shorter one.
-
-    The choice depends on earlier choices, so it folds over each file's sorted chunks inside the JVM; a file's chunks are the bound of an array.
-    """
-    item = F.struct((-F.col("score")).alias("a"), "kind_rank", "span", "chunk_id", F.least("start_line", "end_line").alias("s"), F.greatest("start_line", "end_line").alias("e"))
-    rows = scores.filter("start_line IS NOT NULL AND end_line IS NOT NULL").groupBy("ticket_id", "file_path").agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    empty = F.array().cast("array<struct<chunk_id:string,s:int,e:int>>")
-    shares = lambda x, y: F.greatest(F.lit(0), F.least(x["e"], y["e"]) - F.greatest(x["s"], y["s"]) + 1) / F.least(x["e"] - x["s"] + 1, y["e"] - y["s"] + 1)
-    take = lambda acc, x: F.when((F.size(acc) >= EVIDENCE["max_chunks"]) | F.exists(acc, lambda y: shares(x, y) >= EVIDENCE["overlap"]), acc).otherwise(F.concat(acc, F.array(F.struct(x["chunk_id"].alias("chunk_id"), x["s"].alias("s"), x["e"].alias("e")))))
-    picked = rows.select("ticket_id", "file_path", F.posexplode(F.aggregate("xs", empty, take)).alias("pick", "x"))
+    """(ticket_id, file_path, chunk_id, pick): the independent chunks of each file (see ``_picked``) in rank order."""
+    picked = _picked(scores).select("ticket_id", "file_path", F.posexplode("picks").alias("pick", "x"))
     return picked.select("ticket_id", "file_path", F.col("x.chunk_id").alias("chunk_id"), (F.col("pick") + 1).alias("pick"))
 
 

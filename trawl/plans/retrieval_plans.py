@@ -68,6 +68,16 @@ def file_aggregation(spark: SparkSession, d: str) -> DataFrame:
     return R.file_scores(_light(spark, d), 20)
 
 
+def file_modes(spark: SparkSession, d: str) -> DataFrame:
+    """The first 20 files of every ticket under each mode of file aggregation."""
+    rows = cut(_light(spark, d), "light", compression="zstd")
+    out = None
+    for mode in R.AGGREGATIONS:
+        part = R.file_scores(rows, 20, mode).select(F.lit(mode).alias("mode"), "ticket_id", "rank", "file_path", "file_score")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def overlap_evidence(spark: SparkSession, d: str) -> DataFrame:
     return R.independent_evidence(_light(spark, d))
 
@@ -80,7 +90,7 @@ def hybrid_semantic(spark: SparkSession, d: str) -> DataFrame:
     return R.dense_neighbours(table(spark, d, "embeddings", "vec_id", "embedding"), 10)
 
 
-QUERIES = {f.__name__: f for f in (doc_freq_idf, tfidf_cosine, tfidf_top20, component_terms, trace_signal, keyword_signal, path_signal, weighted_signals, best_chunk_per_file, file_aggregation, overlap_evidence, package_proximity, hybrid_semantic)}
+QUERIES = {f.__name__: f for f in (doc_freq_idf, tfidf_cosine, tfidf_top20, component_terms, trace_signal, keyword_signal, path_signal, weighted_signals, best_chunk_per_file, file_aggregation, file_modes, overlap_evidence, package_proximity, hybrid_semantic)}
 
 _CORPUS = f"""docs AS (SELECT repo, base_commit, chunk_id, file_path, x.* FROM (
   SELECT repo, base_commit, chunk_id, file_path, min({{'search_text': {_SEARCH},
@@ -133,9 +143,10 @@ pl AS (SELECT repo, base_commit, file_path, term, list_contains({_W('stem')}, te
 pq AS (SELECT DISTINCT ticket_id, repo, base_commit, unnest(list_concat({sql_terms('toks')}, regexp_extract_all(lower(bug_text), '[a-z0-9]+'))) AS term FROM (SELECT *, {sql_tokens('bug_text')} AS toks FROM asked)),
 ph AS (SELECT ticket_id, repo, base_commit, file_path, sum(is_leaf) AS l, sum(1 - is_leaf) AS k FROM pq JOIN pl USING (repo, base_commit, term) WHERE term NOT IN ({_STOP}) GROUP BY ALL),
 path AS (SELECT ticket_id, repo, base_commit, file_path, round(CASE WHEN l > 0 THEN least(1.0, 0.55 + 0.1 * (l - 1)) WHEN k >= 2 THEN least(0.65, 0.3 + 0.08 * k) ELSE 0.25 END, 6)::DOUBLE AS path FROM ph)"""
-_FILES = """per AS (SELECT *, row_number() OVER (PARTITION BY ticket_id, file_path ORDER BY cosine DESC, kind_rank, span, chunk_id) AS n, cosine >= greatest(0.05, 0.8 * max(cosine) OVER (PARTITION BY ticket_id, file_path)) - 1e-12 AS near FROM scored),
-f AS (SELECT ticket_id, file_path, max(CASE WHEN n = 1 THEN cosine END) AS score, max(CASE WHEN n = 1 THEN kind_rank END) AS kind_rank, max(CASE WHEN n = 1 THEN span END) AS span, max(CASE WHEN n = 1 THEN chunk_id END) AS chunk_id,
-  CAST(sum(near::INT) AS BIGINT) AS evidence, count(DISTINCT CASE WHEN near AND symbol_name <> '' THEN symbol_name END) AS symbols FROM per GROUP BY ALL),
+_PICKED = """pk AS (SELECT ticket_id, file_path, list({'score': cosine, 'kind_rank': kind_rank, 'span': span, 'chunk_id': chunk_id, 's': least(start_line, end_line), 'e': greatest(start_line, end_line), 'n': symbol_name, 'l': start_line IS NOT NULL AND end_line IS NOT NULL} ORDER BY cosine DESC, kind_rank, span, chunk_id) AS xs FROM scored GROUP BY ALL),
+pp AS (SELECT ticket_id, file_path, xs, list_reduce(list_transform(xs, lambda x: [x]), lambda acc, y: CASE WHEN len(acc) < 5 AND len(list_filter(acc, lambda z: z.l AND y[1].l AND greatest(0, least(z.e, y[1].e) - greatest(z.s, y[1].s) + 1) / least(greatest(1, z.e - z.s + 1), greatest(1, y[1].e - y[1].s + 1)) >= 0.5)) = 0 THEN list_concat(acc, y) ELSE acc END) AS ps FROM pk)"""
+_FILES = _PICKED + """, nr AS (SELECT ticket_id, file_path, xs, list_filter(ps, lambda z: z.score >= greatest(0.05, 0.8 * xs[1].score) - 1e-12) AS nr FROM pp),
+f AS (SELECT ticket_id, file_path, xs[1].score AS score, xs[1].kind_rank AS kind_rank, xs[1].span AS span, xs[1].chunk_id AS chunk_id, CAST(len(nr) AS INTEGER) AS evidence, CAST(len(list_distinct(list_filter(list_transform(nr, lambda z: z.n), lambda n: n <> ''))) AS INTEGER) AS symbols FROM nr),
 fs AS (SELECT *, round(least(1.0, score + least(0.05, 0.0125 * greatest(0, evidence - 1)) + least(0.04, 0.01 * greatest(0, symbols - 1))) + 1e-10, 6)::DOUBLE AS file_score FROM f),
 fr AS (SELECT *, CAST(row_number() OVER (PARTITION BY ticket_id ORDER BY file_score DESC, kind_rank, span, chunk_id) AS INTEGER) AS rank FROM fs)"""
 
@@ -149,7 +160,7 @@ ident AS (SELECT ticket_id, repo, base_commit, chunk_id, CASE WHEN code = 1 THEN
 _KEYS = "ticket_id, repo, base_commit, chunk_id"
 _WEIGHTED = f"""{_TFIDF}, {_TRACE}, {_LEX}, {_COMPONENT}, {_COMP}, {_PATH}, {_IDENT},
 k AS (SELECT {_KEYS} FROM cos UNION SELECT {_KEYS} FROM tr UNION SELECT {_KEYS} FROM lex UNION SELECT {_KEYS} FROM comp UNION SELECT {_KEYS} FROM ident),
-sig AS (SELECT ticket_id, repo, base_commit, chunk_id, d.file_path, d.kind_rank, d.span, d.symbol_name, coalesce(cosine, 0) AS cosine, coalesce(trace, 0) AS trace, coalesce(component, 0) AS component, coalesce(keyword, 0) AS keyword, coalesce(symbol, 0) AS symbol, coalesce(path, 0) AS path, coalesce(identifier, 0) AS identifier
+sig AS (SELECT ticket_id, repo, base_commit, chunk_id, d.file_path, d.kind_rank, d.span, d.symbol_name, d.start_line, d.end_line, coalesce(cosine, 0) AS cosine, coalesce(trace, 0) AS trace, coalesce(component, 0) AS component, coalesce(keyword, 0) AS keyword, coalesce(symbol, 0) AS symbol, coalesce(path, 0) AS path, coalesce(identifier, 0) AS identifier
   FROM k LEFT JOIN cos USING ({_KEYS}) LEFT JOIN tr USING ({_KEYS}) LEFT JOIN lex USING ({_KEYS}) LEFT JOIN comp USING ({_KEYS}) LEFT JOIN ident USING ({_KEYS})
   JOIN docs d USING (repo, base_commit, chunk_id) LEFT JOIN path USING (ticket_id, repo, base_commit, file_path)),
 w AS (SELECT *, round(least(1.0, greatest(0.0, 0.5::DOUBLE * cosine + 0.3::DOUBLE * trace + 0.05::DOUBLE * component + 0.08::DOUBLE * keyword + 0.07::DOUBLE * symbol + 0.12::DOUBLE * path + 0.14::DOUBLE * identifier)), 8) AS score FROM sig)"""
@@ -165,6 +176,9 @@ ORACLE = {
     "weighted_signals": f"WITH {_WEIGHTED} SELECT ticket_id, CAST(row_number() OVER (PARTITION BY ticket_id ORDER BY score DESC, kind_rank, span, chunk_id) AS INTEGER) AS rank, chunk_id, cosine, trace, component, keyword, symbol, path, identifier, score FROM w QUALIFY rank <= 20",
     "best_chunk_per_file": _COS + " SELECT ticket_id, file_path, chunk_id, cosine FROM scored QUALIFY row_number() OVER (PARTITION BY ticket_id, file_path ORDER BY cosine DESC, kind_rank, span, chunk_id) = 1",
     "file_aggregation": _COS + f", {_FILES} SELECT ticket_id, rank, file_path, chunk_id, evidence, symbols, file_score FROM fr WHERE rank <= 20",
+    "overlap_evidence": _COS + f", {_PICKED} SELECT ticket_id, file_path, x.chunk_id AS chunk_id, CAST(pick AS INTEGER) AS pick FROM (SELECT ticket_id, file_path, unnest(ps) AS x, generate_subscripts(ps, 1) AS pick FROM pp)",
+    "file_modes": _COS + f""", {_FILES}, md AS (SELECT unnest(['basic', 'supporting-chunks', 'supporting-symbols']) AS mode, unnest([0, 1, 1]) AS c, unnest([0, 0, 1]) AS s), fm AS (SELECT mode, f.*, round(least(1.0, score + c * least(0.05, 0.0125 * greatest(0, evidence - 1)) + s * least(0.04, 0.01 * greatest(0, symbols - 1))) + 1e-10, 6)::DOUBLE AS file_score FROM f, md)
+        SELECT mode, ticket_id, CAST(row_number() OVER (PARTITION BY mode, ticket_id ORDER BY file_score DESC, kind_rank, span, chunk_id) AS INTEGER) AS rank, file_path, file_score FROM fm QUALIFY rank <= 20""",
     "package_proximity": _COS + f""", {_FILES}, top AS (SELECT ticket_id, file_path, rank, list_filter(string_split(regexp_replace(file_path, '^[./]+', ''), '/'), lambda x: x <> '') AS parts FROM fr WHERE rank <= 50),
         e AS (SELECT ticket_id, file_path, rank, depth, array_to_string(list_slice(parts, 1, depth), '/') AS prefix FROM (SELECT *, unnest(range(1, len(parts))) AS depth FROM top WHERE len(parts) > 1)),
         p AS (SELECT a.ticket_id, a.file_path, a.depth, b.file_path AS neighbour FROM e a JOIN e b USING (ticket_id, depth, prefix) WHERE b.rank <= 30 AND a.file_path <> b.file_path)

@@ -121,7 +121,7 @@ QUERIES = {
     for f in (ast_symbols, parse_status, regex_declarations, source_facts, import_edges, resolved_calls, api_links, diff_hunks, hunk_headers, llm_blend, coverage_select, incremental_index, protocol_gates, pipeline_e2e, symbol_rank_b1, resume_stream, windowed_events)
 }
 
-_B1 = f"""{_WEIGHTED}, scored AS (SELECT * FROM w), {_FILES.replace('cosine', 'score')}, ff AS (SELECT * FROM fr WHERE rank <= 20),
+_B1 = f"""{_WEIGHTED}, scored AS (SELECT * FROM w), {_FILES.replace('cosine', 'w_score').replace('FROM scored GROUP', 'FROM (SELECT *, score AS w_score FROM scored) GROUP')}, ff AS (SELECT * FROM fr WHERE rank <= 20),
 b1 AS (SELECT w.*, round(0.5::DOUBLE * cosine + 0.2::DOUBLE * keyword + 0.15::DOUBLE * trace + 0.1::DOUBLE * symbol + 0.05::DOUBLE * coalesce(file_score, 0.0), 8) AS b1 FROM w LEFT JOIN ff USING (ticket_id, file_path))"""
 
 ORACLE = {
@@ -148,8 +148,8 @@ ORACLE = {
     + ")",
     "pipeline_e2e": f"""WITH {_B1}, gate AS ({TEXT['input_gate']}), nx AS (SELECT *, coalesce(lead(file_score) OVER (PARTITION BY ticket_id ORDER BY rank), 0.0) AS nxt FROM ff),
         lv AS (SELECT n.ticket_id, CASE WHEN coalesce(status, 'error') = 'error' OR regexp_matches(lower(file_path), '(^|/)(test|tests|__tests__|spec|specs)(/|$)') OR regexp_matches(split_part(lower(file_path), '/', -1), '^test_|_test\\.py$') THEN 'low' WHEN file_score >= 0.55 AND path_hint AND file_score - nxt >= 0.02 THEN 'high' WHEN file_score >= 0.25 THEN 'medium' ELSE 'low' END AS level, status FROM nx n LEFT JOIN gate USING (ticket_id) WHERE rank = 1),
-        pk AS (SELECT b.ticket_id, b.chunk_id, b.file_path, ff.rank AS file_rank, b.b1 AS score, CAST(row_number() OVER (PARTITION BY b.ticket_id ORDER BY b.b1 DESC, b.kind_rank, b.span, b.chunk_id) AS INTEGER) AS place FROM b1 b JOIN ff USING (ticket_id, file_path) WHERE ff.rank <= 5)
-        SELECT ticket_id, place, chunk_id, file_path, file_rank, score, level, CASE level WHEN 'high' THEN 'allow_patch_suggestion' WHEN 'medium' THEN 'manual_review_before_patch' ELSE 'block_patch_generation' END AS policy FROM pk JOIN lv USING (ticket_id) WHERE place <= 5 AND status <> 'error'""",
+        pz AS (SELECT b.ticket_id, b.chunk_id, b.file_path, ff.rank AS file_rank, b.b1 AS score, CAST(row_number() OVER (PARTITION BY b.ticket_id ORDER BY b.b1 DESC, b.kind_rank, b.span, b.chunk_id) AS INTEGER) AS place FROM b1 b JOIN ff USING (ticket_id, file_path) WHERE ff.rank <= 5)
+        SELECT ticket_id, place, chunk_id, file_path, file_rank, score, level, CASE level WHEN 'high' THEN 'allow_patch_suggestion' WHEN 'medium' THEN 'manual_review_before_patch' ELSE 'block_patch_generation' END AS policy FROM pz JOIN lv USING (ticket_id) WHERE place <= 5 AND status <> 'error'""",
     "symbol_rank_b1": f"WITH {_B1} SELECT ticket_id, CAST(row_number() OVER (PARTITION BY ticket_id ORDER BY b1 DESC, kind_rank, span, chunk_id) AS INTEGER) AS rank, chunk_id, b1 FROM b1 QUALIFY rank <= 30",
     "resume_stream": "SELECT event_type, count(DISTINCT event_id) AS n, count(DISTINCT event_id) AS ids FROM events WHERE event_id IS NOT NULL GROUP BY event_type",
     "windowed_events": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
