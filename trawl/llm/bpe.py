@@ -8,12 +8,13 @@ no other way, which a table of merges decides. Back-pointers then give the ids.
 from __future__ import annotations
 
 import json
+import os
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folder of the public vocabularies, and the one that problem 7 names.
@@ -118,12 +119,31 @@ _LOADED: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file; the file is read once per worker."""
+    """The worker's encoder for a vocabulary file, the driver's copy of it where that was shipped; it is read once per worker."""
     if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
+        from pyspark import SparkFiles
+
+        try:
+            here = SparkFiles.get(os.path.basename(path))
+        except Exception:  # no Spark in this process
+            here = path
+        _LOADED[path] = Encoder(here if os.path.exists(here) else path)
     return _LOADED[path]
 
 
+def ship(spark: SparkSession, path: str) -> str:
+    """Give the executors the driver's copy of a vocabulary file, once per application; a path that only they have is left as it is."""
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_trawl_files", {})
+    name = os.path.basename(path)
+    if os.path.exists(path) and name not in sent:
+        sc.addFile(path)
+        sent[name] = path
+    if sent.get(name, path) != path:
+        raise ValueError(f"another vocabulary is named {name} too")
+    return path
+
+
 def _ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     enc = encoder(path)
     for batch in batches:
@@ -140,6 +160,7 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = f"{TOKENIZERS}/
     A null and an empty text both give an empty list. Texts are encoded whole, however long. There is no shuffle.
     """
     kind = df.schema[key].dataType.simpleString()
+    ship(df.sparkSession, vocabulary)
     out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lambda it: _ids(it, vocabulary), f"key {kind}, ids array<int>")
     return out.withColumnRenamed("key", key)
 
@@ -154,5 +175,6 @@ def _counts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 def token_counts(df: DataFrame, key: str, text: str, vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
     """(key, tokens): the number of ids that ``encode`` gives; 0 for null and empty texts."""
     kind = df.schema[key].dataType.simpleString()
+    ship(df.sparkSession, vocabulary)
     out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lambda it: _counts(it, vocabulary), f"key {kind}, tokens int")
     return out.withColumnRenamed("key", key)
