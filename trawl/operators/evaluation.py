@@ -165,14 +165,15 @@ def loss(matches: DataFrame, predicted_files: DataFrame, pool: DataFrame, depth:
 
 
 def confidence(ranked: DataFrame, gate: DataFrame) -> DataFrame:
-    """(ticket_id, score, margin, level, policy): rule gate over the first two files of a ticket and its input gate."""
+    """(ticket_id, score, margin, level, policy): rule gate over the first two files of a ticket and its input gate; a column ``stack`` of ``ranked``, if there is one, is the trace evidence of the file."""
+    stack = F.coalesce("stack", F.lit(0.0)) if "stack" in ranked.columns else F.lit(0.0)
     w = Window.partitionBy("ticket_id").orderBy("rank")
     top = ranked.withColumn("next", F.lead("score").over(w)).filter("rank = 1")
     rows = top.join(gate, "ticket_id", "left")
     margin = F.round(F.greatest(F.lit(0.0), F.col("score") - F.coalesce("next", F.lit(0.0))), 4)
     level = (
         F.when((F.coalesce("status", F.lit("error")) == "error") | T.test_like(F.col("file_path")), "low")
-        .when((F.col("score") >= 0.55) & F.col("path_hint") & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= 0.02), "high")
+        .when((F.col("score") >= 0.55) & (F.col("path_hint") | (stack >= 0.55)) & ((F.col("score") - F.coalesce("next", F.lit(0.0)) >= 0.02) | (stack >= 0.75)), "high")
         .when(F.col("score") >= 0.25, "medium").otherwise("low")
     )
     policy = F.when(level == "high", "allow_patch_suggestion").when(level == "medium", "manual_review_before_patch").otherwise("block_patch_generation")

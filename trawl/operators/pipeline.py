@@ -26,7 +26,8 @@ def localize(tickets: DataFrame, chunks: DataFrame, files: int = 5, symbols: int
     rows = cut(R.weighted(tickets, cut(R.corpus(chunks), "corpus", compression="zstd")), "weighted", compression="zstd")
     best = cut(R.file_scores(rows, FILES), "files")
     gate = P.gated_input(tickets)
-    sure = E.confidence(best.withColumnRenamed("file_score", "score"), gate).select("ticket_id", "level", "policy")
+    traced = best.join(rows.select("ticket_id", "chunk_id", F.col("trace").alias("stack")), ["ticket_id", "chunk_id"], "left")
+    sure = E.confidence(traced.withColumnRenamed("file_score", "score"), gate).select("ticket_id", "level", "policy")
     allowed = gate.filter("status <> 'error'").select("ticket_id").join(sure, "ticket_id")
     inside = structured(rows, best).join(best.filter(F.col("rank") <= files).select("ticket_id", "file_path", F.col("rank").alias("file_rank")), ["ticket_id", "file_path"])
     top = R.ranked(inside.drop("score").withColumnRenamed("b1", "score"), "score", symbols).withColumnRenamed("rank", "place")

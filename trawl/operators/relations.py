@@ -27,14 +27,31 @@ def lookup_keys(defs: DataFrame) -> DataFrame:
     return defs.select(*SNAPSHOT, F.explode(keys).alias("lookup_key"), "file_path", "name").distinct()
 
 
-def lookup_fallback(names: DataFrame, keys: DataFrame, max_files: int = 4, exact: float = 0.06, leaf: float = 0.04, cap: float = 0.10) -> DataFrame:
+#: Heads of dotted names that say nothing, and leaves too common to be looked up alone.
+NO_RECEIVERS = ("self", "other", "cls", "super")
+GENERIC_LEAVES = (
+    "check copy data fit fits flush from_columns getdata group html info masked name quantity read to_table unit units version view wcs write writeto"
+).split()
+
+
+def telling(symbol: Column) -> Column:
+    """Whether the leaf of a dotted name may be looked up alone: its head is a name of its own, its leaf neither common nor shorter than five letters."""
+    head, leaf = F.substring_index(symbol, ".", 1), F.substring_index(symbol, ".", -1)
+    return ~head.isin(*NO_RECEIVERS) & (F.length(head) > 1) & ~leaf.isin(*GENERIC_LEAVES) & (F.length(leaf) >= 5)
+
+
+def lookup_fallback(names: DataFrame, keys: DataFrame, max_files: int = 4, exact: float = 0.06, leaf: float = 0.04, cap: float = 0.10, policy: str = "all") -> DataFrame:
     """(ticket_id, file_path, bonus, evidence): names that hit definitions, by exact key first and by leaf for dotted names that found nothing.
 
-    A name that hits more than ``max_files`` files says nothing and is skipped; bonuses of a file add up to the cap.
+    A name that hits more than ``max_files`` files says nothing and is skipped; bonuses of a file add up to the cap. ``policy`` says which leaves are looked up: all, guarded
+    (those of ``telling`` names) or none.
     """
     hit = lambda n, key, value: n.join(keys.withColumnRenamed("lookup_key", key), [*SNAPSHOT, key]).select("ticket_id", *SNAPSHOT, "symbol", "file_path", F.lit(value).alias("bonus")).distinct()
     first = hit(names.withColumn("key", F.col("symbol")), "key", exact)
     rest = names.join(first.select("ticket_id", *SNAPSHOT, "symbol").distinct(), ["ticket_id", *SNAPSHOT, "symbol"], "left_anti").filter(F.col("symbol").contains("."))
+    if policy not in ("all", "guarded", "none"):
+        raise ValueError(f"unknown policy {policy!r}")
+    rest = rest.filter(telling(F.col("symbol"))) if policy == "guarded" else rest.filter(F.lit(policy == "all"))
     second = hit(rest.withColumn("key", F.substring_index("symbol", ".", -1)), "key", leaf)
     both = first.union(second)
     spread = both.groupBy("ticket_id", *SNAPSHOT, "symbol").agg(F.count_distinct("file_path").alias("files"))

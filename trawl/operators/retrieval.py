@@ -225,6 +225,23 @@ def package_proximity(files: DataFrame, references: int = 30) -> DataFrame:
     return best.select("ticket_id", "file_path", "x.depth", "x.neighbour")
 
 
+def package_boosted(files: DataFrame, reports: DataFrame, k: int) -> DataFrame:
+    """(ticket_id, rank, file_path, boost, score): files raised where they share two folders or more with another strong file and have evidence of their own.
+
+    ``files``: ticket_id, rank, file_path, chunk_id, file_score, kind_rank, span, identifier, path. Own evidence is a word of the path that the report has, or an identifier or path signal.
+    """
+    near = package_proximity(files).select("ticket_id", "file_path", "depth")
+    variants = F.flatten(F.transform(T.report_identifiers(F.col("bug_text")), T.identifier_variants))
+    asked = reports.select("ticket_id", F.explode(F.array_union(T.important_terms(F.col("bug_text")), variants)).alias("term")).distinct()
+    words = files.select("ticket_id", "file_path", F.explode(F.array_distinct(T.tokens(T.norm_path(F.col("file_path"))))).alias("term")).filter(~F.col("term").isin(*T.STOP_WORDS))
+    shared = words.join(asked, ["ticket_id", "term"], "left_semi").groupBy("ticket_id", "file_path").agg(F.count(F.lit(1)).alias("n"))
+    x = files.join(near, ["ticket_id", "file_path"], "left").join(shared, ["ticket_id", "file_path"], "left").na.fill(0, ["depth", "n"]).withColumn("local", F.greatest("identifier", "path"))
+    score = F.least(F.lit(1.0), 0.35 + 0.12 * F.greatest(F.lit(0), F.col("depth") - 2) + 0.20 * F.col("local") + 0.04 * F.col("n"))
+    boost = F.when((F.col("depth") < 2) | ((F.col("n") == 0) & (F.col("local") <= 0)), 0.0).otherwise(F.least(F.lit(EVIDENCE["package_cap"]), WEIGHTS["package"] * score))
+    raised = x.withColumn("raw", boost).select("ticket_id", "file_path", "chunk_id", "kind_rank", "span", F.round(F.col("raw") + HALF, 6).alias("boost"), F.round(T.clamp(F.col("file_score") + F.col("raw")) + HALF, 6).alias("score"))
+    return ranked(raised, "score", k).select("ticket_id", "rank", "file_path", "boost", "score")
+
+
 def dense_neighbours(vectors: DataFrame, k: int, every: int = 100, block: int = 2048) -> DataFrame:
     """(query_id, vec_id, cosine, rank): the k nearest vectors of every query (ids divisible by ``every``), searched in blocks against all rows.
 

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.plans import evaluation_plans, relation_plans, retrieval_plans, review_plans, run_plans, selection_plans, source_plans, text_plans
+from trawl.plans import contract_plans, evaluation_plans, relation_plans, retrieval_plans, review_plans, run_plans, selection_plans, source_plans, text_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "tfidf_top20"
-_MODULES = [text_plans, retrieval_plans, evaluation_plans, relation_plans, source_plans, selection_plans, review_plans, run_plans]
+_MODULES = [text_plans, retrieval_plans, evaluation_plans, relation_plans, source_plans, selection_plans, review_plans, run_plans, contract_plans]
 
 
 def queries() -> dict[str, Query]:

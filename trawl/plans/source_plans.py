@@ -147,7 +147,7 @@ ORACLE = {
     )
     + ")",
     "pipeline_e2e": f"""WITH {_B1}, gate AS ({TEXT['input_gate']}), nx AS (SELECT *, coalesce(lead(file_score) OVER (PARTITION BY ticket_id ORDER BY rank), 0.0) AS nxt FROM ff),
-        lv AS (SELECT n.ticket_id, CASE WHEN coalesce(status, 'error') = 'error' OR regexp_matches(lower(file_path), '(^|/)(test|tests|__tests__|spec|specs)(/|$)') OR regexp_matches(split_part(lower(file_path), '/', -1), '^test_|_test\\.py$') THEN 'low' WHEN file_score >= 0.55 AND path_hint AND file_score - nxt >= 0.02 THEN 'high' WHEN file_score >= 0.25 THEN 'medium' ELSE 'low' END AS level, status FROM nx n LEFT JOIN gate USING (ticket_id) WHERE rank = 1),
+        lv AS (SELECT n.ticket_id, CASE WHEN coalesce(status, 'error') = 'error' OR regexp_matches(lower(file_path), '(^|/)(test|tests|__tests__|spec|specs)(/|$)') OR regexp_matches(split_part(lower(file_path), '/', -1), '^test_|_test\\.py$') THEN 'low' WHEN file_score >= 0.55 AND (path_hint OR st >= 0.55) AND (file_score - nxt >= 0.02 OR st >= 0.75) THEN 'high' WHEN file_score >= 0.25 THEN 'medium' ELSE 'low' END AS level, status FROM nx n LEFT JOIN gate USING (ticket_id) LEFT JOIN (SELECT ticket_id, chunk_id, trace AS st FROM w) tw ON tw.ticket_id = n.ticket_id AND tw.chunk_id = n.chunk_id WHERE rank = 1),
         pz AS (SELECT b.ticket_id, b.chunk_id, b.file_path, ff.rank AS file_rank, b.b1 AS score, CAST(row_number() OVER (PARTITION BY b.ticket_id ORDER BY b.b1 DESC, b.kind_rank, b.span, b.chunk_id) AS INTEGER) AS place FROM b1 b JOIN ff USING (ticket_id, file_path) WHERE ff.rank <= 5)
         SELECT ticket_id, place, chunk_id, file_path, file_rank, score, level, CASE level WHEN 'high' THEN 'allow_patch_suggestion' WHEN 'medium' THEN 'manual_review_before_patch' ELSE 'block_patch_generation' END AS policy FROM pz JOIN lv USING (ticket_id) WHERE place <= 5 AND status <> 'error'""",
     "symbol_rank_b1": f"WITH {_B1} SELECT ticket_id, CAST(row_number() OVER (PARTITION BY ticket_id ORDER BY b1 DESC, kind_rank, span, chunk_id) AS INTEGER) AS rank, chunk_id, b1 FROM b1 QUALIFY rank <= 30",
