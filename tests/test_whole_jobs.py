@@ -69,7 +69,7 @@ def test_names_in_plain_prose_are_looked_up(spark):
     assert {"fill", "halt", "evict_cache"} <= set(names) and len(names) == 20
 
 
-def test_bootstrap_query_draws_two_thousand_resamples(spark, tmp_path, monkeypatch):
+def test_bootstrap_query_draws_ten_thousand_resamples(spark, tmp_path, monkeypatch):
     from trawl.plans import evaluation_plans as EP
 
     rows = [("t", n, 1, "a.py", "f", "function", 0.5) for n in ("candidate", "ranked", "retrieval")]
@@ -77,4 +77,4 @@ def test_bootstrap_query_draws_two_thousand_resamples(spark, tmp_path, monkeypat
     drawn = []
     monkeypatch.setattr(EP.E, "bootstrap", lambda deltas, samples, seed: drawn.append(samples))
     EP.bootstrap_ci(spark, str(tmp_path))
-    assert drawn == [2000]
+    assert drawn == [10_000]

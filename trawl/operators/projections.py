@@ -91,6 +91,21 @@ def diff_files(documents: DataFrame) -> DataFrame:
 
 
 def repaired_json(documents: DataFrame) -> DataFrame:
+    """(doc_id, way, object): the JSON object of a text: the whole text without code fences at its ends, else what its outermost braces hold, else an empty object.
+
+    way is whole, braces or none. A null text is an empty one.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.trim(T.text_or_empty(F.col("text"))), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
+    inner = F.regexp_extract("t", r"\{[\s\S]*\}", 0)
+    # Alone in a list: the parser does not look behind the end of a value.
+    listed = lambda c: F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    whole = lambda c: c.startswith("{") & listed(c).isNotNull() & F.try_variant_get(listed(c), "$[1]", "string").isNull()
+    x = documents.select("doc_id", text.alias("t")).withColumn("i", inner)
+    way = F.when(whole(F.trim("t")), "whole").when(whole(F.col("i")), "braces").otherwise("none")
+    return x.withColumn("way", way).select("doc_id", "way", F.when(F.col("way") == "whole", F.trim("t")).when(F.col("way") == "braces", F.col("i")).otherwise("{}").alias("object"))
+
+
+def json_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, parsed, objects): one-line objects in a text and how many of them are valid JSON."""
     each = documents.select("doc_id", F.explode(F.regexp_extract_all(T.text_or_empty(F.col("text")), F.lit(r"\{[^{}\n]*\}"), F.lit(0))).alias("j"))
     return each.groupBy("doc_id").agg(F.sum(F.try_parse_json("j").isNotNull().cast("bigint")).alias("parsed"), F.count(F.lit(1)).alias("objects"))

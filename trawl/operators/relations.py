@@ -98,14 +98,15 @@ def adjacency(edges: DataFrame, peers: int = 5) -> DataFrame:
     return rows.groupBy(*SNAPSHOT, "file_path").agg(F.count(F.lit(1)).alias("degree"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") <= peers, F.col("peer")))), ",").alias("peers"))
 
 
-def longest_prefix(names: DataFrame, modules: DataFrame) -> DataFrame:
-    """(module, file_path, parts): for a dotted name the files whose dotted module is its longest known prefix; every prefix is an equi join key."""
+def longest_prefix(names: DataFrame, modules: DataFrame, most: int = 4) -> DataFrame:
+    """(module, file_path, parts): for a dotted name the first files (by name) whose dotted module is its longest known prefix; every prefix is an equi join key."""
     parts = F.split("module", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("parts"), F.array_join(F.slice(parts, 1, n), ".").alias("prefix")))
     each = names.select("module", F.explode(prefixes).alias("p")).select("module", "p.*")
     hits = each.join(modules.select(F.col("module").alias("prefix"), "file_path").distinct(), "prefix")
     best = hits.groupBy("module").agg(F.max("parts").alias("parts"))
-    return hits.join(best, ["module", "parts"]).select("module", "file_path", "parts")
+    place = F.row_number().over(Window.partitionBy("module").orderBy("file_path"))
+    return hits.join(best, ["module", "parts"]).select("module", "file_path", "parts").distinct().withColumn("k", place).filter(F.col("k") <= most).drop("k")
 
 
 # --- intervals ------------------------------------------------------------------------------------------------------------------
@@ -208,17 +209,20 @@ def largest_remainder(counts: DataFrame, key: str, n: str, target: int) -> DataF
 
 
 def size_groups(files: DataFrame) -> DataFrame:
-    """(repo, files, size_group): repositories by the median number of files of their snapshots, in three groups of nearly equal count."""
-    per = files.groupBy(*SNAPSHOT).agg(F.count_distinct("file_path").alias("n")).groupBy("repo").agg(F.median("n").alias("files"))
+    """(repo, files, least, most, size_group): repositories by the median number of files of their snapshots, in three groups of nearly equal count; and the least and most files of one."""
+    per = files.groupBy(*SNAPSHOT).agg(F.count_distinct("file_path").alias("n")).groupBy("repo").agg(F.median("n").alias("files"), F.min("n").alias("least"), F.max("n").alias("most"))
     group = F.ntile(3).over(Window.orderBy("files", "repo"))
-    return per.select("repo", "files", F.element_at(F.array(F.lit("small"), F.lit("medium"), F.lit("large")), group).alias("size_group"))
+    return per.select("repo", "files", "least", "most", F.element_at(F.array(F.lit("small"), F.lit("medium"), F.lit("large")), group).alias("size_group"))
 
 
 def fingerprints(files: DataFrame) -> DataFrame:
-    """(snapshot, files, fingerprint): one digest over the sorted (path, content digest) pairs of a snapshot."""
+    """(snapshot, files, fingerprint): one digest over the sorted (path, content digest) pairs of a snapshot, by way of 256 buckets of paths."""
     each = files.filter("content IS NOT NULL").select(*SNAPSHOT, "file_path", F.sha2("content", 256).alias("h")).groupBy(*SNAPSHOT, "file_path").agg(F.max("h").alias("h"))
+    # In two levels, so that no row holds all files of a snapshot: a digest per bucket of paths, then one over the buckets' digests in order.
+    bucket = F.substring(F.md5("file_path"), 1, 2)
     lines = F.array_sort(F.collect_list(F.concat_ws(":", "file_path", "h")))
-    return each.groupBy(*SNAPSHOT).agg(F.count(F.lit(1)).alias("files"), F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"))
+    parts = each.groupBy(*SNAPSHOT, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("d"))
+    return parts.groupBy(*SNAPSHOT).agg(F.sum("n").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "d"))), "\n"), 256).alias("fingerprint"))
 
 
 def number_below(n: int, *parts: Column) -> Column:

@@ -175,7 +175,7 @@ def _picked(scores: DataFrame) -> DataFrame:
 
     The choice depends on earlier choices, so it folds over each file's sorted chunks inside the JVM; a file's chunks are the bound of an array. Chunks without lines overlap nothing.
     """
-    item = F.struct((-F.col("score")).alias("a"), "kind_rank", "span", "chunk_id", F.least("start_line", "end_line").alias("s"), F.greatest("start_line", "end_line").alias("e"), "symbol_name")
+    item = F.struct((-F.col("score")).alias("a"), "kind_rank", "span", "chunk_id", F.least("start_line", "end_line").alias("s"), F.greatest("start_line", "end_line").alias("e"), (F.col("symbol_name") if "symbol_name" in scores.columns else F.lit("")).alias("symbol_name"))
     rows = scores.groupBy("ticket_id", "file_path").agg(F.array_sort(F.collect_list(item)).alias("xs"))
     empty = F.filter("xs", lambda x: F.lit(False))
     whole = lambda x: F.greatest(F.lit(1), x["e"] - x["s"] + 1)

@@ -54,7 +54,7 @@ def one_hop_hub_guard(spark: SparkSession, d: str) -> DataFrame:
 def longest_prefix(spark: SparkSession, d: str) -> DataFrame:
     modules = _chunks(spark, d).select(T.module_parts(F.col("file_path")).alias("module"), "file_path").distinct()
     folder = modules.select(F.regexp_replace("module", r"\.[^.]*$", "").alias("module"), "file_path").distinct()
-    return R.longest_prefix(modules.select("module").distinct(), folder.groupBy("module").agg(F.min("file_path").alias("file_path")))
+    return R.longest_prefix(modules.select("module").distinct(), folder)
 
 
 def interval_innermost(spark: SparkSession, d: str) -> DataFrame:
@@ -286,7 +286,7 @@ _HOP = lambda top, hub: f"""WITH {_FILES('ranked', 'a')}, snap AS (SELECT DISTIN
 _MODULE = f"replace(regexp_replace({_N}, '\\.[A-Za-z0-9]+$', ''), '/', '.')"
 _KEYED = "concat_ws(':', repo, base_commit, file_path)"
 _SPLITS = "o AS (SELECT DISTINCT ticket_id, lower(trim(split_name)) AS s FROM ticket_outcomes WHERE split_name IS NOT NULL)"
-_GROUPS = "pg AS (SELECT repo, base_commit, count(DISTINCT file_path) AS n FROM chunks GROUP BY ALL), rg AS (SELECT repo, median(n)::DOUBLE AS files FROM pg GROUP BY repo), sg AS (SELECT repo, files, ['small', 'medium', 'large'][ntile(3) OVER (ORDER BY files, repo)] AS size_group FROM rg)"
+_GROUPS = "pg AS (SELECT repo, base_commit, count(DISTINCT file_path) AS n FROM chunks GROUP BY ALL), rg AS (SELECT repo, median(n)::DOUBLE AS files, min(n) AS least, max(n) AS most FROM pg GROUP BY repo), sg AS (SELECT repo, files, least, most, ['small', 'medium', 'large'][ntile(3) OVER (ORDER BY files, repo)] AS size_group FROM rg)"
 
 _NAME = "[A-Za-z_][A-Za-z0-9_]*(\\.[A-Za-z_][A-Za-z0-9_]*)*"
 _LEAF = "split_part(k, '.', -1)"
@@ -309,9 +309,9 @@ ORACLE = {
     "adjacency": f"WITH {_EDGES}, b AS (SELECT repo, base_commit, caller_file AS file_path, target_file AS peer FROM edges UNION SELECT repo, base_commit, target_file, caller_file FROM edges) SELECT repo, base_commit, file_path, count(*) AS degree, array_to_string(list_slice(list_sort(list(peer)), 1, 5), ',') AS peers FROM b GROUP BY ALL",
     "one_hop": _HOP(5, 8),
     "one_hop_hub_guard": _HOP(3, 2),
-    "longest_prefix": f"""WITH m AS (SELECT DISTINCT {_MODULE} AS module, file_path FROM chunks), f AS (SELECT regexp_replace(module, '\\.[^.]*$', '') AS prefix, min(file_path) AS file_path FROM m GROUP BY 1),
+    "longest_prefix": f"""WITH m AS (SELECT DISTINCT {_MODULE} AS module, file_path FROM chunks), f AS (SELECT DISTINCT regexp_replace(module, '\\.[^.]*$', '') AS prefix, file_path FROM m),
         e AS (SELECT DISTINCT module, parts, array_to_string(list_slice(string_split(module, '.'), 1, parts), '.') AS prefix FROM (SELECT module, unnest(range(1, len(string_split(module, '.')) + 1)) AS parts FROM m))
-        SELECT module, file_path, CAST(parts AS INTEGER) AS parts FROM e JOIN f USING (prefix) QUALIFY parts = max(parts) OVER (PARTITION BY module)""",
+        SELECT module, file_path, parts FROM (SELECT DISTINCT module, file_path, CAST(parts AS INTEGER) AS parts FROM e JOIN f USING (prefix) QUALIFY parts = max(parts) OVER (PARTITION BY module)) QUALIFY row_number() OVER (PARTITION BY module ORDER BY file_path) <= 4""",
     "interval_innermost": f"""WITH r AS (SELECT DISTINCT {_KEYED} AS key, chunk_id AS name, least(start_line, end_line) AS s, greatest(start_line, end_line) AS e FROM chunks WHERE start_line IS NOT NULL AND end_line IS NOT NULL), p AS (SELECT DISTINCT key, s AS line FROM r),
         h AS (SELECT p.key, line, name, rank() OVER (PARTITION BY p.key, line ORDER BY e - s) AS r FROM p JOIN r ON r.key = p.key AND line BETWEEN s AND e) SELECT key, line, min(name) AS name, count(*) AS ties FROM h WHERE r = 1 GROUP BY ALL""",
     "nearest_band": f"""WITH {_DEFS}, r AS (SELECT {_KEYED} AS key, concat_ws('/', name, kind) AS name, start_line AS s, end_line AS e FROM defs WHERE start_line IS NOT NULL AND end_line IS NOT NULL),
@@ -331,7 +331,7 @@ ORACLE = {
     "stratified_hash_split": f"SELECT repo, ticket_id, CAST(row_number() OVER (PARTITION BY repo ORDER BY sha256('11:' || ticket_id)) AS INTEGER) AS place FROM (SELECT DISTINCT repo, ticket_id FROM {SQL_TICKETS} WHERE repo IS NOT NULL) QUALIFY place <= 3",
     "largest_remainder": "WITH c AS (SELECT doc_type, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT *, n * 101 / (SELECT sum(n) FROM c) AS raw FROM c), b AS (SELECT *, floor(raw) AS base FROM r), p AS (SELECT *, 101 - sum(base) OVER () AS rest, row_number() OVER (ORDER BY round(raw - base, 9) DESC, n DESC, doc_type DESC) AS place FROM b) SELECT doc_type, n, CAST(base + (place <= rest)::INT AS BIGINT) AS seats FROM p",
     "size_groups_ntile": f"WITH {_GROUPS} SELECT * FROM sg",
-    "fingerprint": "WITH e AS (SELECT repo, base_commit, file_path, max(sha256(content)) AS h FROM source_files WHERE content IS NOT NULL GROUP BY ALL) SELECT repo, base_commit, count(*) AS files, sha256(array_to_string(list_sort(list(concat_ws(':', file_path, h))), chr(10))) AS fingerprint FROM e GROUP BY ALL",
+    "fingerprint": "WITH e AS (SELECT repo, base_commit, file_path, max(sha256(content)) AS h FROM source_files WHERE content IS NOT NULL GROUP BY ALL), p AS (SELECT repo, base_commit, substr(md5(file_path), 1, 2) AS b, count(*) AS n, sha256(array_to_string(list_sort(list(concat_ws(':', file_path, h))), chr(10))) AS d FROM e GROUP BY ALL) SELECT repo, base_commit, CAST(sum(n) AS BIGINT) AS files, sha256(array_to_string(list_sort(list(concat_ws(':', b, d))), chr(10))) AS fingerprint FROM p GROUP BY ALL",
     "repository_totals": f"WITH t AS (SELECT DISTINCT ticket_id, coalesce(repo, '?') AS repo, base_commit, product FROM {SQL_TICKETS}) SELECT repo, count(*) AS n, count(DISTINCT ticket_id) AS tickets, count(DISTINCT base_commit) AS commits FROM t GROUP BY repo UNION ALL SELECT '*', count(*), count(DISTINCT ticket_id), count(DISTINCT base_commit) FROM t",
     "runtime_grouping_sets": "SELECT coalesce(l_returnflag, '*') AS method, coalesce(l_linestatus, '*') AS grp, count(*) AS n, round(sum(l_quantity), 2) AS total, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "micro_macro": "WITH p AS (SELECT list_name, ticket_id, sum(score) AS s, count(*) AS n FROM ranked_symbols WHERE NOT isnan(score) AND score BETWEEN 0 AND 1 AND ticket_id IS NOT NULL GROUP BY ALL) SELECT list_name, round(sum(s) / sum(n), 6) AS micro, round(avg(s / n), 6) AS macro, min(n) AS least, max(n) AS most, median(n)::DOUBLE AS median FROM p GROUP BY list_name",

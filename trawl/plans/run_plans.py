@@ -227,10 +227,41 @@ def contract_gates(spark: SparkSession, d: str) -> DataFrame:
     ])
 
 
+def sink_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that come back from each kind of file: JSON lines, flat CSV, an index partitioned by snapshot, nested index documents, rows as text; and whether a second write of an artifact is refused."""
+    from pyspark.errors import AnalysisException
+
+    from trawl.sources import files as IO
+
+    path = new_path(spark, "sinks")
+    tickets = table(spark, d, "tickets", "ticket_id", "title", "fail_to_pass").distinct()
+    tickets.write.json(f"{path}/t.jsonl")
+    back = IO.read_records(spark, f"{path}/t.jsonl", "ticket_id string, title string, fail_to_pass array<string>", strict=True)
+    IO.write_flat_csv(tickets.select("ticket_id", "fail_to_pass"), f"{path}/t.csv")
+    flat = IO.read_csv(spark, f"{path}/t.csv", ["ticket_id", "fail_to_pass"])
+    chunks = table(spark, d, "chunks")
+    IO.write_index(chunks.select("repo", "base_commit", "chunk_id").distinct(), f"{path}/index")
+    index = spark.read.parquet(f"{path}/index")
+    loaded, wrong = IO.load_index(IO.index_documents(chunks))
+    IO.write_once(tickets.select("ticket_id"), f"{path}/once")
+    try:
+        IO.write_once(tickets.select("ticket_id"), f"{path}/once")
+        refused = 0
+    except AnalysisException:
+        refused = 1
+    n = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("sink"), "n")
+    latest = IO.latest_by_key(table(spark, d, "parse_results", "file_path", "parsed_at"), "file_path", "parsed_at")
+    parts = [n("json", back.exceptAll(tickets).union(tickets.exceptAll(back))), n("csv", flat), n("index", index), n("documents", loaded), n("wrong_counts", wrong), n("latest", latest), n("text", IO.rows_as_text(tickets).filter("title = ''"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.union(spark.range(1).select(F.lit("refused").alias("sink"), F.lit(refused).cast("bigint").alias("n")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        select_tickets, batch_run, shard_merge, seen_union, seen_conflicts, source_token, memo_top50, blob_lookup, prompt_texts, graph_expansion, api_expansion, file_chunks, index_gap, commit_reachability, pool_fraction, priority_order, candidate_fallback, plain_names,
+        sink_round_trip, select_tickets, batch_run, shard_merge, seen_union, seen_conflicts, source_token, memo_top50, blob_lookup, prompt_texts, graph_expansion, api_expansion, file_chunks, index_gap, commit_reachability, pool_fraction, priority_order, candidate_fallback, plain_names,
         hunk_texts, runtime_groups, runtime_percentiles, metrics_micro_macro, contract_gates,
     )
 }
@@ -244,6 +275,7 @@ _SEEN = f"u AS (SELECT DISTINCT ticket_id, {SQL_REPO} AS repo, 0 AS part FROM ti
 _SECONDS = "sec AS (SELECT ticket_id, list_name AS method, CAST(trunc(epoch_us(received_at - scored_at) / 1000000) AS BIGINT) AS seconds FROM ranked_symbols WHERE ticket_id IS NOT NULL AND scored_at IS NOT NULL AND received_at IS NOT NULL)"
 
 ORACLE = {
+    "sink_round_trip": "WITH t AS (SELECT DISTINCT ticket_id, title, fail_to_pass FROM tickets), c AS (SELECT count(*) AS n FROM t) SELECT 'json' AS sink, 0::BIGINT AS n UNION ALL SELECT 'csv', count(*) FROM t UNION ALL SELECT 'index', count(*) FROM (SELECT DISTINCT repo, base_commit, chunk_id FROM chunks) UNION ALL SELECT 'documents', count(*) FROM (SELECT DISTINCT repo, base_commit, file_path, chunk_id FROM chunks) UNION ALL SELECT 'wrong_counts', 0 UNION ALL SELECT 'latest', count(DISTINCT file_path) FROM parse_results UNION ALL SELECT 'text', count(*) FROM t WHERE coalesce(title, '') = '' UNION ALL SELECT 'refused', 1",
     "select_tickets": "SELECT DISTINCT ticket_id FROM tickets SEMI JOIN (SELECT ticket_id FROM ticket_outcomes WHERE lower(trim(split_name)) = 'train') USING (ticket_id) WHERE ticket_id IS NOT NULL ORDER BY ticket_id LIMIT 200 OFFSET 25",
     "batch_run": f"WITH {_FILES('ranked', 'a')}, t AS (SELECT DISTINCT ticket_id FROM tickets WHERE ticket_id IS NOT NULL), p AS (SELECT a.* FROM a SEMI JOIN t USING (ticket_id)) SELECT 'prediction' AS kind, count(*) AS n, count(DISTINCT ticket_id) AS tickets, '{_METHOD({'ranking': 'files', 'list': 'ranked'})}' AS method_id FROM p UNION ALL SELECT 'failure', count(*), count(DISTINCT ticket_id), CASE WHEN count(*) > 0 THEN '{_METHOD({'ranking': 'files', 'list': 'ranked'})}' END FROM t ANTI JOIN p USING (ticket_id)",
     "shard_merge": _A + f", {_REPOS} SELECT {_HASH("'order:' || ticket_id")} AS place, ticket_id, least({_HASH('coalesce(repo, chr(0)[2:1])')} % {SHARDS} + 1, {SHARDS - 1}) AS shard, rr FROM ta JOIN rp USING (ticket_id)",

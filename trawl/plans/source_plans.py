@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trawl.functions import text as T
 from trawl.operators import evaluation as E
 from trawl.operators import pipeline as P
+from trawl.operators import slots as SL
 from trawl.operators import source as S
 from trawl.plans.evaluation_plans import _SYM
 from trawl.plans.retrieval_plans import _FILES, _WEIGHTED
 from trawl.plans.text_plans import ORACLE as TEXT
 from trawl.sources.tables import table
-from trawl.storage import new_path
+from trawl.storage import cut, new_path
 from trawl.streaming import resume
 
 _OLD = "2025-01-15 00:00:00"  # the time at which the earlier index was built
@@ -77,6 +79,22 @@ def coverage_select(spark: SparkSession, d: str) -> DataFrame:
     return P.reserved_slots(E.symbol_ranks(table(spark, d, "ranked_symbols"))[1], 10)
 
 
+def symbol_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Ten symbols of every ticket under each mode of selection; calls tie symbols whose file calls the other's name."""
+    rows = table(spark, d, "ranked_symbols", "ticket_id", "list_name", "rank", "file_path", "symbol_qualified_name", "symbol_kind", "score", "start_line", "end_line")
+    best = E.symbol_ranks(rows)[1]
+    kind = F.lower(F.trim(F.coalesce("symbol_kind", F.lit(""))))
+    lines = rows.filter("list_name = 'ranked' AND ticket_id IS NOT NULL").groupBy("ticket_id", T.norm_path(F.col("file_path")).alias("file_path"), T.symbol_key(F.col("symbol_qualified_name")).alias("name"), kind.alias("kind")).agg(F.min(F.least("start_line", "end_line")).alias("start_line"), F.max(F.greatest("start_line", "end_line")).alias("end_line"), F.max(F.when((F.col("score") >= 0) & (F.col("score") <= 1), F.col("score"))).alias("file_score"))
+    x = cut(best.join(lines, ["ticket_id", "file_path", "name", "kind"]), "symbols", compression="zstd")
+    leaf = x.withColumn("leaf", F.substring_index("name", ".", -1)).filter("leaf <> ''")
+    links = leaf.select("ticket_id", "leaf", F.col("rank").alias("a"), F.col("file_path").alias("fa")).join(leaf.select("ticket_id", "leaf", F.col("rank").alias("b"), F.col("file_path").alias("fb")), ["ticket_id", "leaf"]).filter("fa <> fb AND a <= 10").select("ticket_id", "a", "b")
+    out = None
+    for mode in SL.MODES:
+        part = SL.select_symbols(x, 10, mode, links).select(F.lit(mode).alias("mode"), "ticket_id", "place", "rank", "file_path", "name", "kind")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def incremental_index(spark: SparkSession, d: str) -> DataFrame:
     now = table(spark, d, "source_files")
     return P.incremental(now.filter(F.col("loaded_at") < F.lit(_OLD).cast("timestamp_ntz")), now)
@@ -118,7 +136,7 @@ def windowed_events(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (ast_symbols, parse_status, regex_declarations, source_facts, import_edges, resolved_calls, api_links, diff_hunks, hunk_headers, llm_blend, coverage_select, incremental_index, protocol_gates, pipeline_e2e, symbol_rank_b1, resume_stream, windowed_events)
+    for f in (ast_symbols, parse_status, regex_declarations, source_facts, import_edges, resolved_calls, api_links, diff_hunks, hunk_headers, llm_blend, coverage_select, symbol_slots, incremental_index, protocol_gates, pipeline_e2e, symbol_rank_b1, resume_stream, windowed_events)
 }
 
 _B1 = f"""{_WEIGHTED}, scored AS (SELECT * FROM w), {_FILES.replace('cosine', 'w_score').replace('FROM scored GROUP', 'FROM (SELECT *, score AS w_score FROM scored) GROUP')}, ff AS (SELECT * FROM fr WHERE rank <= 20),

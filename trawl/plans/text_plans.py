@@ -83,8 +83,15 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.lit(-1)).alias("k"))
 
 
+def json_lines(spark: SparkSession, d: str) -> DataFrame:
+    return P.json_lines(table(spark, d, "documents", "doc_id", "text"))
+
+
 def json_repair(spark: SparkSession, d: str) -> DataFrame:
-    return P.repaired_json(table(spark, d, "documents", "doc_id", "text"))
+    """What becomes of each text, and of a fenced and a wrapped form of each event's properties."""
+    props = table(spark, d, "events", "event_id", "props").select(F.col("event_id").alias("doc_id"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Here it is: "), "props", F.lit(" ."))).otherwise(F.concat("props", F.lit("}"))).alias("text"))
+    both = P.repaired_json(table(spark, d, "documents", "doc_id", "text")).withColumn("of", F.lit("document")).union(P.repaired_json(props).withColumn("of", F.lit("event")))
+    return both.select("of", "doc_id", "way", F.md5("object").alias("digest"))
 
 
 def stable_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +113,7 @@ def source_scan(spark: SparkSession, d: str) -> DataFrame:
     return P.listed_sources(table(spark, d, "source_files", "repo", "base_commit", "file_path", "content"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_terms, important_terms, report_identifiers, symbol_norm, norm_paths, trace_refs, search_text, derived_names, bug_text, input_gate, ticket_defaults, import_lines, line_preview, diff_files, json_props, json_repair, stable_ids, safe_keys, validation_issues, source_scan)}
+QUERIES = {f.__name__: f for f in (tokenize_terms, important_terms, report_identifiers, symbol_norm, norm_paths, trace_refs, search_text, derived_names, bug_text, input_gate, ticket_defaults, import_lines, line_preview, diff_files, json_props, json_lines, json_repair, stable_ids, safe_keys, validation_issues, source_scan)}
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
@@ -177,7 +184,11 @@ ORACLE = {
         FROM (SELECT DISTINCT chunk_id, start_line, code_text FROM chunks WHERE start_line IS NOT NULL AND code_text IS NOT NULL)""",
     "diff_files": """SELECT DISTINCT doc_id, file FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '(?m)^\\+\\+\\+ (?:b/)?([^\\s]+)', 1)) AS file FROM documents) WHERE file <> '/dev/null'""",
     "json_props": "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k FROM events",
-    "json_repair": """SELECT doc_id, CAST(sum(json_valid(j)::INT) AS BIGINT) AS parsed, count(*) AS objects FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '\\{[^{}\\n]*\\}')) AS j FROM documents) GROUP BY doc_id""",
+    "json_lines": """SELECT doc_id, CAST(sum(json_valid(j)::INT) AS BIGINT) AS parsed, count(*) AS objects FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '\\{[^{}\\n]*\\}')) AS j FROM documents) GROUP BY doc_id""",
+    "json_repair": """WITH x AS (SELECT 'document' AS of, doc_id, coalesce(text, '') AS s FROM documents UNION ALL SELECT 'event', event_id, coalesce(CASE event_id % 3 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN 'Here it is: ' || props || ' .' ELSE props || '}' END, '') FROM events),
+        t AS (SELECT of, doc_id, regexp_replace(regexp_replace(trim(s), '(?i)^```(?:json)?\\s*', ''), '\\s*```$', '') AS t FROM x), i AS (SELECT *, regexp_extract(t, '(?s)\\{.*\\}', 0) AS i FROM t),
+        w AS (SELECT *, CASE WHEN starts_with(trim(t), '{') AND json_valid(trim(t)) THEN 'whole' WHEN starts_with(i, '{') AND json_valid(i) THEN 'braces' ELSE 'none' END AS way FROM i)
+        SELECT of, doc_id, way, md5(CASE way WHEN 'whole' THEN trim(t) WHEN 'braces' THEN i ELSE '{}' END) AS digest FROM w""",
     "stable_ids": """SELECT DISTINCT 'sha256:' || sha256(concat_ws('|', coalesce(repo, ''), coalesce(base_commit, ''), coalesce(file_path, ''), coalesce(function_name, ''), coalesce(class_name, ''), coalesce(CAST(start_line AS VARCHAR), ''))) AS symbol_id, repo, file_path, start_line FROM chunks""",
     "safe_keys": "SELECT file_path, symbol_qualified_name, regexp_replace(concat_ws('-', file_path, symbol_qualified_name), '[^A-Za-z0-9._-]+', '_', 'g') AS safe_key FROM (SELECT DISTINCT file_path, symbol_qualified_name FROM ranked_symbols)",
     "validation_issues": """SELECT gold_id, issue, count(*) AS n FROM (SELECT gold_id, unnest(list_filter([

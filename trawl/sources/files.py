@@ -78,3 +78,28 @@ def labelled(inputs: dict[str, DataFrame]) -> DataFrame:
     if out is None:
         raise ValueError("no inputs")
     return out
+
+
+def index_documents(chunks: DataFrame) -> DataFrame:
+    """(repo, base_commit, file_path, document): a file's chunks as one nested JSON document with their number; chunks of a file are the bound of a document."""
+    row = F.struct("chunk_id", F.col("symbol_kind").alias("kind"), F.coalesce("function_name", F.lit("")).alias("function"), F.coalesce("class_name", F.lit("")).alias("class"), "start_line", "end_line", F.md5(F.coalesce("code_text", F.lit(""))).alias("code_digest"))
+    per = chunks.dropDuplicates(["repo", "base_commit", "file_path", "chunk_id"]).groupBy("repo", "base_commit", "file_path").agg(F.array_sort(F.collect_list(row)).alias("chunks"))
+    return per.select("repo", "base_commit", "file_path", F.to_json(F.struct(F.size("chunks").alias("count"), "chunks")).alias("document"))
+
+
+_DOCUMENT = "count int, chunks array<struct<chunk_id:string,kind:string,function:string,class:string,start_line:int,end_line:int,code_digest:string,symbol_name:string>>"
+
+
+def load_index(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunks, documents whose number of chunks is not what they say): nested index documents as rows; a chunk's name comes from symbol_name, function or class, the first that is filled."""
+    x = documents.select("repo", "base_commit", "file_path", F.from_json("document", _DOCUMENT).alias("d"))
+    wrong = x.filter("d IS NULL OR d.count IS NULL OR d.count <> size(coalesce(d.chunks, array()))").select("repo", "base_commit", "file_path")
+    rows = x.select("repo", "base_commit", "file_path", F.explode("d.chunks").alias("c")).select("repo", "base_commit", "file_path", "c.*")
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    return rows.withColumn("name", F.coalesce(filled("symbol_name"), filled("function"), filled("class"), F.lit(""))).drop("symbol_name"), wrong
+
+
+def rows_as_text(df: DataFrame) -> DataFrame:
+    """Missing and not-a-number values of single columns as empty text, lists kept as lists."""
+    number = lambda c, t: F.when(F.isnan(c), None).otherwise(F.col(c)) if t in ("double", "float") else F.col(c)
+    return df.select(*[F.coalesce(F.col(c), F.array().cast(t)).alias(c) if t.startswith("array") else F.coalesce(number(c, t).cast("string"), F.lit("")).alias(c) for c, t in df.dtypes])

@@ -7,15 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+#: Parts by key hash in which a target is kept.
+PARTS = 64
+
+
 def append_once(stream: DataFrame, key: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Write the stream's rows to ``target``, each key once: a batch keeps one row per key and leaves out keys that are already there. Progress is kept in ``checkpoint``, so a stopped job goes on where it ended."""
+    """Write the stream's rows to ``target``, each key once: a batch keeps one row per key and leaves out keys that are already there. Progress is kept in ``checkpoint``, so a stopped job goes on where it ended.
+
+    The target is partitioned by key hash (column ``part``), and a batch reads only the keys of the parts that its own keys fall in. Rows without a key are left out.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.filter(F.col(key).isNotNull()).dropDuplicates([key])
+        fresh = batch.filter(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int"))
         done = existing(batch.sparkSession, target)
         if done is not None:
-            fresh = fresh.join(done.select(key), key, "left_anti")
-        fresh.write.mode("append").parquet(target)
+            touched = [r[0] for r in fresh.select("part").distinct().collect()]  # at most PARTS rows
+            fresh = fresh.join(done.filter(F.col("part").isin(touched)).select(key), key, "left_anti")
+        fresh.write.mode("append").partitionBy("part").parquet(target)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
