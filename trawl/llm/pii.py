@@ -60,6 +60,8 @@ _NEGATIVE_RIGHT = re.compile(r"^(?:'s)? (?:keeps|runs|holds|reads|writes|stores|
 _TECH = set(
     "gateway cache queue thread threads pool agent lane drive court road street server service worker scheduler manager handler module node cluster index table buffer stream broker router proxy session token window layer engine library framework api client store build test suite job pipeline request response lock merge page user error code release guide notes version update description summary environment problem steps expected actual behavior behaviour studio cloud actions hub desktop python java script reader writer parser plugin exception interface system data base file files server map plan list view event task model loader driver adapter factory provider listener controller template".split()
 )
+#: Last parts of names of services, files and hosts inside a network, which no mail address ends with.
+_NO_DOMAINS = set("next latest beta canary stable main master head service timer socket target mount slice scope local localdomain internal lan home corp svc cluster json yaml yml toml txt md py js ts java go rs c h sh log cfg conf".split())
 #: Words that begin sentences and headings.
 _STARTERS = set("the a an could when after before please our with we there see use section error no as is it if for from in on at to and or not none true false der die das bitte seit nach im ohne wir le la il el les los un une al depuis merci can call ask thanks by my i he she they you this that these those what who how why where hello hi dear best kind regards cheers new known internal null read access time step steps main long open dead old last next first windows internet visual apache table getting pull stack hot cold".split())
 
@@ -127,11 +129,11 @@ def _emails(text: str) -> Iterator[tuple[str, int, int, list[float]]]:
         at, local, host = m["at"], text[a : m.start()], m["host"]
         disguised = at != "@"
         top = re.split(_DOT, host)
-        kind = 0 if at == "@" else 1 if at.strip() in ("%40", "＠", "&#64;", "\\u0040", "\\x40", "\\@") else 2 if at.strip().lower() != "at" else 3
+        kind = 0 if at == "@" else 1 if at.strip() in ("%40", "＠", "&#64;", "\\u0040", "\\x40", "\\@") else 2 if at.strip().lower() != "at" else 3 if at == " AT " else 4
         yield (
             "email", a, m.end(),
             [kind, len(top), len(top[-1]), float(top[-1].isalpha()), float(right.startswith((":", "/"))), float(bool(re.fullmatch(r"\d+(?:\.\d+)*", host))),
-             float(bool(re.search(r"[/\\`@]$", left))), float(local.lower() in ("git", "hg", "svn", "ssh")), float("." in local or "_" in local or "-" in local or any(c.isdigit() for c in local)), float(disguised), float(bool(re.search(r"\s(?:dot|DOT)\s|[(\[{]", host))), float(local.lower() in _STARTERS)],
+             float(bool(re.search(r"[/\\`@]$", left))), float(local.lower() in ("git", "hg", "svn", "ssh")), float("." in local or "_" in local or "-" in local or any(c.isdigit() for c in local)), float(disguised), float(bool(re.search(r"\s(?:dot|DOT)\s|[(\[{]", host))), float(local.lower() in _STARTERS), float(top[-1].lower() in _NO_DOMAINS)],
         )
 
 
@@ -174,7 +176,8 @@ def _names(text: str, lexicon: Lexicon) -> Iterator[tuple[str, int, int, list[fl
     at = 0
     while m := _NAME.search(text, at):
         a, b = m.span()
-        yield _name(text, a, b, m.lastgroup or "full", lexicon)
+        if not _TITLED.match(m[0]):  # a title is no part of the name, which is a candidate of its own
+            yield _name(text, a, b, m.lastgroup or "full", lexicon)
         at = a + len(m[0].split(" ", 1)[0])  # a title or a sentence's first word may stand before a name
 
 

@@ -39,7 +39,7 @@ _WITHOUT = [
     "git clone git@code.blankhost.test:team/{noun}.git", "remote: git@blankhost.test:{noun}/core.git", "use the @{noun}.cached decorator", "2023-1{d1}-0{d1}T11:42:07,{d3} INFO {noun} took={d2}ms", "uuid {d6}ab-{d4}-4{d3}-{d4}-{d6}", "part no. 9{d2}-0{d1}-{d4} was replaced", "article {d3}-{d2}-{d4} in the {noun} list", "shift {d4} {d4} {d4} ended",
     "Null Pointer Exception", "Access Denied", "Internal Server Error", "Pull Request", "Known Issues", "Getting Started", "# Release Plan", "Steps Taken", "Table Of Contents", "Visual Basic", "Internet Explorer", "Apache Kafka uses {n} brokers.", "Hello World", "Merge Conflict and Dead Lock occur.", "Ubuntu Server {n}", "Android Studio", "Amazon Linux", "Windows Update broke the {noun}.",
     "The new {given} Engine keeps {n} entries.", "Our {given} Worker reads the {noun}.", "A {family} Router has {n} ports.", "The {given} Module, the {family} Plugin and the {given} Library load.", "{given} Client: timeout", "{family} Handler is null", "import {given}{family}", "class {given} Parser", "{given}.{family}()", "see {given}{family}.java:{d2}", "at com.{noun}.{given}Reader.read({given}Reader.java:{d3})",
-    "{noun}@{noun}.timer is masked", "scp build@{noun}.local:/tmp", "docker run {noun}@sha256:{d6}", "@types/{noun}", "{noun}@latest", "We meet at {noun}.net today.", "look at {noun}.json", "values at org.{noun}.core are stale", "pin {noun}@{d1}.{d1}.{d2}", "the cursor at {noun}.rows is closed", "ISBN 97{d1}-{d1}-{d4}-{d4}-{d1}", "invoice {d3}-{d2}-{d4} is paid", "lines {d3}-{d4}, {d5}-{d5}",
+    "{noun}@{noun}.timer is masked", "restart {noun}@{noun}.socket", "We stop at {noun}.org for now.", "look at {noun}.net again", "it ends at {noun}.com", "arrive at {noun}.test", "scp build@{noun}.local:/tmp", "docker run {noun}@sha256:{d6}", "@types/{noun}", "{noun}@latest", "We meet at {noun}.net today.", "look at {noun}.json", "values at org.{noun}.core are stale", "pin {noun}@{d1}.{d1}.{d2}", "the cursor at {noun}.rows is closed", "ISBN 97{d1}-{d1}-{d4}-{d4}-{d1}", "invoice {d3}-{d2}-{d4} is paid", "lines {d3}-{d4}, {d5}-{d5}",
     "build {d5}-{d3}-{d2} is green", "seek to {d6}-{d6}", "slot {d2} {d3} {d3} {d3} is empty", "since 19{d2}-0{d1}-1{d1} {d2}:{d2}", "place {d5}, then {d6}", "{n} of {n} done", "stamped 16{d6}{d2}", "model no. {d3}-{d4}-{d3}", "tracking code {d6}-{d4} is unknown", "ratio {d1}.{d5} {d1}.{d5}", "order no. {d3}-{d3}-{d4}", "ticket {d6}-{d4} is open", "({d3}) {d3}-{d2} items", "range {d4}..{d4}", "seed={d6} step={d5}",
     "Section {n} River Road was removed.", "part {n} Old Court of the handbook", "{n} Open Place holders", "{n} Dead Lane markers", "{family} Lane Street Map", "open the door at once", "meet at noon", "Step One and Step Two", "Der Dienst startet nicht.", "Die Tabelle ist leer.", "Le service ne répond pas.", "El servicio no arranca.", "The service does not start.", "Unit Tests pass", "New York", "Monday Morning", "Last Friday", "Best Effort", "Dear Reviewer", "Hi Team", "Thanks Everyone",
 ]
@@ -73,8 +73,9 @@ def labelled(seed: int, lexicon: Lexicon, frames: tuple[list[str], list[str]] =
     def email() -> str:
         g, f = r.choice(given).lower(), r.choice(family).lower()
         box = r.choice([f"{g}.{f}", f"{g[0]}{f}", f"{f}_{g}", f"{g}-{f}", f"{g}{digits(2)}", f"{g[0]}.{f}{digits(2)}", f"{g}.{f}+{r.choice(_NOUNS)}"])
-        at = r.choice(["@"] * 8 + ["%40", " (at) ", " [at] ", "(at)", " AT "])
-        dot = r.choice([" [dot] ", " (dot) ", " dot "]) if at.strip() not in ("@", "%40") and r.random() < 0.7 else "."
+        at = r.choice(["@"] * 8 + ["%40", " (at) ", " [at] ", "(at)", " AT ", " at "])
+        worded = at.strip() not in ("@", "%40") and (at == " at " or r.random() < 0.7)
+        dot = r.choice([" [dot] ", " (dot) ", " dot "]) if worded else "."
         name = _invented(r).lower() + r.choice(["", "", "", "-" + r.choice(_NOUNS), f".{r.choice(_NOUNS)}"])
         host = dot.join(f"{r.choice(['', '', 'mx.'])}{name}.{r.choice(_ENDINGS)}".split("."))
         s = box + at + host
