@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,8 +102,35 @@ def hash_number(*parts: Column) -> Column:
 POISSON = tuple(int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(12))
 
 
+#: Shifts and factors by which a ticket's hash and a resample's number are mixed to 32 bits, and tickets that are mixed at once.
+MIX, AT_ONCE = ((15, 2146121005), (13, 1540483477)), 256
+
+
+def _drawn(frames: Iterator[pd.DataFrame], samples: int, metrics: int) -> Iterator[pd.DataFrame]:
+    """Sums of weighted deltas and of weights per resample, one partial table per task: whole-number steps on arrays, which any engine repeats."""
+    import numpy as np
+
+    low = np.uint64((1 << 32) - 1)
+    number = np.arange(samples, dtype=np.uint64) * np.uint64(2654435761)
+    sums = np.zeros((2 * metrics, samples))
+    for f in frames:
+        values = f[[f"d{k}" for k in range(metrics)]].to_numpy(float)
+        both = np.hstack([np.nan_to_num(values), ~np.isnan(values)])
+        for i in range(0, len(f), AT_ONCE):
+            x = (f["h"].to_numpy(np.uint64)[i : i + AT_ONCE, None] + number) & low
+            for shift, factor in MIX:
+                x = ((x ^ (x >> np.uint64(shift))) * np.uint64(factor)) & low
+            x ^= x >> np.uint64(16)
+            weight = np.zeros(x.shape, np.int8)
+            for t in POISSON:
+                weight += x >= np.uint64(t)
+            sums += both[i : i + AT_ONCE].T @ weight
+    out = {"s": np.arange(samples, dtype=np.int32)} | {f"{c}{k}": sums[k + (metrics if c == "w" else 0)] for c in "tw" for k in range(metrics)}
+    yield pd.DataFrame(out)
+
+
 def bootstrap(deltas: DataFrame, samples: int, seed: int) -> DataFrame:
-    """(metric, n, mean, low, high): percentile interval of the mean delta over ``samples`` resamples (a multiple of 4).
+    """(metric, n, mean, low, high): percentile interval of the mean delta over ``samples`` resamples.
 
     In a resample each ticket counts as often as a Poisson number of mean 1 says, drawn by hash of seed, ticket and sample; so tickets never have to
     meet, and sums are made per sample where the tickets are. All metrics of a ticket share its draws, as a paired comparison needs. Tickets whose
@@ -111,14 +140,11 @@ def bootstrap(deltas: DataFrame, samples: int, seed: int) -> DataFrame:
     if not metrics:
         return deltas.select("metric", F.lit(0).cast("bigint").alias("n"), *[F.lit(0.0).alias(c) for c in ("mean", "low", "high")]).limit(0)
     wide = deltas.groupBy("ticket_id").agg(*[F.max(F.when(F.col("metric") == m, F.col("delta"))).alias(f"d{k}") for k, m in enumerate(metrics)])
-    blocks = wide.repartition(DRAW_TASKS, "ticket_id").select("*", F.explode(F.sequence(F.lit(0), F.lit(samples // 4 - 1))).alias("b"))
-    drawn = blocks.select("*", F.md5(F.concat_ws(":", F.lit(str(seed)), "ticket_id", F.col("b").cast("string"))).alias("x")).select("*", F.posexplode(F.array(*[F.substring("x", q * 8 + 1, 8) for q in range(4)])).alias("q", "u"))
-    u = F.conv("u", 16, 10).cast("bigint")
-    weight = sum((u >= t).cast("int") for t in POISSON)
-    parts = drawn.select((F.col("b") * 4 + F.col("q")).alias("s"), weight.alias("w"), *[f"d{k}" for k in range(len(metrics))]).filter("w > 0")
-    sums = [x for k in range(len(metrics)) for x in (F.sum(F.col("w") * F.col(f"d{k}")).alias(f"t{k}"), F.sum(F.when(F.col(f"d{k}").isNotNull(), F.col("w"))).alias(f"w{k}"))]
-    per = parts.groupBy("s").agg(*sums)
-    means = per.select("s", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(F.col(f"t{k}") / F.col(f"w{k}"), 9).alias("m")) for k, m in enumerate(metrics)])).alias("x")).select("s", "x.*")
+    base = wide.repartition(DRAW_TASKS, "ticket_id").select(hash_number(F.lit(str(seed)), F.col("ticket_id")).alias("h"), *[f"d{k}" for k in range(len(metrics))])
+    cols = [f"t{k}" for k in range(len(metrics))] + [f"w{k}" for k in range(len(metrics))]
+    parts = base.mapInPandas(lambda it: _drawn(it, samples, len(metrics)), "s int, " + ", ".join(f"{c} double" for c in cols))
+    per = parts.groupBy("s").agg(*[F.sum(c).alias(c) for c in cols])
+    means = per.select("s", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"t{k}").alias("t"), F.col(f"w{k}").alias("w")) for k, m in enumerate(metrics)])).alias("x")).filter("x.w > 0").select("s", "x.metric", F.round(F.col("x.t") / F.col("x.w"), 9).alias("m"))
     place = Window.partitionBy("metric").orderBy("m", "s")  # one row per sample, whatever the number of tickets
     low, high = int(0.025 * samples), int(0.975 * samples)
     at = means.withColumn("p", F.row_number().over(place) - 1).groupBy("metric").agg(F.max(F.when(F.col("p") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("p") == high, F.col("m"))).alias("high"))

@@ -60,23 +60,27 @@ def tfidf(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
 
     Weight (1 + ln tf) idf; terms that no chunk has are left out of the report's vector.
     """
-    # Terms are counted once and kept in the shared folder, under one number per snapshot: they are read for frequencies, vectors and norms.
-    docs = corpus(chunks).withColumn("snap", F.xxhash64(*SNAPSHOT))
-    asked = reports(tickets).withColumn("snap", F.xxhash64(*SNAPSHOT))
-    terms = cut(term_counts(docs, ["snap", "chunk_id"], "search_text"), "terms", compression="zstd")
-    query_terms = cut(term_counts(asked, ["ticket_id", "snap"], "bug_text"), "query", compression="zstd")
-    n = chunks.groupBy(F.xxhash64(*SNAPSHOT).alias("snap")).agg(F.count_distinct("chunk_id", "file_path").alias("total"))
+    # Terms are counted once and kept in the shared folder: they are read for frequencies, vectors and norms. Snapshots, chunks, tickets and terms go by
+    # 64-bit numbers, so that rows that are shuffled are few bytes; names come back at the end.
+    number = F.xxhash64(*SNAPSHOT).alias("snap")
+    docs = corpus(chunks).select(number, F.xxhash64("chunk_id").alias("c"), "chunk_id", "search_text")
+    asked = reports(tickets).select(number, F.xxhash64("ticket_id").alias("t"), "ticket_id", *SNAPSHOT, "bug_text")
+    count = lambda df, key, text: df.select("snap", key, F.explode(T.tokens(F.col(text))).alias("term")).select("snap", key, F.xxhash64("term").alias("term")).groupBy("snap", key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = cut(count(docs, "c", "search_text"), "terms", compression="zstd")
+    query_terms = count(asked, "t", "bug_text")
+    n = chunks.groupBy(number).agg(F.count_distinct("chunk_id", "file_path").alias("total"))
     weight = (1 + F.log("tf")) * F.col("idf")
     # Counted with partial sums and joined back: a common term of a hot snapshot is split by the join like any skewed key, and nothing is sorted by term.
     counts = terms.groupBy("snap", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = cut(counts.join(n, "snap").select("snap", "term", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf")), "idf", compression="zstd")
-    vectors = cut(terms.join(idf, ["snap", "term"]).select("snap", "chunk_id", "term", weight.alias("wd")), "vectors", compression="zstd")
-    norms = vectors.groupBy("snap", "chunk_id").agg(F.sqrt(F.sum(F.col("wd") * F.col("wd"))).alias("nd"))
-    query = query_terms.join(idf, ["snap", "term"]).select("ticket_id", "snap", "term", weight.alias("wq"))
-    qnorms = query.groupBy("ticket_id", "snap").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
-    dots = query.join(vectors.select("snap", "term", "chunk_id", "wd"), ["snap", "term"]).groupBy("ticket_id", "snap", "chunk_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("dot"))
-    scored = dots.join(norms, ["snap", "chunk_id"]).join(qnorms, ["ticket_id", "snap"]).join(asked.select("ticket_id", "snap", *SNAPSHOT), ["ticket_id", "snap"])
-    return scored.select("ticket_id", *SNAPSHOT, "chunk_id", F.round(F.col("dot") / (F.col("nd") * F.col("nq")), 6).alias("cosine"))
+    vectors = cut(terms.join(idf, ["snap", "term"]).select("snap", "c", "term", weight.alias("wd")), "vectors", compression="zstd")
+    norms = vectors.groupBy("snap", "c").agg(F.sqrt(F.sum(F.col("wd") * F.col("wd"))).alias("nd"))
+    query = cut(query_terms.join(idf, ["snap", "term"]).select("t", "snap", "term", weight.alias("wq")), "query", compression="zstd")
+    qnorms = query.groupBy("t", "snap").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
+    dots = query.join(vectors, ["snap", "term"]).groupBy("t", "snap", "c").agg(F.sum(F.col("wq") * F.col("wd")).alias("dot"))
+    chunk = norms.join(docs.select("snap", "c", "chunk_id").distinct(), ["snap", "c"])
+    report = qnorms.join(asked.select("t", "snap", "ticket_id", *SNAPSHOT), ["t", "snap"])
+    return dots.join(chunk, ["snap", "c"]).join(report, ["t", "snap"]).select("ticket_id", *SNAPSHOT, "chunk_id", F.round(F.col("dot") / (F.col("nd") * F.col("nq")), 6).alias("cosine"))
 
 
 def ranked(scores: DataFrame, score: str, k: int, per: tuple[str, ...] = ("ticket_id",)) -> DataFrame:

@@ -154,8 +154,8 @@ ORACLE = {
     "metrics_rollup": _A + f", r AS (SELECT ticket_id, max(repo) AS repo FROM {SQL_TICKETS} GROUP BY 1), x AS (SELECT ta.*, coalesce(r.repo, '?') AS repo FROM ta LEFT JOIN r USING (ticket_id)) SELECT repo, {_AGG} FROM x GROUP BY repo UNION ALL SELECT '*', {_AGG} FROM x",
     "outcomes": _A + " SELECT outcome, count(*) AS tickets, array_to_string(list_slice(list_sort(list(ticket_id)), 1, 20), ',') AS first_ids FROM ta GROUP BY outcome",
     "paired_delta": _AB + _PAIRS + " SELECT metric, bucket, count(*) AS tickets, round(sum(delta), 6) AS delta FROM d GROUP BY metric, bucket",
-    "bootstrap_ci": _AB + _PAIRS + f""", n AS (SELECT metric, count(*) AS n, avg(delta) AS mean FROM d GROUP BY metric), h AS (SELECT ticket_id, b, md5('{SEED}:' || ticket_id || ':' || b) AS x FROM (SELECT DISTINCT ticket_id FROM d), (SELECT unnest(range(0, {SAMPLES // 4})) AS b)),
-        u AS (SELECT ticket_id, b * 4 + q AS s, ('0x' || substr(x, q * 8 + 1, 8))::BIGINT AS u FROM h, (SELECT unnest(range(0, 4)) AS q)), w AS (SELECT ticket_id, s, {' + '.join(f'(u >= {t})::INT' for t in E.POISSON)} AS w FROM u),
+    "bootstrap_ci": _AB + _PAIRS + f""", n AS (SELECT metric, count(*) AS n, avg(delta) AS mean FROM d GROUP BY metric), h AS (SELECT ticket_id, ('0x' || substr(md5('{SEED}:' || ticket_id), 1, 8))::BIGINT AS h FROM (SELECT DISTINCT ticket_id FROM d)), x0 AS (SELECT ticket_id, s, (h + s * 2654435761) % 4294967296 AS x FROM h, (SELECT unnest(range(0, {SAMPLES})) AS s)),
+        x1 AS (SELECT ticket_id, s, (xor(x, x >> 15) * 2146121005) % 4294967296 AS x FROM x0), x2 AS (SELECT ticket_id, s, (xor(x, x >> 13) * 1540483477) % 4294967296 AS x FROM x1), u AS (SELECT ticket_id, s, xor(x, x >> 16) AS u FROM x2), w AS (SELECT ticket_id, s, {' + '.join(f'(u >= {t})::INT' for t in E.POISSON)} AS w FROM u),
         ms AS (SELECT metric, s, round(sum(w * delta) / sum(w), 9) AS m FROM w JOIN d USING (ticket_id) WHERE w > 0 GROUP BY ALL), pl AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY m, s) - 1 AS p FROM ms)
         SELECT metric, any_value(n) AS n, round(any_value(mean), 6) AS mean, round(max(CASE WHEN p = {int(0.025 * SAMPLES)} THEN m END), 6) AS low, round(max(CASE WHEN p = {int(0.975 * SAMPLES)} THEN m END), 6) AS high FROM pl JOIN n USING (metric) GROUP BY metric""",
     "method_compare": _AB + " SELECT metric, baseline, method, round(method - baseline, 6) AS delta FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, (SELECT round(avg({m}), 6) FROM tb) AS baseline, (SELECT round(avg({m}), 6) FROM ta) AS method" for m in ("hit", "recall", "rr", "top1", "top3", "top5")) + ")",
