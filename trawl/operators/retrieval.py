@@ -55,6 +55,22 @@ def document_frequencies(terms: DataFrame, docs: DataFrame) -> DataFrame:
     return df.join(n, SNAPSHOT).select(*SNAPSHOT, "term", "df", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def numbered_chunks(chunks: DataFrame) -> DataFrame:
+    """The corpus with 64-bit numbers of its snapshots (snap) and chunks (c)."""
+    return corpus(chunks).withColumns({"snap": F.xxhash64(*SNAPSHOT), "c": F.xxhash64("chunk_id")})
+
+
+def numbered_reports(tickets: DataFrame) -> DataFrame:
+    """Reports with 64-bit numbers of their snapshots (snap) and tickets (t)."""
+    return reports(tickets).withColumns({"snap": F.xxhash64(*SNAPSHOT), "t": F.xxhash64("ticket_id")})
+
+
+def renamed(rows: DataFrame, asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows by number with the names of their tickets, snapshots and chunks."""
+    named = rows.join(docs.select("snap", "c", "chunk_id").distinct(), ["snap", "c"])
+    return named.join(asked.select("t", "snap", "ticket_id", *SNAPSHOT).distinct(), ["t", "snap"])
+
+
 def tfidf(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
     """(ticket_id, snapshot, chunk_id, cosine) of chunks (or of a corpus of them) that share a term with the report, cosine rounded to 6 places.
 
@@ -62,13 +78,11 @@ def tfidf(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     # Terms are counted once and kept in the shared folder: they are read for frequencies, vectors and norms. Snapshots, chunks, tickets and terms go by
     # 64-bit numbers, so that rows that are shuffled are few bytes; names come back at the end.
-    number = F.xxhash64(*SNAPSHOT).alias("snap")
-    docs = corpus(chunks).select(number, F.xxhash64("chunk_id").alias("c"), "chunk_id", "search_text")
-    asked = reports(tickets).select(number, F.xxhash64("ticket_id").alias("t"), "ticket_id", *SNAPSHOT, "bug_text")
+    docs, asked = numbered_chunks(chunks), numbered_reports(tickets)
     count = lambda df, key, text: df.select("snap", key, F.explode(T.tokens(F.col(text))).alias("term")).select("snap", key, F.xxhash64("term").alias("term")).groupBy("snap", key, "term").agg(F.count(F.lit(1)).alias("tf"))
     terms = cut(count(docs, "c", "search_text"), "terms", compression="zstd")
     query_terms = count(asked, "t", "bug_text")
-    n = chunks.groupBy(number).agg(F.count_distinct("chunk_id", "file_path").alias("total"))
+    n = chunks.groupBy(F.xxhash64(*SNAPSHOT).alias("snap")).agg(F.count_distinct("chunk_id", "file_path").alias("total"))
     weight = (1 + F.log("tf")) * F.col("idf")
     # Counted with partial sums and joined back: a common term of a hot snapshot is split by the join like any skewed key, and nothing is sorted by term.
     counts = terms.groupBy("snap", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -120,16 +134,15 @@ def trace_scores(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def lexical_signals(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
     """(ticket_id, snapshot, chunk_id, keyword, symbol): both from the report's important terms, joined by term and counted, never pair by pair."""
-    asked = reports(tickets).select("ticket_id", *SNAPSHOT, T.important_terms(F.col("bug_text")).alias("terms")).withColumn("n", F.size("terms"))
-    query = asked.select("ticket_id", *SNAPSHOT, "n", F.explode("terms").alias("term"))
-    docs = corpus(chunks)
-    text_terms = docs.select(*SNAPSHOT, "chunk_id", F.explode(F.array_distinct(T.tokens(F.col("search_text")))).alias("term"))
-    names = F.concat_ws(" ", "file_path", "symbol_name")
-    name_terms = docs.select(*SNAPSHOT, "chunk_id", F.explode(F.array_distinct(T.tokens(names))).alias("term"), F.lit(1).alias("named"))
-    both = text_terms.join(name_terms, [*SNAPSHOT, "chunk_id", "term"], "full_outer")
-    hits = query.join(both, [*SNAPSHOT, "term"]).groupBy("ticket_id", *SNAPSHOT, "n", "chunk_id").agg(F.count(F.lit(1)).alias("k"), F.sum(F.coalesce("named", F.lit(0))).alias("s"))
+    # Names are in the search text, so a term needs only a mark. Rows go by 64-bit numbers, as in ``tfidf``.
+    asked = numbered_reports(tickets)
+    query = asked.select("snap", "t", T.important_terms(F.col("bug_text")).alias("terms")).select("snap", "t", F.size("terms").alias("n"), F.explode("terms").alias("term")).withColumn("term", F.xxhash64("term"))
+    docs = numbered_chunks(chunks)
+    names = F.array_distinct(T.tokens(F.concat_ws(" ", "file_path", "symbol_name")))
+    terms = docs.select("snap", "c", names.alias("names"), F.explode(F.array_distinct(T.tokens(F.col("search_text")))).alias("term")).select("snap", "c", F.xxhash64("term").alias("term"), F.array_contains("names", F.col("term")).cast("int").alias("named"))
+    hits = query.join(terms, ["snap", "term"]).groupBy("t", "snap", "n", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("named").alias("s"))
     keyword = F.least(F.lit(1.0), F.col("k") / F.greatest(F.lit(4), F.least(F.col("n"), F.lit(12))))
-    return hits.select("ticket_id", *SNAPSHOT, "chunk_id", F.round(keyword, 6).alias("keyword"), F.round(F.col("s") / F.col("n"), 6).alias("symbol"))
+    return renamed(hits, asked, docs).select("ticket_id", *SNAPSHOT, "chunk_id", F.round(keyword, 6).alias("keyword"), F.round(F.col("s") / F.col("n"), 6).alias("symbol"))
 
 
 def component_scores(tickets: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -19,12 +19,16 @@ def identifier_scores(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
 
     Variants are join keys against the chunk's distinct tokens and dotted names.
     """
-    asked = R.reports(tickets).select("ticket_id", *R.SNAPSHOT, F.explode(T.report_identifiers(F.col("bug_text"))).alias("identifier"))
-    variants = asked.select("ticket_id", *R.SNAPSHOT, "identifier", F.explode(T.identifier_variants(F.col("identifier"))).alias("term"))
+    asked, docs = R.numbered_reports(tickets), R.numbered_chunks(chunks)
+    names = asked.select("snap", "t", F.explode(T.report_identifiers(F.col("bug_text"))).alias("identifier"))
+    code = F.col("identifier").rlike(r"^[a-z]\d{2,4}$").cast("int").alias("code")
+    variants = names.select("snap", "t", F.xxhash64("identifier").alias("i"), code, F.explode(T.identifier_variants(F.col("identifier"))).alias("term")).select("snap", "t", "i", "code", F.xxhash64("term").alias("term"))
     text = F.lower("search_text")
     words = F.array_distinct(F.concat(T.tokens(F.col("search_text")), F.regexp_extract_all(text, F.lit(r"[a-z0-9_]+(?:\.[a-z0-9_]+)?"), F.lit(0))))
-    terms = R.corpus(chunks).select(*R.SNAPSHOT, "chunk_id", F.explode(words).alias("term"))
-    hits = variants.join(terms, [*R.SNAPSHOT, "term"]).groupBy("ticket_id", *R.SNAPSHOT, "chunk_id").agg(F.count_distinct("identifier").alias("n"), F.max(F.col("identifier").rlike(r"^[a-z]\d{2,4}$").cast("int")).alias("code"))
+    terms = docs.select("snap", "c", F.explode(words).alias("term")).select("snap", "c", F.xxhash64("term").alias("term"))
+    # One row per name and chunk first, so that names are counted and not held as a set.
+    once = variants.join(terms, ["snap", "term"]).groupBy("t", "snap", "c", "i").agg(F.max("code").alias("code"))
+    hits = R.renamed(once.groupBy("t", "snap", "c").agg(F.count(F.lit(1)).alias("n"), F.max("code").alias("code")), asked, docs)
     return hits.select("ticket_id", *R.SNAPSHOT, "chunk_id", F.when(F.col("code") == 1, F.lit(1.0)).otherwise(F.round(F.least(F.lit(1.0), 0.5 + 0.1 * (F.col("n") - 1)), 6)).alias("identifier"))
 
 
