@@ -42,8 +42,8 @@ def test_text_queries_read_the_whole_report(spark, tmp_path):
     from trawl.plans import text_plans as TP
 
     _tables(spark, [("t", "Boot", "load_cache breaks", "Shelf", None, None, "in FooBar", "o/r", "c1")])[0].write.parquet(f"{tmp_path}/tickets.parquet")
-    assert {r["identifier"] for r in TP.report_identifiers(spark, str(tmp_path)).collect()} == {"load_cache", "foobar"}
-    assert TP.important_terms(spark, str(tmp_path)).head()["terms"] == "boot load_cache load cache breaks shelf foobar foo bar"
+    assert {r["identifier"] for r in TP.report_identifiers(spark, str(tmp_path)).collect()} == {"error_message", "load_cache", "foobar"}
+    assert TP.important_terms(spark, str(tmp_path)).head()["terms"] == "title boot description load_cache load cache breaks component shelf error_message message foobar foo bar"
     assert {r["token"] for r in TP.tokenize_terms(spark, str(tmp_path)).collect()} >= {"boot", "load_cache", "shelf", "foobar"}
 
 

@@ -28,23 +28,27 @@ def named(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns({"symbol_name": F.coalesce(name, F.col("symbol_kind"), F.lit("")), "qualified_name": qualified, "evaluation_key": key})
 
 
-#: Report fields in order; test names, hints and ids never enter.
-REPORT_FIELDS = ("title", "description", "component", "product", "severity", "error_message")
+#: Report fields in order, and those that the input gate reads; test names, hints and ids never enter.
+REPORT_FIELDS = ("title", "description", "bug_type", "product", "component", "severity", "priority", "error_message", "version")
+CONTENT_FIELDS = ("title", "description", "error_message")
 
 
-def bug_text(columns: tuple[str, ...] = REPORT_FIELDS) -> Column:
-    """The report's fields without blanks around them, a line each; a description that repeats the title is left out."""
-    parts = []
-    for c in columns:
-        part = F.nullif(F.trim(c), F.lit(""))
-        if c == "description":
-            part = F.when(F.lower(F.trim(c)) == F.lower(F.trim(F.coalesce("title", F.lit("")))), None).otherwise(part)
-        parts.append(part)
-    return F.concat_ws("\n", *parts)
+def stripped(c: Column) -> Column:
+    """Without white space at the ends; empty for null."""
+    return F.regexp_replace(T.text_or_empty(c), r"^\s+|\s+$", "")
+
+
+def bug_text(tickets: DataFrame) -> Column:
+    """The report's filled fields as ``name: value``, a line each; of values that agree but for white space and case the first is kept. Fields that a table lacks are left out."""
+    fields = [c for c in REPORT_FIELDS if c in tickets.columns]
+    parts = F.array(*[F.struct(F.lit(c).alias("k"), stripped(F.col(c)).alias("v")) for c in fields])
+    plain = lambda x: F.lower(F.regexp_replace(x["v"], r"\s+", " "))
+    kept = F.filter(parts, lambda x, i: (x["v"] != "") & (F.array_position(F.transform(parts, plain), plain(x)) == i + 1))
+    return F.array_join(F.transform(kept, lambda x: F.concat(x["k"], F.lit(": "), x["v"])), "\n")
 
 
 def bug_reports(tickets: DataFrame) -> DataFrame:
-    return tickets.select("ticket_id", bug_text().alias("bug_text")).distinct()
+    return tickets.select("ticket_id", bug_text(tickets).alias("bug_text")).distinct()
 
 
 def normalized_tickets(tickets: DataFrame) -> DataFrame:
@@ -57,18 +61,23 @@ def normalized_tickets(tickets: DataFrame) -> DataFrame:
 
 
 def gated_input(tickets: DataFrame, min_chars: int = 20, short_chars: int = 80) -> DataFrame:
-    """Per ticket: characters, whether it has a trace or a path, status (error if empty, warning if short or without either) and the number of warnings."""
-    one = bug_reports(tickets).groupBy("ticket_id").agg(F.max("bug_text").alias("s"))
+    """Per ticket: characters of its content, whether it has a trace, a path or a code-like name, status (error if empty, warning with any warning) and the number of warnings.
+
+    A warning is given for a text that is too short or sparse, and for one without trace, path and name. Of several texts of a ticket the largest counts.
+    """
+    content = F.concat_ws("\n", *[F.nullif(stripped(F.col(c)), F.lit("")) for c in CONTENT_FIELDS])
+    refs = F.concat_ws("\n", T.text_or_empty(F.col("error_message")), T.text_or_empty(F.col("description")))
+    one = tickets.groupBy("ticket_id").agg(F.max(F.struct(F.trim(F.regexp_replace(content, r"\s+", " ")).alias("s"), refs.alias("r"))).alias("x")).select("ticket_id", "x.*")
     facts = one.select(
         "ticket_id",
-        F.char_length(F.regexp_replace("s", r"\s+", " ")).alias("chars"),
-        F.col("s").rlike(r'Traceback|File "[^"]+", line [0-9]+|\bat [a-z.]+').alias("trace"),
-        F.col("s").rlike(r"[A-Za-z0-9_./-]+\.(py|js|ts|java|go|c)\b").alias("path_hint"),
+        F.char_length("s").alias("chars"),
+        F.col("r").rlike("|".join(f"(?:{p})" for p in T.TRACE_SHAPES)).alias("trace"),
+        F.col("s").rlike(r"(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+").alias("path_hint"),
+        F.col("s").rlike(r"[A-Za-z][A-Za-z0-9_]*[A-Z_]").alias("identifier"),
     )
-    bare = ~(F.col("trace") | F.col("path_hint"))
-    status = F.when(F.col("chars") == 0, "error").when((F.col("chars") < short_chars) | bare, "warning").otherwise("ok")
-    warnings = (F.col("chars") < min_chars).cast("int") + (F.col("chars") < short_chars).cast("int") + bare.cast("int")
-    return facts.withColumns({"status": status, "warnings": warnings})
+    bare = ~(F.col("trace") | F.col("path_hint") | F.col("identifier"))
+    warnings = F.when(F.col("chars") == 0, 0).otherwise((F.col("chars") < max(min_chars, short_chars)).cast("int") + bare.cast("int"))
+    return facts.withColumns({"status": F.when(F.col("chars") == 0, "error").when(warnings > 0, "warning").otherwise("ok"), "warnings": warnings})
 
 
 def import_lines(chunks: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def lookup_fallback(names: DataFrame, keys: DataFrame, max_files: int = 4, exact
 
 def report_symbols(tickets: DataFrame) -> DataFrame:
     """(ticket_id, snapshot, symbol): code-like names of the report, the first ones only (see ``program_names``)."""
-    found = plain_snapshot(tickets).filter("repo IS NOT NULL").select("ticket_id", *SNAPSHOT, P.bug_text().alias("text")).distinct()
+    found = plain_snapshot(tickets).filter("repo IS NOT NULL").select("ticket_id", *SNAPSHOT, P.bug_text(tickets).alias("text")).distinct()
     return found.select("ticket_id", *SNAPSHOT, F.explode(T.program_names(F.col("text"))).alias("symbol")).distinct()
 
 

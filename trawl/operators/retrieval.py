@@ -38,7 +38,7 @@ def corpus(chunks: DataFrame) -> DataFrame:
 
 def reports(tickets: DataFrame) -> DataFrame:
     """One row per ticket and snapshot with its report text; of repeated rows the longest text is kept, then the largest."""
-    rows = plain_snapshot(tickets).filter("repo IS NOT NULL AND base_commit IS NOT NULL").select("ticket_id", *SNAPSHOT, P.bug_text().alias("bug_text"), T.text_or_empty(F.col("component")).alias("component"))
+    rows = plain_snapshot(tickets).filter("repo IS NOT NULL AND base_commit IS NOT NULL").select("ticket_id", *SNAPSHOT, P.bug_text(tickets).alias("bug_text"), T.text_or_empty(F.col("component")).alias("component"))
     best = F.max(F.struct(F.char_length("bug_text"), "bug_text", "component"))
     return rows.groupBy("ticket_id", *SNAPSHOT).agg(best.alias("x")).select("ticket_id", *SNAPSHOT, "x.bug_text", "x.component")
 

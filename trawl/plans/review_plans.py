@@ -48,7 +48,8 @@ def expansion_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_program_name(spark: SparkSession, d: str) -> DataFrame:
-    rows = plain_snapshot(table(spark, d, "tickets")).filter("repo IS NOT NULL").select("ticket_id", "repo", "base_commit", P.bug_text().alias("text")).distinct()
+    tickets = plain_snapshot(table(spark, d, "tickets")).filter("repo IS NOT NULL")
+    rows = tickets.select("ticket_id", "repo", "base_commit", P.bug_text(tickets).alias("text")).distinct()
     names = rows.select("ticket_id", "repo", "base_commit", F.posexplode(T.program_names(F.col("text"))).alias("at", "symbol")).distinct()
     return V.exact_names(names, table(spark, d, "chunks", "repo", "base_commit", "chunk_id", "class_name", "function_name"))
 

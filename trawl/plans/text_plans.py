@@ -142,7 +142,10 @@ def _bare(x: str) -> str:
 _NORM = "regexp_replace(replace(file_path, '\\', '/'), '^[./]+', '')"
 _SEARCH = "concat_ws(chr(10), nullif(file_path, ''), nullif(language, ''), nullif(symbol_kind, ''), nullif(function_name, ''), nullif(class_name, ''), nullif(code_text, ''))"
 _NAME = "coalesce(nullif(function_name, ''), nullif(class_name, ''))"
-_BUG = "concat_ws(chr(10), nullif(trim(title), ''), CASE WHEN lower(trim(description)) = lower(trim(coalesce(title, ''))) THEN NULL ELSE nullif(trim(description), '') END, nullif(trim(component), ''), nullif(trim(product), ''), nullif(trim(severity), ''), nullif(trim(error_message), ''))"
+_STRIP = lambda c: f"regexp_replace(coalesce({c}, ''), '^\\s+|\\s+$', '', 'g')"
+_PARTS = "[" + ", ".join(f"{{'k': '{c}', 'v': {_STRIP(c)}, 'n': lower(regexp_replace({_STRIP(c)}, '\\s+', ' ', 'g'))}}" for c in P.REPORT_FIELDS) + "]"
+_BUG = f"array_to_string(list_transform(list_filter({_PARTS}, lambda p, k: p.v <> '' AND list_position(list_transform({_PARTS}, lambda q: q.n), p.n) = k), lambda p: p.k || ': ' || p.v), chr(10))"
+_CONTENT = "trim(regexp_replace(concat_ws(chr(10), " + ", ".join(f"nullif({_STRIP(c)}, '')" for c in P.CONTENT_FIELDS) + "), '\\s+', ' ', 'g'))"
 
 #: Repository and commit in the one spelling that joins need, and tickets with both in it.
 SQL_REPO = "nullif(regexp_extract(regexp_replace(regexp_replace(lower(regexp_replace(repo, '\\s+', '', 'g')), '/+$', ''), '\\.git$', ''), '([^/:@]+/[^/:@]+)$', 1), '')"
@@ -171,10 +174,10 @@ ORACLE = {
         CASE WHEN lower(trim(symbol_kind)) = 'module' THEN '<module>' WHEN nullif(function_name, '') IS NOT NULL AND nullif(class_name, '') IS NOT NULL THEN class_name || '.' || function_name ELSE coalesce({_NAME}, '') END AS qualified_name,
         file_path || '::' || coalesce({_NAME}, '<file>') || ':' || coalesce(CAST(start_line AS VARCHAR), '') || '-' || coalesce(CAST(end_line AS VARCHAR), '') AS evaluation_key FROM chunks""",
     "bug_text": f"SELECT DISTINCT ticket_id, md5(s) AS digest, CAST(length(s) AS INTEGER) AS chars FROM (SELECT ticket_id, {_BUG} AS s FROM tickets)",
-    "input_gate": f"""WITH t AS (SELECT ticket_id, max(s) AS s FROM (SELECT ticket_id, {_BUG} AS s FROM tickets) GROUP BY ticket_id),
-        g AS (SELECT ticket_id, CAST(length(regexp_replace(s, '\\s+', ' ', 'g')) AS INTEGER) AS chars, regexp_matches(s, 'Traceback|File "[^"]+", line [0-9]+|\\bat [a-z.]+') AS trace, regexp_matches(s, '[A-Za-z0-9_./-]+\\.(py|js|ts|java|go|c)\\b') AS path_hint FROM t)
-        SELECT ticket_id, chars, trace, path_hint, CASE WHEN chars = 0 THEN 'error' WHEN chars < 20 OR chars < 80 OR NOT (trace OR path_hint) THEN 'warning' ELSE 'ok' END AS status,
-        CAST((chars < 20)::INT + (chars < 80)::INT + (NOT (trace OR path_hint))::INT AS INTEGER) AS warnings FROM g""",
+    "input_gate": f"""WITH t AS (SELECT ticket_id, x.* FROM (SELECT ticket_id, max({{'s': {_CONTENT}, 'r': concat(coalesce(error_message, ''), chr(10), coalesce(description, ''))}}) AS x FROM tickets GROUP BY ticket_id)),
+        g AS (SELECT ticket_id, CAST(length(s) AS INTEGER) AS chars, {' OR '.join(f"regexp_matches(r, '{p}')" for p in T.TRACE_SHAPES)} AS trace, regexp_matches(s, '([A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+') AS path_hint, regexp_matches(s, '[A-Za-z][A-Za-z0-9_]*[A-Z_]') AS identifier FROM t),
+        w AS (SELECT *, CAST(CASE WHEN chars = 0 THEN 0 ELSE (chars < 80)::INT + (NOT (trace OR path_hint OR identifier))::INT END AS INTEGER) AS warnings FROM g)
+        SELECT ticket_id, chars, trace, path_hint, identifier, CASE WHEN chars = 0 THEN 'error' WHEN warnings > 0 THEN 'warning' ELSE 'ok' END AS status, warnings FROM w""",
     "ticket_defaults": """SELECT DISTINCT ticket_id, coalesce(nullif(trim(ticket_id), ''), '') AS key, md5(coalesce(nullif(description, ''), nullif(error_message, ''), nullif(title, ''), '')) AS report_digest,
         coalesce(nullif(repo, ''), nullif(product, ''), '') AS repo_name, CAST((title IS NULL)::INT + (description IS NULL)::INT + (component IS NULL)::INT + (severity IS NULL)::INT + (priority IS NULL)::INT AS INTEGER) AS nulls_filled FROM tickets""",
     "import_lines": """WITH l AS (SELECT DISTINCT repo, base_commit, file_path, trim(line) AS line FROM (SELECT repo, base_commit, file_path, unnest(string_split(replace(code_text, chr(13), ''), chr(10))) AS line FROM chunks))
