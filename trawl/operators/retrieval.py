@@ -74,8 +74,32 @@ def renamed(rows: DataFrame, asked: DataFrame, docs: DataFrame) -> DataFrame:
 def tfidf(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
     """(ticket_id, snapshot, chunk_id, cosine) of chunks (or of a corpus of them) that share a term with the report, cosine rounded to 6 places.
 
-    Weight (1 + ln tf) idf; terms that no chunk has are left out of the report's vector.
+    Weight (1 + ln tf) idf; terms that no chunk has are left out of the report's vector. A snapshot is scored in one task (see ``snapshots``), a very large one by joins.
     """
+    return _scored(tickets, chunks, rows=False).select("ticket_id", *SNAPSHOT, "chunk_id", "cosine")
+
+
+def tfidf_rows(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``tfidf`` with the columns that rankings order by, a row for each file of a chunk id."""
+    return _scored(tickets, chunks, rows=True)
+
+
+def _scored(tickets: DataFrame, chunks: DataFrame, rows: bool) -> DataFrame:
+    from trawl.operators import snapshots as SN
+
+    out = None
+    for large, some, docs in SN.split(tickets, chunks):
+        if large:
+            part = tfidf_joined(some, docs)
+            part = part.join(order_columns(docs), [*SNAPSHOT, "chunk_id"]) if rows else part
+        else:
+            part = SN.meeting(some, docs, whole=False, rows=rows).withColumn("cosine", F.round("cosine", 6))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def tfidf_joined(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``tfidf`` by joins on terms, for snapshots of any size."""
     # Terms are counted once and kept in the shared folder: they are read for frequencies, vectors and norms. Snapshots, chunks, tickets and terms go by
     # 64-bit numbers, so that rows that are shuffled are few bytes; names come back at the end.
     docs, asked = numbered_chunks(chunks), numbered_reports(tickets)

@@ -22,13 +22,16 @@ def doc_freq_idf(spark: SparkSession, d: str) -> DataFrame:
     return R.document_frequencies(terms, docs).select("repo", "base_commit", "term", "df", F.round("idf", 6).alias("idf"))
 
 
+def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "tickets"), table(spark, d, "chunks")
+
+
 def tfidf_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return R.tfidf(*_in(spark, d)).drop("repo", "base_commit")
+    return R.tfidf(*_tables(spark, d)).drop("repo", "base_commit")
 
 
 def tfidf_top20(spark: SparkSession, d: str) -> DataFrame:
-    tickets, chunks = _in(spark, d)
-    scored = R.tfidf(tickets, chunks).join(R.order_columns(chunks), [*R.SNAPSHOT, "chunk_id"])
+    scored = R.tfidf_rows(*_tables(spark, d))
     return R.ranked(scored, "cosine", 20).select("ticket_id", "rank", "chunk_id", "file_path", "cosine")
 
 
@@ -54,14 +57,12 @@ def weighted_signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_chunk_per_file(spark: SparkSession, d: str) -> DataFrame:
-    tickets, chunks = _in(spark, d)
-    scored = R.tfidf(tickets, chunks).join(R.order_columns(chunks), [*R.SNAPSHOT, "chunk_id"])
+    scored = R.tfidf_rows(*_tables(spark, d))
     return R.ranked(scored, "cosine", 1, ("ticket_id", "file_path")).select("ticket_id", "file_path", "chunk_id", "cosine")
 
 
 def _light(spark: SparkSession, d: str) -> DataFrame:
-    tickets, chunks = _in(spark, d)
-    return R.tfidf(tickets, chunks).withColumnRenamed("cosine", "score").join(R.order_columns(chunks), [*R.SNAPSHOT, "chunk_id"])
+    return R.tfidf_rows(*_tables(spark, d)).withColumnRenamed("cosine", "score")
 
 
 def file_aggregation(spark: SparkSession, d: str) -> DataFrame:
