@@ -40,3 +40,17 @@ def test_snapshots_too_large_for_a_task_have_the_same_scores(tables, rows, monke
     monkeypatch.setitem(SN.LARGEST, "chunks", 1)
     assert {r["base_commit"] for r in SN.too_large(*tables).collect()} == {"c1"}
     assert rows(RT.tfidf_rows(*tables).select(columns)) == small != []
+
+
+@pytest.mark.parametrize("limit", [20_000, 1])
+def test_all_signals_are_those_of_the_joins(tables, rows, monkeypatch, limit):
+    columns = ["ticket_id", "base_commit", "chunk_id", "file_path", "cosine", "trace", "component", "keyword", "symbol", "path", "identifier", "score"]
+    joined = rows(RT.weighted_joined(*tables).select(columns))
+    monkeypatch.setitem(SN.LARGEST, "chunks", limit)
+    assert rows(RT.weighted(*tables).select(columns)) == joined != []
+
+
+def test_signals_of_reports_write_no_table_of_terms(tables, monkeypatch):
+    monkeypatch.setattr(RT, "cut", lambda df, name, **o: pytest.fail(f"writes {name}"))
+    files = RT.files_with_chunks(RT.weighted(*tables), "cosine").collect()
+    assert files and all(x["a"] <= 0 for r in files for x in r["xs"])

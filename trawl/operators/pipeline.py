@@ -16,6 +16,8 @@ BLEND, BATCH = (0.70, 0.30), 5
 FILES = 20
 #: Weights of the structured symbol score.
 SYMBOL_WEIGHTS = {"cosine": 0.50, "keyword": 0.20, "trace": 0.15, "symbol": 0.10, "file_score": 0.05}
+#: Of them those that a chunk has.
+SIGNALS = ("cosine", "keyword", "trace", "symbol")
 
 
 def localize(tickets: DataFrame, chunks: DataFrame, files: int = 5, symbols: int = 5) -> DataFrame:
@@ -23,27 +25,30 @@ def localize(tickets: DataFrame, chunks: DataFrame, files: int = 5, symbols: int
 
     A ticket whose input gate says error has no rows; level and policy are those of the confidence gate over the ticket's files.
     """
-    rows = cut(R.weighted(tickets, cut(R.corpus(chunks), "corpus", compression="zstd")), "weighted", compression="zstd")
-    best = cut(R.file_scores(rows, FILES), "files")
+    # Chunks stay in their file's row until the file has its rank: of a file only its best symbols can be among the ticket's best.
+    filed = _structured(R.files_with_chunks(R.weighted(tickets, chunks), *SIGNALS)).filter(F.col("rank") <= FILES)
+    order = F.transform("xs", lambda x: F.struct((-x["b1"]).alias("b"), x["kind_rank"].alias("kind_rank"), x["span"].alias("span"), x["chunk_id"].alias("chunk_id")))
+    few = F.when(F.col("rank") <= files, F.slice(F.array_sort(order), 1, symbols))
+    best = cut(filed.select("ticket_id", "file_path", "rank", F.col("file_score").alias("score"), F.col("xs")[0]["trace"].alias("stack"), few.alias("few")), "files", compression="zstd")
     gate = P.gated_input(tickets)
-    traced = best.join(rows.select("ticket_id", "chunk_id", F.col("trace").alias("stack")), ["ticket_id", "chunk_id"], "left")
-    sure = E.confidence(traced.withColumnRenamed("file_score", "score"), gate).select("ticket_id", "level", "policy")
+    sure = E.confidence(best.drop("few"), gate).select("ticket_id", "level", "policy")
     allowed = gate.filter("status <> 'error'").select("ticket_id").join(sure, "ticket_id")
-    inside = structured(rows, best).join(best.filter(F.col("rank") <= files).select("ticket_id", "file_path", F.col("rank").alias("file_rank")), ["ticket_id", "file_path"])
-    top = R.ranked(inside.drop("score").withColumnRenamed("b1", "score"), "score", symbols).withColumnRenamed("rank", "place")
+    inside = best.select("ticket_id", "file_path", F.col("rank").alias("file_rank"), F.explode("few").alias("x")).select("ticket_id", "file_path", "file_rank", (-F.col("x.b")).alias("score"), "x.kind_rank", "x.span", "x.chunk_id")
+    top = R.ranked(inside, "score", symbols).withColumnRenamed("rank", "place")
     return top.join(allowed, "ticket_id").select("ticket_id", "place", "chunk_id", "file_path", "file_rank", "score", "level", "policy")
 
 
-def structured(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """``rows`` of all signals with b1, the structured symbol score over them and the scores of files."""
-    x = rows.join(files.select("ticket_id", "file_path", "file_score"), ["ticket_id", "file_path"], "left").withColumn("file_score", F.coalesce("file_score", F.lit(0.0)))
-    return x.withColumn("b1", F.round(sum(F.lit(w) * F.col(c) for c, w in SYMBOL_WEIGHTS.items()), 8))
+def _structured(filed: DataFrame) -> DataFrame:
+    """Files with b1 in their chunks, the structured symbol score over the signals and, of the first files, the file's score."""
+    file = F.when(F.col("rank") <= FILES, F.col("file_score")).otherwise(F.lit(0.0))
+    b1 = lambda x: F.round(sum(F.lit(w) * (file if c == "file_score" else x[c]) for c, w in SYMBOL_WEIGHTS.items()), 8)
+    return filed.withColumn("xs", F.transform("xs", lambda x: x.withField("b1", b1(x))))
 
 
 def symbol_scores(tickets: DataFrame, chunks: DataFrame, k: int = 30) -> DataFrame:
     """(ticket_id, rank, chunk_id, b1): the structured symbol score, k per ticket: text .50, terms .20, trace .15, name .10, file .05."""
-    rows = R.weighted(tickets, cut(R.corpus(chunks), "corpus", compression="zstd"))
-    return R.ranked(structured(rows, R.file_scores(rows, FILES)), "b1", k).select("ticket_id", "rank", "chunk_id", "b1")
+    x = _structured(R.files_with_chunks(R.weighted(tickets, chunks), *SIGNALS)).select("ticket_id", F.explode("xs").alias("x"))
+    return R.ranked(x.select("ticket_id", "x.chunk_id", "x.kind_rank", "x.span", "x.b1"), "b1", k).select("ticket_id", "rank", "chunk_id", "b1")
 
 
 def blended(rows: DataFrame) -> DataFrame:

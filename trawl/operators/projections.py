@@ -42,8 +42,9 @@ def bug_text(tickets: DataFrame) -> Column:
     """The report's filled fields as ``name: value``, a line each; of values that agree but for white space and case the first is kept. Fields that a table lacks are left out."""
     fields = [c for c in REPORT_FIELDS if c in tickets.columns]
     parts = F.array(*[F.struct(F.lit(c).alias("k"), stripped(F.col(c)).alias("v")) for c in fields])
-    plain = lambda x: F.lower(F.regexp_replace(x["v"], r"\s+", " "))
-    kept = F.filter(parts, lambda x, i: (x["v"] != "") & (F.array_position(F.transform(parts, plain), plain(x)) == i + 1))
+    plain = F.transform(parts, lambda x: x.withField("plain", F.lower(F.regexp_replace(x["v"], r"\s+", " "))))
+    # An array of one binds the fields to a name, so that they are made once and not again for each field.
+    kept = F.transform(F.array(plain), lambda xs: F.filter(xs, lambda x, i: (x["v"] != "") & (F.array_position(F.transform(xs, lambda y: y["plain"]), x["plain"]) == i + 1)))[0]
     return F.array_join(F.transform(kept, lambda x: F.concat(x["k"], F.lit(": "), x["v"])), "\n")
 
 

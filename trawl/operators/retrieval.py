@@ -192,31 +192,52 @@ def path_signals(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def weighted(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(ticket_id, snapshot, chunk_id, file_path, kind_rank, span, signals..., score): the clamped weighted sum of all signals (each with 6 places), rounded to 8 places."""
+    """(ticket_id, snapshot, chunk_id, file_path, kind_rank, span, signals..., score): the clamped weighted sum of all signals (each with 6 places), rounded to 8 places.
+
+    A snapshot is scored in one task (see ``snapshots``), a very large one by joins.
+    """
+    from trawl.operators import snapshots as SN
+
+    out = None
+    for large, some, docs in SN.split(tickets, chunks):
+        if large:
+            part = weighted_joined(some, cut(corpus(docs), "corpus", compression="zstd"))
+        else:
+            rows = SN.meeting(some, docs, whole=True)
+            part = _weighed(rows.withColumns({s: F.round(s, 6) for s in ("cosine", *SN.SIGNALS)}))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _weighed(rows: DataFrame) -> DataFrame:
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    total = sum(F.lit(w) * zero(c) for c, w in (("cosine", WEIGHTS["embedding"]), ("trace", WEIGHTS["trace"]), ("component", WEIGHTS["component"]), ("keyword", WEIGHTS["keyword"]), ("symbol", WEIGHTS["symbol"]), ("path", WEIGHTS["path"]), ("identifier", WEIGHTS["identifier"])))
+    names = ("cosine", "trace", "component", "keyword", "symbol", "path", "identifier")
+    return rows.select("ticket_id", *SNAPSHOT, "chunk_id", "file_path", "kind_rank", "span", "symbol_name", "start_line", "end_line", *[zero(c).alias(c) for c in names], F.round(T.clamp(total), 8).alias("score"))
+
+
+def weighted_joined(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``weighted`` by joins on terms, for snapshots of any size."""
     from trawl.operators.selection import identifier_scores
 
     keys = ["ticket_id", *SNAPSHOT, "chunk_id"]
-    parts = [tfidf(tickets, chunks), trace_scores(tickets, chunks), lexical_signals(tickets, chunks), component_scores(tickets, chunks), identifier_scores(tickets, chunks)]
+    parts = [tfidf_joined(tickets, chunks), trace_scores(tickets, chunks), lexical_signals(tickets, chunks), component_scores(tickets, chunks), identifier_scores(tickets, chunks)]
     joined = parts[0]
     for p in parts[1:]:
         joined = joined.join(p, keys, "full_outer")
-    rows = joined.join(order_columns(chunks), [*SNAPSHOT, "chunk_id"]).join(path_signals(tickets, chunks), ["ticket_id", *SNAPSHOT, "file_path"], "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    total = sum(F.lit(w) * zero(c) for c, w in (("cosine", WEIGHTS["embedding"]), ("trace", WEIGHTS["trace"]), ("component", WEIGHTS["component"]), ("keyword", WEIGHTS["keyword"]), ("symbol", WEIGHTS["symbol"]), ("path", WEIGHTS["path"]), ("identifier", WEIGHTS["identifier"])))
-    names = ("cosine", "trace", "component", "keyword", "symbol", "path", "identifier")
-    return rows.select(*keys, "file_path", "kind_rank", "span", "symbol_name", "start_line", "end_line", *[zero(c).alias(c) for c in names], F.round(T.clamp(total), 8).alias("score"))
+    return _weighed(joined.join(order_columns(chunks), [*SNAPSHOT, "chunk_id"]).join(path_signals(tickets, chunks), ["ticket_id", *SNAPSHOT, "file_path"], "left"))
 
 
 #: What each mode of file aggregation adds to a file's best chunk.
 AGGREGATIONS = {"basic": (0, 0), "supporting-chunks": (1, 0), "supporting-symbols": (1, 1)}
 
 
-def _picked(scores: DataFrame) -> DataFrame:
+def _picked(scores: DataFrame, *extra: str) -> DataFrame:
     """(ticket_id, file_path, xs, picks): a file's chunks in rank order, and of them up to five that overlap no earlier pick by half of the shorter one.
 
     The choice depends on earlier choices, so it folds over each file's sorted chunks inside the JVM; a file's chunks are the bound of an array. Chunks without lines overlap nothing.
     """
-    item = F.struct((-F.col("score")).alias("a"), "kind_rank", "span", "chunk_id", F.least("start_line", "end_line").alias("s"), F.greatest("start_line", "end_line").alias("e"), (F.col("symbol_name") if "symbol_name" in scores.columns else F.lit("")).alias("symbol_name"))
+    item = F.struct((-F.col("score")).alias("a"), "kind_rank", "span", "chunk_id", F.least("start_line", "end_line").alias("s"), F.greatest("start_line", "end_line").alias("e"), (F.col("symbol_name") if "symbol_name" in scores.columns else F.lit("")).alias("symbol_name"), *extra)
     rows = scores.groupBy("ticket_id", "file_path").agg(F.array_sort(F.collect_list(item)).alias("xs"))
     empty = F.filter("xs", lambda x: F.lit(False))
     whole = lambda x: F.greatest(F.lit(1), x["e"] - x["s"] + 1)
@@ -231,6 +252,20 @@ def file_scores(scores: DataFrame, k: int, mode: str = "supporting-symbols") ->
 
     basic adds nothing, supporting-chunks adds for chunks, supporting-symbols for both. An unknown mode is an error.
     """
+    return ranked(_filed(scores, mode), "file_score", k).select("ticket_id", "rank", "file_path", "chunk_id", "evidence", "symbols", "file_score")
+
+
+def files_with_chunks(scores: DataFrame, *extra: str) -> DataFrame:
+    """All files of ``file_scores`` with kind_rank, span and xs, their chunks with the ``extra`` columns, best first. Rows are shuffled once, by ticket."""
+    # Scores have 8 places and signals 6: as whole numbers they are half the bytes, and the quotient is the same double.
+    places = {"score": 1e8} | dict.fromkeys(extra, 1e6)
+    moved = scores.withColumns({c: F.round(F.col(c) * n).cast("bigint") for c, n in places.items()}).repartition("ticket_id")
+    filed = _filed(moved.withColumns({c: F.col(c) / n for c, n in places.items()}), "supporting-symbols", *extra)
+    w = Window.partitionBy("ticket_id").orderBy(F.desc("file_score"), "kind_rank", "span", "chunk_id")
+    return filed.withColumn("rank", F.row_number().over(w))
+
+
+def _filed(scores: DataFrame, mode: str, *extra: str) -> DataFrame:
     if mode not in AGGREGATIONS:
         raise ValueError(f"unknown mode {mode!r}; known: {', '.join(AGGREGATIONS)}")
     chunks, names = AGGREGATIONS[mode]
@@ -238,10 +273,9 @@ def file_scores(scores: DataFrame, k: int, mode: str = "supporting-symbols") ->
     score = -best["a"]
     near = F.filter("picks", lambda x: -x["a"] >= F.greatest(F.lit(EVIDENCE["floor"]), score * EVIDENCE["ratio"]) - 1e-12)
     symbols = F.size(F.array_distinct(F.filter(F.transform("near", lambda x: x["symbol_name"]), lambda n: n != "")))
-    files = _picked(scores).withColumn("near", near).select("ticket_id", "file_path", score.alias("score"), best["kind_rank"].alias("kind_rank"), best["span"].alias("span"), best["chunk_id"].alias("chunk_id"), F.size("near").alias("evidence"), symbols.alias("symbols"))
+    files = _picked(scores, *extra).withColumn("near", near).select("ticket_id", "file_path", score.alias("score"), best["kind_rank"].alias("kind_rank"), best["span"].alias("span"), best["chunk_id"].alias("chunk_id"), F.size("near").alias("evidence"), symbols.alias("symbols"), *["xs"] * bool(extra))
     bonus = chunks * F.least(F.lit(EVIDENCE["chunk_cap"]), EVIDENCE["chunk_bonus"] * F.greatest(F.lit(0), F.col("evidence") - 1)) + names * F.least(F.lit(EVIDENCE["symbol_cap"]), EVIDENCE["symbol_bonus"] * F.greatest(F.lit(0), F.col("symbols") - 1))
-    scored = files.withColumn("file_score", F.round(T.clamp(F.col("score") + bonus) + HALF, 6))
-    return ranked(scored, "file_score", k).select("ticket_id", "rank", "file_path", "chunk_id", "evidence", "symbols", "file_score")
+    return files.withColumn("file_score", F.round(T.clamp(F.col("score") + bonus) + HALF, 6))
 
 
 def independent_evidence(scores: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from trawl.storage import cut
 LARGEST = {"chunks": 20_000, "characters": 64_000_000, "pairs": 1_000_000}
 SIGNALS = ("trace", "component", "keyword", "symbol", "identifier", "path")
 _WORD, _PIECE, _DOTTED, _PLAIN = re.compile(T._WORD), re.compile(T._PIECE), re.compile(r"[a-z0-9_]+(?:\.[a-z0-9_]+)?"), re.compile("[a-z0-9]+")
-_STOP = frozenset(T.STOP_WORDS)
+_STOP, _CODE = frozenset(T.STOP_WORDS), re.compile("[a-z][0-9]{2,4}")
 
 
 class _Spread(dict):
@@ -84,11 +84,16 @@ class _Snapshot:
         self.n, self.named_chunk = len(ids), np.array([x is not None for x in docs["chunk_id"]])
         self.first = np.unique(self.chunk_of, return_index=True)[1]
         counts: list[dict[str, int]] = [{} for _ in range(self.n)]
-        self.wanted = defaultdict(set)
+        self.wanted, self.having = defaultdict(set), {}
+        dotted = [t for t in wanted or () if "." in t or not t[0].isalpha()]
         for c, text in zip(self.chunk_of.tolist(), docs["search_text"], strict=True):
             tf = token_counts(text)
             if wanted:
-                for t in wanted.intersection(tf) | wanted.intersection(_DOTTED.findall((text or "").lower())):
+                has, low = wanted.intersection(tf), (text or "").lower()
+                # In ASCII text a run of word characters that begins with a letter is a token already.
+                if not low.isascii() or not (text or "").isascii() or any(t in low for t in dotted):
+                    has |= wanted.intersection(_DOTTED.findall(low))
+                for t in has:
                     self.wanted[t].add(c)
             if counts[c]:  # a chunk id in two files is one document
                 for t, n in tf.items():
@@ -109,11 +114,13 @@ class _Snapshot:
             self._index_names()
 
     def _index_names(self) -> None:
-        self.names, self.by_file, self.traced = defaultdict(set), defaultdict(list), defaultdict(list)
+        self.names, self.by_file, self.traced, of_path = defaultdict(list), defaultdict(list), defaultdict(list), {}
         paths = self.docs["file_path"]
         for i, (c, path, name) in enumerate(zip(self.chunk_of.tolist(), paths, self.docs["symbol_name"], strict=True)):
-            for t in tokens(" ".join(x for x in (path, name) if x is not None)):
-                self.names[t].add(c)
+            if path not in of_path:
+                of_path[path] = set(tokens(path))
+            for t in of_path[path].union(tokens(name)) if name else of_path[path]:
+                self.names[t].append(c)
             if path is not None and self.docs["start_line"][i] is not None and self.docs["end_line"][i] is not None:
                 self.traced[norm_path(path).rpartition("/")[2]].append((c, *sorted((self.docs["start_line"][i], self.docs["end_line"][i]))))
         files = {p: k for k, p in enumerate(dict.fromkeys(paths))}
@@ -125,7 +132,10 @@ class _Snapshot:
             low = norm_path(path).lower()
             leaf = set(_words(re.sub(r"\.[a-z0-9]+\Z", "", low.rpartition("/")[2])))
             for t in _words(low.replace("/", " ")):
-                self.by_file[t].append((k, t in leaf))
+                self.by_file[t].append(2 * k + (t in leaf))
+        unique = len(self.first) == len(paths)
+        self.names = {t: self.np.array(x if unique else sorted(set(x))) for t, x in self.names.items()}
+        self.by_file = {t: self.np.array(x) for t, x in self.by_file.items()}
 
     def cosine(self, text: str | None):  # noqa: ANN201
         np = self.np
@@ -143,43 +153,40 @@ class _Snapshot:
     def signals(self, report: dict) -> dict:
         """Each signal by chunk; path by file."""
         np = self.np
-        found = {s: np.zeros(self.n) for s in SIGNALS if s != "path"} | {"path": np.zeros(self.files)}
         text = report["bug_text"]
         query = important(text)
-        for t in query:
-            if t in self.terms:
-                at = self.terms[t]
-                found["keyword"][self.chunk[self.at[at] : self.at[at + 1]]] += 1
-            found["symbol"][list(self.names.get(t, ()))] += 1
-        found["keyword"] = np.minimum(1.0, found["keyword"] / max(4, min(len(query), 12)))
-        found["symbol"] /= max(1, len(query))
+        held = [self.terms[t] for t in query if t in self.terms]
+        found = {"keyword": np.minimum(1.0, self._counted([self.chunk[self.at[t] : self.at[t + 1]] for t in held], self.n) / max(4, min(len(query), 12)))}
+        found["symbol"] = self._counted([self.names[t] for t in query if t in self.names], self.n) / max(1, len(query))
         own = set(important(report["repo"]))
         part = [t for t in important(report["component"]) if t not in own and self.in_files[t] / self.files < 0.35]
-        for t in part:
-            found["component"][list(self.names.get(t, ()))] += 1
-        found["component"] /= max(1, len(part))
-        code = np.zeros(self.n, dtype=bool)
-        for name in report["identifiers"] or ():
-            has = list(set().union(*[self.wanted.get(v, ()) for v in variants(name)]))
-            found["identifier"][has] += 1
-            code[has] |= bool(re.fullmatch("[a-z][0-9]{2,4}", name))
-        n = found["identifier"]
+        found["component"] = self._counted([self.names[t] for t in part if t in self.names], self.n) / max(1, len(part))
+        names = report["identifiers"] or ()
+        n = self._counted([self._having(x) for x in names], self.n)
+        code = self._counted([self._having(x) for x in names if len(x) < 6 and _CODE.fullmatch(x)], self.n) > 0
         found["identifier"] = np.where(code, 1.0, np.where(n > 0, np.minimum(1.0, 0.5 + 0.1 * (n - 1)), 0.0))
+        found["trace"] = np.zeros(self.n)
         for r in report["refs"] or ():
             ref = norm_path(r["file"]).rpartition("/")[2]
             for c, low, high in self.traced.get(ref, ()) if ref else ():
                 line = r["line"]
                 score = 0.35 if line is None else 0.75 if low <= line <= high else 0.55 if min(abs(low - line), abs(high - line)) <= 25 else 0.35
                 found["trace"][c] = max(found["trace"][c], score)
-        leaf, other = [0] * self.files, [0] * self.files
-        for t in dict.fromkeys([*query, *_PLAIN.findall((text or "").lower())]):
-            if t not in _STOP:
-                for k, is_leaf in self.by_file.get(t, ()):
-                    (leaf if is_leaf else other)[k] += 1
-        for k, (a, b) in enumerate(zip(leaf, other, strict=True)):
-            found["path"][k] = min(1.0, 0.55 + 0.1 * (a - 1)) if a else min(0.65, 0.3 + 0.08 * b) if b >= 2 else 0.25 if b else 0.0
+        asked = [self.by_file[t] for t in set(query).union(_PLAIN.findall((text or "").lower())) if t in self.by_file and t not in _STOP]
+        hits = self._counted(asked, 2 * self.files).reshape(-1, 2)
+        other, leaf = hits[:, 0], hits[:, 1]
+        found["path"] = np.where(leaf > 0, np.minimum(1.0, 0.55 + 0.1 * (leaf - 1)), np.where(other >= 2, np.minimum(0.65, 0.3 + 0.08 * other), np.where(other > 0, 0.25, 0.0)))
         return found
 
+    def _counted(self, places: list, n: int):  # noqa: ANN202
+        return self.np.bincount(self.np.concatenate(places), minlength=n) if places else self.np.zeros(n)
+
+    def _having(self, name: str):  # noqa: ANN202
+        """The chunks that have a name or one of its variants."""
+        if name not in self.having:
+            self.having[name] = self.np.array(list(set().union(*[self.wanted.get(v, ()) for v in variants(name)])), dtype=self.np.int64)
+        return self.having[name]
+
 
 def _meet(whole: bool, rows: bool):  # noqa: ANN202
     def meet(docs, asked):  # noqa: ANN001, ANN202

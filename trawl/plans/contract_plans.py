@@ -148,8 +148,7 @@ def audit_gates(spark: SparkSession, d: str) -> DataFrame:
 
 def symbol_rank_b0(spark: SparkSession, d: str) -> DataFrame:
     """The lexical symbol ranking: the first 30 chunks of a pool kind by text alone."""
-    tickets, chunks = table(spark, d, "tickets"), cut(RT.corpus(table(spark, d, "chunks")), "corpus", compression="zstd")
-    scored = RT.tfidf(tickets, chunks).join(RT.order_columns(chunks).filter("symbol_name <> ''"), [*RT.SNAPSHOT, "chunk_id"])
+    scored = RT.tfidf_rows(table(spark, d, "tickets"), table(spark, d, "chunks")).filter("symbol_name <> ''")
     return RT.ranked(scored, "cosine", 30).select("ticket_id", "rank", "chunk_id", "cosine")
 
 
@@ -169,9 +168,10 @@ def lookup_guarded(spark: SparkSession, d: str) -> DataFrame:
 
 def package_boost(spark: SparkSession, d: str) -> DataFrame:
     """The first 20 files of every ticket after evidence of a shared folder with a strong file has raised their scores."""
-    tickets, chunks = table(spark, d, "tickets"), cut(RT.corpus(table(spark, d, "chunks")), "corpus", compression="zstd")
-    rows = cut(RT.weighted(tickets, chunks), "weighted", compression="zstd")
-    files = cut(RT.file_scores(rows, 50).join(rows.select("ticket_id", "chunk_id", "kind_rank", "span", "identifier", "path"), ["ticket_id", "chunk_id"]), "files")
+    tickets = table(spark, d, "tickets")
+    filed = RT.files_with_chunks(RT.weighted(tickets, table(spark, d, "chunks")), "identifier", "path").filter(F.col("rank") <= 50)
+    best = F.col("xs")[0]
+    files = cut(filed.select("ticket_id", "chunk_id", "rank", "file_path", "evidence", "symbols", "file_score", "kind_rank", "span", best["identifier"].alias("identifier"), best["path"].alias("path")), "files", compression="zstd")
     return RT.package_boosted(files, RT.reports(tickets), 20)
 
 

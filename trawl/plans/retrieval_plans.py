@@ -52,7 +52,7 @@ def path_signal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weighted_signals(spark: SparkSession, d: str) -> DataFrame:
-    scores = R.weighted(*_in(spark, d))
+    scores = R.weighted(*_tables(spark, d))
     return R.ranked(scores, "score", 20).select("ticket_id", "rank", "chunk_id", "cosine", "trace", "component", "keyword", "symbol", "path", "identifier", "score")
 
 
