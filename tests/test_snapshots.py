@@ -1,6 +1,7 @@
 """Scoring a snapshot at a time: same rows as the joins on terms, without their intermediate tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from trawl.operators import retrieval as RT
 from trawl.operators import snapshots as SN
@@ -54,3 +55,26 @@ def test_signals_of_reports_write_no_table_of_terms(tables, monkeypatch):
     monkeypatch.setattr(RT, "cut", lambda df, name, **o: pytest.fail(f"writes {name}"))
     files = RT.files_with_chunks(RT.weighted(*tables), "cosine").collect()
     assert files and all(x["a"] <= 0 for r in files for x in r["xs"])
+
+
+#: Queries that share the scores, each with the tables that it writes on its way: of scores none but the one that is read several times.
+WRITTEN = {"overlap_evidence": {"large"}}
+
+
+@pytest.mark.parametrize("query", WRITTEN)
+def test_queries_have_the_rows_of_their_sql_and_write_no_table_of_terms(spark, tables, tmp_path, monkeypatch, query):
+    import __spark_entry__ as entry
+    from trawl import storage
+
+    duckdb = pytest.importorskip("duckdb")
+    absent = ("priority", "bug_type", "version", "created_at")
+    for name, df in zip(("tickets", "chunks"), tables, strict=True):
+        df.withColumns({c: F.lit(None).cast("string") for c in absent if name == "tickets"}).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    written, new_path = set(), storage.new_path
+    monkeypatch.setattr(storage, "new_path", lambda spark, name: written.add(name) or new_path(spark, name))
+    found = entry.queries()[query](spark, str(tmp_path))
+    expected = duckdb.sql(entry.oracle_sql()[query])
+    assert found.columns == expected.columns
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected.fetchall(), key=repr) != []
+    assert written == WRITTEN[query]
