@@ -58,7 +58,7 @@ def test_signals_of_reports_write_no_table_of_terms(tables, monkeypatch):
 
 
 #: Queries that share the scores, each with the tables that it writes on its way: of scores none but the one that is read several times.
-WRITTEN = {"overlap_evidence": {"large"}, "tfidf_top20": {"large"}, "file_modes": {"large", "light"}, "best_chunk_per_file": {"large"}, "package_proximity": {"large"}, "symbol_rank_b0": {"large"}}
+WRITTEN = dict.fromkeys(("overlap_evidence", "tfidf_top20", "best_chunk_per_file", "package_proximity", "symbol_rank_b0", "tfidf_cosine"), {"large"}) | {"file_modes": {"large", "light"}}
 
 
 @pytest.mark.parametrize("query", WRITTEN)
