@@ -180,13 +180,16 @@ def component_scores(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def path_signals(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(ticket_id, snapshot, file_path, path): overlap of the report's words with the file's name, else with its folders."""
+    """(ticket_id, snapshot, file_path, path): overlap of the report's words with the file's name, else with its folders.
+
+    Words are many rows for each report and file, which the size checks do not count, so the join is merged at any size: its sides never go through the driver.
+    """
     stem = F.regexp_replace(T.base_name(F.col("p")), r"\.[a-z0-9]+$", "")
     words = lambda c: F.array_distinct(F.concat(T.tokens(c), F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0))))
     files = chunks.select(*SNAPSHOT, "file_path", F.lower(T.norm_path(F.col("file_path"))).alias("p")).distinct().select(*SNAPSHOT, "file_path", words(stem).alias("leaf"), words(F.replace("p", F.lit("/"), F.lit(" "))).alias("all"))
     terms = files.select(*SNAPSHOT, "file_path", F.explode("all").alias("term"), "leaf").select(*SNAPSHOT, "file_path", "term", F.array_contains("leaf", F.col("term")).cast("int").alias("is_leaf"))
     query = reports(tickets).select("ticket_id", *SNAPSHOT, F.explode(F.array_distinct(F.concat(T.important_terms(F.col("bug_text")), F.regexp_extract_all(F.lower("bug_text"), F.lit("[a-z0-9]+"), F.lit(0))))).alias("term")).filter(~F.col("term").isin(*T.STOP_WORDS))
-    hits = query.join(terms, [*SNAPSHOT, "term"]).groupBy("ticket_id", *SNAPSHOT, "file_path").agg(F.sum("is_leaf").alias("l"), F.sum(1 - F.col("is_leaf")).alias("q"))
+    hits = query.hint("merge").join(terms, [*SNAPSHOT, "term"]).groupBy("ticket_id", *SNAPSHOT, "file_path").agg(F.sum("is_leaf").alias("l"), F.sum(1 - F.col("is_leaf")).alias("q"))
     score = F.when(F.col("l") > 0, F.least(F.lit(1.0), 0.55 + 0.1 * (F.col("l") - 1))).when(F.col("q") >= 2, F.least(F.lit(0.65), 0.3 + 0.08 * F.col("q"))).otherwise(0.25)
     return hits.select("ticket_id", *SNAPSHOT, "file_path", F.round(score, 6).alias("path"))
 

@@ -48,7 +48,7 @@ def keyword_signal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def path_signal(spark: SparkSession, d: str) -> DataFrame:
-    return R.path_signals(*_in(spark, d)).select("ticket_id", "file_path", "path")
+    return R.path_signals(*_tables(spark, d)).select("ticket_id", "file_path", "path")
 
 
 def weighted_signals(spark: SparkSession, d: str) -> DataFrame:
