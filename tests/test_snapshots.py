@@ -80,22 +80,31 @@ def test_queries_have_the_rows_of_their_sql_and_write_no_table_of_terms(spark, t
     assert written == WRITTEN[query]
 
 
-def test_words_of_reports_and_paths_never_go_through_the_driver(spark, tables, tmp_path, monkeypatch):
+@pytest.mark.parametrize("limit", [20_000, 1])
+def test_words_of_reports_and_paths_never_go_through_the_driver(spark, tables, tmp_path, monkeypatch, limit):
     import __spark_entry__ as entry
     from trawl import storage
 
     duckdb = pytest.importorskip("duckdb")
     tickets, chunks = tables
-    paths = ["src\\win\\evict_cache.py", "./lib/store/deep.store.open", "src/store/", "nothing", "like/it", None]
+    paths = ["src\\win\\evict_cache.py", "./lib/store/deep.store.open", "lib/store.py\n", "src/store/", "nothing", "like/it", "", None]
     odd = spark.createDataFrame([("o/r", c, f"p{i}", p, *[None] * 7) for c in ("c1", "c2", None) for i, p in enumerate(paths)], CHUNKS)
-    tickets = tickets.withColumns({c: F.lit(None).cast("string") for c in ("priority", "bug_type", "version", "created_at")})
+    nobody = spark.createDataFrame([(None, "store of nobody", *[None] * 5, "o/r", "c1")], TICKETS)
+    tickets = tickets.unionByName(nobody).withColumns({c: F.lit(None).cast("string") for c in ("priority", "bug_type", "version", "created_at")})
     for name, df in (("tickets", tickets), ("chunks", chunks.unionByName(odd))):
         df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
         duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
-    monkeypatch.setattr(storage, "new_path", lambda spark, name: pytest.fail(f"writes {name}"))
+    written, new_path = set(), storage.new_path
+    monkeypatch.setattr(storage, "new_path", lambda spark, name: written.add(name) or new_path(spark, name))
+    monkeypatch.setitem(SN.LARGEST, "chunks", limit)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     found = entry.queries()["path_signal"](spark, str(tmp_path))
     expected = duckdb.sql(entry.oracle_sql()["path_signal"])
     assert found.columns == expected.columns
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected.fetchall(), key=repr) != []
+    assert written == {"large"}
+    if limit > 1:
+        assert "FlatMapCoGroupsInArrow" in plan(found) and "Generate" not in plan(found) and "Broadcast" not in plan(found)
     # Rows as few as these are broadcast wherever a join leaves the choice to size checks.
-    assert "SortMergeJoin" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "Broadcast" not in plan
+    (joined := RT.path_joined(*[spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("tickets", "chunks")])).collect()
+    assert "SortMergeJoin" in plan(joined) and "Broadcast" not in plan(joined)

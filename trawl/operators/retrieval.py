@@ -182,9 +182,23 @@ def component_scores(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
 def path_signals(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
     """(ticket_id, snapshot, file_path, path): overlap of the report's words with the file's name, else with its folders.
 
+    A snapshot is scored in one task (see ``snapshots``), a very large one by joins.
+    """
+    from trawl.operators import snapshots as SN
+
+    out = None
+    for large, some, docs in SN.split(tickets, chunks.select(*SNAPSHOT, "file_path")):
+        part = path_joined(some, docs) if large else SN.meeting_paths(some, docs).withColumn("path", F.round("path", 6))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def path_joined(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``path_signals`` by joins on words, for snapshots of any size.
+
     Words are many rows for each report and file, which the size checks do not count, so the join is merged at any size: its sides never go through the driver.
     """
-    stem = F.regexp_replace(T.base_name(F.col("p")), r"\.[a-z0-9]+$", "")
+    stem = F.regexp_replace(T.base_name(F.col("p")), r"\.[a-z0-9]+\z", "")
     words = lambda c: F.array_distinct(F.concat(T.tokens(c), F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0))))
     files = chunks.select(*SNAPSHOT, "file_path", F.lower(T.norm_path(F.col("file_path"))).alias("p")).distinct().select(*SNAPSHOT, "file_path", words(stem).alias("leaf"), words(F.replace("p", F.lit("/"), F.lit(" "))).alias("all"))
     terms = files.select(*SNAPSHOT, "file_path", F.explode("all").alias("term"), "leaf").select(*SNAPSHOT, "file_path", "term", F.array_contains("leaf", F.col("term")).cast("int").alias("is_leaf"))
@@ -228,7 +242,7 @@ def weighted_joined(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
     joined = parts[0]
     for p in parts[1:]:
         joined = joined.join(p, keys, "full_outer")
-    return _weighed(joined.join(order_columns(chunks), [*SNAPSHOT, "chunk_id"]).join(path_signals(tickets, chunks), ["ticket_id", *SNAPSHOT, "file_path"], "left"))
+    return _weighed(joined.join(order_columns(chunks), [*SNAPSHOT, "chunk_id"]).join(path_joined(tickets, chunks), ["ticket_id", *SNAPSHOT, "file_path"], "left"))
 
 
 #: What each mode of file aggregation adds to a file's best chunk.

@@ -72,6 +72,33 @@ def _words(text: str) -> list[str]:
     return list(dict.fromkeys([*tokens(text), *_PLAIN.findall(text)]))
 
 
+def _file_words(paths: Iterable[str | None]) -> dict:
+    """Of each word of paths the files that have it: twice the file's place, and one more if the file's name has the word."""
+    import numpy as np
+
+    found = defaultdict(list)
+    for k, path in enumerate(paths):
+        if path is None:
+            continue
+        low = norm_path(path).lower()
+        leaf = set(_words(re.sub(r"\.[a-z0-9]+\Z", "", low.rpartition("/")[2])))
+        for t in _words(low.replace("/", " ")):
+            found[t].append(2 * k + (t in leaf))
+    return {t: np.array(x) for t, x in found.items()}
+
+
+def _path_scores(text: str | None, query: list[str], by_file: dict, files: int):  # noqa: ANN202
+    """The path signal of a report by file; 0 is none."""
+    import numpy as np
+
+    asked = [by_file[t] for t in set(query).union(_PLAIN.findall((text or "").lower())) if t in by_file and t not in _STOP]
+    if not asked:
+        return np.zeros(files)
+    hits = np.bincount(np.concatenate(asked), minlength=2 * files).reshape(-1, 2)
+    other, leaf = hits[:, 0], hits[:, 1]
+    return np.where(leaf > 0, np.minimum(1.0, 0.55 + 0.1 * (leaf - 1)), np.where(other >= 2, np.minimum(0.65, 0.3 + 0.08 * other), np.where(other > 0, 0.25, 0.0)))
+
+
 class _Snapshot:
     """The chunks of one snapshot, indexed by term."""
 
@@ -114,7 +141,7 @@ class _Snapshot:
             self._index_names()
 
     def _index_names(self) -> None:
-        self.names, self.by_file, self.traced, of_path = defaultdict(list), defaultdict(list), defaultdict(list), {}
+        self.names, self.by_file, self.traced, of_path = defaultdict(list), _file_words(dict.fromkeys(self.docs["file_path"])), defaultdict(list), {}
         paths = self.docs["file_path"]
         for i, (c, path, name) in enumerate(zip(self.chunk_of.tolist(), paths, self.docs["symbol_name"], strict=True)):
             if path not in of_path:
@@ -125,17 +152,12 @@ class _Snapshot:
                 self.traced[norm_path(path).rpartition("/")[2]].append((c, *sorted((self.docs["start_line"][i], self.docs["end_line"][i]))))
         files = {p: k for k, p in enumerate(dict.fromkeys(paths))}
         self.file_of, self.files, self.in_files = self.np.array([files[p] for p in paths], dtype=self.np.int64), len(files), Counter()
-        for path, k in files.items():
+        for path in files:
             if path is None:
                 continue
             self.in_files.update(set(tokens(path)))
-            low = norm_path(path).lower()
-            leaf = set(_words(re.sub(r"\.[a-z0-9]+\Z", "", low.rpartition("/")[2])))
-            for t in _words(low.replace("/", " ")):
-                self.by_file[t].append(2 * k + (t in leaf))
         unique = len(self.first) == len(paths)
         self.names = {t: self.np.array(x if unique else sorted(set(x))) for t, x in self.names.items()}
-        self.by_file = {t: self.np.array(x) for t, x in self.by_file.items()}
 
     def cosine(self, text: str | None):  # noqa: ANN201
         np = self.np
@@ -172,10 +194,7 @@ class _Snapshot:
                 line = r["line"]
                 score = 0.35 if line is None else 0.75 if low <= line <= high else 0.55 if min(abs(low - line), abs(high - line)) <= 25 else 0.35
                 found["trace"][c] = max(found["trace"][c], score)
-        asked = [self.by_file[t] for t in set(query).union(_PLAIN.findall((text or "").lower())) if t in self.by_file and t not in _STOP]
-        hits = self._counted(asked, 2 * self.files).reshape(-1, 2)
-        other, leaf = hits[:, 0], hits[:, 1]
-        found["path"] = np.where(leaf > 0, np.minimum(1.0, 0.55 + 0.1 * (leaf - 1)), np.where(other >= 2, np.minimum(0.65, 0.3 + 0.08 * other), np.where(other > 0, 0.25, 0.0)))
+        found["path"] = _path_scores(text, query, self.by_file, self.files)
         return found
 
     def _counted(self, places: list, n: int):  # noqa: ANN202
@@ -237,7 +256,7 @@ def _asked(tickets: DataFrame) -> DataFrame:
 
 def too_large(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
     """The snapshots that no single task should hold."""
-    text = "search_text" if "search_text" in chunks.columns else "code_text"
+    text = next(c for c in ("search_text", "code_text", "file_path") if c in chunks.columns)
     have = chunks.groupBy(*R.SNAPSHOT).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length(text), F.lit(0))).alias("characters"))
     asked = plain_snapshot(tickets).groupBy(*R.SNAPSHOT).agg(F.count(F.lit(1)).alias("m"))
     big = (F.col("n") > LARGEST["chunks"]) | (F.col("characters") > LARGEST["characters"]) | (F.col("n") * F.col("m") > LARGEST["pairs"])
@@ -253,6 +272,30 @@ def meeting(tickets: DataFrame, chunks: DataFrame, whole: bool, rows: bool = Tru
     return docs.groupBy(*R.SNAPSHOT).cogroup(asked.groupBy(*R.SNAPSHOT)).applyInArrow(_meet(whole, rows), S.StructType(fields))
 
 
+def _meet_paths(files, asked):  # noqa: ANN001, ANN202
+    import numpy as np
+    import pyarrow as pa
+
+    paths, texts = files.column("file_path").to_pylist(), asked.column("bug_text").to_pylist()
+    by_file = _file_words(paths) if texts else {}
+    none = np.zeros(0, dtype=np.int64)
+    at, ticket, values = [none], [none], [np.zeros(0)]
+    for k, text in enumerate(texts if by_file else ()):
+        score = _path_scores(text, important(text), by_file, len(paths))
+        at.append(take := np.flatnonzero(score))
+        ticket.append(np.full(len(take), k))
+        values.append(score[take])
+    out = files.take(pa.array(np.concatenate(at))).add_column(0, "ticket_id", asked.column("ticket_id").take(pa.array(np.concatenate(ticket))))
+    return out.append_column("path", pa.array(np.concatenate(values)))
+
+
+def meeting_paths(tickets: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(ticket_id, snapshot, file_path, path) of files with evidence, values not rounded."""
+    files = chunks.select(*R.SNAPSHOT, "file_path").filter("repo IS NOT NULL AND base_commit IS NOT NULL").distinct()
+    asked = R.reports(tickets).select("ticket_id", *R.SNAPSHOT, "bug_text")
+    return files.groupBy(*R.SNAPSHOT).cogroup(asked.groupBy(*R.SNAPSHOT)).applyInArrow(_meet_paths, S.StructType([S.StructField("ticket_id", S.StringType()), *files.schema, S.StructField("path", S.DoubleType())]))
+
+
 def split(tickets: DataFrame, chunks: DataFrame) -> Iterable[tuple[bool, DataFrame, DataFrame]]:
     """(is it large, tickets, chunks): the snapshots for single tasks and, if there are any, the large ones."""
     large = cut(too_large(tickets, chunks), "large")
